@@ -25,6 +25,11 @@ def ratio(num: Column, den: Column, default: float | None = 0.0) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(default))
 
 
+def rnd(c: Column | str, places: int) -> Column:
+    """Round half up. The nudge keeps exact halves from depending on summation order."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, places)
+
+
 def zsum(c: Column) -> Column:
     """Sum that is 0.0 on an empty or all-null group."""
     return F.coalesce(F.sum(c), F.lit(0.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fintrail.functions import constants as K
-from fintrail.functions.numeric import norm
+from fintrail.functions.numeric import norm, rnd
 from fintrail.functions.rules import first_match, lookup
 
 LITERAL_ANCHORS = 1024
@@ -74,7 +74,7 @@ def nearest_anchor(vectors: DataFrame, anchor_table: DataFrame, key: str, *, vec
                        ).select(F.col("q").alias(key), F.col("similarity").alias("s"), F.col("b").alias("l"))
     hit = F.col("s") >= threshold
     return best.select(key, F.when(hit, F.col("l").cast("string")).otherwise("OTHER").alias("category"),
-                       F.when(hit, F.round("s", 4)).otherwise(threshold).alias("confidence"))
+                       F.when(hit, rnd("s", 4)).otherwise(threshold).alias("confidence"))
 
 
 def chat_intent(text: Column) -> Column:

@@ -12,8 +12,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from fintrail.session import cut
 from fintrail.functions.numeric import (DAY_MICROS, LN2, age_days, clip, day_number, decay, micros,
-                                        month_index, ratio, zsum)
+                                        month_index, ratio, rnd, zsum)
 
 SPEND = ["EXPENSE_ESSENTIAL", "EXPENSE_DISCRETIONARY", "EMI_PAYMENT"]
 HALF_LIFE = 30.0
@@ -122,11 +123,11 @@ def account_features(ev: DataFrame, ref: datetime, bounded: bool = True) -> Data
     keys = [f"{n}_{w}" for n in ("income", "essential", "disc", "emi", "subs") for w in (7, 30, 90)]
     near, far = F.col("near_income"), ~F.col("near_income")
     u = d.groupBy("user_id").agg(
-        *[F.round(F.abs(zsum(F.col(k))), 2).alias(k) for k in keys],
+        *[rnd(F.abs(zsum(F.col(k))), 2).alias(k) for k in keys],
         *[F.sum(c).alias(c) for c in ("n_7", "n_30", "n_90", "n_out", "n_out_failed", "n_failed",
                                       "n_income", "n_subs", "n_emi")],
         *[zsum(F.col(c)).alias(c) for c in ("decayed", "decayed_n", "income_sq")],
-        *[F.round(zsum(F.col(c)), 2).alias(c) for c in ("cash", "outflow", "disc_cur", "disc_prev")],
+        *[rnd(zsum(F.col(c)), 2).alias(c) for c in ("cash", "outflow", "disc_cur", "disc_prev")],
         F.count("spend").alias("spend_days"), F.avg("spend").alias("spend_mean"),
         F.stddev_samp("spend").alias("spend_std"),
         F.avg(F.when(near, F.col("disc_last"))).alias("spike_near"),
@@ -141,7 +142,7 @@ def _scalars() -> list[Column]:
     out30 = c("essential_30") + c("disc_30") + c("emi_30") + c("subs_30")
     spend90 = c("essential_90") + c("disc_90") + c("emi_90")
     burden = emi_burden()
-    r = lambda e, n, name: F.round(e, n).alias(name)
+    r = lambda e, n, name: rnd(e, n).alias(name)
     return [
         r(c("decayed") / 30.0, 4, "daily_avg_throughput_30d"),
         r(c("decayed_n"), 4, "decayed_count_30d"),
@@ -196,7 +197,7 @@ def top_merchants(ev: DataFrame, ref: datetime, n: int = 3) -> DataFrame:
     whole = m.groupBy("user_id").agg(F.sum("total").alias("whole"))
     share = F.col("total") / F.col("whole")
     return (top.join(whole, "user_id").where(F.col("whole") > 0).groupBy("user_id")
-            .agg(F.round(clip(F.sum(share * share), 0.0, 1.0), 4).alias("top3_merchant_concentration")))
+            .agg(rnd(clip(F.sum(share * share), 0.0, 1.0), 4).alias("top3_merchant_concentration")))
 
 
 def category_shift(ev: DataFrame, ref: datetime, n: int = 5) -> DataFrame:
@@ -231,10 +232,10 @@ def invoice_features(invoices: DataFrame) -> DataFrame:
         F.count_if(F.col("filing_status") == "ontime").alias("ontime"),
         F.sum("filing_delay_days").alias("delay"))
     return per_day.groupBy("user_id").agg(
-        F.round(F.sum("grown") / _growth(F.max("hi")), 2).alias("gst_30d_value"),
-        F.round(F.sum("ontime") / F.sum("n"), 4).alias("gst_filing_compliance_rate"),
+        rnd(F.sum("grown") / _growth(F.max("hi")), 2).alias("gst_30d_value"),
+        rnd(F.sum("ontime") / F.sum("n"), 4).alias("gst_filing_compliance_rate"),
         F.count_distinct(F.trunc("day", "month")).cast("int").alias("months_active_gst"),
-        F.round(F.greatest(F.lit(0.0), 1.0 - F.least(F.sum("delay") / F.sum("n") / 30.0, F.lit(1.0))), 4)
+        rnd(F.greatest(F.lit(0.0), 1.0 - F.least(F.sum("delay") / F.sum("n") / 30.0, F.lit(1.0))), 4)
         .alias("statutory_payment_regularity_score"))
 
 
@@ -256,20 +257,20 @@ def eway_features(eway: DataFrame) -> DataFrame:
         F.sum("n").alias("rows"), (F.sum("grown") / _growth(F.max("hi"))).alias("value"))
     p = F.col("n") / F.col("rows")
     return (by_code.join(whole, "user_id").groupBy("user_id").agg(
-        F.round(F.first("value"), 2).alias("ewb_30d_value"),
-        F.round(-F.sum(p * F.log(p + 1e-9)), 4).alias("hsn_entropy_90d")))
+        rnd(F.first("value"), 2).alias("ewb_30d_value"),
+        rnd(-F.sum(p * F.log(p + 1e-9)), 4).alias("hsn_entropy_90d")))
 
 
 def inbound_features(ev: DataFrame, ref: datetime) -> DataFrame:
     """Share of inbound rows that are customer payments, and decayed inbound value."""
     e = ev.where(in_window(F.col("ts"), ref, 30) & (F.col("amount") > 0))
     return e.groupBy("user_id").agg(
-        F.round(F.count_if(F.col("txn_kind") == "P2M") / F.count(F.lit(1)), 4).alias("upi_p2m_ratio_30d"),
+        rnd(F.count_if(F.col("txn_kind") == "P2M") / F.count(F.lit(1)), 4).alias("upi_p2m_ratio_30d"),
         F.sum(F.col("amount") * decay(F.col("ts"), ref, HALF_LIFE)).alias("inbound_decayed"))
 
 
 def receivables_gap(invoiced: Column, inbound: Column) -> Column:
-    return F.when((invoiced > 0) & inbound.isNotNull(), F.round((invoiced - inbound) / invoiced, 4)).otherwise(0.0)
+    return F.when((invoiced > 0) & inbound.isNotNull(), rnd((invoiced - inbound) / invoiced, 4)).otherwise(0.0)
 
 
 # ------------------------------------------------------------------ cohorts
@@ -287,9 +288,9 @@ COHORT_FEATURES = {"emi_burden_ratio": "emi_burden", "savings_rate": "savings_ra
 def cohort_stats(fv: DataFrame) -> DataFrame:
     aggs = []
     for col, name in COHORT_FEATURES.items():
-        aggs.append(F.round(F.avg(col), 4).alias(f"mean_{name}"))
+        aggs.append(rnd(F.avg(col), 4).alias(f"mean_{name}"))
         std = F.coalesce(F.stddev_samp(col), F.lit(1.0))
-        aggs.append(F.round(F.greatest(std, F.lit(1e-6)), 4).alias(f"std_{name}"))
+        aggs.append(rnd(F.greatest(std, F.lit(1e-6)), 4).alias(f"std_{name}"))
     return (fv.groupBy(*COHORT).agg(F.count(F.lit(1)).alias("n_users"), *aggs)
             .withColumn("cohort_key", F.concat_ws("_", *COHORT)))
 
@@ -304,7 +305,7 @@ def peer_deviation(fv: DataFrame, cohorts: DataFrame, value: str = "raw_emi_burd
     z = (F.col(value) - F.col("mean_emi_burden")) / F.col("std_emi_burden")
     return (fv.join(F.broadcast(c), COHORT, "left")
             .withColumn("peer_cohort_benchmark_deviation",
-                        F.when(F.col("std_emi_burden") > 0, F.round(z, 4)).otherwise(0.0))
+                        F.when(F.col("std_emi_burden") > 0, rnd(z, 4)).otherwise(0.0))
             .drop("mean_emi_burden", "std_emi_burden"))
 
 
@@ -335,15 +336,18 @@ def features(ev: DataFrame, ref: datetime, *, invoices: DataFrame | None = None,
         fv = fv.join(invoice_features(invoices), "user_id", "left")
     if eway is not None:
         fv = fv.join(eway_features(eway), "user_id", "left")
-    for name, default in DEFAULTS.items():
-        fv = fv.withColumn(name, F.coalesce(F.col(name), F.lit(default)) if name in fv.columns else F.lit(default))
-    fv = fv.withColumn("gst_upi_receivables_gap",
-                       receivables_gap(F.col("gst_30d_value"), F.col("inbound_decayed"))).drop("inbound_decayed")
-    fv = fv.withColumn("temporal_anomaly_flag", F.lit(0.0)).withColumn("ref", F.lit(ref))
+    filled = [(F.coalesce(F.col(n), F.lit(v)) if n in fv.columns else F.lit(v)).alias(n) for n, v in DEFAULTS.items()]
+    plain = [c for c in fv.columns if c not in DEFAULTS and c != "inbound_decayed"]
+    gap = (receivables_gap(F.col("gst_30d_value"), F.col("inbound_decayed")) if invoices is not None else F.lit(0.0))
+    fv = fv.select(*plain, *filled, gap.alias("gst_upi_receivables_gap"),
+                   F.lit(0.0).alias("temporal_anomaly_flag"), F.lit(ref).alias("ref"))
     if profiles is not None:
         fv = fv.join(profiles, "user_id", "left")
-        stats = cohorts if cohorts is not None else cohort_stats(fv)
-        fv = peer_deviation(fv, stats)
+        if cohorts is None:
+            # read twice below; one row per user, so writing it beats scanning the events again
+            fv = cut(fv)
+            cohorts = cohort_stats(fv)
+        fv = peer_deviation(fv, cohorts)
     return fv
 
 
@@ -384,20 +388,20 @@ def daily_features(ev: DataFrame) -> DataFrame:
     running = F.coalesce(F.sum("disc_abs").over(
         W.partitionBy("user_id", "mi").orderBy("dn").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
     rolls = month_index(F.date_add("day", 1)) != F.col("mi")
-    cols = [F.round(F.abs(tot(n, w)), 2).alias(f"{n}_{w}") for n, _ in types for w in (7, 30, 90)]
+    cols = [rnd(F.abs(tot(n, w)), 2).alias(f"{n}_{w}") for n, _ in types for w in (7, 30, 90)]
     cols += [tot(c, w).alias(f"n_{w}") for c, w in (("n", 7), ("n", 30), ("n", 90))]
     cols += [(tot("grown", 30) / _growth(F.date_add("day", 1))).alias("decayed"), F.lit(0.0).alias("decayed_n"),
              tot("out", 90).alias("n_out"), tot("out_failed", 90).alias("n_out_failed"),
-             tot("failed", 90).alias("n_failed"), F.round(tot("cash_amt", 90), 2).alias("cash"),
-             F.round(tot("out_amt", 90), 2).alias("outflow"), tot("inc_n", 90).alias("n_income"),
+             tot("failed", 90).alias("n_failed"), rnd(tot("cash_amt", 90), 2).alias("cash"),
+             rnd(tot("out_amt", 90), 2).alias("outflow"), tot("inc_n", 90).alias("n_income"),
              tot("inc_sq", 90).alias("income_sq"), tot("subs_n", 30).alias("n_subs"),
              tot("emi_n", 90).alias("n_emi"),
              F.count("spend").over(frame[90]).alias("spend_days"),
              F.avg("spend").over(frame[90]).alias("spend_mean"),
              F.stddev_samp("spend").over(frame[90]).alias("spend_std"),
              F.lit(None).cast("double").alias("spike_near"), F.lit(None).cast("double").alias("spike_far"),
-             F.round(F.when(rolls, month_total(0)).otherwise(month_total(1) + running), 2).alias("disc_cur"),
-             F.round(F.when(rolls, month_total(1)).otherwise(month_total(2)), 2).alias("disc_prev")]
+             rnd(F.when(rolls, month_total(0)).otherwise(month_total(1) + running), 2).alias("disc_cur"),
+             rnd(F.when(rolls, month_total(1)).otherwise(month_total(2)), 2).alias("disc_prev")]
     for k in range(4):
         m = F.col("mi") % 4 == k
         cols += [F.sum(F.when(m, F.col("late_net"))).over(frame[90]).alias(f"late{k}"),
@@ -413,7 +417,7 @@ def daily_features(ev: DataFrame) -> DataFrame:
 def decayed_count(ev: DataFrame, ref: datetime, half_life: float = HALF_LIFE, days: int = 30) -> DataFrame:
     e = ev.where(in_window(F.col("ts"), ref, days))
     return e.groupBy("user_id").agg(
-        F.round(F.sum(decay(F.col("ts"), ref, half_life)), 4).alias("decayed_count"))
+        rnd(F.sum(decay(F.col("ts"), ref, half_life)), 4).alias("decayed_count"))
 
 
 def window_summary(ev: DataFrame, ref: datetime) -> DataFrame:
@@ -429,12 +433,12 @@ def window_summary(ev: DataFrame, ref: datetime) -> DataFrame:
     cols = []
     for w in (7, 30, 90):
         parts = {n: zsum(F.col(f"{n}_{w}")) for n, _ in _SUMMARY}
-        cols += [F.round(parts[n], 2).alias(f"{n}_{w}d") for n in parts]
-        cols.append(F.round(parts["total_income"] - parts["total_essential"] - parts["total_discretionary"]
+        cols += [rnd(parts[n], 2).alias(f"{n}_{w}d") for n in parts]
+        cols.append(rnd(parts["total_income"] - parts["total_essential"] - parts["total_discretionary"]
                             - parts["emi"] - parts["subscription"], 2).alias(f"net_cashflow_{w}d"))
         cols.append(F.sum(f"n_{w}").alias(f"event_count_{w}d"))
         cols.append(F.map_from_entries(F.array_sort(F.collect_list(
-            F.when(F.col(f"n_{w}") > 0, F.struct("merchant_category", F.round(f"abs_{w}", 2).alias("v"))))))
+            F.when(F.col(f"n_{w}") > 0, F.struct("merchant_category", rnd(f"abs_{w}", 2).alias("v"))))))
             .alias(f"category_breakdown_{w}d"))
     return by_cat.groupBy("user_id").agg(*cols)
 

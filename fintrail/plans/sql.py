@@ -11,7 +11,7 @@ from fintrail.functions import constants as K
 
 
 def r(expr: str, n: int = 4) -> str:
-    return f"(round({expr}, {n}) + 0)"
+    return f"(round(({expr}) + 1e-9, {n}) + 0)"
 
 
 def in_list(values) -> str:
@@ -226,8 +226,8 @@ SELECT fx.* EXCLUDE (ref), fx.ref, {r('coalesce(t.hhi, 0.0)')} AS top3_merchant_
   {r('coalesce(g.regularity, 0.0)')} AS statutory_payment_regularity_score,
   {r('coalesce(w.ewb, 0.0)', 2)} AS ewb_30d_value, {r('coalesce(w.entropy, 0.0)')} AS hsn_entropy_90d,
   {r('coalesce(i.p2m, 0.0)')} AS upi_p2m_ratio_30d,
-  CASE WHEN round(g.gst, 2) > 0 AND i.inbound IS NOT NULL
-    THEN {r('(round(g.gst, 2) - i.inbound) / round(g.gst, 2)')} ELSE 0.0 END AS gst_upi_receivables_gap,
+  CASE WHEN {r('g.gst', 2)} > 0 AND i.inbound IS NOT NULL
+    THEN {r('(' + r('g.gst', 2) + ' - i.inbound) / ' + r('g.gst', 2))} ELSE 0.0 END AS gst_upi_receivables_gap,
   0.0::DOUBLE AS temporal_anomaly_flag, p.gstin, p.city_tier, p.income_band, p.age_group, p.months_active
 FROM fx LEFT JOIN fx_top3 t USING (user_id) LEFT JOIN fx_shift s USING (user_id)
 LEFT JOIN fx_gst g USING (user_id) LEFT JOIN fx_ewb w USING (user_id) LEFT JOIN fx_in i USING (user_id)
@@ -253,6 +253,78 @@ _parts("dx", _day, "ev e JOIN dref g ON e.user_id = g.user_id")
 CTES["dx"] = _derived_sql("dx_base", "dx_cv", "dx_dip", "dx_life", None)
 
 
+def quoted(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _messages_sql() -> str:
+    from fintrail.plans.tables import MESSAGE_TEMPLATES
+    return f"""
+SELECT 'c' || conv_id || '-' || turn AS message_id, conv_id AS user_id, NULL::TIMESTAMP AS ts,
+  NULL::VARCHAR AS sender_id, text FROM conversations WHERE role = 'user'
+UNION ALL SELECT 'e' || event_id, user_id, ts, CASE WHEN k % 5 = 0 THEN 'TM-HDFCBK' ELSE '9876543210' END,
+  list_extract([{quoted(MESSAGE_TEMPLATES)}], k % {len(MESSAGE_TEMPLATES)} + 1) FROM ev"""
+
+
+def _merchant_sql() -> str:
+    from fintrail.plans.tables import MERCHANT_TEXTS
+    return f"""SELECT * REPLACE (list_extract([{quoted(MERCHANT_TEXTS)}], k % {len(MERCHANT_TEXTS)} + 1) AS merchant_name) FROM ev"""
+
+
+CTES["messages"] = _messages_sql()
+CTES["merchant_ev"] = _merchant_sql()
+
+
+def first_match_sql(col: str, rules, default: str) -> str:
+    whens = " ".join(f"WHEN regexp_matches({col}, {quoted(['(?i)' + p])}) THEN '{v}'" for p, v in rules)
+    return f"CASE {whens} ELSE {default} END"
+
+# ---- state snapshots
+
+def risk_sql(p: str = "") -> str:
+    raw = (f"0.25 * least({p}emi_burden_ratio, 2.0) / 2.0 + 0.20 * {p}debit_failure_rate_90d"
+           f" + 0.15 * least({p}spending_volatility_index, 3.0) / 3.0"
+           f" + 0.10 * least({p}end_of_month_liquidity_dip, 50000.0) / 50000.0"
+           f" + 0.05 * {p}discretionary_ratio + 0.05 * {p}cash_dependency_index"
+           f" - 0.15 * greatest({p}savings_rate, 0.0) - 0.05 * {p}income_stability_score")
+    return r(f"1 / (1 + exp(-greatest(-6.0, least(6.0, ({raw}) * 6 - 3))))", 6)
+
+
+def derive_sql(src: str, peer: str = "0.0::DOUBLE") -> str:
+    return f"""
+SELECT *, CASE WHEN cash_buffer_days < 5 THEN 'LOW' WHEN cash_buffer_days <= 15 THEN 'MEDIUM' ELSE 'HIGH' END AS liquidity_health,
+ {r('greatest(0.0, least(1.0, 0.8 * greatest(0.0, least(1.0, cash_buffer_days / 30)) + 0.2 * (1 - greatest(0.0, least(1.0, debit_failure_rate_90d)))))', 6)} AS liquidity_health_index,
+ {r('greatest(0.0, least(1.0, 0.6 * income_stability_score + 0.4 * (1 - least(spending_volatility_index, 1.0))))', 6)} AS income_stability,
+ least(spending_volatility_index, 1.0) AS spending_volatility, {risk_sql()} AS risk_score,
+ {r('greatest(0.0, least(1.0, 0.45 * least(emi_burden_ratio, 1.2) / 1.2 + 0.35 * greatest(0.0, least(1.0, cash_dependency_index)) + 0.20 * least(subscription_count_30d / 12.0, 1.0)))', 6)} AS credit_dependency_score,
+ greatest(-3.0, least(3.0, {peer})) AS peer_deviation_score
+FROM {src}"""
+
+
+def persona_sql(top3: str) -> str:
+    return f"""CASE WHEN {top3} > 0.80 AND debit_failure_rate_90d > 0.30 AND daily_avg_throughput_30d > 100000 THEN 'shell_circular'
+ WHEN spending_volatility_index > 1.5 AND daily_avg_throughput_30d > 50000 AND income_stability_score < 0.4 THEN 'paper_trader'
+ WHEN income_90d < 30000 AND emi_payment_count_90d = 0 AND daily_avg_throughput_30d < 2000 THEN 'new_to_credit'
+ WHEN emi_burden_ratio > 0.55 AND savings_rate < 0.05 THEN 'genuine_struggling' END"""
+
+
+CTES["dx_top3"] = """
+SELECT user_id, ref, sum(s * s) FILTER (rn <= 3) AS top3 FROM (
+  SELECT user_id, ref, t / sum(t) OVER (PARTITION BY user_id, ref) AS s,
+    row_number() OVER (PARTITION BY user_id, ref ORDER BY t DESC, merchant_name) AS rn
+  FROM (SELECT e.user_id, g.ref, e.merchant_name, sum(-e.amount) AS t
+        FROM ev e JOIN dref g ON e.user_id = g.user_id AND e.ts >= g.ref - INTERVAL 90 DAY AND e.ts < g.ref
+        WHERE e.amount < 0 GROUP BY ALL)) GROUP BY user_id, ref"""
+CTES["dstate"] = derive_sql("dx")
+CTES["twin"] = f"""
+SELECT *, coalesce(last_value(candidate IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts), 'genuine_healthy') AS persona,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts) AS INTEGER) AS version
+FROM (SELECT s.*, s.ref AS ts, {persona_sql('coalesce(t.top3, 0)')} AS candidate
+      FROM dstate s LEFT JOIN dx_top3 t USING (user_id, ref))"""
+CTES["twin_latest"] = "SELECT * FROM (SELECT *, max(version) OVER (PARTITION BY user_id) AS mv FROM twin) WHERE version = mv"
+CTES["fstate"] = derive_sql("fv", "peer_cohort_benchmark_deviation")
+
+
 def _names(text: str, table: dict[str, str]) -> list[str]:
     return [n for n in table if re.search(rf"(FROM|JOIN|,)\s+{n}\b", text)]
 

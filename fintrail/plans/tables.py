@@ -11,7 +11,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fintrail.functions import constants as K
-from fintrail.operators import features as FT
+from fintrail.operators import features as FT, twin as TW
+from fintrail.session import scratch
 
 REF = datetime(2024, 1, 31)
 RING_SINCE = datetime(2001, 8, 6)   # 90 days before the last shipment
@@ -114,3 +115,107 @@ def fv(spark: SparkSession, d: str) -> DataFrame:
     """Full feature vectors at REF with profile and invoice features."""
     return FT.features(ev(spark, d), REF, invoices=invoices(spark, d), eway=eway(spark, d),
                        profiles=profiles(spark, d).drop("node", "upi_id", "vpa"))
+
+
+# ------------------------------------------------------------ stored stages
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, d: str, name: str, build) -> DataFrame:
+    """A pipeline stage written once per application and read by what follows it.
+
+    Scoring jobs read feature and state tables; they do not recompute them.
+    """
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _STORED:
+        path = scratch(spark, name)
+        build(spark, d).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
+def feature_table(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "features", fv)
+
+
+def twin(spark: SparkSession, d: str) -> DataFrame:
+    """State snapshots: one version per active user-day."""
+    return stored(spark, d, "twin", lambda s, p: TW.snapshots(ev(s, p)))
+
+
+def twin_latest(spark: SparkSession, d: str) -> DataFrame:
+    return TW.latest(twin(spark, d))
+
+
+# --------------------------------------------------- raw sources and messages
+
+MESSAGE_TEMPLATES = [
+    "URGENT: your account will be suspended within 24 hours. Share your OTP immediately",
+    "Official notice from RBI: Income Tax Department order of court",
+    "Your verification code is 482913",
+    "Final warning: unauthorized login found, confirm code 559201, action required",
+    "Payment of 1,250 to merchant M3 done",
+    "Can I afford a car loan of ₹4,50,000 next month?",
+    "No, lower EMI please, extend to 12 month tenure",
+    "Yes ok, I accept. How can I improve my score in 3 months?",
+]
+
+
+def raw_sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The six event sources in their raw shapes, split from `events` by provenance."""
+    e = ev(spark, d).withColumn("timestamp", F.col("ts"))
+    failed = F.col("status") == "FAILED"
+    src = lambda p: e.where(F.col("source_provenance") == p)
+    head = ["event_id", "user_id", "timestamp"]
+    rec = lambda v: F.lit(v).alias("recurrence_flag")
+    plain = F.when(failed, "FAILED").otherwise("SUCCESS").alias("status")
+    return {
+        "bank_transactions": src("bank_api").select(
+            *head, "amount", "merchant_name", "channel", (F.col("amount") + 1000).alias("balance_after"),
+            F.concat(F.lit("R"), "event_id").alias("reference_id"), plain, rec(False)),
+        "upi_transactions": src("upi_api").select(
+            *head, "amount", F.when(F.col("amount") > 0, "inbound").otherwise("outbound").alias("direction"),
+            "merchant_name", F.lower("txn_kind").alias("txn_type"),
+            F.concat(F.lit("upi"), F.col("event_id") % 150).alias("counterparty_upi"),
+            F.when(failed, "failed_funds").otherwise("success").alias("status"), rec(False)),
+        "sms_alerts": src("sms_parser").select(
+            *head, "amount", "merchant_name",
+            F.concat(F.lit("Txn at "), "merchant_name", F.when(failed, " was Declined").otherwise(" done")).alias("raw_text"),
+            plain, rec(False)),
+        "emi_schedules": src("emi_statement").select(
+            *head, "amount", "merchant_name", F.when(failed, "OVERDUE").otherwise("PAID").alias("status"), rec(True)),
+        "open_banking": src("open_banking_aa").select(
+            *head, "amount", F.lit("AA_BALANCE_SNAPSHOT").alias("merchant_name"),
+            (F.col("amount") + 2000).alias("balance_after"), plain, rec(False)),
+        "voice_transcripts": src("voice_stt_parser").select(
+            *head, F.col("amount").alias("extracted_amount"), F.col("merchant_name").alias("extracted_merchant"),
+            plain, rec(False)),
+    }
+
+
+def messages(spark: SparkSession, d: str) -> DataFrame:
+    """User turns of the conversations, and one templated message per event."""
+    conv = table(spark, d, "conversations").where(F.col("role") == "user").select(
+        F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("message_id"),
+        F.col("conv_id").alias("user_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.lit(None).cast("string").alias("sender_id"), "text")
+    e = ev(spark, d)
+    tmpl = e.select(
+        F.concat(F.lit("e"), "event_id").alias("message_id"), "user_id", "ts",
+        F.when(F.col("k") % 5 == 0, "TM-HDFCBK").otherwise("9876543210").alias("sender_id"),
+        _pick(F.col("k"), MESSAGE_TEMPLATES).alias("text"))
+    return conv.unionByName(tmpl)
+
+
+def merchant_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Events with descriptive merchant strings, so the merchant rules have work."""
+    return ev(spark, d).withColumn("merchant_name", _pick(F.col("k"), MERCHANT_TEXTS))
+
+
+MERCHANT_TEXTS = [
+    "Salary from Employer", "HDFC Home Loan EMI", "ATM cash withdrawal", "Zerodha SIP", "Landlord rent",
+    "Netflix monthly", "Apollo Pharmacy", "Airtel broadband", "Uber cab", "Swiggy pizza",
+    "Reliance Fresh grocery", "LIC term life", "Coursera tuition", "AA_BALANCE_SNAPSHOT", "Corner shop",
+    "Current account", "Loan Services", "Wages Ltd", "Paytm transfer", "Supermart",
+]
