@@ -1,125 +1,152 @@
-"""Exact nearest neighbours as equi-joins on cells around pivots.
+"""Exact nearest neighbours as co-grouped blocks around pivots.
 
 Every base row belongs to the cell of its nearest pivot. A query's k-th distance
-is bounded from a few representatives of nearby cells; the triangle inequality
-then rules out whole cells and, inside a cell, rows whose pivot distance differs
-too much. Cells with many rows are split by a salt, so no task holds a whole
-cell, and no all-pairs product is formed.
+is bounded by its distances to a few representatives per cell; the triangle
+inequality then rules out whole cells. What is left is grouped by (cell, base
+salt, query salt), so every block is bounded however skewed the cells are, and a
+block hands on only each query's k best - never its pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from fintrail.functions.numeric import euclidean, norm
+from fintrail.functions.numeric import norm
 
-PIVOTS = 48
-CELL_ROWS = 50_000
+PIVOTS = 64
+BASE_BLOCK = 50_000
+QUERY_BLOCK = 20_000
+STEP = 256
 SLACK = 1e-9
 
+Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
-def _pivots(base: DataFrame, n: int) -> Column | None:
-    """Up to n pivot vectors, picked by hash so the choice is repeatable. Bounded collect."""
-    rows = base.select("v").orderBy(F.xxhash64("b"), "b").limit(n).collect()
-    if not rows:
-        return None
-    return F.array(*[F.array(*[F.lit(float(x)) for x in r["v"]]) for r in rows])
+
+def euclidean_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    sq = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * a @ b.T
+    return np.sqrt(np.maximum(sq, 0.0))
+
+
+def _k_best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k smallest distances, ties by id."""
+    if len(dist) > k:
+        cut = np.partition(dist, k - 1)[k - 1]
+        keep = np.flatnonzero(dist <= cut + 1e-12)
+    else:
+        keep = np.arange(len(dist))
+    keep = keep[np.isfinite(dist[keep])]
+    return keep[np.lexsort((ids[keep], dist[keep]))][:k]
 
 
-def knn_join(queries: DataFrame, base: DataFrame, k: int,
-             distance: Callable[[Column, Column], Column] | None = None,
+def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = euclidean_matrix,
              exclude_self: bool = False, pivots: int = PIVOTS) -> DataFrame:
-    """The k base rows nearest to each query.
+    """The k base rows nearest to each query: q, b, distance, rn.
 
-    queries(q, v, ...) and base(b, v, ...) carry vectors of doubles; `distance`
-    over the joined rows may be larger than the Euclidean distance of the `v`
-    columns but never smaller. Other columns are prefixed q_ and b_ for it.
-    Returns q, b, distance, rn.
+    queries(q, v, x) and base(b, v, x): `metric` compares the full vectors x and
+    may exceed the Euclidean distance of the v vectors but never fall below it.
     """
-    piv = _pivots(base, pivots)
-    if piv is None:
-        return (queries.select("q").withColumn("b", F.col("q")).withColumn("distance", F.lit(0.0))
-                .withColumn("rn", F.lit(1)).where(F.lit(False)))
-    spark = base.sparkSession
-    holder = spark.range(1).select(piv.alias("_piv"))
-    dists = lambda: F.transform("_piv", lambda p, i: F.struct(euclidean(F.col("v"), p).alias("d"), i.alias("cell")))
-
-    extra_b = [c for c in base.columns if c not in ("b", "v")]
-    extra_q = [c for c in queries.columns if c not in ("q", "v")]
-    cells = (base.crossJoin(F.broadcast(holder)).withColumn("_near", F.array_min(dists())).drop("_piv")
-             .select("b", F.col("v").alias("b_v"), F.col("_near.cell").alias("cell"),
-                     F.col("_near.d").alias("b_d"), *[F.col(c).alias(f"b_{c}") for c in extra_b])
-             .withColumn("salt_src", F.abs(F.xxhash64("b"))))
-    stats = cells.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("b_d").alias("radius"),
-    ).withColumn("salts", F.ceil(F.col("rows") / CELL_ROWS))          # at most `pivots` rows
-    q = (queries.crossJoin(F.broadcast(holder)).withColumn("_d", dists()).drop("_piv")
-         .select("q", F.col("v").alias("q_v"), "_d", *[F.col(c).alias(f"q_{c}") for c in extra_q]))
-
-    metric = distance or (lambda a, b: euclidean(a, b))
+    rows = base.select("v").orderBy(F.xxhash64("b"), "b").limit(pivots).collect()   # bounded by `pivots`
+    kinds_q, kinds_b = dict(queries.dtypes)["q"], dict(base.dtypes)["b"]
+    out = f"q {kinds_q}, b {kinds_b}, distance double"
+    if not rows:
+        empty = base.sparkSession.createDataFrame([], out)
+        return empty.withColumn("rn", F.lit(1))
+    piv = np.array([r["v"] for r in rows], dtype=float)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            d = euclidean_matrix(np.stack(pdf["v"].to_numpy()), piv)
+            cell = d.argmin(1)
+            yield pd.DataFrame({"b": pdf["b"], "x": pdf["x"], "cell": cell.astype(np.int32),
+                                "b_d": d[np.arange(len(d)), cell]})
+
+    cells = base.select("b", "v", "x").mapInPandas(place, f"b {kinds_b}, x array<double>, cell int, b_d double")
     need = k + (1 if exclude_self else 0)
-    # upper bound on the k-th distance, from representatives of the nearest cells
-    reps = (cells.withColumn("rk", F.row_number().over(W.partitionBy("cell").orderBy("b_d", "b")))
-            .where(F.col("rk") <= need))
-    per_cell = stats.agg(F.map_from_entries(F.collect_list(F.struct("cell", F.least("rows", F.lit(need)).alias("n")))).alias("_n"))
-    near = F.array_sort(F.filter("_d", lambda s: F.col("_n")[s["cell"]].isNotNull()))
-    seeded = (q.crossJoin(F.broadcast(per_cell)).withColumn("_near", near)
-              .withColumn("_take", F.aggregate(
-                  "_near", F.struct(F.lit(0).cast("long").alias("got"), F.lit(0).alias("cells")),
-                  lambda a, s: F.when(a["got"] >= need, a).otherwise(F.struct(
-                      (a["got"] + F.col("_n")[s["cell"]]).alias("got"), (a["cells"] + 1).alias("cells"))))["cells"])
-              .withColumn("cell", F.explode(F.transform(F.slice("_near", 1, F.greatest("_take", F.lit(1))),
-                                                        lambda s: s["cell"])))
-              .drop("_n", "_near", "_take"))
-    same = F.col("q") == F.col("b")
-    first = seeded.join(reps, "cell").withColumn("dist", metric(F.col("q_v"), F.col("b_v")))
-    if exclude_self:
-        first = first.where(~same)
-    by_q = W.partitionBy("q").orderBy("dist", "b")
-    bound = (first.withColumn("rn", F.row_number().over(by_q)).where(F.col("rn") <= k)
-             .groupBy("q").agg(F.when(F.count(F.lit(1)) >= k, F.max("dist")).alias("bound")))
-    bound = bound.select("q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-
-    # cells and rows that can still hold a neighbour
-    wide = (q.join(bound, "q").withColumn("_c", F.explode("_d"))
-            .select("q", "q_v", "bound", F.col("_c.cell").alias("cell"), F.col("_c.d").alias("q_d"),
-                    *[f"q_{c}" for c in extra_q])
-            .join(F.broadcast(stats), "cell")
-            .where(F.col("q_d") - F.col("radius") <= F.col("bound") + SLACK)
-            .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-            .drop("rows", "radius", "salts"))
-    salted = (cells.join(F.broadcast(stats.select("cell", "salts")), "cell")
-              .withColumn("salt", F.col("salt_src") % F.col("salts")).drop("salts", "salt_src"))
-    pairs = (wide.join(salted, ["cell", "salt"])
-             .where(F.abs(F.col("q_d") - F.col("b_d")) <= F.col("bound") + SLACK))
-    if exclude_self:
-        pairs = pairs.where(~same)
-    keep = [c for c in pairs.columns if c.startswith(("q_", "b_")) and c not in ("q_v", "b_v", "q_d", "b_d")]
-    return (pairs.withColumn("distance", metric(F.col("q_v"), F.col("b_v")))
-            .select("q", "b", "distance", *keep)
-            .withColumn("rn", F.row_number().over(W.partitionBy("q").orderBy("distance", "b")))
-            .where(F.col("rn") <= k))
+    near = W.partitionBy("cell").orderBy("b_d", "b")
+    seeds = (cells.withColumn("rk", F.row_number().over(near)).where(F.col("rk") <= need)
+             .select("b", "x").collect())                                        # at most pivots * need rows
+    stat = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("b_d").alias("r")).collect()   # <= pivots rows
+    radius = np.full(len(piv), -np.inf)
+    splits = np.ones(len(piv), dtype=np.int64)
+    for s in stat:
+        radius[s["cell"]] = s["r"]
+        splits[s["cell"]] = -(-s["n"] // BASE_BLOCK)
+    seed_x = np.array([s["x"] for s in seeds], dtype=float)
+    seed_id = np.array([s["b"] for s in seeds])
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            q_ids = pdf["q"].to_numpy()
+            d = euclidean_matrix(np.stack(pdf["v"].to_numpy()), piv)
+            m = metric(np.stack(pdf["x"].to_numpy()), seed_x)
+            if exclude_self:
+                m = np.where(q_ids[:, None] == seed_id[None, :], np.inf, m)
+            m = np.where(np.isfinite(m), m, np.inf)
+            bound = np.partition(m, k - 1, axis=1)[:, k - 1] if m.shape[1] >= k else np.full(len(m), np.inf)
+            hit, cell = np.nonzero((d - radius[None, :] <= bound[:, None] + SLACK) & np.isfinite(radius)[None, :])
+            yield pd.DataFrame({"q": q_ids[hit], "x": pdf["x"].to_numpy()[hit], "cell": cell.astype(np.int32)})
+
+    routed = queries.select("q", "v", "x").mapInPandas(route, f"q {kinds_q}, x array<double>, cell int")
+    n_split = F.array(*[F.lit(int(s)) for s in splits])
+    load = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()     # at most `pivots` rows
+    q_load = np.ones(len(piv), dtype=np.int64)
+    for s in load:
+        q_load[s["cell"]] = -(-s["n"] // QUERY_BLOCK)
+    q_split = F.array(*[F.lit(int(s)) for s in q_load])
+    seq = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
+    left = (routed.withColumn("bs", seq(n_split[F.col("cell")]))
+            .withColumn("qs", F.pmod(F.xxhash64("q"), q_split[F.col("cell")]).cast("int")))
+    right = (cells.select("b", "x", "cell").withColumn("qs", seq(q_split[F.col("cell")]))
+             .withColumn("bs", F.pmod(F.xxhash64("b"), n_split[F.col("cell")]).cast("int")))
+
+    def block(lpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(lpdf) or not len(rpdf):
+            return pd.DataFrame({"q": [], "b": [], "distance": []})
+        bx, ids = np.stack(rpdf["x"].to_numpy()).astype(float), rpdf["b"].to_numpy()
+        qx, qid = np.stack(lpdf["x"].to_numpy()).astype(float), lpdf["q"].to_numpy()
+        qs, bs, ds = [], [], []
+        for at in range(0, len(qx), STEP):
+            m = metric(qx[at:at + STEP], bx)
+            for i, row in enumerate(m):
+                q = qid[at + i]
+                if exclude_self:
+                    row = np.where(ids == q, np.inf, row)
+                best = _k_best(np.where(np.isnan(row), np.inf, row), ids, k)
+                qs += [q] * len(best)
+                bs += list(ids[best])
+                ds += list(row[best])
+        return pd.DataFrame({"q": qs, "b": bs, "distance": ds})
+
+    keys = ["cell", "bs", "qs"]
+    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, out)
+    w = W.partitionBy("q").orderBy("distance", "b")
+    return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
     """Top-k by cosine similarity: q, b, similarity, rn. Zero vectors are similar to nothing (0.0).
 
     On unit vectors cosine order is distance order. Zero vectors tie at 0.0 with
-    everything, so the k of smallest id stand for all of them.
+    everything, so the few of smallest id stand for all of them.
     """
     def unit(df, key):
         n = norm(F.col("v"))
-        return df.select(key, n.alias("n"), F.transform("v", lambda x: x.cast("double") / F.when(n < 1e-9, F.lit(1.0)).otherwise(n)).alias("v"))
+        v = F.transform("v", lambda x: x.cast("double") / F.when(F.col("n") < 1e-9, F.lit(1.0)).otherwise(F.col("n")))
+        return df.select(key, "v", n.alias("n")).select(key, "n", v.alias("v")).withColumn("x", F.col("v"))
 
     b, q = unit(base, "b"), unit(queries, "q")
-    live = knn_join(q.where("n >= 1e-9").drop("n"), b.where("n >= 1e-9").drop("n"), k, exclude_self=exclude_self)
+    live = knn_join(q.where("n >= 1e-9"), b.where("n >= 1e-9"), k, exclude_self=exclude_self)
     found = live.select("q", "b", (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("similarity"))
     need = k + (1 if exclude_self else 0)
     ties = b.where("n < 1e-9").orderBy("b").limit(need).select("b")
     blank = b.orderBy("b").limit(need).select("b")
-    pad = (q.where("n >= 1e-9").select("q").crossJoin(F.broadcast(ties))
+    pad = (q.where("n >= 1e-9").select("q").crossJoin(F.broadcast(ties))      # at most k + 1 rows broadcast
            .unionByName(q.where("n < 1e-9").select("q").crossJoin(F.broadcast(blank))))
     if exclude_self:
         pad = pad.where(F.col("q") != F.col("b"))

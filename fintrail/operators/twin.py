@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions import constants as K
@@ -139,17 +140,21 @@ def behaviour_vector(fv: DataFrame, name: str = "vector") -> DataFrame:
         value = F.coalesce(F.col(key).cast("double"), F.lit(0.0)) if key in fv.columns else F.lit(0.0)
         return clip((value - lo) / (hi - lo + 1e-9), 0, 1)
 
-    base = F.array(*[scaled(k) for k in K.VECTOR_RANGES])
-    rows = _matrix().astype(float)
-    mat = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in rows])
-    n = rows.shape[1]
-    a = F.col("_x")
-    pairs = F.transform(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in K.VECTOR_PAIRS]),
-                        lambda p: a[p["i"]] * a[p["j"]])
-    full = fv.withColumn("_x", base).withColumn("_x", F.concat(F.col("_x"), pairs))
-    proj = F.transform(mat, lambda row: clip(
-        F.aggregate(F.zip_with(row, F.col("_x"), lambda w, x: w * x), F.lit(0.0), lambda s, v: s + v) / n, 0, 1))
-    return full.withColumn(name, proj).drop("_x")
+    x = fv.withColumn("_x", F.array(*[scaled(k) for k in K.VECTOR_RANGES]))
+    return x.withColumn(name, _project(_matrix(), K.VECTOR_PAIRS)(F.col("_x"))).drop("_x")
+
+
+def _project(matrix: np.ndarray, pairs: list[tuple[int, int]]):
+    """Matrix product per Arrow batch; as column arithmetic its code is too large to compile."""
+    @F.pandas_udf("array<double>")
+    def run(xs: pd.Series) -> pd.Series:
+        if not len(xs):
+            return pd.Series([], dtype=object)
+        x = np.stack(xs.to_numpy())
+        full = np.hstack([x, *[(x[:, i] * x[:, j])[:, None] for i, j in pairs]])
+        out = np.clip(full @ matrix.T.astype(float) / full.shape[1], 0.0, 1.0)
+        return pd.Series(list(out))
+    return run
 
 
 def smooth_vectors(snaps: DataFrame, vec: str = "vector") -> DataFrame:

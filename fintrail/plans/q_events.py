@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F, types as T_
 
 from fintrail.functions import constants as K
+from fintrail.functions.numeric import rnd
 from fintrail.operators import canonical as C, classify as CL, features as FT, joins as J, neighbours as NN, ordered as O
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
@@ -38,7 +39,7 @@ STORE = ["income_30d", "cash_buffer_days", "gst_30d_value", "ewb_30d_value"]
 
 
 @query("src2_read_features", f"""SELECT f.user_id, '2024-01-31' AS run_date, CAST(anomaly_flag AS INTEGER) AS anomaly_flag, {r('income_30d', 1)} AS income_30d,
-  {r('cash_buffer_days', 2)} AS cash_buffer_days, {r('coalesce(g.gst, 0)', 0)} AS gst_30d_value
+  {r('CAST(CAST(cash_buffer_days AS FLOAT) AS DOUBLE)', 2)} AS cash_buffer_days, {r('coalesce(CAST(CAST(g.gst AS FLOAT) AS DOUBLE), 0)', 0)} AS gst_30d_value
   FROM fx f LEFT JOIN (SELECT user_id, {r('gst', 2)} AS gst FROM fx_gst WHERE user_id % 3 = 0) g USING (user_id)""")
 def src2(spark, d):
     """Some users have no invoice feature; it reads back as 0."""
@@ -51,7 +52,7 @@ def src2(spark, d):
     back = R.read_features(spark, path)
     return back.select("user_id", F.col("run_date").cast("string").alias("run_date"), "anomaly_flag",
                        F.round(F.col("income_30d").cast("double"), 1).alias("income_30d"),
-                       F.round(F.col("cash_buffer_days").cast("double"), 2).alias("cash_buffer_days"),
+                       rnd(F.col("cash_buffer_days").cast("double"), 2).alias("cash_buffer_days"),
                        F.round(F.col("gst_30d_value").cast("double"), 0).alias("gst_30d_value"))
 
 
@@ -212,7 +213,7 @@ def cls5(spark, d):
 
 @query("cls6_message_fields", f"""SELECT message_id, CASE WHEN regexp_matches(lower(text), '{K.YES_WORDS}') THEN TRUE
     WHEN regexp_matches(lower(text), '{K.NO_WORDS}') THEN FALSE END AS answer,
-  list_transform(regexp_extract_all(text, '{K.AMOUNT_PATTERN}', 1), s -> TRY_CAST(replace(s, ',', '') AS DOUBLE)) AS amounts,
+  [TRY_CAST(replace(s, ',', '') AS DOUBLE) FOR s IN regexp_extract_all(text, '{K.AMOUNT_PATTERN}', 1)] AS amounts,
   regexp_extract_all(lower(text), '{K.TIME_PATTERN}', 1) AS time_refs FROM messages""")
 def cls6(spark, d):
     return T.messages(spark, d).select("message_id", *CL.message_fields(F.col("text")))

@@ -34,7 +34,18 @@ def r3(spark, d):
                     TW.bureau_score(F.col("risk_score")).alias("bureau_score"))
 
 
-@query("r4_behaviour_vector")
+def _vector_sql(src: str) -> str:
+    def scaled(k):
+        lo, hi = K.VECTOR_RANGES[k]
+        return f"greatest(0.0, least(1.0, (CAST({k} AS DOUBLE) - {lo}) / ({hi} - {lo} + 1e-9)))"
+    xs = ", ".join(f"{scaled(k)} AS x{i}" for i, k in enumerate(K.VECTOR_RANGES))
+    full = ", ".join([f"x{i}" for i in range(len(K.VECTOR_RANGES))] + [f"x{i} * x{j}" for i, j in K.VECTOR_PAIRS])
+    dots = ", ".join(f"round(greatest(0.0, least(1.0, list_dot_product(x, {[float(w) for w in row]}::DOUBLE[]) / 32)), 6)"
+                     for row in TW._matrix())
+    return f"SELECT user_id, [{dots}] AS vector FROM (SELECT user_id, [{full}] AS x FROM (SELECT user_id, {xs} FROM {src}))"
+
+
+@query("r4_behaviour_vector", _vector_sql("fv"))
 def r4(spark, d):
     v = TW.behaviour_vector(T.feature_table(spark, d)).select("user_id", "vector")
     return v.select("user_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))

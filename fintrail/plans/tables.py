@@ -219,3 +219,18 @@ MERCHANT_TEXTS = [
     "Reliance Fresh grocery", "LIC term life", "Coursera tuition", "AA_BALANCE_SNAPSHOT", "Corner shop",
     "Current account", "Loan Services", "Wages Ltd", "Paytm transfer", "Supermart",
 ]
+
+
+def region_flows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Invoices and consignments with the node of their owner."""
+    p = profiles(spark, d).select("user_id", "node")
+    inv = invoices(spark, d).join(p, "user_id").select("node", "ts", F.col("taxable_value").alias("amount"))
+    ew = eway(spark, d).join(p, "user_id").select("node", "ts", "tot_inv_value")
+    return inv, ew
+
+
+def region_series(spark: SparkSession, d: str) -> DataFrame:
+    """Gap-free daily series per node."""
+    from fintrail.operators import timeline as TL
+    inv, ew = region_flows(spark, d)
+    return TL.filled_series(TL.daily_series(inv, ew, ["node"]), ["node"])
