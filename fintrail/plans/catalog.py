@@ -1,4 +1,4 @@
 """Imports every query module, filling the registry."""
 
-from fintrail.plans import q_events, q_features, q_timeline, q_twin  # noqa: F401
+from fintrail.plans import q_events, q_features, q_risk, q_timeline, q_twin  # noqa: F401
 from fintrail.plans.registry import ORACLES, QUERIES  # noqa: F401

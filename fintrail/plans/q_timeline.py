@@ -10,7 +10,7 @@ from fintrail.functions import constants as K
 from fintrail.operators import features as FT, timeline as TL
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
-from fintrail.plans.sql import CTES, LAM, REF, US_DAY, in_list, r
+from fintrail.plans.sql import CTES, LAM, REF, US_DAY, first_match_sql, r
 
 CTES["nseries0"] = """
 SELECT node, day, CAST(trunc(round(coalesce(sum(v), 0), 2)) AS BIGINT) AS daily_volume, CAST(coalesce(sum(c), 0) AS BIGINT) AS daily_count,
@@ -221,9 +221,8 @@ def a36(spark, d):
     return TL.income_trend(T.edges(spark, d).withColumnRenamed("dst", "user_id"), datetime(2001, 8, 2))
 
 
-@query("a37_source_lag", """SELECT source_provenance, count(*) AS raw, count(*) FILTER (typed) AS typed, count(*) - count(*) FILTER (typed) AS lag
-  FROM (SELECT source_provenance, merchant_name <> 'Corner shop' AND merchant_name <> 'Current account' AND merchant_name <> 'Loan Services'
-    AND merchant_name <> 'Wages Ltd' AND merchant_name <> 'Paytm transfer' AND merchant_name <> 'Supermart' AS typed FROM merchant_ev) GROUP BY 1""")
+@query("a37_source_lag", f"""SELECT source_provenance, count(*) AS raw, count(*) FILTER (typed) AS typed, count(*) - count(*) FILTER (typed) AS lag
+  FROM (SELECT source_provenance, {first_match_sql('merchant_name', K.MERCHANT_RULES, 'NULL')} IS NOT NULL AS typed FROM merchant_ev) GROUP BY 1""")
 def a37(spark, d):
     """Rows no merchant rule could type are the backlog."""
     from fintrail.operators.classify import merchant_category
