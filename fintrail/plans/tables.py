@@ -234,3 +234,55 @@ def region_series(spark: SparkSession, d: str) -> DataFrame:
     from fintrail.operators import timeline as TL
     inv, ew = region_flows(spark, d)
     return TL.filled_series(TL.daily_series(inv, ew, ["node"]), ["node"])
+
+
+# ------------------------------------------------------------- graph, paths
+
+def pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Collapsed transfer pairs of all time."""
+    from fintrail.operators import graph as G
+    return G.collapse(edges(spark, d))
+
+
+def ring_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Collapsed transfer pairs of the last 90 days, the ring detector's horizon."""
+    from fintrail.operators import graph as G
+    return G.collapse(edges(spark, d).where(F.col("ts") >= F.lit(RING_SINCE)))
+
+
+def account_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Customer to supplier payments and supplier to customer refunds of the last 90 days."""
+    lines = table(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit(RING_SINCE)).select(
+        "l_orderkey", "l_returnflag", F.concat(F.lit("S"), "l_suppkey").alias("s"))
+    o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), "o_custkey").alias("cst"))
+    j = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    pay = j.select(F.col("cst").alias("src"), F.col("s").alias("dst"))
+    return pay.unionByName(j.where("l_returnflag = 'R'").select(F.col("s").alias("src"), F.col("cst").alias("dst")))
+
+
+HORIZON = 30
+
+
+def _flows(spark: SparkSession, d: str) -> DataFrame:
+    """Daily cash flows by kind, dense over the horizon."""
+    e = ev(spark, d).withColumn("day", F.datediff(F.to_date("ts"), F.lit(PATH_START).cast("date")))
+    t = F.col("transaction_type")
+    amt = lambda *k: F.round(F.coalesce(F.sum(F.when(t.isin(*k), F.abs("amount"))), F.lit(0.0)), 2)
+    daily = e.groupBy(F.col("user_id").alias("path_id"), "day").agg(
+        amt("INCOME").alias("income"), amt("EXPENSE_ESSENTIAL").alias("essential"),
+        amt("EXPENSE_DISCRETIONARY").alias("discretionary"), amt("EMI_PAYMENT", "SUBSCRIPTION").alias("emi"))
+    grid = daily.select("path_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(HORIZON - 1))))
+    cols = ["income", "essential", "discretionary", "emi"]
+    return grid.join(daily, ["path_id", "day"], "left").fillna(0.0, subset=cols)
+
+
+def flows(spark: SparkSession, d: str) -> DataFrame:
+    return stored(spark, d, "flows", _flows)
+
+
+def paths(spark: SparkSession, d: str) -> DataFrame:
+    """Observed balances: 2,000 plus the running net of the flows."""
+    from pyspark.sql import Window as W
+    w = W.partitionBy("path_id").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
+    net = F.col("income") - F.col("essential") - F.col("discretionary") - F.col("emi")
+    return flows(spark, d).select("path_id", "day", F.round(F.lit(2000.0) + F.sum(net).over(w), 2).alias("balance"))
