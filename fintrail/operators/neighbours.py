@@ -21,7 +21,7 @@ PIVOTS = 64
 BASE_BLOCK = 50_000
 QUERY_BLOCK = 20_000
 STEP = 256
-SLACK = 1e-9
+SLACK = 1e-7
 
 Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -56,6 +56,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
         empty = base.sparkSession.createDataFrame([], out)
         return empty.withColumn("rn", F.lit(1))
     piv = np.array([r["v"] for r in rows], dtype=float)
+    slack = SLACK * (1.0 + float(np.abs(piv).max()))       # rounding of the expanded squares grows with the values
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,7 +90,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
                 m = np.where(q_ids[:, None] == seed_id[None, :], np.inf, m)
             m = np.where(np.isfinite(m), m, np.inf)
             bound = np.partition(m, k - 1, axis=1)[:, k - 1] if m.shape[1] >= k else np.full(len(m), np.inf)
-            hit, cell = np.nonzero((d - radius[None, :] <= bound[:, None] + SLACK) & np.isfinite(radius)[None, :])
+            hit, cell = np.nonzero((d - radius[None, :] <= bound[:, None] + slack) & np.isfinite(radius)[None, :])
             yield pd.DataFrame({"q": q_ids[hit], "x": pdf["x"].to_numpy()[hit], "cell": cell.astype(np.int32)})
 
     routed = queries.select("q", "v", "x").mapInPandas(route, f"q {kinds_q}, x array<double>, cell int")

@@ -97,7 +97,7 @@ HUB = 0.042
 
 
 def ranks(spark, d):
-    return G.pagerank(T.pairs(spark, d), tol=1e-10).withColumn("pagerank", F.round("pagerank", 6))
+    return G.pagerank(T.pairs(spark, d), tol=1e-8).withColumn("pagerank", F.round("pagerank", 6))
 
 
 def maturity(spark, d):
