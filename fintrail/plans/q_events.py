@@ -40,12 +40,12 @@ STORE = ["income_30d", "cash_buffer_days", "gst_30d_value", "ewb_30d_value"]
 
 @query("src2_read_features", f"""SELECT f.user_id, '2024-01-31' AS run_date, CAST(anomaly_flag AS INTEGER) AS anomaly_flag, {r('income_30d', 1)} AS income_30d,
   {r('CAST(CAST(cash_buffer_days AS FLOAT) AS DOUBLE)', 2)} AS cash_buffer_days, {r('coalesce(CAST(CAST(g.gst AS FLOAT) AS DOUBLE), 0)', 0)} AS gst_30d_value
-  FROM fx f LEFT JOIN (SELECT user_id, {r('gst', 2)} AS gst FROM fx_gst WHERE user_id % 3 = 0) g USING (user_id)""")
+  FROM fx f LEFT JOIN (SELECT user_id, {r('gst', 2)} AS gst FROM fx_gst WHERE compliance >= 0.3) g USING (user_id)""")
 def src2(spark, d):
-    """Some users have no invoice feature; it reads back as 0."""
+    """Only reliable filers have the invoice feature; for the others it reads back as 0."""
     path = scratch(spark, "store")
     fv = FT.account_features(T.ev(spark, d), T.REF)
-    gst = FT.invoice_features(T.invoices(spark, d).where(F.col("user_id") % 3 == 0))
+    gst = FT.invoice_features(T.invoices(spark, d)).where("gst_filing_compliance_rate >= 0.3")
     out = fv.select("user_id", "income_30d", "cash_buffer_days", "anomaly_flag").join(
         gst.select("user_id", "gst_30d_value"), "user_id", "left")
     WR.write_features(out, path, "2024-01-31")
