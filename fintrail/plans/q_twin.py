@@ -34,15 +34,17 @@ def r3(spark, d):
                     TW.bureau_score(F.col("risk_score")).alias("bureau_score"))
 
 
-def _vector_sql(src: str) -> str:
+def _vector_sql(src: str, keys: str = "user_id", places: int | None = 6) -> str:
     def scaled(k):
         lo, hi = K.VECTOR_RANGES[k]
         return f"greatest(0.0, least(1.0, (CAST({k} AS DOUBLE) - {lo}) / ({hi} - {lo} + 1e-9)))"
-    xs = ", ".join(f"{scaled(k)} AS x{i}" for i, k in enumerate(K.VECTOR_RANGES))
+    blank = ("top3_merchant_concentration", "peer_cohort_benchmark_deviation") if src == "twin" else ()     # not in snapshots
+    xs = ", ".join(f"{scaled(k) if k not in blank else 'greatest(0.0, least(1.0, (0 - %r) / (%r - %r + 1e-9)))' % (K.VECTOR_RANGES[k][0], K.VECTOR_RANGES[k][1], K.VECTOR_RANGES[k][0])} AS x{i}"
+                   for i, k in enumerate(K.VECTOR_RANGES))
     full = ", ".join([f"x{i}" for i in range(len(K.VECTOR_RANGES))] + [f"x{i} * x{j}" for i, j in K.VECTOR_PAIRS])
-    dots = ", ".join(f"round(greatest(0.0, least(1.0, list_dot_product(x, {[float(w) for w in row]}::DOUBLE[]) / 32)), 6)"
-                     for row in TW._matrix())
-    return f"SELECT user_id, [{dots}] AS vector FROM (SELECT user_id, [{full}] AS x FROM (SELECT user_id, {xs} FROM {src}))"
+    value = "greatest(0.0, least(1.0, list_dot_product(x, {}::DOUBLE[]) / 32))"
+    dots = ", ".join((f"round({value}, {places})" if places else value).format([float(w) for w in row]) for row in TW._matrix())
+    return f"SELECT {keys}, [{dots}] AS vector FROM (SELECT {keys}, [{full}] AS x FROM (SELECT {keys}, {xs} FROM {src}))"
 
 
 @query("r4_behaviour_vector", _vector_sql("fv"))
@@ -124,13 +126,27 @@ def w9(spark, d):
     return TW.previous_volatility(T.twin(spark, d)).select("user_id", "version", "previous_volatility")
 
 
-@query("w14_vector_smoothing")
+@query("w14_vector_smoothing", "SELECT user_id, version, [round(z, 6) FOR z IN v] AS vector FROM blend",
+       tvec=_vector_sql("twin", "user_id, version, risk_score", None),
+       blend="""/*RECURSIVE*/SELECT user_id, version, risk_score, vector AS v FROM tvec WHERE version = 1 UNION ALL
+  SELECT t.user_id, t.version, t.risk_score, [greatest(0.0, least(1.0, (1 - greatest(0.15, least(0.65, 0.20 + abs(t.risk_score - b.risk_score) * 1.5))) * b.v[i]
+    + greatest(0.15, least(0.65, 0.20 + abs(t.risk_score - b.risk_score) * 1.5)) * t.vector[i])) FOR i IN range(1, 33)]
+  FROM blend b JOIN tvec t ON t.user_id = b.user_id AND t.version = b.version + 1""")
 def w14(spark, d):
     v = TW.smooth_vectors(TW.behaviour_vector(T.twin(spark, d)).select("user_id", "version", "risk_score", "vector"))
     return v.select("user_id", "version", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query("w15_conditional_variance")
+def _vol(i: int) -> str:
+    return ("CASE persona " + " ".join(f"WHEN '{k}' THEN {v[i]}::DOUBLE" for k, v in K.VOLATILITY_PARAMS.items())
+            + f" ELSE {K.VOLATILITY_PARAMS['unknown'][i]}::DOUBLE END")
+
+
+@query("w15_conditional_variance", f"SELECT user_id, version, {r('sqrt(var)', 6)} AS sigma FROM filt",
+       shocks=f"""SELECT user_id, version, risk_score - coalesce(lag(risk_score) OVER (PARTITION BY user_id ORDER BY version), risk_score) AS e,
+  {_vol(0)} AS w, {_vol(1)} AS a, {_vol(2)} AS b FROM twin""",
+       filt="""/*RECURSIVE*/SELECT user_id, version, e, w / (1 - a - b) AS var FROM shocks WHERE version = 1 UNION ALL
+  SELECT s.user_id, s.version, s.e, greatest(s.w + s.a * f.e * f.e + s.b * f.var, 1e-10) FROM filt f JOIN shocks s ON s.user_id = f.user_id AND s.version = f.version + 1""")
 def w15(spark, d):
     return TW.conditional_variance(T.twin(spark, d), "risk_score")
 
