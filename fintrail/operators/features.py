@@ -50,7 +50,9 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
         for n in (7, 30, 90):
             sums.append(F.sum(F.when(w[n] & (typ == t), amt)).alias(f"{name}_{n}"))
     late = F.dayofmonth(ts) >= 25
-    order = F.struct("ts", "event_id")
+    kind = F.col("txn_kind") if "txn_kind" in ev.columns else F.lit(None).cast("string")
+    # a fixed-width order key keeps the aggregation hash-based; a struct would make it sort all events
+    moment = F.pmod(micros(ts), F.lit(DAY_MICROS)) * F.lit(1 << 26) + F.pmod(F.xxhash64("event_id"), F.lit(1 << 26))
     return (e.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         *sums,
         *[F.count_if(w[n]).alias(f"n_{n}") for n in (7, 30, 90)],
@@ -68,7 +70,10 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
         F.sum(F.when(w[90] & typ.isin(SPEND) & (amt < 0), -amt)).alias("spend"),
         F.sum(F.when(w[90] & late, amt)).alias("late_net"),
         F.sum(F.when(w[90] & ~late, amt)).alias("early_net"),
-        F.max_by(F.when(w[90] & disc, F.abs(amt)), F.when(w[90] & disc, order)).alias("disc_last"),
+        F.count_if(w[30] & (amt > 0)).alias("n_in"),
+        F.count_if(w[30] & (amt > 0) & (kind == "P2M")).alias("n_in_p2m"),
+        F.sum(F.when(w[30] & (amt > 0), amt * decay(ts, ref, HALF_LIFE))).alias("in_decayed"),
+        F.max_by(F.when(w[90] & disc, F.abs(amt)), F.when(w[90] & disc, moment)).alias("disc_last"),
         F.sum(F.when(disc & (ts >= F.lit(cur)) & (ts < F.lit(ref)), F.abs(amt))).alias("disc_cur"),
         F.sum(F.when(disc & (ts >= F.lit(prev)) & (ts < F.lit(cur)), F.abs(amt))).alias("disc_prev"),
     ))
@@ -125,7 +130,8 @@ def account_features(ev: DataFrame, ref: datetime, bounded: bool = True) -> Data
     u = d.groupBy("user_id").agg(
         *[rnd(F.abs(zsum(F.col(k))), 2).alias(k) for k in keys],
         *[F.sum(c).alias(c) for c in ("n_7", "n_30", "n_90", "n_out", "n_out_failed", "n_failed",
-                                      "n_income", "n_subs", "n_emi")],
+                                      "n_income", "n_subs", "n_emi", "n_in", "n_in_p2m")],
+        F.sum("in_decayed").alias("inbound_decayed"),
         *[zsum(F.col(c)).alias(c) for c in ("decayed", "decayed_n", "income_sq")],
         *[rnd(zsum(F.col(c)), 2).alias(c) for c in ("cash", "outflow", "disc_cur", "disc_prev")],
         F.count("spend").alias("spend_days"), F.avg("spend").alias("spend_mean"),
@@ -134,7 +140,8 @@ def account_features(ev: DataFrame, ref: datetime, bounded: bool = True) -> Data
         F.avg(F.when(far, F.col("disc_last"))).alias("spike_far"),
         *mean_dip(F.col("late_net"), F.col("early_net"), month_index(F.col("day"))),
     )
-    return u.select("user_id", *_scalars(), F.col("n_90").alias("event_count_90d"))
+    share = rnd(ratio(F.col("n_in_p2m"), F.col("n_in")), 4).alias("upi_p2m_ratio_30d")
+    return u.select("user_id", *_scalars(), F.col("n_90").alias("event_count_90d"), share, "inbound_decayed")
 
 
 def _scalars() -> list[Column]:
@@ -261,14 +268,6 @@ def eway_features(eway: DataFrame) -> DataFrame:
         rnd(-F.sum(p * F.log(p + 1e-9)), 4).alias("hsn_entropy_90d")))
 
 
-def inbound_features(ev: DataFrame, ref: datetime) -> DataFrame:
-    """Share of inbound rows that are customer payments, and decayed inbound value."""
-    e = ev.where(in_window(F.col("ts"), ref, 30) & (F.col("amount") > 0))
-    return e.groupBy("user_id").agg(
-        rnd(F.count_if(F.col("txn_kind") == "P2M") / F.count(F.lit(1)), 4).alias("upi_p2m_ratio_30d"),
-        F.sum(F.col("amount") * decay(F.col("ts"), ref, HALF_LIFE)).alias("inbound_decayed"))
-
-
 def receivables_gap(invoiced: Column, inbound: Column) -> Column:
     return F.when((invoiced > 0) & inbound.isNotNull(), rnd((invoiced - inbound) / invoiced, 4)).otherwise(0.0)
 
@@ -315,7 +314,6 @@ DEFAULTS = {
     "top3_merchant_concentration": 0.0, "merchant_category_shift_count": 0,
     "gst_30d_value": 0.0, "gst_filing_compliance_rate": 0.0, "months_active_gst": 0,
     "statutory_payment_regularity_score": 0.0, "ewb_30d_value": 0.0, "hsn_entropy_90d": 0.0,
-    "upi_p2m_ratio_30d": 0.0,
 }
 
 
@@ -330,8 +328,7 @@ def features(ev: DataFrame, ref: datetime, *, invoices: DataFrame | None = None,
     """
     fv = (account_features(ev, ref)
           .join(top_merchants(ev, ref), "user_id", "left")
-          .join(category_shift(ev, ref), "user_id", "left")
-          .join(inbound_features(ev, ref), "user_id", "left"))
+          .join(category_shift(ev, ref), "user_id", "left"))
     if invoices is not None:
         fv = fv.join(invoice_features(invoices), "user_id", "left")
     if eway is not None:

@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fintrail.functions.numeric import norm
 
-PIVOTS = 64
+MAX_PIVOTS = 256
+ROWS_PER_PIVOT = 4_096
 BASE_BLOCK = 50_000
 QUERY_BLOCK = 20_000
 STEP = 256
@@ -43,12 +44,14 @@ def _k_best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = euclidean_matrix,
-             exclude_self: bool = False, pivots: int = PIVOTS) -> DataFrame:
+             exclude_self: bool = False, pivots: int | None = None) -> DataFrame:
     """The k base rows nearest to each query: q, b, distance, rn.
 
     queries(q, v, x) and base(b, v, x): `metric` compares the full vectors x and
     may exceed the Euclidean distance of the v vectors but never fall below it.
     """
+    if pivots is None:
+        pivots = max(1, min(MAX_PIVOTS, base.count() // ROWS_PER_PIVOT))
     rows = base.select("v").orderBy(F.xxhash64("b"), "b").limit(pivots).collect()   # bounded by `pivots`
     kinds_q, kinds_b = dict(queries.dtypes)["q"], dict(base.dtypes)["b"]
     out = f"q {kinds_q}, b {kinds_b}, distance double"
@@ -96,9 +99,11 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
     routed = queries.select("q", "v", "x").mapInPandas(route, f"q {kinds_q}, x array<double>, cell int")
     n_split = F.array(*[F.lit(int(s)) for s in splits])
     load = routed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()     # at most `pivots` rows
+    spark = base.sparkSession
+    spare = -(-spark.sparkContext.defaultParallelism // max(1, len(load)))       # few cells: split queries over the cores
     q_load = np.ones(len(piv), dtype=np.int64)
     for s in load:
-        q_load[s["cell"]] = -(-s["n"] // QUERY_BLOCK)
+        q_load[s["cell"]] = max(-(-s["n"] // QUERY_BLOCK), min(spare, -(-s["n"] // STEP)))
     q_split = F.array(*[F.lit(int(s)) for s in q_load])
     seq = lambda n: F.explode(F.sequence(F.lit(0), n.cast("int") - 1))
     left = (routed.withColumn("bs", seq(n_split[F.col("cell")]))
@@ -125,12 +130,14 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
         return pd.DataFrame({"q": qs, "b": bs, "distance": ds})
 
     keys = ["cell", "bs", "qs"]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))                  # fixed, so blocks are not merged into one task
+    left, right = left.repartition(parts, *keys), right.repartition(parts, *keys)
     best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(block, out)
     w = W.partitionBy("q").orderBy("distance", "b")
     return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = 5, exclude_self: bool = False) -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int | None = None) -> DataFrame:
     """Top-k by cosine similarity: q, b, similarity, rn. Zero vectors are similar to nothing (0.0).
 
     On unit vectors cosine order is distance order. Zero vectors tie at 0.0 with
@@ -142,7 +149,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5, exclude_self: bool
         return df.select(key, "v", n.alias("n")).select(key, "n", v.alias("v")).withColumn("x", F.col("v"))
 
     b, q = unit(base, "b"), unit(queries, "q")
-    live = knn_join(q.where("n >= 1e-9"), b.where("n >= 1e-9"), k, exclude_self=exclude_self)
+    live = knn_join(q.where("n >= 1e-9"), b.where("n >= 1e-9"), k, exclude_self=exclude_self, pivots=pivots)
     found = live.select("q", "b", (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("similarity"))
     need = k + (1 if exclude_self else 0)
     ties = b.where("n < 1e-9").orderBy("b").limit(need).select("b")

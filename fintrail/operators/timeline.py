@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fintrail.functions.keyed import quantiles
-from fintrail.functions.numeric import clip, ratio, rnd, zsum
+from fintrail.functions.numeric import rnd, zsum
 from fintrail.operators.joins import calendar
 
 MEASURES = ["daily_volume", "daily_count", "daily_ewb_volume", "daily_ewb_count"]

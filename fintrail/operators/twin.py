@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions import constants as K
 from fintrail.functions.keyed import carry_forward
-from fintrail.functions.numeric import clip, ratio, rnd, sigmoid
+from fintrail.functions.numeric import clip, rnd, sigmoid
 from fintrail.operators.features import daily_features
 
 MATERIAL = ["risk_score", "liquidity_health", "liquidity_health_index", "income_stability",

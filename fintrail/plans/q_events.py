@@ -9,7 +9,7 @@ from fintrail.functions.numeric import rnd
 from fintrail.operators import canonical as C, classify as CL, features as FT, joins as J, neighbours as NN, ordered as O
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
-from fintrail.plans.sql import REF, case_map, first_match_sql, in_list, quoted, r
+from fintrail.plans.sql import case_map, first_match_sql, in_list, r
 from fintrail.session import scratch
 from fintrail.sources import readers as R, wire, writers as WR
 

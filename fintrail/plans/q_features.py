@@ -6,7 +6,7 @@ from fintrail.functions import constants as K
 from fintrail.operators import features as FT
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
-from fintrail.plans.sql import LAM, REF, US_DAY, in_list, r
+from fintrail.plans.sql import REF, US_DAY, r
 
 
 def _from_fv(name: str, cols: list[str], full: bool = False) -> None:

@@ -6,7 +6,6 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from fintrail.operators import twin as TW
 from fintrail.plans import tables as T
 from fintrail.plans.q_risk import consent
 from fintrail.plans.registry import query

@@ -10,7 +10,7 @@ from fintrail.functions import constants as K
 from fintrail.operators import features as FT, timeline as TL
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
-from fintrail.plans.sql import CTES, LAM, REF, US_DAY, first_match_sql, r
+from fintrail.plans.sql import CTES, REF, US_DAY, first_match_sql, r
 
 CTES["nseries0"] = """
 SELECT node, day, CAST(trunc(round(coalesce(sum(v), 0), 2)) AS BIGINT) AS daily_volume, CAST(coalesce(sum(c), 0) AS BIGINT) AS daily_count,

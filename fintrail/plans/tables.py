@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fintrail.functions import constants as K
 from fintrail.operators import features as FT, twin as TW
-from fintrail.session import scratch
+from fintrail.session import scratch, widen
 
 REF = datetime(2024, 1, 31)
 RING_SINCE = datetime(2001, 8, 6)   # 90 days before the last shipment
@@ -47,7 +47,7 @@ def as_events(raw: DataFrame) -> DataFrame:
 
 
 def ev(spark: SparkSession, d: str) -> DataFrame:
-    return as_events(table(spark, d, "events"))
+    return as_events(widen(table(spark, d, "events")))
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:

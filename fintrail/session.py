@@ -18,6 +18,8 @@ def get_spark(app: str = "fintrail", master: str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # rows here are heavy to compute and light to move: keep small shuffles on all cores
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         **conf,
     }
@@ -50,6 +52,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spreads a scan over the cores when its files give fewer tasks than there are cores.
+
+    On large inputs, which split into many tasks, this adds nothing to the plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably and drop the lineage, so a lost executor costs one stage."""
     spark = df.sparkSession

@@ -228,7 +228,9 @@ def test_positions_and_halo_equal_a_plain_window(spark):
 
 def test_quantiles_equal_percentile(spark):
     df = hot(spark).withColumn("amount", F.when(c("event_id") % 3 == 0, 10.0).otherwise(c("amount")))      # one value holds a third
-    got = {r["user_id"]: r for r in keyed.quantiles(df, ["user_id"], "amount", {"a": 0.1, "b": 0.5, "z": 0.99}).collect()}
+    probs = {"a": 0.1, "b": 0.5, "z": 0.99}
+    got = {r["user_id"]: r for r in keyed.quantiles(df, ["user_id"], "amount", probs, small=0).collect()}
+    assert {r["user_id"]: r for r in keyed.quantiles(df, ["user_id"], "amount", probs).collect()} == got
     for r in df.groupBy("user_id").agg(F.percentile("amount", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.99))).alias("p")).collect():
         g = got[r["user_id"]]
         assert np.allclose([g["a"], g["b"], g["z"]], r["p"])
@@ -241,14 +243,15 @@ def test_running_totals(spark):
     assert all(got[v] == sum(x < v for x in vals) for v in set(vals))
 
 
-def test_neighbours_equal_brute_force_with_copies(spark):
+@pytest.mark.parametrize("pivots", [None, 9])
+def test_neighbours_equal_brute_force_with_copies(spark, pivots):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(300, 6))
     x[:100] = x[0]                                            # a third are copies
     x[250] = 0.0
     df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, v array<double>")
     got = {}
-    for r in NN.nearest(df.select(c("i").alias("q"), "v"), df.select(c("i").alias("b"), "v"), 4, exclude_self=True).collect():
+    for r in NN.nearest(df.select(c("i").alias("q"), "v"), df.select(c("i").alias("b"), "v"), 4, exclude_self=True, pivots=pivots).collect():
         got.setdefault(r["q"], {})[r["rn"]] = (r["b"], round(r["similarity"], 6))
     n = np.linalg.norm(x, axis=1)
     u = x / np.where(n < 1e-9, 1, n)[:, None]
