@@ -35,13 +35,18 @@ def zsum(c: Column) -> Column:
     return F.coalesce(F.sum(c), F.lit(0.0))
 
 
+def ntz(t: datetime) -> Column:
+    """Literal of a wall-clock time, whatever zone the driver or session is in."""
+    return F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
 def age_days(ts: Column, ref: datetime | Column) -> Column:
     """Fractional days from ts up to ref, never negative."""
-    ref_c = ref if isinstance(ref, Column) else F.lit(ref)
+    ref_c = ref if isinstance(ref, Column) else ntz(ref)
     return F.greatest(F.lit(0.0), (micros(ref_c) - micros(ts)) / F.lit(float(DAY_MICROS)))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.session import cut
 from fintrail.functions.numeric import (DAY_MICROS, LN2, age_days, clip, day_number, decay, micros,
-                                        month_index, ratio, rnd, zsum)
+                                        month_index, ntz, ratio, rnd, zsum)
 
 SPEND = ["EXPENSE_ESSENTIAL", "EXPENSE_DISCRETIONARY", "EMI_PAYMENT"]
 HALF_LIFE = 30.0
@@ -28,8 +28,8 @@ def _months_back(ref: datetime) -> tuple[datetime, datetime]:
 
 
 def in_window(ts: Column, ref: datetime, days: int, bounded: bool = True) -> Column:
-    c = ts >= F.lit(ref - timedelta(days=days))
-    return c & (ts <= F.lit(ref)) if bounded else c
+    c = ts >= ntz(ref - timedelta(days=days))
+    return c & (ts <= ntz(ref)) if bounded else c
 
 
 # ---------------------------------------------------------------- user-days
@@ -39,10 +39,10 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
     ts, amt, typ, st = F.col("ts"), F.col("amount"), F.col("transaction_type"), F.col("status")
     cur, prev = _months_back(ref)
     floor_ts = min(ref - timedelta(days=90), prev)
-    e = ev.where(ts >= F.lit(floor_ts))
+    e = ev.where(ts >= ntz(floor_ts))
     if bounded:
-        e = e.where(ts <= F.lit(ref))
-    w = {n: ts >= F.lit(ref - timedelta(days=n)) for n in (7, 30, 90)}
+        e = e.where(ts <= ntz(ref))
+    w = {n: ts >= ntz(ref - timedelta(days=n)) for n in (7, 30, 90)}
     disc = typ == "EXPENSE_DISCRETIONARY"
     sums = []
     for name, t in (("income", "INCOME"), ("essential", "EXPENSE_ESSENTIAL"),
@@ -74,8 +74,8 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
         F.count_if(w[30] & (amt > 0) & (kind == "P2M")).alias("n_in_p2m"),
         F.sum(F.when(w[30] & (amt > 0), amt * decay(ts, ref, HALF_LIFE))).alias("in_decayed"),
         F.max_by(F.when(w[90] & disc, F.abs(amt)), F.when(w[90] & disc, moment)).alias("disc_last"),
-        F.sum(F.when(disc & (ts >= F.lit(cur)) & (ts < F.lit(ref)), F.abs(amt))).alias("disc_cur"),
-        F.sum(F.when(disc & (ts >= F.lit(prev)) & (ts < F.lit(cur)), F.abs(amt))).alias("disc_prev"),
+        F.sum(F.when(disc & (ts >= ntz(cur)) & (ts < ntz(ref)), F.abs(amt))).alias("disc_cur"),
+        F.sum(F.when(disc & (ts >= ntz(prev)) & (ts < ntz(cur)), F.abs(amt))).alias("disc_prev"),
     ))
 
 
@@ -211,8 +211,8 @@ def category_shift(ev: DataFrame, ref: datetime, n: int = 5) -> DataFrame:
     """How many top-n categories changed between the two latest 30-day buckets."""
     ts = F.col("ts")
     mid, lo = ref - timedelta(days=30), ref - timedelta(days=60)
-    e = (ev.where((ts >= F.lit(lo)) & (ts < F.lit(ref)))
-         .withColumn("current", ts >= F.lit(mid)))
+    e = (ev.where((ts >= ntz(lo)) & (ts < ntz(ref)))
+         .withColumn("current", ts >= ntz(mid)))
     spent = ~F.col("transaction_type").isin("INCOME", "TRANSFER")
     cat = (e.groupBy("user_id", "current", "merchant_category")
            .agg(F.sum(F.when(spent, F.abs("amount"))).alias("total")))
@@ -251,7 +251,7 @@ ORIGIN = datetime(2000, 1, 1)
 
 def _growth(ts: Column) -> Column:
     """exp(+lambda * days since a fixed origin); ratios of these are decay weights."""
-    days = (micros(ts) - micros(F.lit(ORIGIN))) / F.lit(float(DAY_MICROS))
+    days = (micros(ts) - micros(ntz(ORIGIN))) / F.lit(float(DAY_MICROS))
     return F.exp(F.lit(LN2 / HALF_LIFE) * days)
 
 
@@ -337,7 +337,7 @@ def features(ev: DataFrame, ref: datetime, *, invoices: DataFrame | None = None,
     plain = [c for c in fv.columns if c not in DEFAULTS and c != "inbound_decayed"]
     gap = (receivables_gap(F.col("gst_30d_value"), F.col("inbound_decayed")) if invoices is not None else F.lit(0.0))
     fv = fv.select(*plain, *filled, gap.alias("gst_upi_receivables_gap"),
-                   F.lit(0.0).alias("temporal_anomaly_flag"), F.lit(ref).alias("ref"))
+                   F.lit(0.0).alias("temporal_anomaly_flag"), ntz(ref).alias("ref"))
     if profiles is not None:
         fv = fv.join(profiles, "user_id", "left")
         if cohorts is None:
@@ -420,7 +420,7 @@ def decayed_count(ev: DataFrame, ref: datetime, half_life: float = HALF_LIFE, da
 def window_summary(ev: DataFrame, ref: datetime) -> DataFrame:
     """Trailing 7/30/90-day summaries by whole-day age, with a map of category totals."""
     age = F.floor(age_days(F.col("ts"), ref))
-    e = ev.where((F.col("ts") <= F.lit(ref)) & (age <= 90)).withColumn("age", age)
+    e = ev.where((F.col("ts") <= ntz(ref)) & (age <= 90)).withColumn("age", age)
     typ, amt = F.col("transaction_type"), F.col("amount")
     by_cat = e.groupBy("user_id", "merchant_category").agg(
         *[F.sum(F.when((F.col("age") <= w) & (typ == t), amt if t == "INCOME" else F.abs(amt))).alias(f"{n}_{w}")
@@ -448,7 +448,7 @@ _SUMMARY = (("total_income", "INCOME"), ("total_essential", "EXPENSE_ESSENTIAL")
 def spend_mix(ev: DataFrame, ref: datetime, categories: list[str]) -> DataFrame:
     """Share of spend per category over 30 and 90 days, one column each."""
     e = ev.where(in_window(F.col("ts"), ref, 90) & (F.col("amount") < 0))
-    w30 = F.col("ts") >= F.lit(ref - timedelta(days=30))
+    w30 = F.col("ts") >= ntz(ref - timedelta(days=30))
     sums = []
     for c in categories:
         hit = F.col("merchant_category") == c

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions import constants as K
-from fintrail.functions.numeric import clip, instalment, level, ratio, rnd
+from fintrail.functions.numeric import clip, instalment, level, ntz, ratio, rnd
 from fintrail.functions.rules import lookup
 from fintrail.operators.twin import bureau_score, display_score
 
@@ -458,7 +458,7 @@ def recalibrate(prior: DataFrame, fresh: DataFrame, moved: float = 0.15) -> tupl
 
 def replay(audit: DataFrame, since: datetime, kinds: list[str] | None = None) -> DataFrame:
     """Audit records since a time, filtered by type before anything is cut off."""
-    a = audit.where(c("ts") >= F.lit(since))
+    a = audit.where(c("ts") >= ntz(since))
     return a.where(c("event_type").isin(kinds)) if kinds else a
 
 

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from fintrail.functions.keyed import quantiles
-from fintrail.functions.numeric import rnd, zsum
+from fintrail.functions.numeric import ntz, rnd, zsum
 from fintrail.operators.joins import calendar
 
 MEASURES = ["daily_volume", "daily_count", "daily_ewb_volume", "daily_ewb_count"]
@@ -122,7 +122,7 @@ def flow_concentration(edges: DataFrame) -> DataFrame:
 
 def flow_totals(ev: DataFrame, ref: datetime) -> DataFrame:
     """30-day totals in and out."""
-    e = ev.where((F.col("ts") >= F.lit(ref - timedelta(days=30))) & (F.col("ts") <= F.lit(ref)))
+    e = ev.where((F.col("ts") >= ntz(ref - timedelta(days=30))) & (F.col("ts") <= ntz(ref)))
     inn = F.col("amount") > 0
     return e.groupBy("user_id").agg(
         rnd(zsum(F.when(inn, F.col("amount"))), 2).alias("inbound_30d"),
@@ -132,7 +132,7 @@ def flow_totals(ev: DataFrame, ref: datetime) -> DataFrame:
 
 def top_categories(ev: DataFrame, ref: datetime, n: int = 5) -> DataFrame:
     """The n largest outbound categories of the last 30 days with their share in percent."""
-    e = ev.where((F.col("ts") >= F.lit(ref - timedelta(days=30))) & (F.col("ts") <= F.lit(ref)) & (F.col("amount") <= 0))
+    e = ev.where((F.col("ts") >= ntz(ref - timedelta(days=30))) & (F.col("ts") <= ntz(ref)) & (F.col("amount") <= 0))
     cat = F.coalesce(F.when(F.trim("merchant_category") != "", F.trim("merchant_category")), F.lit("Others"))
     g = e.groupBy("user_id", cat.alias("category")).agg(rnd(F.sum(-F.col("amount")), 2).alias("spend"))
     total = g.groupBy("user_id").agg(rnd(F.sum("spend"), 2).alias("total"))
@@ -143,7 +143,7 @@ def top_categories(ev: DataFrame, ref: datetime, n: int = 5) -> DataFrame:
 
 def income_trend(inflow: DataFrame, ref: datetime) -> DataFrame:
     """Later against earlier half of the last six months with inflow; needs four."""
-    e = inflow.where((F.col("ts") >= F.lit(ref - timedelta(days=180))) & (F.col("ts") <= F.lit(ref)))
+    e = inflow.where((F.col("ts") >= ntz(ref - timedelta(days=180))) & (F.col("ts") <= ntz(ref)))
     m = e.groupBy("user_id", F.trunc("ts", "month").alias("month")).agg(rnd(F.sum("amount"), 2).alias("v"))
     back = F.row_number().over(W.partitionBy("user_id").orderBy(F.desc("month")))
     six = m.withColumn("back", back).where("back <= 6")

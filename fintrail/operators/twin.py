@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions import constants as K
 from fintrail.functions.keyed import carry_forward
-from fintrail.functions.numeric import clip, rnd, sigmoid
+from fintrail.functions.numeric import clip, ntz, rnd, sigmoid
 from fintrail.operators.features import daily_features
 
 MATERIAL = ["risk_score", "liquidity_health", "liquidity_health_index", "income_stability",
@@ -260,7 +260,7 @@ def rollback(snaps: DataFrame, requests: DataFrame, now: datetime) -> DataFrame:
     copies = (at_version(snaps, requests).join(top, "user_id")
               .withColumn("version", (F.col("_top") + 1).cast("int"))
               .withColumn("created_at", F.col("_created"))
-              .withColumn("ts", F.lit(now)).drop("_top", "_created"))
+              .withColumn("ts", ntz(now)).drop("_top", "_created"))
     return first.unionByName(copies)
 
 

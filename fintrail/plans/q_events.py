@@ -9,7 +9,7 @@ from fintrail.functions.numeric import rnd
 from fintrail.operators import canonical as C, classify as CL, features as FT, joins as J, neighbours as NN, ordered as O
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
-from fintrail.plans.sql import case_map, first_match_sql, in_list, r
+from fintrail.plans.sql import CTES, case_map, first_match_sql, in_list, r
 from fintrail.session import scratch
 from fintrail.sources import readers as R, wire, writers as WR
 
@@ -63,14 +63,16 @@ def src3(spark, d):
     return R.recent_transactions(T.ev(spark, d), ids, 50).select("event_id", "user_id", "ts", "amount")
 
 
-@query("snk1_write_features")
+@query("snk1_write_features", f"""SELECT user_id, run_date, {r('CAST(CAST(cash_buffer_days AS FLOAT) AS DOUBLE)', 2)} AS cash_buffer_days,
+  CAST(anomaly_flag AS INTEGER) AS anomaly_flag FROM fx, (VALUES ('2024-01-30'), ('2024-01-31')) v(run_date)""")
 def snk1(spark, d):
     """Two appended runs, as they lie in the store."""
     path = scratch(spark, "store")
     fv = FT.account_features(T.ev(spark, d), T.REF)
     for run in ("2024-01-30", "2024-01-31"):
         WR.write_features(fv, path, run)
-    return spark.read.parquet(path).select("user_id", "run_date", "cash_buffer_days", "anomaly_flag")
+    return spark.read.parquet(path).select("user_id", F.col("run_date").cast("string").alias("run_date"),
+                                           rnd(F.col("cash_buffer_days").cast("double"), 2).alias("cash_buffer_days"), "anomaly_flag")
 
 
 _COH = [f"{m}_{n}" for n in FT.COHORT_FEATURES.values() for m in ("mean", "std")]
@@ -303,7 +305,17 @@ def w2(spark, d):
     return O.rolling_flags(T.ev(spark, d))
 
 
-@query("w3_stateful_flags")
+CTES["in_order"] = "SELECT event_id, user_id, abs(amount) AS amt, epoch_us(ts) AS t, status = 'FAILED' AS f, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM ev"
+CTES["checked"] = """/*RECURSIVE*/SELECT DISTINCT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, FALSE AS flag, []::DOUBLE[] AS amts, []::BIGINT[] AS times FROM in_order
+  UNION ALL SELECT user_id, n, event_id, flag, CASE WHEN flag THEN amts ELSE list_append(amts, amt)[-200:] END, CASE WHEN flag THEN times ELSE list_append(times, t)[-50:] END FROM (
+    SELECT o.user_id, o.n, o.event_id, o.amt, o.t, s.amts, s.times, o.f
+      OR (len(s.amts) >= 10 AND (o.amt - list_avg(s.amts)) / CASE WHEN list_stddev_samp(s.amts) > 1e-9 THEN list_stddev_samp(s.amts) ELSE 1.0 END > 3.0)
+      OR len([x FOR x IN s.times IF x >= o.t - 3600000000]) > 5 AS flag
+    FROM checked s JOIN in_order o ON o.user_id = s.user_id AND o.n = s.n + 1)"""
+STATEFUL = "SELECT event_id, user_id, coalesce(flag, FALSE) AS anomaly_flag FROM checked WHERE n > 0"
+
+
+@query("w3_stateful_flags", STATEFUL)
 def w3(spark, d):
     return O.stateful_flags(T.ev(spark, d))
 

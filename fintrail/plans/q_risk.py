@@ -7,12 +7,12 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from fintrail.functions import constants as K
-from fintrail.functions.numeric import rnd
+from fintrail.functions.numeric import ntz, rnd
 from fintrail.functions.rules import lookup
 from fintrail.operators import canonical as C, features as FT, joins as J, ordered as O, risk as R, twin as TW
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
-from fintrail.plans.sql import CTES, in_list, r
+from fintrail.plans.sql import CTES, _derived_sql, _parts, derive_sql, in_list, r
 from fintrail.session import scratch
 
 c = F.col
@@ -438,7 +438,7 @@ _at_sql()
 
 
 def _scored_at(spark, d, day):
-    t = T.twin(spark, d).where(c("ts") <= F.lit(day))
+    t = T.twin(spark, d).where(c("ts") <= ntz(day))
     return scored(TW.latest(t)).withColumnRenamed("daily_avg_throughput_30d", "throughput")
 
 
@@ -459,14 +459,20 @@ def h6_reduced(spark, d):
     return cut
 
 
-@query("h7_point_in_time_rescore", """SELECT user_id, credit_score, risk_band FROM before_s WHERE ts = TIMESTAMP '2024-01-16'""")
+_parts("px", "ev e JOIN (SELECT TIMESTAMP '2024-01-16' AS ref) g ON e.ts >= g.ref - INTERVAL 90 DAY AND e.ts < g.ref",
+       "ev e JOIN (SELECT TIMESTAMP '2024-01-16' AS ref) g ON e.ts < g.ref")
+CTES["px"] = _derived_sql("px_base", "px_cv", "px_dip", "px_life", None)
+CTES["pstate"] = derive_sql("px")
+CTES["pscore"] = "SELECT *, risk_score AS probability_of_default, CAST(greatest(300, least(900, floor(900 - risk_score * 600))) AS INTEGER) AS credit_score FROM pstate"
+CTES["pterms"] = _terms("pscore")
+
+
+@query("h7_point_in_time_rescore", "SELECT user_id, credit_score, risk_band, loan_amount FROM pterms")
 def h7(spark, d):
-    """Features rebuilt from the events before the moment, then scored; users active on its eve."""
+    """Features rebuilt from the events before the moment, then scored."""
     at = datetime(2024, 1, 16)
-    past = T.ev(spark, d).where(c("ts") < F.lit(at))
-    eve = past.where(c("ts") >= F.lit(datetime(2024, 1, 15))).select("user_id").distinct()
-    s = scored(TW.derive(FT.account_features(past, at))).join(eve, "user_id", "left_semi")
-    return s.select("user_id", "credit_score", "risk_band")
+    past = T.ev(spark, d).where(c("ts") < ntz(at))
+    return scored(TW.derive(FT.account_features(past, at))).select("user_id", "credit_score", "risk_band", "loan_amount")
 
 
 CTES["live_scores"] = """SELECT * FROM (SELECT 'G' || user_id AS id, credit_score, ts AS refreshed_at, user_id FROM decisions WHERE version % 2 = 0

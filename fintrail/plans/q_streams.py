@@ -7,10 +7,12 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from fintrail.plans import tables as T
+from fintrail.plans.q_events import STATEFUL
 from fintrail.plans.q_risk import consent
 from fintrail.plans.registry import query
 from fintrail.plans.sql import CTES, _derived_sql, _parts, derive_sql, first_match_sql, in_list, case_map, r
 from fintrail.functions import constants as K
+from fintrail.functions.numeric import ntz
 from fintrail.schemas import EVENTS_TABLE
 from fintrail.session import scratch
 from fintrail.streaming import streams as S
@@ -86,7 +88,7 @@ def st5(spark, d):
     return S.trailing(spark.read.parquet(f"{out}/t"))
 
 
-@query("st6_stateful_flags")
+@query("st6_stateful_flags", STATEFUL)
 def st6(spark, d):
     return collect(spark, S.anomaly_flags(ev_stream(spark, d)), "st6")
 
@@ -108,7 +110,7 @@ def refreshed(spark, d):
         raw = T.table(s, p, "events")
         lo = datetime(2024, 1, 1)
         for i, hi in enumerate(CUTS):
-            raw.where((c("ts") >= F.lit(lo)) & (c("ts") < F.lit(hi))).coalesce(1).write.parquet(f"{out}/src/slice={i}")
+            raw.where((c("ts") >= ntz(lo)) & (c("ts") < ntz(hi))).coalesce(1).write.parquet(f"{out}/src/slice={i}")
             lo = hi
         stream = T.as_events(S.read_stream(s, f"{out}/src/*", EVENTS_TABLE, files_per_batch=1))
         S.refresh(stream, f"{out}/h", f"{out}/f", f"{out}/t", f"{out}/c", lambda high: next(x for x in CUTS if x > high))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from fintrail.functions import constants as K
+from fintrail.functions.numeric import ntz
 from fintrail.operators import twin as TW
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
@@ -199,7 +200,7 @@ def j4(spark, d):
   ASOF LEFT JOIN twin t ON c.user_id = t.user_id AND c.at >= t.ts""")
 def h1(spark, d):
     at = datetime(2024, 1, 10, 12)
-    users = T.ev(spark, d).select("user_id").distinct().withColumn("ts", F.lit(at))
+    users = T.ev(spark, d).select("user_id").distinct().withColumn("ts", ntz(at))
     return TW.as_of(users, T.twin(spark, d), ["version", "risk_score"]).select(
         "user_id", F.col("snap_version").alias("version"), F.col("snap_risk_score").alias("risk_score"))
 

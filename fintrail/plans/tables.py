@@ -11,6 +11,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fintrail.functions import constants as K
+from fintrail.functions.numeric import ntz
 from fintrail.operators import features as FT, twin as TW
 from fintrail.session import scratch, widen
 
@@ -247,12 +248,12 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 def ring_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Collapsed transfer pairs of the last 90 days, the ring detector's horizon."""
     from fintrail.operators import graph as G
-    return G.collapse(edges(spark, d).where(F.col("ts") >= F.lit(RING_SINCE)))
+    return G.collapse(edges(spark, d).where(F.col("ts") >= ntz(RING_SINCE)))
 
 
 def account_edges(spark: SparkSession, d: str) -> DataFrame:
     """Customer to supplier payments and supplier to customer refunds of the last 90 days."""
-    lines = table(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit(RING_SINCE)).select(
+    lines = table(spark, d, "lineitem").where(F.col("l_shipdate") >= ntz(RING_SINCE)).select(
         "l_orderkey", "l_returnflag", F.concat(F.lit("S"), "l_suppkey").alias("s"))
     o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), "o_custkey").alias("cst"))
     j = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -265,7 +266,7 @@ HORIZON = 30
 
 def _flows(spark: SparkSession, d: str) -> DataFrame:
     """Daily cash flows by kind, dense over the horizon."""
-    e = ev(spark, d).withColumn("day", F.datediff(F.to_date("ts"), F.lit(PATH_START).cast("date")))
+    e = ev(spark, d).withColumn("day", F.datediff(F.to_date("ts"), ntz(PATH_START).cast("date")))
     t = F.col("transaction_type")
     amt = lambda *k: F.round(F.coalesce(F.sum(F.when(t.isin(*k), F.abs("amount"))), F.lit(0.0)), 2)
     daily = e.groupBy(F.col("user_id").alias("path_id"), "day").agg(

@@ -12,11 +12,11 @@ from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fintrail.functions.numeric import micros, rnd
+from fintrail.functions.numeric import micros, ntz, rnd
 from fintrail.operators import classify, features as FT, risk as R, twin as TW
 from fintrail.operators.ordered import AnomalyState
 
@@ -73,7 +73,7 @@ def ingest(stream: DataFrame, out: str, late: str, checkpoint: str, delay: timed
         marks = before(spark, f"{out}_marks", batch_id)
         seen = marks.agg(F.max("high")).first()[0] if marks is not None else None
         high = df.agg(F.max("ts")).first()[0]
-        is_late = (c("ts") < F.lit(seen - delay)) if seen else F.lit(False)
+        is_late = (c("ts") < ntz(seen - delay)) if seen else F.lit(False)
         put(df.where(~is_late), out, batch_id)
         put(df.where(is_late), late, batch_id)
         top = max(x for x in (seen, high) if x is not None) if (seen or high) else None
@@ -84,7 +84,7 @@ def ingest(stream: DataFrame, out: str, late: str, checkpoint: str, delay: timed
 
 def deduplicated(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Each event_id once within the watermark; state is dropped behind it."""
-    s = stream.withColumn("event_time", c("ts").cast("timestamp")).withWatermark("event_time", watermark)
+    s = stream.withColumn("event_time", instant(c("ts"))).withWatermark("event_time", watermark)
     return s.dropDuplicatesWithinWatermark(["event_id"]).drop("event_time")
 
 
@@ -104,12 +104,17 @@ KINDS = {"income": "INCOME", "essential": "EXPENSE_ESSENTIAL", "discretionary":
          "emi": "EMI_PAYMENT", "subscription": "SUBSCRIPTION"}
 
 
+def instant(ts: Column) -> Column:
+    """The wall-clock time read as UTC, so that windows fall on its calendar days in any session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
 def day_buckets(stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Sums per user and day over a tumbling window; late rows within the watermark update their day."""
-    s = stream.withColumn("event_time", c("ts").cast("timestamp")).withWatermark("event_time", watermark)
+    s = stream.withColumn("event_time", instant(c("ts"))).withWatermark("event_time", watermark)
     sums = [F.sum(F.when(c("transaction_type") == t, F.abs("amount")).otherwise(0.0)).alias(n) for n, t in KINDS.items()]
     g = s.groupBy("user_id", F.window("event_time", "1 day")).agg(F.count(F.lit(1)).alias("events"), *sums)
-    return g.withColumn("day", c("window.start").cast("date")).drop("window")
+    return g.withColumn("day", F.to_date(F.to_utc_timestamp("window.start", F.current_timezone()))).drop("window")
 
 
 def store_buckets(stream: DataFrame, out: str, checkpoint: str) -> None:
@@ -166,7 +171,7 @@ def refresh(stream: DataFrame, history: str, features: str, twins: str, checkpoi
         ref = as_of(batch.agg(F.max("ts")).first()[0])
         users = batch.select("user_id").distinct()
         past = stored_rows(spark, history).where(c("batch_id") <= batch_id).join(users, "user_id", "left_semi")
-        put(FT.account_features(past, ref).withColumn("ts", F.lit(ref)), features, batch_id)
+        put(FT.account_features(past, ref).withColumn("ts", ntz(ref)), features, batch_id)
         fresh = TW.derive(spark.read.parquet(f"{features}/batch_id={batch_id}"))
         put(next_version(fresh, before(spark, twins, batch_id)), twins, batch_id)
     run_available(stream.writeStream.foreachBatch(sink), checkpoint)
@@ -211,4 +216,4 @@ def compact(spark: SparkSession, path: str, out: str, keep: timedelta) -> None:
     """Rewrites a stream's table without what is older than `keep` before its newest row."""
     rows = spark.read.parquet(path)
     high = rows.agg(F.max("ts")).first()[0]
-    rows.where(c("ts") >= F.lit(high - keep)).drop("batch_id").write.mode("overwrite").parquet(out)
+    rows.where(c("ts") >= ntz(high - keep)).drop("batch_id").write.mode("overwrite").parquet(out)
