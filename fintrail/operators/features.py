@@ -353,8 +353,8 @@ def features(ev: DataFrame, ref: datetime, *, invoices: DataFrame | None = None,
 def daily_features(ev: DataFrame) -> DataFrame:
     """Feature vectors at the end of every active day of every user.
 
-    A vector's window is a range frame over user-day rows, so no event is
-    repeated for the 90 days it counts in.
+    A vector's window is taken over user-day rows, so no event is repeated for
+    the 90 days it counts in.
     """
     ts, amt, typ, st = F.col("ts"), F.col("amount"), F.col("transaction_type"), F.col("status")
     day = F.to_date("ts")
@@ -377,35 +377,47 @@ def daily_features(ev: DataFrame) -> DataFrame:
         F.sum(F.when(typ == "EXPENSE_DISCRETIONARY", F.abs(amt))).alias("disc_abs"),
     ).withColumn("dn", day_number(F.col("day"))).withColumn("mi", month_index(F.col("day")))
 
-    user = W.partitionBy("user_id")
-    frame = {n: user.orderBy("dn").rangeBetween(-(n - 1), 0) for n in (7, 30, 90)}
-    tot = lambda c, n: F.coalesce(F.sum(c).over(frame[n]), F.lit(0))
-    month = user.orderBy("mi")
+    # A trailing sum is the difference of two growing sums, each of constant cost per row;
+    # a sliding frame would add up its 90 days again for every row and measure.
+    for k in range(4):
+        m = F.col("mi") % 4 == k
+        d = d.withColumns({f"late_{k}": F.when(m, F.col("late_net")), f"early_{k}": F.when(m, F.col("early_net")),
+                           f"late_n_{k}": (m & F.col("late_net").isNotNull()).cast("int"),
+                           f"early_n_{k}": (m & F.col("early_net").isNotNull()).cast("int")})
+    d = d.withColumns({"spend_n": F.col("spend").isNotNull().cast("int"), "spend_sq": F.col("spend") * F.col("spend")})
+    months = [f"{x}_{k}" for k in range(4) for x in ("late", "early", "late_n", "early_n")]
+    need = {7: [n for n, _ in types] + ["n"], 30: [n for n, _ in types] + ["n", "grown", "subs_n"],
+            90: [n for n, _ in types] + ["n", "out", "out_failed", "failed", "cash_amt", "out_amt", "inc_n", "inc_sq", "emi_n",
+                                         "spend", "spend_n", "spend_sq", *months]}
+    user = W.partitionBy("user_id").orderBy("dn")
+    grow = lambda c, to: F.coalesce(F.sum(c).over(user.rangeBetween(W.unboundedPreceding, to)), F.lit(0))
+    every = sorted({c for cs in need.values() for c in cs})
+    month = W.partitionBy("user_id").orderBy("mi")
     month_total = lambda back: F.coalesce(F.sum("disc_abs").over(month.rangeBetween(-back, -back)), F.lit(0.0))
     running = F.coalesce(F.sum("disc_abs").over(
         W.partitionBy("user_id", "mi").orderBy("dn").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
+    d = d.select("user_id", "day", "mi", *[grow(c, 0).alias(f"{c}@0") for c in every],
+                 *[grow(c, -n).alias(f"{c}@{n}") for n, cs in need.items() for c in cs],
+                 month_total(0).alias("m0"), month_total(1).alias("m1"), month_total(2).alias("m2"), running.alias("run"))
+    tot = lambda c, n: F.col(f"`{c}@0`") - F.col(f"`{c}@{n}`")
     rolls = month_index(F.date_add("day", 1)) != F.col("mi")
+    cents = lambda c, n: rnd(tot(c, n), 2)
+    n_sp, s_sp = tot("spend_n", 90), cents("spend", 90)
+    var = F.greatest(F.lit(0.0), (tot("spend_sq", 90) - s_sp * s_sp / n_sp) / (n_sp - 1))
     cols = [rnd(F.abs(tot(n, w)), 2).alias(f"{n}_{w}") for n, _ in types for w in (7, 30, 90)]
-    cols += [tot(c, w).alias(f"n_{w}") for c, w in (("n", 7), ("n", 30), ("n", 90))]
+    cols += [tot("n", w).alias(f"n_{w}") for w in (7, 30, 90)]
     cols += [(tot("grown", 30) / _growth(F.date_add("day", 1))).alias("decayed"), F.lit(0.0).alias("decayed_n"),
-             tot("out", 90).alias("n_out"), tot("out_failed", 90).alias("n_out_failed"),
-             tot("failed", 90).alias("n_failed"), rnd(tot("cash_amt", 90), 2).alias("cash"),
-             rnd(tot("out_amt", 90), 2).alias("outflow"), tot("inc_n", 90).alias("n_income"),
-             tot("inc_sq", 90).alias("income_sq"), tot("subs_n", 30).alias("n_subs"),
-             tot("emi_n", 90).alias("n_emi"),
-             F.count("spend").over(frame[90]).alias("spend_days"),
-             F.avg("spend").over(frame[90]).alias("spend_mean"),
-             F.stddev_samp("spend").over(frame[90]).alias("spend_std"),
+             tot("out", 90).alias("n_out"), tot("out_failed", 90).alias("n_out_failed"), tot("failed", 90).alias("n_failed"),
+             cents("cash_amt", 90).alias("cash"), cents("out_amt", 90).alias("outflow"), tot("inc_n", 90).alias("n_income"),
+             tot("inc_sq", 90).alias("income_sq"), tot("subs_n", 30).alias("n_subs"), tot("emi_n", 90).alias("n_emi"),
+             n_sp.alias("spend_days"), F.when(n_sp > 0, s_sp / n_sp).alias("spend_mean"), F.when(n_sp > 1, F.sqrt(var)).alias("spend_std"),
              F.lit(None).cast("double").alias("spike_near"), F.lit(None).cast("double").alias("spike_far"),
-             rnd(F.when(rolls, month_total(0)).otherwise(month_total(1) + running), 2).alias("disc_cur"),
-             rnd(F.when(rolls, month_total(1)).otherwise(month_total(2)), 2).alias("disc_prev")]
+             rnd(F.when(rolls, F.col("m0")).otherwise(F.col("m1") + F.col("run")), 2).alias("disc_cur"),
+             rnd(F.when(rolls, F.col("m1")).otherwise(F.col("m2")), 2).alias("disc_prev")]
     for k in range(4):
-        m = F.col("mi") % 4 == k
-        cols += [F.sum(F.when(m, F.col("late_net"))).over(frame[90]).alias(f"late{k}"),
-                 F.sum(F.when(m, F.col("early_net"))).over(frame[90]).alias(f"early{k}")]
+        cols += [F.when(tot(f"{x}_n_{k}", 90) > 0, cents(f"{x}_{k}", 90)).alias(f"{x}{k}") for x in ("late", "early")]
     return (d.select("user_id", "day", *cols)
-            .select("user_id", F.date_add("day", 1).cast("timestamp_ntz").alias("ts"),
-                    *[c for c in _scalars()])
+            .select("user_id", F.date_add("day", 1).cast("timestamp_ntz").alias("ts"), *_scalars())
             .drop("salary_day_spike_flag", "decayed_count_30d"))
 
 

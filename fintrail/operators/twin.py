@@ -12,6 +12,7 @@ from fintrail.functions import constants as K
 from fintrail.functions.keyed import carry_forward
 from fintrail.functions.numeric import clip, ntz, rnd, sigmoid
 from fintrail.operators.features import daily_features
+from fintrail.session import cut
 
 MATERIAL = ["risk_score", "liquidity_health", "liquidity_health_index", "income_stability",
             "spending_volatility", "cash_buffer_days", "emi_burden_ratio",
@@ -109,7 +110,8 @@ def _gated_top3(ev: DataFrame, snaps: DataFrame) -> DataFrame:
 
 def snapshots(ev: DataFrame) -> DataFrame:
     """One state version per active user-day."""
-    s = derive(daily_features(ev))
+    # read twice below; a row per user-day is far smaller than the events behind it
+    s = cut(derive(daily_features(ev)))
     s = s.join(_gated_top3(ev, s), ["user_id", "ts"], "left")
     s = s.withColumn("candidate", persona_candidate(F.coalesce("top3", F.lit(0.0)))).drop("top3")
     return versioned(carry_persona(s).drop("candidate"))

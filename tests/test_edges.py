@@ -293,3 +293,34 @@ def test_isolation_flags_five_percent_and_the_outlier(spark):
 def test_calendar_fills_gaps(spark):
     df = spark.createDataFrame([("a", datetime(2024, 1, 1).date(), 1), ("a", datetime(2024, 1, 4).date(), 2)], "k string, day date, n int")
     assert [r["n"] for r in J.calendar(df, ["k"], "day", ["n"]).orderBy("day").collect()] == [1, 0, 0, 2]
+
+
+def test_daily_vectors_over_many_months_equal_single_reference_vectors(spark):
+    rng = np.random.default_rng(8)
+    kinds = ["INCOME", "EXPENSE_ESSENTIAL", "EXPENSE_DISCRETIONARY", "EMI_PAYMENT", "SUBSCRIPTION"]
+    rows = []
+    for i in range(900):
+        k = kinds[int(rng.integers(0, 5))]
+        amt = float(np.round(rng.exponential(80), 2)) * (3 if k == "INCOME" else -1)
+        ts = datetime(2023, 10, 1) + timedelta(days=int(rng.integers(0, 230)), seconds=int(rng.integers(0, 86400)))
+        rows.append(event(i, user=int(rng.integers(1, 4)), ts=ts, amount=amt, kind=k, status="FAILED" if i % 9 == 0 else "SUCCESS",
+                          cat="CASH_ATM" if i % 5 == 0 else "GROCERY"))
+    ev = spark.createDataFrame(rows, EV)
+    daily = FT.daily_features(ev).persist()
+    cols = [x for x in daily.columns if x not in ("ts", "user_id")]
+    checked = 0
+    for ref in (datetime(2023, 12, 31), datetime(2024, 1, 1), datetime(2024, 2, 29), datetime(2024, 3, 1), datetime(2024, 5, 3)):
+        one = {r["user_id"]: r for r in FT.account_features(ev.where(c("ts") < F.lit(ref)), ref).collect()}
+        for r in daily.where(c("ts") == F.lit(ref)).collect():
+            checked += 1
+            for x in cols:
+                assert r[x] == pytest.approx(one[r["user_id"]][x], abs=2e-4), (ref, x)
+    assert checked >= 5
+
+
+def test_month_end_dip_over_three_months(spark):
+    rows = [event(1, ts=datetime(2024, 1, 10), amount=100.0), event(2, ts=datetime(2024, 1, 26), amount=-40.0),
+            event(3, ts=datetime(2024, 2, 3), amount=50.0), event(4, ts=datetime(2024, 2, 27), amount=-10.0),
+            event(5, ts=datetime(2024, 3, 5), amount=70.0)]                      # March has no late part
+    got = FT.account_features(spark.createDataFrame(rows, EV), datetime(2024, 3, 20)).first()
+    assert got["end_of_month_liquidity_dip"] == ((-40 - 100) + (-10 - 50)) / 2
