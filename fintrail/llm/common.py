@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fintrail.session import scratch
@@ -61,26 +62,71 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text",
             at = to
 
 
-def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """All words (runs without ASCII white space) of the texts in order, and where each text's words begin and end."""
-    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.fill_null(texts.cast(pa.large_string()), "")))
-    flat, n = parts.flatten(), pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    kept = np.concatenate([[0], np.cumsum(real)])
-    return flat.filter(pa.array(real)), kept[bounds]
-
-
-def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Codes of the words in this piece, and the distinct words they stand for."""
-    enc = words.dictionary_encode()
-    return enc.indices.to_numpy(zero_copy_only=False).astype(np.int64), enc.dictionary
-
-
-def hashes_of(distinct: pa.Array) -> np.ndarray:
-    """64-bit hashes of distinct words, alike in every task."""
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in distinct.cast(pa.large_binary()).to_pylist()), np.uint64, len(distinct))
+@dataclass
+class Words:
+    """The words of a piece's texts, in order: hash, bytes [starts, ends) of `data`, and each text's range of words."""
+    data: np.ndarray
+    texts: np.ndarray          # byte offsets of the texts in data
+    starts: np.ndarray
+    ends: np.ndarray
+    bounds: np.ndarray         # word offsets of the texts
+    hashes: np.ndarray
+
+    def docs(self) -> np.ndarray:
+        """For each word, the number of its text within the piece."""
+        return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
+
+
+def byte_map(change: dict[int, int]) -> np.ndarray:
+    out = np.arange(256, dtype=np.uint8)
+    for a, b in change.items():
+        out[a] = b
+    return out
+
+
+LOWER = byte_map({c: c + 32 for c in range(65, 91)})
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of the texts (null: none), and the offsets of the texts."""
+    t = pc.fill_null(texts.cast(pa.large_string()), "")
+    if not len(t):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    o = np.frombuffer(t.buffers()[1], np.int64)[t.offset:t.offset + len(t) + 1]
+    data = np.frombuffer(t.buffers()[2], np.uint8)[o[0]:o[-1]] if o[-1] > o[0] else np.empty(0, np.uint8)
+    return data, o - o[0]
+
+
+def words_of(texts: pa.Array, bytes_as: np.ndarray | None = None) -> Words:
+    """Words are runs of bytes that are not ASCII white space, after each byte b is read as bytes_as[b]."""
+    data, at = text_bytes(texts)
+    if bytes_as is not None:
+        data = bytes_as[data]
+    inside = ~BLANK[data]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    full = np.diff(at) > 0     # words end where their text ends
+    head, tail = at[:-1][full], at[1:][full] - 1
+    first[head], last[tail] = inside[head], inside[tail]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return Words(data, at, starts, ends, np.searchsorted(starts, at), byte_hashes(data, starts, ends))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges, eight bytes a step; alike in every task."""
+    n = ends - starts
+    h = n.astype(np.uint64) * M2
+    eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
+    left, todo = n, np.arange(len(n))
+    for k in itertools.count():
+        todo = todo[left[todo] > 8 * k]
+        if not len(todo):
+            return mix(h)
+        part = eights[starts[todo] + 8 * k]
+        spare = np.maximum(0, 8 - (left[todo] - 8 * k)).astype(np.uint64) * np.uint64(8)
+        h[todo] = mix(h[todo] ^ ((part << spare) >> spare)) + M1
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -104,10 +150,5 @@ def window_hashes(w: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
-def docs_of(bounds: np.ndarray) -> np.ndarray:
-    """For each word, the number of its text within the piece."""
-    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-
-
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fintrail.llm import chat_format, sharding, sql, url_filters
+from fintrail.llm import chat_format, decontaminate, sharding, sql, url_filters
 from fintrail.llm.common import table
 
 # fixed values: action, host and path of the rules
@@ -26,9 +26,13 @@ def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(talks.unionByName(more)))
 
 
+def op7_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
+
+
 def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_format, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_format, op7_decontaminate, op10_sharding)}
 ORACLES = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}

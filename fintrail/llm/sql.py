@@ -14,4 +14,30 @@ best AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM n LEFT JOIN best USING (no)
 """
 
-ORACLES = {"op1_url_filters": URL_FILTERS}
+DECONTAMINATE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(
+    coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(
+    coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS p
+  FROM b, unnest(range(0, greatest(len(w) - 9, least(len(w), 1)))) AS t(i)),
+lens AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT no, n, i, array_to_string(w[i + 1:i + n], ' ') AS p
+  FROM d, lens, unnest(range(0, greatest(len(w) - n + 1, 0))) AS t(i)),
+m AS (SELECT no, item_id, i, n FROM dw JOIN bw USING (n, p)),
+words AS (SELECT no, count(DISTINCT j) AS n_hit FROM m, unnest(range(i, i + n)) AS t(j) GROUP BY no),
+items AS (
+  SELECT no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT no, item_id::VARCHAR AS item FROM m) GROUP BY no)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (no) LEFT JOIN items USING (no)
+"""
+
+ORACLES = {"op1_url_filters": URL_FILTERS, "op7_decontaminate": DECONTAMINATE}
