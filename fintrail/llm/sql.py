@@ -40,4 +40,20 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN words USING (no) LEFT JOIN items USING (no)
 """
 
-ORACLES = {"op1_url_filters": URL_FILTERS, "op7_decontaminate": DECONTAMINATE}
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT no, i, array_to_string(w[i + 1:i + 35], ' ') AS p
+  FROM d, unnest(range(0, greatest(len(w) - 34, 0))) AS t(i)),
+twice AS (SELECT no, i FROM (SELECT no, i, count(*) OVER (PARTITION BY p) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT no, j FROM twice, unnest(range(i, i + 35)) AS t(j)),
+kept AS (
+  SELECT no, string_agg(word, ' ' ORDER BY j) AS k, count(*) AS n
+  FROM (SELECT no, unnest(w) AS word, unnest(range(0, len(w))) AS j FROM d) LEFT JOIN gone g USING (no, j)
+  WHERE g.no IS NULL GROUP BY no)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (no)
+"""
+
+ORACLES = {"op9_substring_dedup": SUBSTRING_DEDUP, "op1_url_filters": URL_FILTERS, "op7_decontaminate": DECONTAMINATE}
