@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fintrail.llm import chat_format, decontaminate, sharding, sql, substring_dedup, url_filters
+from fintrail.llm import chat_format, decontaminate, jaccard_join, sharding, sql, substring_dedup, url_filters
 from fintrail.llm.common import table
 
 # fixed values: action, host and path of the rules
@@ -30,6 +30,10 @@ def op7_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
 
 
+def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    return jaccard_join.similarity_classes(table(spark, d, "documents")).drop("key")
+
+
 def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
     return (substring_dedup.remove_repeats(table(spark, d, "documents"))
             .select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")))
@@ -39,6 +43,6 @@ def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_format, op7_decontaminate, op9_substring_dedup,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_format, op7_decontaminate, op8_jaccard_join, op9_substring_dedup,
                               op10_sharding)}
 ORACLES = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
