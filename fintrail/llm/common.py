@@ -9,11 +9,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from fintrail.session import scratch
 
 SLICE_BYTES = 4 << 20          # text that one Python step holds at once
+LONG = 256                     # bytes from which a range is hashed by a call of its own
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -115,11 +117,15 @@ def words_of(texts: pa.Array, bytes_as: np.ndarray | None = None) -> Words:
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte ranges, eight bytes a step; alike in every task."""
+    """64-bit hashes of byte ranges, eight bytes a step, long ones by themselves; alike in every task."""
     n = ends - starts
     h = n.astype(np.uint64) * M2
+    long = np.flatnonzero(n > LONG)
+    if len(long):
+        raw = data.tobytes()
+        h[long] = [xxhash.xxh64_intdigest(raw[s:e]) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
     eights = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]).tobytes(), strides=(1,))
-    left, todo = n, np.arange(len(n))
+    left, todo = n, np.flatnonzero(n <= LONG)
     for k in itertools.count():
         todo = todo[left[todo] > 8 * k]
         if not len(todo):

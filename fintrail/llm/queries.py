@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fintrail.llm import chat_format, decontaminate, jaccard_join, sharding, sql, substring_dedup, url_filters
+from fintrail.llm import (
+    chat_format, decontaminate, jaccard_join, language_id, quality_rules, sharding, sql, substring_dedup, url_filters)
 from fintrail.llm.common import table
 
 # fixed values: action, host and path of the rules
@@ -26,6 +27,14 @@ def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(talks.unionByName(more)))
 
 
+def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality_rules.quality(table(spark, d, "documents"), table(spark, d, "labels")).withColumnRenamed("id", "doc_id")
+
+
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language_id.identify(table(spark, d, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
 
@@ -43,6 +52,6 @@ def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_format, op7_decontaminate, op8_jaccard_join, op9_substring_dedup,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_format, op5_quality_rules, op6_language_id, op7_decontaminate, op8_jaccard_join, op9_substring_dedup,
                               op10_sharding)}
 ORACLES = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
