@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fintrail.llm import (
-    chat_format, decontaminate, jaccard_join, language_id, quality_rules, sharding, sql, substring_dedup, url_filters)
+    chat_format, decontaminate, jaccard_join, language_id, piece_transducer, quality_rules, sharding, sql, substring_dedup,
+    url_filters)
 from fintrail.llm.common import table
 
 # fixed values: action, host and path of the rules
@@ -20,6 +21,10 @@ def op1_url_filters(spark: SparkSession, d: str) -> DataFrame:
     return url_filters.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_piece_transducer(spark: SparkSession, d: str) -> DataFrame:
+    return piece_transducer.encode(table(spark, d, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
     talks = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", MARKED), (-1, 1, "assistant", MARKED)],
@@ -52,6 +57,6 @@ def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op3_chat_format, op5_quality_rules, op6_language_id, op7_decontaminate, op8_jaccard_join, op9_substring_dedup,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_piece_transducer, op3_chat_format, op5_quality_rules, op6_language_id, op7_decontaminate, op8_jaccard_join, op9_substring_dedup,
                               op10_sharding)}
 ORACLES = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}
