@@ -150,15 +150,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return LanguageModel(langs, (w[:size] * idf[:, None] * 10).astype(np.float32), w[size], _temperature(logits, labels[held]))
 
 
-def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc columns of `docs` named by id_col, with lang_pred and score (calibrated probability of lang_pred)."""
-    kind = dict(docs.dtypes)[id_col]
+def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: str = "text") -> DataFrame:
+    """The columns `carry` of each row, with lang_pred and score (calibrated probability of lang_pred)."""
+    kinds = dict(docs.dtypes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches):
         m = shared.value
-        for b in slices(batches, limit=PIECE):
-            text = b.column("text")
+        for b in slices(batches, "_text", PIECE):
+            text = b.column("_text")
             c = chars_of(text)
             n = np.maximum(1, len(ORDERS) * (c.ends - c.starts))
             has = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -168,10 +168,12 @@ def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_
                 p = _softmax(z.astype(np.float64) / m.temperature)
                 pred = np.where(has, np.array(m.langs, object)[p.argmax(1)], UNKNOWN)
                 prob = np.where(has, p.max(1), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(pred, pa.string()), pa.array(prob)], names=["id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(pred, pa.string()), pa.array(prob)],
+                                             names=[*carry, "lang_pred", "score"])
 
-    slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return slim.mapInArrow(score, f"id {kind}, lang_pred string, score double")
+    # the text comes first, under a name of its own if it is also carried
+    slim = docs.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in carry])
+    return slim.mapInArrow(score, ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", lang_pred string, score double")
 
 
 def identify(docs: DataFrame, modulus: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -181,5 +183,5 @@ def identify(docs: DataFrame, modulus: int = 5, id_col: str = "doc_id", text_col
     score 0, as is everything if nothing is labelled. Repeated rows are predicted alike; other columns are left out.
     """
     model = train(docs.where(fold_of(id_col, modulus) != 0), id_col, text_col, lang_col)
-    return predict(docs, model, id_col, text_col).select(
-        F.col("id").alias("doc_id"), (fold_of("id", modulus) == 0).alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, [id_col], text_col).select(
+        F.col(f"`{id_col}`").alias("doc_id"), (fold_of(id_col, modulus) == 0).alias("held_out"), "lang_pred", "score")

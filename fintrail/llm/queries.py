@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fintrail.llm import (
-    chat_format, decontaminate, jaccard_join, language_id, piece_transducer, quality_rules, sharding, sql, substring_dedup,
-    url_filters)
+    chat_format, decontaminate, jaccard_join, language_id, lm_scoring, piece_transducer, quality_rules, sharding, sql,
+    substring_dedup, url_filters)
 from fintrail.llm.common import table
 
 # fixed values: action, host and path of the rules
@@ -32,6 +32,11 @@ def op3_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat_format.digests(chat_format.windows(talks.unionByName(more)))
 
 
+def op4_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, d, "documents")).select(
+        F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality_rules.quality(table(spark, d, "documents"), table(spark, d, "labels")).withColumnRenamed("id", "doc_id")
 
@@ -57,6 +62,7 @@ def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_piece_transducer, op3_chat_format, op5_quality_rules, op6_language_id, op7_decontaminate, op8_jaccard_join, op9_substring_dedup,
-                              op10_sharding)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op2_piece_transducer, op3_chat_format, op4_lm_scoring, op5_quality_rules, op6_language_id,
+    op7_decontaminate, op8_jaccard_join, op9_substring_dedup, op10_sharding)}
 ORACLES = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}

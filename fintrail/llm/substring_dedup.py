@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from fintrail.llm.common import BLANK, Words, row_key, slices, window_hashes, words_of
+from fintrail.llm.common import BLANK, Words, row_key, slices, stored, window_hashes, words_of
 
 WINDOW = 35                    # words of a removed window
 LOW = np.uint64((1 << 24) - 1)  # words of a piece are numbered in 24 bits beside 40 bits of hash
@@ -57,67 +57,67 @@ class _Grid:
         return d, (at - self.w.bounds[d]).astype(np.int32)
 
 
-def _flags(b: pa.RecordBatch, column: str, w: Words) -> np.ndarray:
-    """Marks the words at the listed positions of each text."""
-    lists = b.column(column)
-    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    out = np.zeros(len(w.hashes) + 1, bool)
-    out[lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(w.bounds[:-1], n)] = True
-    return out[:-1]
-
+def _flags(b: pa.RecordBatch, w: Words, kinds: int = 1) -> np.ndarray:
+    """Marks the listed places of each text (kinds x words); a place is position * kinds + kind.
 
-def _batch(keys: pa.Array, d: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys.take(pa.array(d)), pa.array(pos)], names=["h", "key", "pos"])
+    Of a text that has copies, every place is marked: whatever it holds is repeated.
+    """
+    lists = b.column("ps")
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    coded = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((kinds, len(w.hashes) + 1), bool)
+    out[coded % kinds, coded // kinds + np.repeat(w.bounds[:-1], n)] = True
+    out[:, :-1] |= np.repeat(b.column("copied").to_numpy(zero_copy_only=False), np.diff(w.bounds))
+    return out
 
 
-ROWS = "h long, key long, pos int"
+ROWS = "h long, key long, pos int, copied boolean"
 
 
-def _level_one(docs: DataFrame, window: int) -> DataFrame:
-    def rows(batches):
-        for b in slices(batches):
-            g = _Grid(words_of(b.column("text")), window)
-            at = np.unique(g.anchor)
-            d, pos = g.place(at)
-            yield _batch(b.column("key"), d, pos, g.small[at])
-    return docs.mapInArrow(rows, ROWS)
+def _batch(b: pa.RecordBatch, d: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
+    at = pa.array(d)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column("key").take(at), pa.array(pos), b.column("copied").take(at)],
+                                      names=["h", "key", "pos", "copied"])
 
 
-def _level_two(docs: DataFrame, window: int) -> DataFrame:
+def _rows(docs: DataFrame, window: int, level: int) -> DataFrame:
+    """The windows of one level that are still candidates: hash, text and position. One copy speaks for all."""
     def rows(batches):
         for b in slices(batches):
-            g = _Grid(words_of(b.column("text")), window)
-            alive = _flags(b, "ps", g.w)
+            b = b.filter(b.column("speaks"))
+            w = words_of(b.column("text"))
+            g = _Grid(w, window)
+            if level == 1:
+                at = np.unique(g.anchor)
+                yield _batch(b, *g.place(at), g.small[at])
+                continue
             at, forward = g.doubled()
-            h = window_hashes(g.w.hashes, g.half)
-            for side in (True, False):
-                x = np.unique(at[(forward == side) & alive[g.anchor]])
-                d, pos = g.place(x)
-                # both kinds of a start have numbers of their own: 2 * position, and one more if backward
-                yield _batch(b.column("key"), d, pos * 2 + (not side), h[x] ^ np.uint64(not side))
+            if level == 2:
+                alive = _flags(b, w)[0]
+                h = window_hashes(w.hashes, g.half)
+                for side in (True, False):
+                    x = np.unique(at[(forward == side) & alive[g.anchor]])
+                    d, pos = g.place(x)
+                    # both kinds of a start have numbers of their own: 2 * position, and one more if backward
+                    yield _batch(b, d, pos * 2 + (not side), h[x] ^ np.uint64(not side))
+            else:
+                x = g.starts[_flags(b, w, 2)[(~forward).astype(np.int64), at]]
+                yield _batch(b, *g.place(x), window_hashes(w.hashes, window)[x])
     return docs.mapInArrow(rows, ROWS)
 
 
-def _last_level(docs: DataFrame, window: int) -> DataFrame:
-    def rows(batches):
-        for b in slices(batches):
-            g = _Grid(words_of(b.column("text")), window)
-            lists = b.column("ps")
-            n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            coded = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            alive = np.zeros((2, len(g.w.hashes) + 1), bool)
-            alive[coded % 2, coded // 2 + np.repeat(g.w.bounds[:-1], n)] = True
-            at, forward = g.doubled()
-            x = g.starts[alive[(~forward).astype(np.int64), at]]
-            d, pos = g.place(x)
-            yield _batch(b.column("key"), d, pos, window_hashes(g.w.hashes, window)[x])
-    return docs.mapInArrow(rows, ROWS)
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Of each text without copies, the positions whose hash occurs at least twice."""
+    twice = rows.groupBy("h").agg(F.sum(F.when(F.col("copied"), 2).otherwise(1)).alias("n")).where("n >= 2").select("h")
+    return rows.where("not copied").select("h", "key", "pos").join(twice, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("ps"))
 
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """Per key the positions whose hash occurs at least twice (as the positions of one text, once)."""
-    twice = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("h")
-    return rows.join(twice, "h", "left_semi").groupBy("key").agg(F.collect_set("pos").alias("ps"))
+def _copies(slim: DataFrame) -> DataFrame:
+    """Stored, per key: whether its text has copies, and whether this row speaks for the text (one of its copies does)."""
+    each = slim.groupBy(F.xxhash64("text", F.col("text").isNull()).alias("same"), "key").agg(F.count(F.lit(1)).alias("n"))
+    texts = each.groupBy("same").agg(F.sum("n").alias("n"), F.min("key").alias("first"))
+    return stored(each.select("same", "key").join(texts, "same").select("key", (F.col("n") > 1).alias("copied"),
+                                                                        (F.col("key") == F.col("first")).alias("speaks")), "copies")
 
 
 def _joined(w: Words, keep: np.ndarray) -> pa.Array:
@@ -140,7 +140,9 @@ def _kept(docs: DataFrame, window: int, id_type: str) -> DataFrame:
     def rows(batches):
         for b in slices(batches):
             w = words_of(b.column("text"))
-            n = np.cumsum(_flags(b, "ps", w), dtype=np.int32)
+            starts = _flags(b, w)[0, :-1]
+            starts &= np.arange(len(starts)) + window <= w.bounds[1:][w.docs()]
+            n = np.cumsum(starts, dtype=np.int32)
             gone = n - np.concatenate([np.zeros(min(window, len(n)), np.int32), n[:-window]]) > 0
             removed = np.concatenate([[0], np.cumsum(gone)])[w.bounds]
             yield pa.RecordBatch.from_arrays(
@@ -158,20 +160,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     columns are left out.
 
     Level 1 counts one short window (the anchor) of each window; only the anchors that repeat are doubled and counted
-    again, and only where that repeats are the windows themselves counted. The texts are shuffled once, by key; the
-    later levels and the removal read that one exchange again. Each level's counts are pre-summed, and its survivors
-    return to the texts in lists no longer than a text.
+    again, and only where that repeats are the windows themselves counted. The texts are shuffled once, by key; all
+    levels and the removal read that one exchange again. Each level's counts are pre-summed, and its survivors return
+    to the texts in lists no longer than a text. Of equal texts one takes part, with double weight.
     """
     kind = dict(docs.dtypes)[id_col]
-    text = F.col(f"`{text_col}`")
-    slim = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), text.alias("text"))
+    slim = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    copies = _copies(slim)
     parts = int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = slim.repartition(parts, "key")
+    placed = slim.repartition(parts, "key").join(copies, "key")
 
-    def with_survivors(rows: DataFrame) -> DataFrame:
-        return placed.join(_repeated(rows), "key", "left").select("key", "id", "text", "ps")
+    def with_survivors(level: int, before: DataFrame) -> DataFrame:
+        found = _repeated(_rows(before.select("key", "text", "copied", "speaks", "ps"), window, level))
+        return placed.join(found, "key", "left").select("key", "id", "text", "copied", "speaks", "ps")
 
-    one = with_survivors(_level_one(slim.select("key", "text"), window))
-    two = with_survivors(_level_two(one, window))
-    last = with_survivors(_last_level(two, window))
-    return _kept(last, window, kind)
+    state = placed.withColumn("ps", F.expr("cast(null as array<int>)"))
+    for level in (1, 2, 3):
+        state = with_survivors(level, state)
+    return _kept(state, window, kind)
