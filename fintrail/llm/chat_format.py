@@ -65,7 +65,7 @@ def placed_turns(conversations: DataFrame, budget: int = BUDGET) -> DataFrame:
 def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY_TURNS) -> DataFrame:
     """One row per window: conv_id, first_pos (orders the windows), n_repeated, formatted, loss_spans.
 
-    Every turn is the target of one window. A window holds the system turn (the first turn, if its role is system),
+    Every turn is the target of one window. Every window holds the system turn (the first turn, if its role is system),
     then up to `history` earlier turns that fit a quarter of the budget, then its targets; the repeated turns come
     first and are counted in n_repeated. loss_spans are (start, length) in code points of `formatted` and cover the
     text of each assistant target, not that of repeated turns.
@@ -84,8 +84,9 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     own = body.select(*key, F.lit(1).alias("target"), turn.alias("t"))
     system = turns.where("is_system").select(F.col("conv_id").alias("_c"), F.col("role").alias("_r"),
                                              F.col("text").alias("_t"), F.col("tokens").alias("_k"))
+    # in the first window it is not a repeated turn
     led = firsts.join(system, F.col("conv_id").eqNullSafe(F.col("_c"))).select(
-        *key, F.lit(0).alias("target"), F.struct(F.lit(0).cast("long").alias("pos"), F.col("_r").alias("role"),
+        *key, F.when(F.col("first_pos") == 1, 1).otherwise(0).alias("target"), F.struct(F.lit(0).cast("long").alias("pos"), F.col("_r").alias("role"),
                                                  F.col("_t").alias("text"), F.col("_k").alias("tokens")).alias("t"))
     # a conversation that is a system turn alone still has a window
     alone = (turns.where("is_system").join(firsts.select(F.col("conv_id").alias("_f")).distinct(),
@@ -107,10 +108,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
                                                 F.when(a["sum"] + x["tokens"] <= budget // 4, a["n"] + 1).otherwise(a["n"]).alias("n")))
     g = g.withColumns({"sys": F.filter("all", lambda x: x["target"] == 0), "own": F.filter("all", lambda x: x["target"] == 1),
                        "old": F.reverse(F.slice(older, F.lit(1), fitting["n"]))})
-    # system turns may be targets themselves, when they stand alone
     seq = F.concat("sys", "old", "own")
-    lead = F.concat(F.lit(BEGIN + ROLE_BEGIN), escape(F.col("x.role")), F.lit(ROLE_END))
-    text = escape(F.col("x.text"))
     block = lambda x: F.concat(F.lit(BEGIN + ROLE_BEGIN), escape(x["role"]), F.lit(ROLE_END), escape(x["text"]), F.lit(END))
     g = g.select("conv_id", F.element_at("own", 1)["pos"].alias("first_pos"),
                  (F.size("sys") + F.size("old")).alias("n_repeated"), seq.alias("seq"))

@@ -156,14 +156,14 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     """Shards by the law `bytes`: equal texts stay together and the largest shard is as small as that allows.
 
     Returns doc_id, size (UTF-8 bytes and 16), text_crc32, law, shard, slot and grown_shard (null under this law).
-    Null texts have no bytes and checksum 0 and form one group; repeated rows are rows of their own with slots of
+    A null text counts as an empty one: no bytes, checksum 0. Equal texts are one group; repeated rows are rows of their own with slots of
     their own. Fewer groups than shards leave the last shards empty; an empty table gives no rows. The offsets that
     are broadcast are shards x 256 numbers. Other input columns are left out.
     """
     t = F.col(f"`{text_col}`")
     # the texts are read once; what follows works on these small rows
     slim = stored(docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(t, t.isNull()).alias("_key"),
+        F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(t, F.lit(""))).alias("_key"),
         (F.coalesce(F.octet_length(t), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(t.cast("binary")), F.lit(0)).cast("long").alias("text_crc32")), "sizes")
     out = assign(slim, "_key", "size", shards, [F.col("doc_id"), F.col("_key")])

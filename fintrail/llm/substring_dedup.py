@@ -161,7 +161,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     Level 1 counts one short window (the anchor) of each window; only the anchors that repeat are doubled and counted
     again, and only where that repeats are the windows themselves counted. The texts are shuffled once, by key; all
-    levels and the removal read that one exchange again. Each level's counts are pre-summed, and its survivors return
+    levels and the removal read that one exchange again (so all of them ask for the same columns of it). Each level's counts are pre-summed, and its survivors return
     to the texts in lists no longer than a text. Of equal texts one takes part, with double weight.
     """
     kind = dict(docs.dtypes)[id_col]
@@ -171,7 +171,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     placed = slim.repartition(parts, "key").join(copies, "key")
 
     def with_survivors(level: int, before: DataFrame) -> DataFrame:
-        found = _repeated(_rows(before.select("key", "text", "copied", "speaks", "ps"), window, level))
+        found = _repeated(_rows(before, window, level))
         return placed.join(found, "key", "left").select("key", "id", "text", "copied", "speaks", "ps")
 
     state = placed.withColumn("ps", F.expr("cast(null as array<int>)"))
