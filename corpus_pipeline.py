@@ -23,8 +23,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of similar ones: the one with the least doc_id, and of its repeated rows one."""
-    classes = jaccard_join.similarity_classes(docs).select("key", "doc_id", "class_id").distinct()
-    first = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min("key").alias("key")).select("key")
+    classes = jaccard_join.similarity_classes(docs)
+    first = classes.where("key = class_key").select("key").distinct()
     return _by_key(docs).join(first, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 

@@ -19,6 +19,7 @@ ROWS = 5                       # minima of a band
 BLOCK_WORDS = 300_000          # n-grams and members compared in one task: two blocks of this size
 BLOCK_DOCS = 2048
 CELLS = 1 << 22                # of the incidence matrix held at once
+FEW, STRIP = 8, 512            # sets from which an n-gram goes into the matrix; rows of it compared at once
 
 
 def bands_for(threshold: float = THRESHOLD, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -106,53 +107,96 @@ def _groups(batches, columns: tuple[str, ...]):
         yield now, pa.Table.from_batches(held)
 
 
-def _similar(values: np.ndarray, sizes: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Which pairs of the sets reach the threshold, by exact counts of common n-grams."""
+def _common(values: np.ndarray, sizes: np.ndarray, first: int) -> np.ndarray:
+    """Numbers of common n-grams of the sets before `first` with those from `first` on (0: of all sets with all).
+
+    N-grams in many sets are counted by matrix products, those in few by adding up their pairs of sets.
+    """
     m = len(sizes)
-    owner = np.repeat(np.arange(m), sizes)
     _, at, count = np.unique(values, return_inverse=True, return_counts=True)
     shared = count > 1
-    column = (np.cumsum(shared) - 1)[at][shared[at]]
-    row, width = owner[shared[at]], int(shared.sum())
-    order = np.argsort(column, kind="stable")
+    column, row = at[shared[at]], np.repeat(np.arange(m), sizes)[shared[at]]
+    order = np.argsort(column, kind="stable")        # rows stay in order within a column
     column, row = column[order], row[order]
-    common = np.zeros((m, m), np.float32)
-    step = max(256, CELLS // m)
-    for lo in range(0, width, step):
-        i, j = np.searchsorted(column, [lo, lo + step])
-        a = np.zeros((m, min(step, width - lo)), np.float32)
-        a[row[i:j], column[i:j] - lo] = 1
-        common += a @ a.T
+    begin = np.flatnonzero(np.concatenate([[True], column[1:] != column[:-1]])) if len(column) else np.empty(0, np.int64)
+    width = np.diff(np.append(begin, len(column)))
+    out = np.zeros((first or m, m - first), np.float32)
+    for k in range(2, FEW):
+        at = begin[width == k]
+        for i in range(k):
+            for j in range(i + 1, k):
+                a, b = row[at + i], row[at + j]
+                if first:
+                    cross = (a < first) & (b >= first)
+                    np.add.at(out, (a[cross], b[cross] - first), 1)
+                else:
+                    np.add.at(out, (a, b), 1)
+                    np.add.at(out, (b, a), 1)
+    many = np.repeat(width >= FEW, width)
+    number = (np.cumsum(width >= FEW) - 1).repeat(width)[many]
+    row, total = row[many], int((width >= FEW).sum())
+    step = max(64, CELLS // m)
+    for lo in range(0, total, step):
+        i, j = np.searchsorted(number, [lo, lo + step])
+        cells = np.zeros((m, min(step, total - lo)), np.float32)
+        cells[row[i:j], number[i:j] - lo] = 1
+        out += cells[:first or m] @ cells[first:].T
+    return out
+
+
+def _linked(common: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: Fraction) -> np.ndarray:
+    """Which pairs reach the threshold, exactly: common / (left + right - common) >= top / bottom."""
     top, bottom = threshold.numerator, threshold.denominator
-    both = (sizes[:, None] + sizes[None, :]).astype(np.float64)
-    return common.astype(np.float64) * (top + bottom) >= both * top
+    out = np.empty(common.shape, bool)
+    for lo in range(0, len(left), STRIP):
+        part = slice(lo, lo + STRIP)
+        out[part] = common[part].astype(np.float64) * (top + bottom) >= (left[part, None] + right[None, :]) * float(top)
+    return out
+
+
+def _least(link: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """For each row the least label among its links."""
+    out = np.empty(len(link), np.int64)
+    for lo in range(0, len(link), STRIP):
+        out[lo:lo + STRIP] = np.where(link[lo:lo + STRIP], label[None, :], np.iinfo(np.int64).max).min(1)
+    return out
 
 
 def _compare(batches, threshold: Fraction):
     """Links of each unit within its group (between the two blocks, if they differ) and the least unit it hangs on."""
     for (_, lo, hi), t in _groups(batches, ("comp", "lo", "hi")):
-        unit = t.column("unit").to_numpy()
-        if len(unit) < 2:
+        if t.num_rows < 2:
             continue
-        grams = t.column("grams").combine_chunks()
-        link = _similar(grams.flatten().to_numpy(), grams.value_lengths().to_numpy(), threshold)
-        np.fill_diagonal(link, False)
         if lo != hi:
-            block = t.column("block").to_numpy()
-            link &= block[:, None] != block[None, :]
-        links = link @ t.column("copies").to_numpy().astype(np.float64)
-        label, old = unit.copy(), None
-        while old is None or (label != old).any():
-            old = label
-            label = np.minimum(label, np.where(link, label[None, :], np.iinfo(np.int64).max).min(1))
-        some = link.any(1)
+            t = t.sort_by("block")
+        unit, copies = t.column("unit").to_numpy(), t.column("copies").to_numpy().astype(np.float64)
+        grams = t.column("grams").combine_chunks()
+        sizes = grams.value_lengths().to_numpy()
+        first = int((t.column("block").to_numpy() == lo).sum()) if lo != hi else 0
+        if lo != hi and first in (0, len(unit)):
+            continue
+        link = _linked(_common(grams.flatten().to_numpy(), sizes, first), sizes[:first or None], sizes[first:], threshold)
+        if not first:
+            np.fill_diagonal(link, False)
+            links, label, old = link @ copies, unit.copy(), None
+            while old is None or (label != old).any():
+                old, label = label, np.minimum(label, _least(link, label))
+            some = link.any(1)
+        else:
+            links = np.concatenate([link @ copies[first:], copies[:first] @ link])
+            a, b, old = unit[:first].copy(), unit[first:].copy(), None
+            while old is None or (a != old).any():
+                old = a
+                b = np.minimum(b, _least(link.T, a))
+                a = np.minimum(a, _least(link, b))
+            label, some = np.concatenate([a, b]), np.concatenate([link.any(1), link.any(0)])
         yield pa.RecordBatch.from_arrays(
             [pa.array(unit[some]), pa.array(links[some].astype(np.int64)), pa.array(label[some])], names=["unit", "links", "least"])
 
 
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL,
                        rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: key, doc_id, class_id, n_links.
+    """Per document: key, doc_id, class_id, n_links, class_key (key of the document that stands for the class).
 
     Two documents are linked if the Jaccard similarity of their word n-gram sets is at least `threshold`; n_links
     counts the other documents linked with this one, copies included, and class_id is the least doc_id that links
@@ -168,8 +212,8 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: i
     share = Fraction(str(threshold))
     sigs = signatures(docs, id_col, text_col, shingle, bands, rows)
     units = stored(sigs.where("unit is not null").groupBy("unit").agg(
-        F.min("id").alias("rep"), F.min("key").alias("key"), F.count(F.lit(1)).alias("copies"),
-        F.first("n_words").alias("n_words"), F.first("bands").alias("bands")), "units")
+        F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("head"), F.count(F.lit(1)).alias("copies"),
+        F.first("n_words").alias("n_words"), F.first("bands").alias("bands")).withColumn("key", F.col("head.key")), "units")
     banded = units.select("unit", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min("unit").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
     near = components(banded.join(heads, "band").select(F.col("unit").alias("a"), F.col("head").alias("b")))
@@ -206,14 +250,15 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, shingle: i
 
     found = stored(grouped.mapInArrow(compare, "unit long, links long, least long"), "links")
     classes = components(found.select(F.col("unit").alias("a"), F.col("least").alias("b")))
-    ranked = (classes.join(units.select(F.col("unit").alias("v"), "rep"), "v")
-              .groupBy("root").agg(F.min("rep").alias("class")).join(classes, "root").select(F.col("v").alias("unit"), "class"))
+    ranked = (classes.join(units.select(F.col("unit").alias("v"), "head"), "v")
+              .groupBy("root").agg(F.min("head").alias("class")).join(classes, "root").select(F.col("v").alias("unit"), "class"))
     counts = found.groupBy("unit").agg(F.sum("links").alias("links"))
-    per_unit = (units.select("unit", "rep", "copies").join(counts, "unit", "left").join(ranked, "unit", "left")
-                .select("unit", F.coalesce("class", "rep").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")))
+    per_unit = (units.select("unit", "head", "copies").join(counts, "unit", "left").join(ranked, "unit", "left")
+                .select("unit", F.coalesce("class", "head").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n")))
     return (sigs.select("key", "id", "unit").join(per_unit, "unit", "left")
-            .select("key", F.col("id").alias("doc_id"), F.when(F.col("unit").isNull(), F.col("id")).otherwise(F.col("class")).alias("class_id"),
-                    F.coalesce("n", F.lit(0)).cast("long").alias("n_links")))
+            .select("key", F.col("id").alias("doc_id"), F.when(F.col("unit").isNull(), F.col("id")).otherwise(F.col("class.id")).alias("class_id"),
+                    F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+                    F.when(F.col("unit").isNull(), F.col("key")).otherwise(F.col("class.key")).alias("class_key")))
 
 
 def _once(batches):

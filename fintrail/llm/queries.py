@@ -50,7 +50,7 @@ def op7_decontaminate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
-    return jaccard_join.similarity_classes(table(spark, d, "documents")).drop("key")
+    return jaccard_join.similarity_classes(table(spark, d, "documents")).select("doc_id", "class_id", "n_links")
 
 
 def op9_substring_dedup(spark: SparkSession, d: str) -> DataFrame:
