@@ -29,7 +29,7 @@ def main() -> None:
     only = sys.argv[1:]
     spark = get_spark("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
-        "spark.ui.showConsoleProgress": "false"})
+        "fintrail.scan.tasks": cpus, "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     plans = {n: catalog.QUERIES[n] for n in HEADLINE}
     plans["twin_snapshots"] = lambda s, p: TW.snapshots(T.ev(s, p))

@@ -51,8 +51,10 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
             sums.append(F.sum(F.when(w[n] & (typ == t), amt)).alias(f"{name}_{n}"))
     late = F.dayofmonth(ts) >= 25
     kind = F.col("txn_kind") if "txn_kind" in ev.columns else F.lit(None).cast("string")
-    # a fixed-width order key keeps the aggregation hash-based; a struct would make it sort all events
-    moment = F.pmod(micros(ts), F.lit(DAY_MICROS)) * F.lit(1 << 26) + F.pmod(F.xxhash64("event_id"), F.lit(1 << 26))
+    # a fixed-width order key keeps the aggregation hash-based; a struct would make it sort all events.
+    # Of equal times the largest event_id is last
+    moment = (F.pmod(micros(ts), F.lit(DAY_MICROS)).cast("decimal(12,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")
+              + F.col("event_id").cast("decimal(20,0)")).cast("decimal(38,0)")
     return (e.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         *sums,
         *[F.count_if(w[n]).alias(f"n_{n}") for n in (7, 30, 90)],
@@ -231,15 +233,16 @@ def category_shift(ev: DataFrame, ref: datetime, n: int = 5) -> DataFrame:
 
 def invoice_features(invoices: DataFrame) -> DataFrame:
     """Decayed invoice value anchored at each user's latest invoice, and filing habits."""
-    # value grown from a fixed origin, then divided by the anchor's growth: one pass, no self-join
+    # values decay to the end of their day, day sums to the user's latest invoice: no weight exceeds 1
     per_day = invoices.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.max("ts").alias("hi"),
-        F.sum(F.col("taxable_value") * _growth(F.col("ts"))).alias("grown"),
+        F.sum(F.col("taxable_value") * _fade(F.col("ts"), _day_end(F.col("ts")))).alias("faded"),
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("filing_status") == "ontime").alias("ontime"),
         F.sum("filing_delay_days").alias("delay"))
+    per_day = per_day.withColumn("last", F.max("hi").over(W.partitionBy("user_id")))
     return per_day.groupBy("user_id").agg(
-        rnd(F.sum("grown") / _growth(F.max("hi")), 2).alias("gst_30d_value"),
+        rnd(F.sum(F.col("faded") * _fade(_day_end(F.col("hi")), F.col("last"))), 2).alias("gst_30d_value"),
         rnd(F.sum("ontime") / F.sum("n"), 4).alias("gst_filing_compliance_rate"),
         F.count_distinct(F.trunc("day", "month")).cast("int").alias("months_active_gst"),
         rnd(F.greatest(F.lit(0.0), 1.0 - F.least(F.sum("delay") / F.sum("n") / 30.0, F.lit(1.0))), 4)
@@ -255,13 +258,23 @@ def _growth(ts: Column) -> Column:
     return F.exp(F.lit(LN2 / HALF_LIFE) * days)
 
 
+def _day_end(ts: Column) -> Column:
+    return F.date_add(F.to_date(ts), 1).cast("timestamp_ntz")
+
+
+def _fade(ts: Column, anchor: Column) -> Column:
+    """Decay weight of `ts` as seen from `anchor`."""
+    return F.exp(F.lit(LN2 / HALF_LIFE) * (micros(ts) - micros(anchor)) / F.lit(float(DAY_MICROS)))
+
+
 def eway_features(eway: DataFrame) -> DataFrame:
     """Decayed consignment value and entropy of commodity codes."""
-    by_code = eway.groupBy("user_id", "main_hsn_code").agg(
-        F.count(F.lit(1)).alias("n"), F.max("ts").alias("hi"),
-        F.sum(F.col("tot_inv_value") * _growth(F.col("ts"))).alias("grown"))
-    whole = by_code.groupBy("user_id").agg(
-        F.sum("n").alias("rows"), (F.sum("grown") / _growth(F.max("hi"))).alias("value"))
+    by_code = eway.groupBy("user_id", "main_hsn_code").agg(F.count(F.lit(1)).alias("n"))
+    per_day = eway.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        F.max("ts").alias("hi"), F.sum(F.col("tot_inv_value") * _fade(F.col("ts"), _day_end(F.col("ts")))).alias("faded"),
+        F.count(F.lit(1)).alias("n")).withColumn("last", F.max("hi").over(W.partitionBy("user_id")))
+    whole = per_day.groupBy("user_id").agg(
+        F.sum("n").alias("rows"), F.sum(F.col("faded") * _fade(_day_end(F.col("hi")), F.col("last"))).alias("value"))
     p = F.col("n") / F.col("rows")
     return (by_code.join(whole, "user_id").groupBy("user_id").agg(
         rnd(F.first("value"), 2).alias("ewb_30d_value"),

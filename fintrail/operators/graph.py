@@ -144,7 +144,7 @@ def _backward(inside: DataFrame, colour: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------- cycles
 
-def cycles(pairs: DataFrame, lengths: Sequence[int] = (3, 4, 5), members: DataFrame | None = None) -> DataFrame:
+def cycles(pairs: DataFrame, lengths: Sequence[int] = (2, 3, 4, 5), members: DataFrame | None = None) -> DataFrame:
     """Every simple cycle of the given lengths, once, starting at its smallest node.
 
     A cycle is grown from its node of lowest degree: both edges at that node first,
@@ -169,7 +169,7 @@ def cycles(pairs: DataFrame, lengths: Sequence[int] = (3, 4, 5), members: DataFr
     for length in lengths:
         first = e.where("d > s").select(c("s").alias("n1"), c("d").alias("n2"), c("hop").alias("h1"))
         last = e.where("s > d").select(c("d").alias("n1"), c("s").alias(f"n{length}"), c("hop").alias(f"h{length}"))
-        p = first.join(last, "n1")
+        p = first.join(last, ["n1", "n2"] if length == 2 else "n1")
         if length > 2:
             p = p.where(c("n2") != c(f"n{length}"))
         for i in range(3, length):
@@ -190,10 +190,13 @@ def cycles(pairs: DataFrame, lengths: Sequence[int] = (3, 4, 5), members: DataFr
 
 
 def monotone(hops: Column) -> Column:
-    """Each hop's first transfer is later than the last of the hop before; not wrapped."""
-    n = F.size(hops)
-    steps = F.zip_with(F.slice(hops, F.lit(1), n - 1), F.slice(hops, F.lit(2), n - 1), lambda a, b: b["min_ts"] > a["max_ts"])
-    return F.forall(steps, lambda x: x)
+    """From some hop on, each hop's first transfer is later than the last of the hop before.
+
+    A ring has no first node, so any rotation counts: at most one step around it may go back in time.
+    """
+    after = F.concat(F.slice(hops, F.lit(2), F.size(hops) - 1), F.slice(hops, 1, 1))
+    steps = F.zip_with(hops, after, lambda a, b: ~(b["min_ts"] > a["max_ts"]))
+    return F.size(F.filter(steps, lambda x: x)) <= 1
 
 
 def cycle_metrics(found: DataFrame) -> DataFrame:
@@ -236,10 +239,9 @@ def ego_network(transfers: DataFrame, centre: Column) -> DataFrame:
     return transfers.where(centre & (c("src") != c("dst")))
 
 
-def undirected(edges: DataFrame, order: Sequence[Column], limit: int | None = None) -> DataFrame:
-    """First edge of every unordered pair; `limit` is the report's size."""
+def undirected(edges: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """First edge of every unordered pair."""
     a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
     cols = F.struct(*order, *[c(n).alias(f"v_{n}") for n in edges.columns])
     first = edges.select("*", a, b).groupBy("a", "b").agg(F.min(cols).alias("f"))
-    out = first.select("a", "b", *[c(f"f.v_{n}").alias(n) for n in edges.columns])
-    return out.orderBy("a", "b").limit(limit) if limit else out
+    return first.select("a", "b", *[c(f"f.v_{n}").alias(n) for n in edges.columns])

@@ -205,19 +205,19 @@ def triggers(state: DataFrame) -> DataFrame:
     pct = lambda x: F.round(x * 100, 0).cast("int")
     alerts = F.array(
         alert("liquidity_drop", low | (buf < 10), F.when(low, 0.9).otherwise(0.7),
-              F.format_string("Cash buffer at %.1f days (threshold: 10)", buf)),
+              F.format_string("cash_buffer_days=%.1f limit=10", buf)),
         alert("prequalified_micro_loan_offer", low & (buf < 7), F.least(F.lit(0.98), 0.75 + (7.0 - buf) * 0.03),
-              F.format_string("Liquidity dropped to %.1f days", buf)),
+              F.format_string("cash_buffer_days=%.1f limit=7", buf)),
         alert("overspend_warning", vol > 0.65, F.least(F.lit(0.9), vol),
-              F.format_string("Spending volatility at %.2f (threshold: 0.65)", vol)),
+              F.format_string("spending_volatility=%.2f limit=0.65", vol)),
         alert("emi_at_risk", emi > 0.35, F.least(F.lit(0.95), emi),
-              F.format_string("EMI burden at %d%% of income (threshold: 35%%)", pct(emi))),
+              F.format_string("emi_burden_percent=%d limit=35", pct(emi))),
         alert("lifestyle_inflation", prev.isNotNull() & (growth > 0.25), F.lit(0.5),
-              F.format_string("Spending volatility rose %d%% (threshold: 25%%)", pct(F.coalesce(growth, F.lit(0.0))))),
+              F.format_string("spending_growth_percent=%d limit=25", pct(F.coalesce(growth, F.lit(0.0))))),
         alert("savings_opportunity", (buf > 20) & (emi < 0.25) & (c("risk_score") < 0.35), F.lit(0.2),
-              F.lit("Strong liquidity buffer with low burden")),
-        alert("fraud_anomaly", c("persona") == "shell_circular", F.lit(0.95), F.lit("Circular trading pattern detected")),
-        alert("new_to_credit_guidance", c("persona") == "new_to_credit", F.lit(0.1), F.lit("Thin credit file detected")),
+              F.format_string("cash_buffer_days=%.1f emi_burden_percent=%d", buf, pct(emi))),
+        alert("fraud_anomaly", c("persona") == "shell_circular", F.lit(0.95), F.concat(F.lit("persona="), c("persona"))),
+        alert("new_to_credit_guidance", c("persona") == "new_to_credit", F.lit(0.1), F.concat(F.lit("persona="), c("persona"))),
     )
     return (state.select("user_id", "version", "ts", "persona",
                          F.explode(F.filter(alerts, lambda a: a.isNotNull())).alias("a"))
@@ -236,14 +236,6 @@ def relevance(urgency: Column, personalization: float | Column = 0.5, acceptance
     return rnd(0.4 * urgency + 0.3 * as_c(personalization) + 0.2 * as_c(acceptance) + 0.1 * as_c(safety), 4)
 
 
-TITLES = {
-    "liquidity_drop": "Cash buffer alert", "prequalified_micro_loan_offer": "Pre-qualified micro-loan",
-    "overspend_warning": "Overspend warning", "emi_at_risk": "EMI risk alert",
-    "lifestyle_inflation": "Spending trend alert", "savings_opportunity": "Savings tip",
-    "fraud_anomaly": "Account review required", "new_to_credit_guidance": "Build your credit profile",
-}
-
-
 def notifications(alerts: DataFrame, consent: DataFrame, threshold: float = 0.75, personalization: float = 0.7,
                   acceptance: float = 0.5) -> tuple[DataFrame, DataFrame]:
     """(messages to send per channel, alerts escalated to a person).
@@ -255,7 +247,7 @@ def notifications(alerts: DataFrame, consent: DataFrame, threshold: float = 0.75
     ready = alerts.where(~fraud).withColumn("relevance", rel).where(c("relevance") >= threshold)
     ok = ready.join(consent.where("consent").select("user_id"), "user_id", "left_semi")
     sent = ok.select("user_id", "version", "ts", "trigger_type", "priority", "relevance", F.explode("channels").alias("channel"),
-                     lookup(c("trigger_type"), TITLES, "Financial alert").alias("title"), c("reason").alias("body"))
+                     lookup(c("trigger_type"), K.ALERT_TITLES, K.OTHER_ALERT).alias("title"), c("reason").alias("body"))
     return sent, alerts.where(fraud)
 
 
@@ -268,21 +260,18 @@ def reports(state: DataFrame) -> DataFrame:
     yes = F.lit(True)
     days = F.round(buf, 1).cast("string")
     insights = F.array(
-        line(yes, F.lit("Score: "), score.cast("string")),
-        line(yes, F.when(c("liquidity_health") == "LOW", "Liquidity is LOW, buffer days: ")
-             .when(c("liquidity_health") == "MEDIUM", "Buffer days (MEDIUM): ").otherwise("Buffer healthy, days: "), days),
-        line(yes, F.when(emi > 0.35, "EMI burden high, percent: ").otherwise("EMI burden in control, percent: "), pct(emi)),
-        line(vol > 0.65, F.lit("Spending volatility elevated, percent: "), pct(vol)),
-        line((stab > 0.75) | (stab < 0.4), F.when(stab > 0.75, "Income stable, percent: ").otherwise("Income irregular, percent: "), pct(stab)))
-    actions = F.filter(F.array(
-        F.when(buf < 10, "Reduce non-essential spend to rebuild cash buffer"),
-        F.when(emi > 0.35, "Contact lender to explore EMI restructuring"),
-        F.when(vol > 0.65, "Review top spending categories and set a weekly budget"),
-        F.when(stab < 0.4, "Diversify income streams or ensure salary credits are regular")), lambda a: a.isNotNull())
+        line(yes, F.lit("display_score="), score.cast("string")),
+        line(yes, F.lit("cash_buffer_days="), days, F.lit(" ("), c("liquidity_health"), F.lit(")")),
+        line(yes, F.lit("emi_burden_percent="), pct(emi), F.when(emi > 0.35, " (over 35)").otherwise("")),
+        line(vol > 0.65, F.lit("spending_volatility_percent="), pct(vol), F.lit(" (over 65)")),
+        line((stab > 0.75) | (stab < 0.4), F.lit("income_stability_percent="), pct(stab), F.when(stab > 0.75, " (over 75)").otherwise(" (under 40)")))
+    advice = lambda when, name: F.when(when, F.lit(K.REPORT_ACTIONS[name]))
+    actions = F.filter(F.array(advice(buf < 10, "buffer"), advice(emi > 0.35, "emi"), advice(vol > 0.65, "spending"),
+                               advice(stab < 0.4, "income")), lambda a: a.isNotNull())
     return state.select("user_id", "version", score.alias("display_score"),
                         level(score, (750, "Excellent"), (650, "Good"), (550, "Average"), default="Needs Attention").alias("risk_status"),
                         F.filter(insights, lambda a: a.isNotNull()).alias("insights"),
-                        F.when(F.size(actions) > 0, actions).otherwise(F.array(F.lit("Maintain your current healthy financial habits"))).alias("actions"))
+                        F.when(F.size(actions) > 0, actions).otherwise(F.array(F.lit(K.REPORT_ACTIONS["none"]))).alias("actions"))
 
 
 # ------------------------------------------------------ ordered fallbacks
@@ -404,13 +393,13 @@ def health_index(df: DataFrame, deception: Column) -> DataFrame:
 
 
 def distress(state: DataFrame) -> DataFrame:
-    """Users to be offered relief, with the intent flag appended to at most ten.
+    """Users to be offered relief, with the intent flag appended.
 
     Needs ews_14d, ews_30d and an intent_signals array of strings.
     """
     hit = (c("liquidity_health") == "LOW") | (F.coalesce(c("ews_14d"), F.lit(0.0)) >= 0.35)
     return (state.where(hit).withColumn("signal_probability", rnd(F.least(F.lit(0.99), F.coalesce(c("ews_30d"), F.lit(0.5))), 4))
-            .withColumn("intent_signals", F.slice(F.concat("intent_signals", F.array(F.lit("EMI_STRESS_IMMINENT"))), 1, 10)))
+            .withColumn("intent_signals", F.concat("intent_signals", F.array(F.lit("EMI_STRESS_IMMINENT")))))
 
 
 def question_ranking(fv: DataFrame, top: int = 5) -> DataFrame:

@@ -45,12 +45,10 @@ def scam_probability(scores: DataFrame, prior: float = 0.05) -> DataFrame:
         "is_scam_alert", c("scam_probability") >= 0.5)
 
 
-def worst_message(scored: DataFrame, first: int = 20) -> DataFrame:
-    """Most suspicious of each user's first messages; the window of `first` is a report setting."""
-    w = W.partitionBy("user_id").orderBy(F.col("ts").asc_nulls_first(), "message_id")
-    head = scored.withColumn("_rn", F.row_number().over(w)).where(c("_rn") <= first)
-    best = F.struct("scam_probability", -c("_rn"))
-    return head.groupBy("user_id").agg(F.max_by(F.struct("message_id", "scam_probability", "scam_risk"), best).alias("m")).select("user_id", "m.*")
+def worst_message(scored: DataFrame) -> DataFrame:
+    """Most suspicious of each user's messages; of equal ones the oldest."""
+    best = F.struct((-c("scam_probability")).alias("p"), "ts", "message_id")
+    return scored.groupBy("user_id").agg(F.min_by(F.struct("message_id", "scam_probability", "scam_risk"), best).alias("m")).select("user_id", "m.*")
 
 
 # -------------------------------------------------------------------- mules

@@ -47,8 +47,8 @@ def v2(spark, d):
     return V.scam_probability(V.message_scores(T.messages(spark, d))).select("message_id", "scam_probability", "scam_risk", "is_scam_alert")
 
 
-CTES["worst_msg"] = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY scam_probability DESC, rn) AS pick FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts ASC NULLS FIRST, message_id) AS rn FROM scam) WHERE rn <= 20) WHERE pick = 1"""
+CTES["worst_msg"] = """SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY scam_probability DESC, ts ASC NULLS FIRST, message_id) AS pick FROM scam) WHERE pick = 1"""
 
 
 def worst(spark, d):
@@ -63,7 +63,6 @@ def t4(spark, d):
 # -------------------------------------------------------------------- graph
 
 CTES["pairs"] = "SELECT src, dst, sum(amount) AS weight, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS transfers FROM edges GROUP BY 1, 2"
-CTES["ring_pairs"] = "SELECT src, dst, sum(amount) AS weight, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS transfers FROM edges WHERE ts >= TIMESTAMP '2001-08-06' GROUP BY 1, 2"
 
 
 @query("g1_edge_build", f"""SELECT src, dst, event_type, count(*) AS n, {r('sum(amount)', 2)} AS amount FROM (
@@ -113,9 +112,8 @@ def g3(spark, d):
     return G.shell_hubs(ranks(spark, d), maturity(spark, d), rank=HUB).select("node", "pagerank", "is_shell_hub")
 
 
-CTES["acct"] = """SELECT DISTINCT src, dst FROM (SELECT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_shipdate >= TIMESTAMP '2001-08-06' UNION ALL SELECT 'S' || l_suppkey, 'C' || o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-    WHERE l_shipdate >= TIMESTAMP '2001-08-06' AND l_returnflag = 'R')"""
+CTES["acct"] = """SELECT DISTINCT src, dst FROM (SELECT 'C' || o_custkey AS src, 'S' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'S' || l_suppkey, 'C' || o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    WHERE l_returnflag = 'R')"""
 
 
 @query("g4_strong_components", """SELECT node, component, size FROM (SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM (
@@ -131,7 +129,8 @@ def _cycle_sql(src: str, n: int) -> str:
     least = [f"e1.src < e{i}.src" for i in range(2, n + 1)]
     apart = [f"e{i}.src <> e{j}.src" for i in range(2, n + 1) for j in range(i + 1, n + 1)]
     nodes = "[" + ", ".join(f"e{i}.src" for i in range(1, n + 1)) + "]"
-    mono = " AND ".join(f"e{i + 1}.min_ts > e{i}.max_ts" for i in range(1, n))
+    breaks = " + ".join(f"CASE WHEN e{i % n + 1}.min_ts > e{i}.max_ts THEN 0 ELSE 1 END" for i in range(1, n + 1))
+    mono = f"({breaks}) <= 1"
     flow = " + ".join(f"e{i}.weight" for i in range(1, n + 1))
     lo = "least(" + ", ".join(f"e{i}.min_ts" for i in range(1, n + 1)) + ")"
     hi = "greatest(" + ", ".join(f"e{i}.max_ts" for i in range(1, n + 1)) + ")"
@@ -140,19 +139,23 @@ def _cycle_sql(src: str, n: int) -> str:
             f"{mono} AS temporal_ok, {r(flow, 2)} AS total_flow, {r(f'({flow}) / {days}', 2)} AS velocity FROM {froms} WHERE {' AND '.join(links + least + apart)}")
 
 
-@query("g5_cycles", f"SELECT cycle, length FROM ({_cycle_sql('pairs', 3)} UNION ALL {_cycle_sql('pairs', 4)})")
+RING_LENGTHS = (2, 3, 4)
+_ALL_CYCLES = " UNION ALL ".join(_cycle_sql("pairs", n) for n in RING_LENGTHS)
+
+
+@query("g5_cycles", f"SELECT cycle, length FROM ({_ALL_CYCLES})")
 def g5(spark, d):
-    found = G.cycles(T.pairs(spark, d), (3, 4))
+    found = G.cycles(T.pairs(spark, d), RING_LENGTHS)
     return found.select(F.array_join("nodes", ">").alias("cycle"), "length")
 
 
-CTES["ring3"] = _cycle_sql("ring_pairs", 3)
-CTES["ring"] = f"SELECT *, temporal_ok AND velocity > {G.SUSPICIOUS_PER_DAY} AS suspicious FROM ring3"
+CTES["ring_n"] = _ALL_CYCLES
+CTES["ring"] = f"SELECT *, temporal_ok AND velocity > {G.SUSPICIOUS_PER_DAY} AS suspicious FROM ring_n"
 
 
 def ring(spark, d):
-    p = T.ring_pairs(spark, d)
-    return G.cycle_metrics(G.cycles(p, (3,), members=G.strong_components(p)))
+    p = T.pairs(spark, d)
+    return G.cycle_metrics(G.cycles(p, RING_LENGTHS, members=G.strong_components(p, min_size=2)))
 
 
 @query("g6_temporal_order", "SELECT cycle, temporal_ok FROM ring")
@@ -208,12 +211,12 @@ def g9(spark, d):
 
 @query("g9_ring_graph", f"""SELECT a, b, amount FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, amount,
   row_number() OVER (PARTITION BY least(src, dst), greatest(src, dst) ORDER BY ts, event_id) AS rn FROM upi_moves WHERE src <> dst
-    AND src IN (SELECT c_custkey FROM customer WHERE c_custkey % 36 <= 6)) WHERE rn = 1 ORDER BY a, b LIMIT 300""")
+    AND src IN (SELECT c_custkey FROM customer WHERE c_custkey % 36 <= 6)) WHERE rn = 1""")
 def g9_ring(spark, d):
-    """First edge of each pair with a young account paying; the graph view shows 300."""
+    """First edge of each pair with a young account paying."""
     young = T.profiles(spark, d).where("months_active <= 6")
     m = J.of_users(moves(spark, d).withColumnRenamed("src", "user_id"), young).withColumnRenamed("user_id", "src").where("src <> dst")
-    return G.undirected(m.select("event_id", "src", "dst", "amount", "ts"), [c("ts"), c("event_id")], limit=300).select("a", "b", "amount")
+    return G.undirected(m.select("event_id", "src", "dst", "amount", "ts"), [c("ts"), c("event_id")]).select("a", "b", "amount")
 
 
 @query("t8_undirected_edges", """SELECT a, b, event_id FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, event_id,

@@ -17,8 +17,8 @@ CASH = 2000.0
 TYPES = {"income": ["INCOME"], "essential": ["EXPENSE_ESSENTIAL"], "discretionary": ["EXPENSE_DISCRETIONARY"], "emi": ["EMI_PAYMENT", "SUBSCRIPTION"]}
 
 CTES["flows"] = f"""SELECT g.path_id, CAST(g.day AS INTEGER) AS day, {', '.join(f'coalesce(x.{n}, 0.0) AS {n}' for n in TYPES)} FROM (
-  SELECT path_id, unnest(range({T.HORIZON})) AS day FROM (SELECT DISTINCT user_id AS path_id FROM ev)) g
-  LEFT JOIN (SELECT user_id AS path_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS day,
+  SELECT path_id, unnest(range((SELECT date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 FROM ev))) AS day FROM (SELECT DISTINCT user_id AS path_id FROM ev)) g
+  LEFT JOIN (SELECT user_id AS path_id, date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM ev), CAST(ts AS DATE)) AS day,
     {', '.join(f"round(coalesce(sum(abs(amount)) FILTER (transaction_type IN ({in_list(t)})), 0.0), 2) AS {n}" for n, t in TYPES.items())}
     FROM ev GROUP BY 1, 2) x USING (path_id, day)"""
 CTES["paths"] = "SELECT path_id, day, round(2000 + sum(income - essential - discretionary - emi) OVER (PARTITION BY path_id ORDER BY day), 2) AS balance FROM flows"
@@ -101,7 +101,7 @@ def _days_sql() -> str:
     for s in CHOSEN:
         for atomic, off in (K.CASCADING_SCENARIOS.get(s) or [(a, 0) for a in K.COMPOUND_SCENARIOS.get(s, [s])]):
             inc, ess, disc, miss, once, days, _, ramp, target = K.ATOMIC_SCENARIOS[atomic]
-            for day in range(off, min(off + days, T.HORIZON)):
+            for day in range(off, min(off + days, T.SCENARIO_DAYS)):
                 i = inc if ramp < 0 or day < off + ramp else inc + (target - inc) * min((day - off - ramp) / max(days - ramp, 1), 1.0)
                 rows.append(f"('{s}', {day}, {i}::DOUBLE, {ess}::DOUBLE, {disc}::DOUBLE, {miss}::DOUBLE, {once if day == off else 0.0}::DOUBLE)")
     pick = lambda n: f"CASE WHEN min({n}) < 1 THEN min({n}) ELSE max({n}) END AS {n}"
@@ -116,7 +116,7 @@ CTES["scen_days"] = _days_sql()
 def j6(spark, d):
     """Active scenario days joined to the observed calendar."""
     from fintrail.functions.numeric import rnd
-    cal = P.scenario_days(P.scenario_intervals(spark, CHOSEN, T.HORIZON))
+    cal = P.scenario_days(P.scenario_intervals(spark, CHOSEN, T.SCENARIO_DAYS))
     seen = T.flows(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("users"))
     j = seen.join(F.broadcast(cal), "day")
     return j.select("scenario", "day", *[rnd(n, 4).alias(n) for n in ("income", "essential", "discretionary", "miss")], rnd("once", 2).alias("once"), "users")
@@ -126,7 +126,7 @@ def j6(spark, d):
   SELECT s.scenario, f.path_id, f.day, x.miss, f.income * coalesce(x.inc, 1.0) - f.essential * coalesce(x.ess, 1.0) - f.discretionary * coalesce(x.disc, 1.0) - f.emi - coalesce(x.once, 0.0) AS net
   FROM flows f CROSS JOIN (SELECT unnest([{in_list(CHOSEN)}]) AS scenario) s LEFT JOIN scen_days x ON x.scenario = s.scenario AND x.day = f.day)""")
 def p7(spark, d):
-    return P.overlay(T.flows(spark, d), spark, CHOSEN, T.HORIZON, CASH)
+    return P.overlay(T.flows(spark, d), spark, CHOSEN, T.SCENARIO_DAYS, CASH)
 
 
 @query("p8_reweighted_paths", f"""SELECT path_id, p.day, {r('CASE WHEN p.day >= o.day AND o.inflow > 0 THEN balance * (1 + (o.inflow / 100.0 - 1) * (1 / (1 + (p.day - o.day) * 0.02)) * 0.3) ELSE balance END')} AS balance

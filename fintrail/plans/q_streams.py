@@ -104,16 +104,18 @@ CTES["sstate"] = derive_sql("sx")
 
 
 def refreshed(spark, d):
-    """Events delivered in three files, one batch each."""
+    """Events delivered in three slices, one batch each; the last holds all that is left."""
     def build(s, p):
         out = scratch(s, "refresh")
         raw = T.table(s, p, "events")
-        lo = datetime(2024, 1, 1)
-        for i, hi in enumerate(CUTS):
-            raw.where((c("ts") >= ntz(lo)) & (c("ts") < ntz(hi))).coalesce(1).write.parquet(f"{out}/src/slice={i}")
-            lo = hi
-        stream = T.as_events(S.read_stream(s, f"{out}/src/*", EVENTS_TABLE, files_per_batch=1))
-        S.refresh(stream, f"{out}/h", f"{out}/f", f"{out}/t", f"{out}/c", lambda high: next(x for x in CUTS if x > high))
+        newest = raw.agg(F.max("ts")).first()[0]
+        cuts = [*CUTS[:-1], max(CUTS[-1], datetime(newest.year, newest.month, newest.day) + timedelta(days=1)) if newest else CUTS[-1]]
+        slices = [raw.where(c("ts") < ntz(cuts[0])),
+                  *[raw.where((c("ts") >= ntz(lo)) & (c("ts") < ntz(hi))) for lo, hi in zip(cuts, cuts[1:])]]
+        for i, part in enumerate(slices):
+            part.write.parquet(f"{out}/src/slice={i}")
+            stream = T.as_events(S.read_stream(s, f"{out}/src/*", EVENTS_TABLE, files_per_batch=1_000_000))
+            S.refresh(stream, f"{out}/h", f"{out}/f", f"{out}/t", f"{out}/c", lambda high: next(x for x in cuts if x > high))
         return s.read.parquet(f"{out}/t")
     return T.stored(spark, d, "refreshed", build)
 

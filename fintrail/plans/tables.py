@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from fintrail.functions import constants as K
 from fintrail.functions.numeric import ntz
 from fintrail.operators import features as FT, twin as TW
-from fintrail.session import scratch, widen
+from fintrail.session import scratch
 
 REF = datetime(2024, 1, 31)
-RING_SINCE = datetime(2001, 8, 6)   # 90 days before the last shipment
-PATH_START = datetime(2024, 1, 1)
+SCENARIO_DAYS = 30                  # length of the what-if scenarios
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -48,7 +47,10 @@ def as_events(raw: DataFrame) -> DataFrame:
 
 
 def ev(spark: SparkSession, d: str) -> DataFrame:
-    return as_events(widen(table(spark, d, "events")))
+    raw = table(spark, d, "events")
+    # a benchmark over one small file may ask for more tasks; nothing looks at the size of the data
+    tasks = spark.conf.get("fintrail.scan.tasks", None)
+    return as_events(raw.repartition(int(tasks)) if tasks else raw)
 
 
 def profiles(spark: SparkSession, d: str) -> DataFrame:
@@ -245,15 +247,9 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.collapse(edges(spark, d))
 
 
-def ring_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Collapsed transfer pairs of the last 90 days, the ring detector's horizon."""
-    from fintrail.operators import graph as G
-    return G.collapse(edges(spark, d).where(F.col("ts") >= ntz(RING_SINCE)))
-
-
 def account_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Customer to supplier payments and supplier to customer refunds of the last 90 days."""
-    lines = table(spark, d, "lineitem").where(F.col("l_shipdate") >= ntz(RING_SINCE)).select(
+    """Customer to supplier payments and supplier to customer refunds."""
+    lines = table(spark, d, "lineitem").select(
         "l_orderkey", "l_returnflag", F.concat(F.lit("S"), "l_suppkey").alias("s"))
     o = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("C"), "o_custkey").alias("cst"))
     j = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -261,18 +257,18 @@ def account_edges(spark: SparkSession, d: str) -> DataFrame:
     return pay.unionByName(j.where("l_returnflag = 'R'").select(F.col("s").alias("src"), F.col("cst").alias("dst")))
 
 
-HORIZON = 30
-
-
 def _flows(spark: SparkSession, d: str) -> DataFrame:
-    """Daily cash flows by kind, dense over the horizon."""
-    e = ev(spark, d).withColumn("day", F.datediff(F.to_date("ts"), ntz(PATH_START).cast("date")))
+    """Daily cash flows by kind, dense from the first day of the data to the last."""
+    e = ev(spark, d)
+    first, last = e.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    e = e.where("ts is not null").withColumn("day", F.datediff(F.to_date("ts"), F.lit(first)))
+    days = (last - first).days if first else 0
     t = F.col("transaction_type")
     amt = lambda *k: F.round(F.coalesce(F.sum(F.when(t.isin(*k), F.abs("amount"))), F.lit(0.0)), 2)
     daily = e.groupBy(F.col("user_id").alias("path_id"), "day").agg(
         amt("INCOME").alias("income"), amt("EXPENSE_ESSENTIAL").alias("essential"),
         amt("EXPENSE_DISCRETIONARY").alias("discretionary"), amt("EMI_PAYMENT", "SUBSCRIPTION").alias("emi"))
-    grid = daily.select("path_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(HORIZON - 1))))
+    grid = daily.select("path_id").distinct().withColumn("day", F.explode(F.sequence(F.lit(0), F.lit(days))))
     cols = ["income", "essential", "discretionary", "emi"]
     return grid.join(daily, ["path_id", "day"], "left").fillna(0.0, subset=cols)
 

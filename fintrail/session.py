@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,6 +22,7 @@ def get_spark(app: str = "fintrail", master: str | None = None, **conf: str) ->
         # rows here are heavy to compute and light to move: keep small shuffles on all cores
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for k, v in settings.items():
@@ -40,7 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a shared folder")
     made = tempfile.mkdtemp(prefix="fintrail-")
     spark.sparkContext.setCheckpointDir(made)
@@ -52,15 +54,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spreads a scan over the cores when its files give fewer tasks than there are cores.
-
-    On large inputs, which split into many tasks, this adds nothing to the plan.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Materialise reliably and drop the lineage, so a lost executor costs one stage."""
     spark = df.sparkSession

@@ -11,7 +11,6 @@ from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,10 +47,10 @@ def put(df: DataFrame, path: str, batch_id: int, *parts: str) -> None:
 
 def stored_rows(spark: SparkSession, path: str) -> DataFrame | None:
     """Everything written so far, or None before the first batch."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
         return None
+    return spark.read.parquet(path)
 
 
 def before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
