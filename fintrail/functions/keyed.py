@@ -140,23 +140,9 @@ def order_statistics(df: DataFrame, groups: Sequence[str], value: str,
         *[F.max(F.when(F.col("_w.k") == k, F.col(value))).alias(k) for k in ranks])
 
 
-SMALL_GROUP = 200_000
-
-
 def quantiles(df: DataFrame, groups: Sequence[str], value: str,
-              probs: dict[str, float], small: int = SMALL_GROUP) -> DataFrame:
-    """Exact linearly interpolated quantiles.
-
-    Groups of at most `small` rows - checked by a count - use the built-in
-    percentile, which holds a group's values in one task; otherwise the
-    distributed order statistics give the same values.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
-    largest = counts.agg(F.max("n")).first()[0]
-    if largest is None or largest <= small:
-        q = df.where(F.col(value).isNotNull()).groupBy(*groups).agg(
-            F.count(F.lit(1)).alias("n"), F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
-        return q.select(*groups, "n", *[F.col("_q")[i].alias(name) for i, name in enumerate(probs)])
+              probs: dict[str, float]) -> DataFrame:
+    """Exact linearly interpolated quantiles, by distributed order statistics."""
     ranks, spots = {}, {}
     for name, p in probs.items():
         spot = F.lit(float(p)) * (F.col("n") - 1)

@@ -128,8 +128,13 @@ def js_divergence(p: list[Column], q: list[Column]) -> Column:
 
 
 def identity_shift(df: DataFrame, categories: list[str]) -> DataFrame:
-    """Change of spending identity; reads mix30_* and mix90_* next to the features."""
+    """Change of spending identity; reads mix30_* and mix90_* next to the features.
+
+    Without a mix the number of shifted categories, out of ten, stands for the divergence.
+    """
     js = js_divergence([c(f"mix30_{x}") for x in categories], [c(f"mix90_{x}") for x in categories])
+    none = F.coalesce(*[c(f"{m}_{x}") for m in ("mix30", "mix90") for x in categories]).isNull()
+    js = F.when(none, rnd(F.least(c("merchant_category_shift_count") / 10.0, F.lit(1.0)), 4)).otherwise(js)
     change = F.least(F.abs(c("discretionary_30d") - c("discretionary_90d")) / F.greatest(c("discretionary_90d"), F.lit(1.0)), F.lit(1.0))
     infl = F.least(F.abs("lifestyle_inflation_trend"), F.lit(1.0))
     d = df.withColumn("js_divergence", js).withColumn("disc_change", rnd(change, 4))

@@ -233,21 +233,25 @@ CTES["regular"] = f"""SELECT user_id, CASE WHEN ok THEN {r('sd / (mean + 1e-9)')
     SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS g FROM ev) GROUP BY user_id)"""
 _MULE = r("""least(1.0::DOUBLE, CASE WHEN daily_avg_throughput_30d > 200000 THEN least((daily_avg_throughput_30d - 200000) / 200000.0, 1.0) * 0.4 ELSE 0.0 END
   + CASE WHEN discretionary_ratio <= 0.02 THEN 0.35 ELSE 0.0 END + CASE WHEN cash_buffer_days < 2 THEN 0.15 ELSE 0.0 END + CASE WHEN debit_failure_rate_90d < 0.01 THEN 0.10 ELSE 0.0 END)""")
-_HUB = r("""CASE WHEN total_outflow = 0 THEN 0.0 ELSE CASE WHEN top_receiver_share >= 0.8 THEN 0.6::DOUBLE ELSE 0.0 END
+_HUB = r("""CASE WHEN coalesce(total_outflow, 0) = 0 THEN 0.0 ELSE CASE WHEN top_receiver_share >= 0.8 THEN 0.6::DOUBLE ELSE 0.0 END
   + CASE WHEN inflow_sources > 5 AND top_receiver_share > 0.6 THEN 0.25 ELSE 0.0 END + CASE WHEN pagerank >= 0.10 THEN 0.15 ELSE 0.0 END END""")
 CTES["bot"] = f"""SELECT *, CASE WHEN consistency_score >= 0.7 THEN 'CRITICAL' WHEN consistency_score >= 0.45 THEN 'HIGH' WHEN consistency_score >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS bot_risk,
   regular_flag AND consistency_score > 0.5 AS is_bot, mule_score > 0.6 OR (hub_score > 0.5 AND mule_score > 0.35) AS is_mule FROM (
   SELECT *, {r('least(1.0::DOUBLE, CASE WHEN regular_flag THEN 0.8 ELSE 0 END * 0.35 + hub_score * 0.40 + mule_score * 0.25)')} AS consistency_score FROM (
-    SELECT f.user_id, g.regular_flag, {_MULE} AS mule_score, {_HUB} AS hub_score FROM fv f JOIN profiles p USING (user_id)
-    JOIN regular g USING (user_id) JOIN flow USING (node) JOIN ranked USING (node)))"""
+    SELECT f.user_id, coalesce(g.regular_flag, FALSE) AS regular_flag, {_MULE} AS mule_score, {_HUB} AS hub_score FROM fv f LEFT JOIN profiles p USING (user_id)
+    LEFT JOIN regular g USING (user_id) LEFT JOIN flow USING (node) LEFT JOIN ranked USING (node)))"""
 BOT = ["mule_score", "hub_score", "consistency_score", "is_bot", "is_mule", "bot_risk"]
 
 
 def bots(spark, d):
+    """Users without a region, gaps or transfers score as if these were zero."""
     p = T.profiles(spark, d).select("user_id", "node")
     reg = O.interval_regularity(T.ev(spark, d)).select("user_id", "regular_flag")
-    return V.bot_scores(T.feature_table(spark, d).join(p, "user_id").join(reg, "user_id")
-                        .join(TL.flow_concentration(T.edges(spark, d)), "node").join(ranks(spark, d), "node"))
+    flow = TL.flow_concentration(T.edges(spark, d))
+    j = (T.feature_table(spark, d).join(p, "user_id", "left").join(reg, "user_id", "left")
+         .join(flow, "node", "left").join(ranks(spark, d), "node", "left"))
+    zero = {n: 0 for n in ("total_outflow", "top_receiver_share", "inflow_sources", "pagerank")}
+    return V.bot_scores(j.fillna({"regular_flag": False, **zero}))
 
 
 @query("v3_mule_scores", f"SELECT user_id, {', '.join(BOT)} FROM bot")
@@ -273,8 +277,8 @@ CTES["under"] = f"""SELECT *, CASE WHEN s >= 0.80 THEN 'CRITICAL' WHEN s >= 0.65
   s AS underreport_score, s >= 0.65 AS is_underreporting FROM (SELECT *, {r('1 / (1 + exp(-greatest(-700.0, least(700.0, z))))')} AS s, {r('z')} AS income_z FROM (
   SELECT *, (seen - declared) / (CASE WHEN cstd > 100 THEN cstd ELSE greatest(declared * 0.3, 1000.0) END + 1e-9) AS z, {r('seen', 2)} AS observed_income FROM (
     SELECT f.user_id, greatest(f.income_90d / 3.0 * (1 - least(f.cash_dependency_index * 1.5, 0.9)), 0.0) AS seen, k.cstd,
-      CASE WHEN dc.declared_income > 0 THEN dc.declared_income WHEN k.cmean <> 0 THEN k.cmean ELSE 1.0 END AS declared
-    FROM fv f JOIN (SELECT c_custkey AS user_id, c_acctbal AS declared_income FROM customer) dc USING (user_id)
+      CASE WHEN dc.declared_income > 0 THEN dc.declared_income WHEN f.income_90d > 0 THEN f.income_90d / 3.0 WHEN k.cmean <> 0 THEN k.cmean ELSE 1.0 END AS declared
+    FROM fv f LEFT JOIN (SELECT c_custkey AS user_id, c_acctbal AS declared_income FROM customer) dc USING (user_id)
     JOIN (SELECT income_band, {r('avg(income_90d / 3.0)', 2)} AS cmean, {r('coalesce(stddev_samp(income_90d / 3.0), 0.0)', 2)} AS cstd FROM fv GROUP BY 1) k USING (income_band))))"""
 UNDER = ["observed_income", "income_z", "underreport_score", "is_underreporting", "underreport_risk"]
 
@@ -284,7 +288,10 @@ def under(spark, d):
     k = f.groupBy("income_band").agg(rnd(F.avg(c("income_90d") / 3.0), 2).alias("cohort_mean_income"),
                                      rnd(F.coalesce(F.stddev_samp(c("income_90d") / 3.0), F.lit(0.0)), 2).alias("cohort_std_income"))
     dec = T.table(spark, d, "customer").select(c("c_custkey").alias("user_id"), c("c_acctbal").alias("declared_income"))
-    return V.underreporting(f.join(dec, "user_id").join(F.broadcast(k), "income_band"))      # three bands
+    # without a declared income the 90-day income stands for it
+    f = f.join(dec, "user_id", "left").withColumn(
+        "declared_income", F.when(c("declared_income") > 0, c("declared_income")).otherwise(c("income_90d") / 3.0))
+    return V.underreporting(f.join(F.broadcast(k), "income_band"))      # three bands
 
 
 @query("v5_underreporting", f"SELECT user_id, {', '.join(UNDER)} FROM under")
@@ -302,7 +309,7 @@ CTES["js"] = f"SELECT user_id, {r(f'''least(1.0::DOUBLE, sum(0.5 * {_kl('p', '((
 CTES["shifted"] = f"""SELECT *, CASE WHEN identity_score >= 0.70 THEN 'CRITICAL' WHEN identity_score >= 0.45 THEN 'HIGH' WHEN identity_score >= 0.25 THEN 'MEDIUM' ELSE 'LOW' END AS identity_risk,
   identity_score >= 0.45 AS is_shifted FROM (SELECT user_id, js_divergence, {r('js_divergence * 0.5 + change * 0.5')} AS drift_score,
     {r('least(1.0::DOUBLE, js_divergence * 0.45 + change * 0.30 + least(abs(lifestyle_inflation_trend), 1.0) * 0.25)')} AS identity_score FROM (
-    SELECT f.*, j.js_divergence, least(1.0::DOUBLE, abs(discretionary_30d - discretionary_90d) / greatest(discretionary_90d, 1.0)) AS change FROM fv f JOIN js j USING (user_id)))"""
+    SELECT f.*, coalesce(j.js_divergence, {r('least(f.merchant_category_shift_count / 10.0, 1.0)')}) AS js_divergence, least(1.0::DOUBLE, abs(discretionary_30d - discretionary_90d) / greatest(discretionary_90d, 1.0)) AS change FROM fv f LEFT JOIN js j USING (user_id)))"""
 SHIFT = ["js_divergence", "drift_score", "identity_score", "is_shifted", "identity_risk"]
 
 
@@ -311,7 +318,7 @@ def shift(spark, d):
     from datetime import datetime
     e = T.ev(spark, d)
     ref = datetime(2024, 2, 15)           # 30 days back is 16 January, 90 days back is before the first event
-    return V.identity_shift(T.feature_table(spark, d).join(FT.spend_mix(e, ref, K.CATEGORIES), "user_id"), K.CATEGORIES)
+    return V.identity_shift(T.feature_table(spark, d).join(FT.spend_mix(e, ref, K.CATEGORIES), "user_id", "left"), K.CATEGORIES)
 
 
 @query("v6_identity_shift", f"SELECT user_id, {', '.join(SHIFT)} FROM shifted")
@@ -320,17 +327,17 @@ def v6(spark, d):
 
 
 _RANK = lambda n: f"CASE {n} WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END"
-CTES["vigil"] = f"""SELECT user_id, {r('least(1.0::DOUBLE, fraud_confidence * 0.30 + coalesce(scam_probability, 0) * 0.20 + consistency_score * 0.20 + stress_score * 0.10 + underreport_score * 0.10 + identity_score * 0.10)')} AS deception_score,
+CTES["vigil"] = f"""SELECT user_id, {r('least(1.0::DOUBLE, coalesce(fraud_confidence, 0) * 0.30 + coalesce(scam_probability, 0) * 0.20 + consistency_score * 0.20 + stress_score * 0.10 + underreport_score * 0.10 + identity_score * 0.10)')} AS deception_score,
   list_extract(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], 1 + greatest({', '.join(_RANK(n) for n in ('ring_risk', 'scam_risk', 'bot_risk', 'stress_risk', 'underreport_risk', 'identity_risk'))})) AS overall_risk,
-  fraud_ring_flag, fraud_confidence, coalesce(scam_probability, 0.0) AS scam_probability
-  FROM profiles p JOIN verdict USING (node) JOIN bot USING (user_id) JOIN stressed USING (user_id) JOIN under USING (user_id) JOIN shifted USING (user_id)
+  coalesce(fraud_ring_flag, FALSE) AS fraud_ring_flag, coalesce(fraud_confidence, 0.0) AS fraud_confidence, coalesce(scam_probability, 0.0) AS scam_probability
+  FROM profiles p LEFT JOIN verdict USING (node) JOIN bot USING (user_id) JOIN stressed USING (user_id) JOIN under USING (user_id) JOIN shifted USING (user_id)
   LEFT JOIN worst_msg w USING (user_id)"""
 
 
 def vigil(spark, d):
     p = T.profiles(spark, d).select("user_id", "node")
     j = (bots(spark, d).select("user_id", "consistency_score", "bot_risk")
-         .join(p, "user_id").join(verdicts(spark, d), "node")
+         .join(p, "user_id").join(verdicts(spark, d), "node", "left").fillna({"fraud_confidence": 0.0, "fraud_ring_flag": False})
          .join(V.stress(T.feature_table(spark, d)).select("user_id", "stress_score", "stress_risk"), "user_id")
          .join(under(spark, d).select("user_id", "underreport_score", "underreport_risk"), "user_id")
          .join(shift(spark, d).select("user_id", "identity_score", "identity_risk"), "user_id")

@@ -38,10 +38,11 @@ def _summary_sql() -> str:
         outer.append(f"event_count_{w}d")
         outer.append(r(f"total_income_{w} - total_essential_{w} - total_discretionary_{w} - emi_{w} - subscription_{w}", 2)
                      + f" AS net_cashflow_{w}d")
-    return f"""SELECT b.user_id, {', '.join(outer)}, c.breakdown AS category_breakdown_30d FROM (
-      SELECT user_id, {', '.join(parts)} FROM aged GROUP BY user_id) b
-    LEFT JOIN (SELECT user_id, string_agg(merchant_category || '=' || CAST(round(v * 100) AS BIGINT), ',' ORDER BY merchant_category) AS breakdown
-      FROM (SELECT user_id, merchant_category, round(sum(abs(amount)), 2) AS v FROM aged WHERE age <= 30 GROUP BY 1, 2) GROUP BY user_id) c USING (user_id)"""
+    maps = " ".join(f"""LEFT JOIN (SELECT user_id, string_agg(merchant_category || '=' || CAST(round(v * 100) AS BIGINT), ',' ORDER BY merchant_category) AS b{w}
+      FROM (SELECT user_id, merchant_category, round(sum(abs(amount)), 2) AS v FROM aged WHERE age <= {w} GROUP BY 1, 2) GROUP BY user_id) USING (user_id)"""
+                    for w in (7, 30, 90))
+    return f"""SELECT b.user_id, {', '.join(outer)}, {', '.join(f"coalesce(b{w}, '') AS category_breakdown_{w}d" for w in (7, 30, 90))} FROM (
+      SELECT user_id, {', '.join(parts)} FROM aged GROUP BY user_id) b {maps}"""
 
 
 TL_SUMMARY = FT._SUMMARY
@@ -50,9 +51,9 @@ TL_SUMMARY = FT._SUMMARY
 @query("a19_window_summary", _summary_sql(), aged=f"SELECT *, {_AGE} AS age FROM ev WHERE {_AGE} <= 90 AND ts <= {REF}")
 def a19(spark, d):
     s = FT.window_summary(T.ev(spark, d), T.REF)
-    flat = F.array_join(F.transform(F.map_entries("category_breakdown_30d"), lambda e: F.concat(
-        e["key"], F.lit("="), F.round(e["value"] * 100, 0).cast("long"))), ",")
-    return s.withColumn("category_breakdown_30d", flat).drop("category_breakdown_7d", "category_breakdown_90d")
+    flat = lambda n: F.coalesce(F.array_join(F.transform(F.array_sort(F.map_entries(n)), lambda e: F.concat(
+        e["key"], F.lit("="), F.round(e["value"] * 100, 0).cast("long"))), ","), F.lit(""))
+    return s.withColumns({n: flat(n) for n in (f"category_breakdown_{w}d" for w in (7, 30, 90))})
 
 
 @query("a20_invoice_value", f"SELECT user_id, {r('gst', 2)} AS gst_30d_value FROM fx_gst")
