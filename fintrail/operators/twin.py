@@ -199,14 +199,14 @@ def latest_per_day(snaps: DataFrame) -> DataFrame:
 
 
 def histories(snaps: DataFrame, risks: int = 20, summaries: int = 10, points: int = 365) -> DataFrame:
-    """Trailing histories of each version, capped by row count as a feature."""
+    """Trailing histories of each version, capped by row count as a feature: the newest risks, summaries and trend points."""
     w = W.partitionBy("user_id").orderBy("version")
     last = lambda n: w.rowsBetween(-(n - 1), 0)
     return snaps.select(
         "user_id", "version", "ts",
         F.collect_list(rnd("risk_score", 4)).over(last(risks)).alias("risk_history"),
         F.collect_list(F.struct("version", "liquidity_health")).over(last(summaries)).alias("feature_history"),
-        F.count(F.lit(1)).over(last(points)).alias("trend_points"))
+        F.collect_list(F.struct("ts", rnd("risk_score", 4).alias("risk_score"))).over(last(points)).alias("trend"))
 
 
 def trajectory_delta(snaps: DataFrame, size: int = 20, sign: int = -1) -> DataFrame:
@@ -251,6 +251,13 @@ def as_of(targets: DataFrame, snaps: DataFrame, cols: list[str], at: str = "ts")
             .select(*targets.columns, *[F.col(f"_found.{n}").alias(f"snap_{n}") for n in cols]))
 
 
+def at_time(users: DataFrame, snaps: DataFrame, at: datetime, cols: list[str]) -> DataFrame:
+    """Each user's latest snapshot up to one moment; nulls for users that have none yet."""
+    last = snaps.where(F.col("ts") <= ntz(at)).groupBy("user_id").agg(
+        F.max_by(F.struct(*cols), F.struct("ts", "version")).alias("_s"))
+    return users.join(last, "user_id", "left").select(*users.columns, *[F.col(f"_s.{n}").alias(n) for n in cols])
+
+
 def at_version(snaps: DataFrame, requests: DataFrame) -> DataFrame:
     return snaps.join(requests, ["user_id", "version"], "left_semi")
 

@@ -49,7 +49,7 @@ def src2(spark, d):
     out = fv.select("user_id", "income_30d", "cash_buffer_days", "anomaly_flag").join(
         gst.select("user_id", "gst_30d_value"), "user_id", "left")
     WR.write_features(out, path, "2024-01-31")
-    back = R.read_features(spark, path)
+    back = R.read_features(spark, path, WR.compact_types(out).withColumn("run_date", F.lit("")).schema, "2024-01-31")
     return back.select("user_id", F.col("run_date").cast("string").alias("run_date"), "anomaly_flag",
                        F.round(F.col("income_30d").cast("double"), 1).alias("income_30d"),
                        rnd(F.col("cash_buffer_days").cast("double"), 2).alias("cash_buffer_days"),

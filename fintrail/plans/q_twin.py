@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from fintrail.functions import constants as K
-from fintrail.functions.numeric import ntz
 from fintrail.operators import twin as TW
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
@@ -100,10 +99,10 @@ def w5(spark, d):
   list({r('risk_score')}) OVER (PARTITION BY user_id ORDER BY version ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS risk_history,
   array_to_string(list(version || ':' || liquidity_health) OVER (PARTITION BY user_id ORDER BY version
     ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), ',') AS feature_history,
-  count(*) OVER (PARTITION BY user_id ORDER BY version ROWS BETWEEN 364 PRECEDING AND CURRENT ROW) AS trend_points
+  list({r('risk_score')}) OVER (PARTITION BY user_id ORDER BY version ROWS BETWEEN 364 PRECEDING AND CURRENT ROW) AS trend
   FROM twin""")
 def w6(spark, d):
-    h = TW.histories(T.twin(spark, d))
+    h = TW.histories(T.twin(spark, d)).withColumn("trend", F.col("trend.risk_score"))
     return h.withColumn("feature_history", F.array_join(F.transform(
         "feature_history", lambda s: F.concat_ws(":", s["version"].cast("string"), s["liquidity_health"])), ","))
 
@@ -199,10 +198,8 @@ def j4(spark, d):
 @query("h1_point_in_time", """SELECT c.user_id, t.version, t.risk_score FROM (SELECT DISTINCT user_id, TIMESTAMP '2024-01-10 12:00:00' AS at FROM ev) c
   ASOF LEFT JOIN twin t ON c.user_id = t.user_id AND c.at >= t.ts""")
 def h1(spark, d):
-    at = datetime(2024, 1, 10, 12)
-    users = T.ev(spark, d).select("user_id").distinct().withColumn("ts", ntz(at))
-    return TW.as_of(users, T.twin(spark, d), ["version", "risk_score"]).select(
-        "user_id", F.col("snap_version").alias("version"), F.col("snap_risk_score").alias("risk_score"))
+    users = T.ev(spark, d).select("user_id").distinct()
+    return TW.at_time(users, T.twin(spark, d), datetime(2024, 1, 10, 12), ["version", "risk_score"])
 
 
 @query("h2_by_version", "SELECT user_id, version, risk_score, persona FROM twin WHERE version = user_id % 5 + 1")

@@ -12,9 +12,15 @@ def read_source(spark: SparkSession, path: str, source: str, schema: T.StructTyp
     return spark.read.schema(schema or RAW[source]).parquet(f"{path}/{source}_chunk_*.parquet")
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
-    """The feature store, every run and partition, with missing numbers as 0."""
-    df = spark.read.option("mergeSchema", "true").parquet(path)
+def read_features(spark: SparkSession, path: str, schema: T.StructType | None = None, run_date: str | None = None) -> DataFrame:
+    """The feature store, one run or every run, with missing numbers as 0.
+
+    With a schema no file footer is opened while planning; a run date prunes the scan to its folder.
+    """
+    r = spark.read.schema(schema) if schema else spark.read.option("mergeSchema", "true")
+    df = r.parquet(path)
+    if run_date is not None:
+        df = df.where(F.col("run_date") == F.lit(run_date))
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
     return df.fillna(0, subset=numeric)
 
