@@ -14,6 +14,7 @@ from fintrail.llm.ngrams import Chars, char_grams, chars_of, sums
 
 BITS = 15                      # 2**BITS feature buckets
 ORDERS = (1, 2, 3)             # characters of an n-gram
+MAX_LANGS = 300                # languages that a model can tell apart: the most frequent ones
 ROWS_PER_LANG = 1500           # bound of the labelled sample that the regression is fitted on
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.01
@@ -110,12 +111,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           rows_per_lang: int = ROWS_PER_LANG) -> LanguageModel:
     """Fits a model on documents with text and language.
 
-    Document frequencies are counted over all of them; the regression sees at most `rows_per_lang` documents of each
+    Of more than MAX_LANGS languages the most frequent are learned. Document frequencies are counted over all of their
+    documents; the regression sees at most `rows_per_lang` documents of each
     language, chosen by a hash of id and text, of which every fifth only sets the temperature. Without any labelled
     document the model knows no language.
     """
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")) \
         .where("text is not null and lang is not null")
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    known = known.where(F.col("lang").isin([r["lang"] for r in most]))
     df, total = document_frequencies(known.select("text"))
     order = W.partitionBy("lang").orderBy("h")
     chosen = (known.select("lang", F.xxhash64("id", "text").alias("h")).withColumn("r", F.row_number().over(order))
