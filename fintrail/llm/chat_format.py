@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from fintrail.llm.common import stored
+
 BUDGET = 512                   # tokens of a window: a quarter for the system turn, a quarter for history, half for targets
 HISTORY_TURNS = 2              # turns repeated before the targets of a window, if they fit their quarter
 TURNS_PER_PART = 128           # turn numbers that are ordered together
@@ -73,7 +75,7 @@ def windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTO
     Turns are ordered by (turn, role, text), null turns first; null roles and texts are empty text; repeated rows are
     turns of their own; a null conv_id is one conversation. Other columns are left out. An empty table gives none.
     """
-    turns = placed_turns(conversations, budget)
+    turns = stored(placed_turns(conversations, budget), "turns")     # five branches below read it
     key = ["conv_id", "span"]
     body = turns.where(~F.col("is_system"))
     firsts = body.groupBy(*key).agg(F.min("pos").alias("first_pos"))
