@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fintrail.llm.common import LOWER, Words, fold_of, mix, row_key, slices, stored, words_of
 
-TOP_WORDS = 1023               # words that the model tells apart; with the end of text they are classes of their own
-SPELLINGS = 512                # classes of all other words, by their first letters
+TOP_WORDS = 767                # words that the model tells apart; with the end of text they are classes of their own
+SPELLINGS = 256                # classes of all other words, by their first letters
 CLASSES = 1 + TOP_WORDS + SPELLINGS
 HEAD = 200_000                 # words whose counts every task holds; the counts of all others are joined
 DIM, STEPS, NOISE, RATE = 40, 150, 8.0, 0.05
@@ -64,13 +64,13 @@ def word_counts(train: DataFrame) -> DataFrame:
 
 
 def _head(counts: DataFrame) -> Head:
-    rows = counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
-    classes = np.full(len(rows), -1)
-    top = min(TOP_WORDS, len(rows))
+    rows = counts.where(F.col("h") != END).orderBy(F.desc("c"), "h").limit(HEAD).select("h", "c").toArrow()
+    classes = np.full(rows.num_rows, -1)
+    top = min(TOP_WORDS, rows.num_rows)
     classes[:top] = np.arange(1, top + 1)
-    h = rows["h"].to_numpy(np.int64).view(np.uint64)
+    h = rows["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    return Head(h[order], rows["c"].to_numpy(np.int64)[order], classes[order])
+    return Head(h[order], rows["c"].to_numpy()[order], classes[order])
 
 
 def _sequence(w: Words, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,9 +94,9 @@ def pair_counts(train: DataFrame, head: Head) -> np.ndarray:
             pair, n = np.unique(before * CLASSES + now, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], names=["pair", "n"])
 
-    rows = train.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    rows = train.select("text").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(CLASSES * CLASSES, np.float32)
-    out[rows["pair"].to_numpy(np.int64)] = rows["n"].to_numpy(np.float32)
+    out[rows["pair"].to_numpy()] = rows["n"].to_numpy()
     return out.reshape(CLASSES, CLASSES)
 
 
@@ -117,13 +117,21 @@ def fit(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m, v = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
     # contexts weigh by the square root of their counts, so that rare ones are learned as well
     scale = (1 / np.sqrt(np.maximum(after, 1)))[:, None].astype(np.float32)
-    data, fake = pairs * scale, after[:, None] * scale * (NOISE * noise)[None, :].astype(np.float32)
+    data = pairs * scale
+    both = (after[:, None] * scale) * (NOISE * noise)[None, :].astype(np.float32) + data
     total = max(float(data.sum()), 1.0)
     pull = np.float32(PENALTY / total)
     for t in range(1, STEPS + 1):
-        odds = p[0] @ p[1].T + p[2] - offset
-        is_data = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        g = (fake * is_data - data * (1 - is_data)) / total
+        # in place, as the arrays are what the driver holds: log odds, share that is data, gradient
+        g = p[0] @ p[1].T
+        g += p[2] - offset
+        np.clip(g, -30, 30, out=g)
+        np.exp(np.negative(g, out=g), out=g)
+        g += 1
+        np.reciprocal(g, out=g)
+        g *= both
+        g -= data
+        g /= np.float32(total)
         grads = [g @ p[1] + pull * p[0], g.T @ p[0] + pull * p[1], g.sum(0)]
         rate = RATE * min(1.0, 2 * (1 - t / (STEPS + 1)))
         for i in range(3):
