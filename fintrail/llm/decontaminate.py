@@ -60,7 +60,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def postings(index: DataFrame) -> DataFrame:
-    """(key, term, pos), one row per kept word of each different document."""
+    """(key, term, pos), one row per kept word of each document."""
     zipped = F.arrays_zip("terms", "positions")
     return (index.select("key", F.explode(zipped).alias("z"))
             .select("key", F.col("z.terms").alias("term"), F.col("z.positions").alias("pos")))
@@ -105,7 +105,8 @@ def phrase_hits(index: DataFrame, seq_terms: DataFrame, window: int = WINDOW) ->
               .select("key", "seq", "shift", F.explode(F.sequence(F.col("aq") - (window - 1), F.col("aq") + (window - 1))).alias("q"))
               .where("q >= 0").distinct())
     wanted = places.join(ranked.select("seq", "n", "q", "term"), ["seq", "q"]).withColumn("pos", F.col("q") + F.col("shift"))
-    agree = wanted.join(post, ["key", "term", "pos"]).select("key", "seq", "n", "shift", "q", "pos")
+    # repeated rows share a key: their equal postings count once
+    agree = wanted.join(post, ["key", "term", "pos"]).select("key", "seq", "n", "shift", "q", "pos").distinct()
     line = W.partitionBy("key", "seq", "shift").orderBy("q")
     runs = agree.withColumn("run", F.col("q") - F.row_number().over(line))
     sized = runs.withColumn("length", F.count(F.lit(1)).over(W.partitionBy("key", "seq", "shift", "run")))

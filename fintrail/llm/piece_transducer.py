@@ -254,7 +254,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     return slim.mapInArrow(run, f"id {kind}, token_ids array<int>, n_tokens long" + (", decoded string" if check else ""))
 
 
-def decode(tokens: DataFrame, model: str = MODEL, id_col: str = "doc_id", tokens_col: str = "token_ids") -> DataFrame:
+def decode(tokens: DataFrame, model: str = MODEL, id_col: str = "id", tokens_col: str = "token_ids") -> DataFrame:
     """Per row: id and text. Null ids of a row decode to null; ids outside the model are an error."""
     kind = dict(tokens.dtypes)[id_col]
     shared = tokens.sparkSession.sparkContext.broadcast(load(model))
