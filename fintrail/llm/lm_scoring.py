@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fintrail.llm.common import LOWER, Words, fold_of, mix, row_key, slices, stored, words_of
 
-TOP_WORDS = 767                # words that the model tells apart; with the end of text they are classes of their own
-SPELLINGS = 256                # classes of all other words, by their first letters
+TOP_WORDS = 1_023              # words that the model tells apart; with the end of text they are classes of their own
+SPELLINGS = 512                # classes of all other words, by their first letters
 CLASSES = 1 + TOP_WORDS + SPELLINGS
 HEAD = 200_000                 # words whose counts every task holds; the counts of all others are joined
 DIM, STEPS, NOISE, RATE = 40, 150, 8.0, 0.05

@@ -205,6 +205,22 @@ def test_lm_scores(spark, monkeypatch):
     assert LM.score_documents(docs(spark, [])).count() == 0
 
 
+def test_lm_learns_words_beyond_the_767th(spark):
+    """Each word has one successor; the rarer 233 begin alike, so in a class by spelling they could only be guessed."""
+    ring = {"comm": 767, "rare": 233}
+    walk = lambda kind, at: " ".join(f"{kind}{(at + k) % ring[kind]}" for k in range(ring[kind]))
+    rows = [(i, walk("rare" if i % 3 == 0 else "comm", 37 * i)) for i in range(90)]
+    out = LM.score_documents(docs(spark, rows)).where("held_out").collect()
+    rare = [r for r in out if r.id % 3 == 0]
+    assert len(rare) > 2 and all(r.score > r.base_score for r in out)
+    assert all(r.score / r.n_tokens > math.log10(1 / ring["rare"]) + 0.3 for r in rare)
+
+
+def test_lm_beats_word_counts_on_held_out_documents(spark):
+    out = LM.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
+    assert len(out) > 100 and sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
 def test_lm_probabilities_add_up():
     rng = np.random.default_rng(0)
     pairs = np.zeros((LM.CLASSES, LM.CLASSES), np.float32)
