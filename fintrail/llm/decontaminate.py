@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from fintrail.llm.common import byte_map, row_key, slices, stored, words_of
 
 WINDOW = 10                    # words of a passage
+SENT_STARTS = 100_000          # passages that are sent to every task (10 MB); more are joined by a shuffle
 FILTER_TERMS = 1_000_000       # the index keeps benchmark terms alone only up to this checked count of them (16 MB)
 
 INDEX = "key long, id {id}, n_words long, terms array<long>, positions array<int>"
@@ -22,12 +23,14 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                terms: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+                terms: tuple[np.ndarray, np.ndarray] | None = None, within: int | None = None) -> DataFrame:
     """The stored index: for each document its key, id, word count, and the terms (word hashes) with their positions.
 
     With `terms` (sorted hashes, and for each the length of the shortest passage it is part of) only postings are kept
-    that some passage can use: the word lies in a run of listed words at least as long as that passage. Whole texts
-    are read; null and empty texts have no words. Other columns are left out.
+    that some passage can use: the word lies in a run of listed words at least as long as that passage. With `within`
+    the words may lie apart: the lengths are the least numbers of different terms in a passage, and so many listed
+    words must lie at most `within` words before or after, the word itself included. Whole texts are read; null and
+    empty texts have no words. Other columns are left out.
     """
     kind = dict(docs.dtypes)[id_col]
     slim = docs.select(row_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -39,14 +42,21 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             if terms is not None and len(terms[0]):
                 at = np.minimum(np.searchsorted(terms[0], w.hashes), len(terms[0]) - 1)
                 listed = terms[0][at] == w.hashes
-                begins = listed.copy()
-                begins[1:] &= ~listed[:-1]
-                inner = w.bounds[(w.bounds > 0) & (w.bounds < len(listed))]
-                begins[inner] = listed[inner]
-                run = np.cumsum(begins) - 1
-                length = np.bincount(run[listed], minlength=1)
                 sel = np.flatnonzero(listed)
-                sel = sel[length[run[sel]] >= terms[1][at[sel]]]
+                if within is not None:
+                    doc = w.docs()[sel]
+                    total = np.append(0, np.cumsum(listed))
+                    near = (total[np.minimum(sel + within + 1, w.bounds[doc + 1])]
+                            - total[np.maximum(sel - within, w.bounds[doc])])
+                    sel = sel[near >= terms[1][at[sel]]]
+                else:
+                    begins = listed.copy()
+                    begins[1:] &= ~listed[:-1]
+                    inner = w.bounds[(w.bounds > 0) & (w.bounds < len(listed))]
+                    begins[inner] = listed[inner]
+                    run = np.cumsum(begins) - 1
+                    length = np.bincount(run[listed], minlength=1)
+                    sel = sel[length[run[sel]] >= terms[1][at[sel]]]
             elif terms is not None:
                 sel = sel[:0]
             cut = np.searchsorted(sel, w.bounds)
@@ -75,8 +85,9 @@ def benchmark_terms(benchmark: DataFrame, id_col: str = "item_id", text_col: str
     return seqs.select("seq", "n", F.posexplode("terms").alias("q", "term")), ids
 
 
-def _collect_terms(seq_terms: DataFrame, window: int) -> tuple[np.ndarray, np.ndarray] | None:
-    need = seq_terms.groupBy("term").agg(F.min(F.least("n", F.lit(window))).alias("least"))
+def _collect_terms(needs: DataFrame) -> tuple[np.ndarray, np.ndarray] | None:
+    """The terms of needs(term, need) with the least need of each; None if there are too many to be sent out."""
+    need = needs.groupBy("term").agg(F.min("need").alias("least"))
     if need.limit(FILTER_TERMS + 1).count() > FILTER_TERMS:
         return None
     got = need.toPandas()
@@ -113,22 +124,77 @@ def phrase_hits(index: DataFrame, seq_terms: DataFrame, window: int = WINDOW) ->
     return sized.where(F.col("length") >= span).select("key", "seq", "pos")
 
 
+def _passages(seq_terms: DataFrame, window: int) -> DataFrame:
+    """Each passage as its different terms, once a sequence: (seq, want)."""
+    ahead = W.partitionBy("seq").orderBy("q").rowsBetween(0, window - 1)
+    return (seq_terms.withColumn("want", F.array_sort(F.array_distinct(F.collect_list("term").over(ahead))))
+            .where(F.col("q") + F.least("n", F.lit(window)) <= F.col("n")).select("seq", "want").distinct())
+
+
 def proximity_hits(index: DataFrame, seq_terms: DataFrame, within: int = WINDOW) -> DataFrame:
-    """Documents in which the two rarest indexed terms of a sequence lie at most `within` words apart: (key, seq).
+    """Documents with all terms of a passage at most `within` words apart, in any order: (key, seq).
 
-    Needs an index built without a term list. Positions meet in blocks of `within` words and the next block, never all
-    positions of a document with all others.
+    A passage is `within` consecutive words of a sequence, or all of a shorter one; each of its different terms must
+    occur once, so every exact copy of a passage is found. Needs an index built without a term list or with one for
+    `within`. A passage starts from its rarest term in the index; the postings around each place of it are cut from
+    the document's own row of the index, so no posting is shuffled.
     """
-    post = postings(index)
-    count = post.groupBy("term").agg(F.count(F.lit(1)).alias("n_post"))
-    order = W.partitionBy("seq").orderBy("n_post", "term")
-    two = (seq_terms.select("seq", "term").distinct().join(count, "term").withColumn("r", F.row_number().over(order))
-           .where("r <= 2").groupBy("seq").agg(F.min_by("term", "r").alias("a"), F.max_by("term", "r").alias("b")).where("a != b"))
-    block = F.floor(F.col("pos") / within)
-    left = post.join(two.select("seq", F.col("a").alias("term")), "term").select("key", "seq", F.col("pos").alias("pa"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    right = post.join(two.select("seq", F.col("b").alias("term")), "term").select("key", "seq", F.col("pos").alias("pb"), block.alias("block"))
-    return (left.join(right, ["key", "seq", "block"]).where(F.abs(F.col("pa") - F.col("pb")) <= within)
-            .select("key", "seq").distinct())
+    count = postings(index).groupBy("term").agg(F.count(F.lit(1)).alias("n_post"))
+    terms = _passages(seq_terms, within).select("seq", "want", F.explode("want").alias("term")).join(count, "term", "left")
+    least = F.min(F.struct(F.coalesce("n_post", F.lit(0)).alias("n_post"), "term"))
+    starts = stored(terms.groupBy("seq", "want").agg(least.alias("a")).where("a.n_post > 0")
+                    .select("seq", "want", F.col("a.term").alias("start")), "starts")
+    shared = index.sparkSession.sparkContext.broadcast(_collect_terms(starts.select(F.col("start").alias("term"), F.size("want").alias("need"))))
+
+    def around(batches):
+        first = shared.value
+        for b in batches:
+            for k in range(b.num_rows):                        # one document at a time, and of it so many places
+                row = b.slice(k, 1)
+                t, pos = row.column("terms").flatten().to_numpy(), row.column("positions").flatten().to_numpy()
+                places = np.arange(len(t))
+                if first is not None:
+                    at = np.minimum(np.searchsorted(first[0], t.view(np.uint64)), max(0, len(first[0]) - 1))
+                    places = np.flatnonzero(first[0][at] == t.view(np.uint64)) if len(first[0]) else places[:0]
+                for cut in range(0, len(places), 10_000):
+                    p = places[cut:cut + 10_000]
+                    lo, hi = np.searchsorted(pos, pos[p] - within), np.searchsorted(pos, pos[p] + within, side="right")
+                    bounds = np.append(0, np.cumsum(hi - lo))
+                    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1] - lo, hi - lo)
+                    near = pa.StructArray.from_arrays([pa.array(pos[at]), pa.array(t[at])], names=["pos", "term"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.repeat(row.column("key")[0], len(p)), pa.array(t[p]), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), near)],
+                        names=["key", "start", "near"])
+
+    places = index.select("key", "terms", "positions").mapInArrow(around, "key long, start long, near array<struct<pos: int, term: long>>")
+    small = starts.limit(SENT_STARTS + 1).count() <= SENT_STARTS
+    found = places.join(F.broadcast(starts) if small else starts, "start")
+    held = lambda near, want: F.size(F.array_except(want, near)) == 0
+    found = found.where(held(F.col("near.term"), F.col("want")))
+    # the first word of the span that holds them all is one of the postings around
+    spans = lambda x: held(F.transform(F.filter("near", lambda y: y["pos"].between(x["pos"], x["pos"] + within)),
+                                       lambda y: y["term"]), F.col("want"))
+    return found.where(F.exists("near", spans)).select("key", "seq").distinct()
+
+
+def proximity(docs: DataFrame, benchmark: DataFrame, within: int = WINDOW, id_col: str = "doc_id",
+              text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per document: key, doc_id, n_words, n_near_items, near_items_sha256, near: the items that proximity_hits finds.
+
+    Rows, nulls and repeats are as in `contamination`, whose items are all among these.
+    """
+    seq_terms, ids = benchmark_terms(benchmark, item_col, item_text)
+    seq_terms = stored(seq_terms, "terms")
+    needs = _passages(seq_terms, within).select(F.explode("want").alias("term"), F.size("want").alias("need"))
+    index = build_index(docs, id_col, text_col, _collect_terms(needs), within)
+    hits = stored(proximity_hits(index, seq_terms, within), "near")
+    items = (hits.join(ids, "seq").select("key", "item").distinct()
+             .groupBy("key").agg(F.array_sort(F.collect_list("item")).alias("items")))       # a list leaves out nulls
+    out = index.select("key", F.col("id").alias("doc_id"), "n_words").join(items, "key", "left")
+    return out.select(
+        "key", "doc_id", "n_words", F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_near_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")), 256).alias("near_items_sha256"),
+        F.col("items").isNotNull().alias("near"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
@@ -140,7 +206,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, i
     """
     seq_terms, ids = benchmark_terms(benchmark, item_col, item_text)
     seq_terms = stored(seq_terms, "terms")
-    index = build_index(docs, id_col, text_col, _collect_terms(seq_terms, window))
+    index = build_index(docs, id_col, text_col, _collect_terms(seq_terms.select("term", F.least("n", F.lit(window)).alias("need"))))
     hits = stored(phrase_hits(index, seq_terms, window), "hits")
     words = hits.select("key", "pos").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n_hit"))
     items = (hits.select("key", "seq").distinct().join(ids, "seq").where("item is not null")

@@ -49,6 +49,10 @@ def op7_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
 
 
+def op7_proximity(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.proximity(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("key")
+
+
 def op8_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.similarity_classes(table(spark, d, "documents")).select("doc_id", "class_id", "n_links")
 
@@ -64,5 +68,5 @@ def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_piece_transducer, op3_chat_format, op4_lm_scoring, op5_quality_rules, op6_language_id,
-    op7_decontaminate, op8_jaccard_join, op9_substring_dedup, op10_sharding)}
+    op7_decontaminate, op7_proximity, op8_jaccard_join, op9_substring_dedup, op10_sharding)}
 ORACLES = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}

@@ -57,6 +57,21 @@ def classes(rows, k, threshold):
     return [(least.get(top(i)), links[i]) for i in range(len(rows))]
 
 
+def near(texts, items, within):
+    """Ids of the items of which some passage has all terms at most `within` words apart, for each text."""
+    out = []
+    for w in map(terms, texts):
+        spans = [set(w[i:i + within + 1]) for i in range(len(w))]
+        found = set()
+        for no, t in items:
+            p = terms(t)
+            n = min(within, len(p))
+            if n and any(set(p[i:i + n]) <= s for i in range(len(p) - n + 1) for s in spans):
+                found.add(no)
+        out.append(sorted(str(x) for x in found if x is not None))
+    return out
+
+
 def contaminated(texts, items, window):
     """(n_words, n_hit, item ids) of each text."""
     passages = {}

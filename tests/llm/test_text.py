@@ -149,6 +149,34 @@ def test_proximity(spark):
     assert sorted(r.id for r in near) == [1, 3]
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_proximity_of_passages(spark, seed, monkeypatch):
+    """Against brute force; every exact copy of a passage is found, also with terms far apart in the whole item."""
+    rng = random.Random(seed)
+    rows = corpus(seed)
+    words = lambda i: brute.words(rows[i][1])
+    items = [(k, " ".join(words(rng.randrange(40))[:n])) for k, n in enumerate((45, 30, 14, 9, 4), 1)]
+    items += [(6, "w5"), (7, None), (8, ""), (9, "rare1 " + "w1 w2 " * 20 + "rare2"), (None, "w7 w8"), (10, "a b a b a b a b a b a b")]
+    for k, (_, t) in enumerate(items):
+        w = brute.words(t)
+        rows.append((600 + k, t))
+        rows.append((700 + k, "x y " + " ".join(rng.sample(w[:10], len(w[:10])))))
+        rows.append((800 + k, " ".join(x + " z" for x in w)))
+    rows.append((900, rows[-3][1]))
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    want = brute.near([t for _, t in rows], items, 10)
+    exact = brute.contaminated([t for _, t in rows], items, 10)
+    assert all(set(x[2]) <= set(y) for x, y in zip(exact, want))
+    import hashlib
+    sort = lambda x: sorted(x, key=repr)
+    for limit in (D.FILTER_TERMS, 3):
+        monkeypatch.setattr(D, "FILTER_TERMS", limit)
+        got = D.proximity(docs(spark, rows), bench).collect()
+        assert sort((r.doc_id, r.n_near_items, r.near_items_sha256) for r in got) == sort(
+            (i, len(f), hashlib.sha256(",".join(f).encode()).hexdigest()) for (i, _), f in zip(rows, want))
+    assert not any(r.near for r in D.proximity(docs(spark, rows[:5]), bench.limit(0)).collect())
+
+
 def test_quality_measures(spark):
     rows = corpus(5) + [(2000, "l1 a\nl1 a\nl1 b\n\n  \nl1 a"), (2001, "a b c d e f g h " * 5), (2002, "# * $% x\n<>|&\n<>|&"), (2003, "q" * 900 + "\n" + "q" * 900)]
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id int, quality int")
