@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fintrail.llm import (
-    chat_format, decontaminate, jaccard_join, language_id, lm_scoring, piece_transducer, quality_rules, sharding, sql,
-    substring_dedup, url_filters)
+    chat_format, decontaminate, jaccard_join, language_id, lm_scoring, merkle, piece_transducer, quality_rules, sharding, sql,
+    substring_dedup, token_counts, url_filters, whitening)
 from fintrail.llm.common import table
 
 # fixed values: action, host and path of the rules
@@ -66,7 +66,21 @@ def op10_sharding(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents"))
 
 
+def op11_token_counts(spark: SparkSession, d: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, d, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, d: str) -> DataFrame:
+    rows = whitening.whitened_components(table(spark, d, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+def op13_merkle_manifest(spark: SparkSession, d: str) -> DataFrame:
+    return merkle.manifest_check(table(spark, d, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_piece_transducer, op3_chat_format, op4_lm_scoring, op5_quality_rules, op6_language_id,
-    op7_decontaminate, op7_proximity, op8_jaccard_join, op9_substring_dedup, op10_sharding)}
+    op7_decontaminate, op7_proximity, op8_jaccard_join, op9_substring_dedup, op10_sharding, op11_token_counts,
+    op12_embedding_whitening, op13_merkle_manifest)}
 ORACLES = {name: text for name, text in sql.ORACLES.items() if name in QUERIES}

@@ -56,4 +56,49 @@ SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(c
 FROM d LEFT JOIN kept USING (no)
 """
 
-ORACLES = {"op9_substring_dedup": SUBSTRING_DEDUP, "op1_url_filters": URL_FILTERS, "op7_decontaminate": DECONTAMINATE}
+MERKLE_MANIFEST = r"""
+WITH RECURSIVE
+bits AS (
+  SELECT n, n AS v, 0 AS k FROM range(256) AS t(n)
+  UNION ALL SELECT n, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(v ORDER BY n) AS t FROM bits WHERE k = 8),
+d AS (
+  SELECT row_number() OVER () AS no, doc_id, source, text,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0, false) AS even
+  FROM documents, crc),
+leaf AS (
+  SELECT *, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) AS bare FROM d),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r FROM leaf),
+up AS (
+  SELECT source, 0 AS lvl, r AS i, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM placed
+  UNION ALL
+  SELECT source, lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3)
+  FROM up WHERE n > 1 GROUP BY source, lvl, i // 3),
+subs AS (SELECT source, lvl AS depth, h AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS s FROM up WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, s AS i, subroot AS h, count(*) OVER () AS n FROM subs
+  UNION ALL SELECT lvl + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), any_value((n + 2) // 3) FROM top WHERE n > 1 GROUP BY lvl, i // 3),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+runs AS (
+  SELECT no, lvl, coalesce(string_agg(h, '' ORDER BY i) FILTER (i < mine), '') AS a, coalesce(string_agg(h, '' ORDER BY i) FILTER (i > mine), '') AS b
+  FROM (
+    SELECT no, lvl, i, h, r // (3 ** lvl)::BIGINT AS mine FROM placed p JOIN subs ON subs.source IS NOT DISTINCT FROM p.source
+    JOIN up ON up.source IS NOT DISTINCT FROM p.source AND lvl < depth AND i // 3 = r // (3 ** (lvl + 1))::BIGINT
+    UNION ALL
+    SELECT no, depth + lvl, i, top.h, s // (3 ** lvl)::BIGINT FROM placed p JOIN subs ON subs.source IS NOT DISTINCT FROM p.source
+    JOIN top ON top.n > 1 AND i // 3 = s // (3 ** (lvl + 1))::BIGINT)
+  GROUP BY no, lvl),
+proof AS (SELECT no, sha256(string_agg(a || b, '' ORDER BY lvl)) AS proof FROM runs GROUP BY no),
+folded AS (
+  SELECT no, 0 AS lvl, CASE WHEN even THEN bare ELSE leaf END AS h FROM leaf
+  UNION ALL SELECT no, lvl + 1, sha256(a || h || b) FROM folded JOIN runs USING (no, lvl))
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root AS verified
+FROM placed p JOIN subs ON subs.source IS NOT DISTINCT FROM p.source CROSS JOIN root LEFT JOIN proof USING (no)
+JOIN (SELECT no, arg_max(h, lvl) AS h FROM folded GROUP BY no) f USING (no)
+"""
+
+ORACLES = {"op13_merkle_manifest": MERKLE_MANIFEST, "op9_substring_dedup": SUBSTRING_DEDUP, "op1_url_filters": URL_FILTERS, "op7_decontaminate": DECONTAMINATE}
