@@ -51,10 +51,7 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
             sums.append(F.sum(F.when(w[n] & (typ == t), amt)).alias(f"{name}_{n}"))
     late = F.dayofmonth(ts) >= 25
     kind = F.col("txn_kind") if "txn_kind" in ev.columns else F.lit(None).cast("string")
-    # a fixed-width order key keeps the aggregation hash-based; a struct would make it sort all events.
-    # Of equal times the largest event_id is last
-    moment = (F.pmod(micros(ts), F.lit(DAY_MICROS)).cast("decimal(12,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")
-              + F.col("event_id").cast("decimal(20,0)")).cast("decimal(38,0)")
+    moment = _moment()
     return (e.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         *sums,
         *[F.count_if(w[n]).alias(f"n_{n}") for n in (7, 30, 90)],
@@ -81,6 +78,15 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
     ))
 
 
+def _moment() -> Column:
+    """Order of a day's events: of equal times the largest event_id is last.
+
+    A fixed-width key keeps the aggregation hash-based; a struct would make it sort all events.
+    """
+    return (F.pmod(micros(F.col("ts")), F.lit(DAY_MICROS)).cast("decimal(12,0)") * F.lit("1" + "0" * 19).cast("decimal(20,0)")
+            + F.col("event_id").cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
 def near_income(days: DataFrame, reach: int = 3) -> DataFrame:
     """Marks days within `reach` days of a day with income."""
     w = W.partitionBy("user_id").orderBy("dn").rangeBetween(-reach, reach)
@@ -126,7 +132,11 @@ def dip_value(prefix: str = "") -> Column:
 
 def account_features(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
     """All scalar features that need neither merchants nor categories."""
-    d = near_income(user_days(ev, ref, bounded))
+    return _of_days(user_days(ev, ref, bounded))
+
+
+def _of_days(days: DataFrame) -> DataFrame:
+    d = near_income(days)
     keys = [f"{n}_{w}" for n in ("income", "essential", "disc", "emi", "subs") for w in (7, 30, 90)]
     near, far = F.col("near_income"), ~F.col("near_income")
     u = d.groupBy("user_id").agg(
@@ -146,6 +156,75 @@ def account_features(ev: DataFrame, ref: datetime, bounded: bool = True) -> Data
     return u.select("user_id", *_scalars(), F.col("n_90").alias("event_count_90d"), share, "inbound_decayed")
 
 
+# ------------------------------------------- the same from a state of days
+
+_MONEY = {"income": "INCOME", "essential": "EXPENSE_ESSENTIAL", "disc": "EXPENSE_DISCRETIONARY", "emi": "EMI_PAYMENT",
+          "subs": "SUBSCRIPTION"}
+_SUMS = [*_MONEY, "faded", "faded_n", "cash", "outflow", "income_sq", "spend", "net", "in_faded", "disc_abs"]
+_COUNTS = ["n", "n_out", "n_out_failed", "n_failed", "n_income", "n_subs", "n_emi", "n_in", "n_in_p2m"]
+
+
+def day_state(ev: DataFrame) -> DataFrame:
+    """One row per (user, day) that does not depend on a reference time: what a refresh keeps instead of events.
+
+    Weights fade to the end of the day, so that a later reference time only scales them.
+    """
+    ts, amt, typ, st = F.col("ts"), F.col("amount"), F.col("transaction_type"), F.col("status")
+    kind = F.col("txn_kind") if "txn_kind" in ev.columns else F.lit(None).cast("string")
+    fade, disc, inbound = _fade(ts, _day_end(ts)), typ == "EXPENSE_DISCRETIONARY", amt > 0
+    return ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+        *[F.sum(F.when(typ == t, amt)).alias(n) for n, t in _MONEY.items()],
+        F.sum(F.abs(amt) * fade).alias("faded"), F.sum(fade).alias("faded_n"),
+        F.sum(F.when(F.col("merchant_category") == "CASH_ATM", F.abs(amt))).alias("cash"),
+        F.sum(F.when(amt < 0, -amt)).alias("outflow"), F.sum(F.when(typ == "INCOME", amt * amt)).alias("income_sq"),
+        F.sum(F.when(typ.isin(SPEND) & (amt < 0), -amt)).alias("spend"), F.sum(amt).alias("net"),
+        F.sum(F.when(inbound, amt * fade)).alias("in_faded"), F.sum(F.when(disc, F.abs(amt))).alias("disc_abs"),
+        F.count(F.lit(1)).alias("n"), F.count_if(amt < 0).alias("n_out"),
+        F.count_if((amt < 0) & (st == "FAILED")).alias("n_out_failed"), F.count_if(st == "FAILED").alias("n_failed"),
+        F.count_if(typ == "INCOME").alias("n_income"), F.count_if(typ == "SUBSCRIPTION").alias("n_subs"),
+        F.count_if(typ == "EMI_PAYMENT").alias("n_emi"), F.count_if(inbound).alias("n_in"),
+        F.count_if(inbound & (kind == "P2M")).alias("n_in_p2m"),
+        F.max_by(F.when(disc, F.abs(amt)), F.when(disc, _moment())).alias("disc_last"),
+        F.max(F.when(disc, _moment())).alias("disc_at"), F.max("ts").alias("high"))
+
+
+def merged_days(days: DataFrame) -> DataFrame:
+    """Rows of one (user, day) from several deliveries, added up."""
+    return days.groupBy("user_id", "day").agg(
+        *[F.sum(x).alias(x) for x in (*_SUMS, *_COUNTS)], F.max_by("disc_last", "disc_at").alias("disc_last"),
+        F.max("disc_at").alias("disc_at"), F.max("high").alias("high"))
+
+
+def first_day_needed(ref: datetime) -> datetime:
+    """Days before this one have left every window of `ref` and of later reference times."""
+    return min(ref - timedelta(days=90), _months_back(ref)[1])
+
+
+def account_features_of_days(days: DataFrame, ref: datetime) -> DataFrame:
+    """`account_features` at a midnight, from rows of `day_state`."""
+    if ref != ref.replace(hour=0, minute=0, second=0, microsecond=0):
+        raise ValueError("days can only be taken out whole: the reference time must be a midnight")
+    day, c = F.col("day").cast("timestamp_ntz"), F.col
+    cur, prev = _months_back(ref)
+    w = {n: day >= ntz(ref - timedelta(days=n)) for n in (7, 30, 90)}
+    d = days.where((day >= ntz(first_day_needed(ref))) & (day < ntz(ref)))
+    in_w = lambda n, x: F.when(w[n], c(x))                              # noqa: E731
+    count = lambda n, x: F.when(w[n], c(x)).otherwise(F.lit(0))         # noqa: E731
+    later = _fade(_day_end(day), ntz(ref))
+    late = F.dayofmonth("day") >= 25
+    return _of_days(d.select(
+        "user_id", "day", *[in_w(n, m).alias(f"{m}_{n}") for m in _MONEY for n in (7, 30, 90)],
+        *[count(n, "n").alias(f"n_{n}") for n in (7, 30, 90)],
+        (in_w(30, "faded") * later).alias("decayed"), (in_w(30, "faded_n") * later).alias("decayed_n"),
+        *[count(90, x).alias(x) for x in ("n_out", "n_out_failed", "n_failed", "n_income", "n_emi")],
+        *[count(30, x).alias(x) for x in ("n_subs", "n_in", "n_in_p2m")],
+        *[in_w(90, x).alias(x) for x in ("cash", "outflow", "income_sq", "spend", "disc_last")],
+        F.when(w[90] & late, c("net")).alias("late_net"), F.when(w[90] & ~late, c("net")).alias("early_net"),
+        (in_w(30, "in_faded") * later).alias("in_decayed"),
+        F.when(day >= ntz(cur), c("disc_abs")).alias("disc_cur"),
+        F.when((day >= ntz(prev)) & (day < ntz(cur)), c("disc_abs")).alias("disc_prev")))
+
+
 def _scalars() -> list[Column]:
     c = F.col
     out30 = c("essential_30") + c("disc_30") + c("emi_30") + c("subs_30")

@@ -2,21 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions.keyed import gap_moments, with_halo, with_position
 from fintrail.functions.numeric import micros, rnd
-
-HISTORY = 200
-TIMES = 50
-WARM = 10
-SIGMAS = 3.0
-BURST = 5
-CHUNK = 20_000
+from fintrail.operators.stateful import BURST, CHUNK, HISTORY, SIGMAS, WARM
 
 
 def interval_regularity(df: DataFrame, key: str = "user_id", threshold: float = 0.05, least: int = 5) -> DataFrame:
@@ -57,54 +47,6 @@ def rolling_flags(ev: DataFrame) -> DataFrame:
                     burst.alias("burst_flag"))
 
 
-class AnomalyState:
-    """What the stateful check remembers of a user: last 200 amounts, last 50 times."""
-
-    __slots__ = ("amounts", "times")
-
-    def __init__(self, amounts=(), times=()):
-        self.amounts, self.times = list(amounts)[-HISTORY:], list(times)[-TIMES:]
-
-    def check(self, amount: float, t: int, failed: bool) -> bool:
-        if failed:
-            return True
-        if len(self.amounts) >= WARM:
-            a = np.asarray(self.amounts)
-            sigma = a.std(ddof=1)
-            if (amount - a.mean()) / (sigma if sigma > 1e-9 else 1.0) > SIGMAS:
-                return True
-        if sum(x >= t - 3_600_000_000 for x in self.times) > BURST:
-            return True
-        self.amounts = (self.amounts + [amount])[-HISTORY:]
-        self.times = (self.times + [t])[-TIMES:]
-        return False
-
-
-def stateful_flags(ev: DataFrame) -> DataFrame:
-    """The check as events arrive: flagged and failed events never enter the history.
-
-    The outcome depends on every earlier outcome of the same user, so a user's
-    events pass one task in order - as a stream of Arrow batches with 250 numbers
-    of state, never as a group in memory.
-    """
-    e = (ev.select("event_id", "user_id", "ts", F.abs("amount").alias("amt"), micros(F.col("ts")).alias("t"),
-                   (F.col("status") == "FAILED").alias("failed"))
-         .repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        user, state = None, AnomalyState()
-        for pdf in batches:
-            out = np.zeros(len(pdf), dtype=bool)
-            for i, (u, a, t, f) in enumerate(zip(pdf["user_id"], pdf["amt"], pdf["t"], pdf["failed"])):
-                if u != user:
-                    user, state = u, AnomalyState()
-                out[i] = state.check(a, t, f)
-            yield pd.DataFrame({"event_id": pdf["event_id"], "user_id": pdf["user_id"], "anomaly_flag": out})
-
-    kinds = dict(ev.dtypes)
-    return e.mapInPandas(run, f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, anomaly_flag boolean")
-
-
 # ----------------------------------------------------------- top-k reports
 
 def newest(df: DataFrame, n: int, kind: Column | None = None, key: str = "user_id", at: str = "ts",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T_
 
 from fintrail.functions import constants as K
 from fintrail.functions.numeric import rnd
-from fintrail.operators import canonical as C, classify as CL, features as FT, joins as J, neighbours as NN, ordered as O
+from fintrail.operators import canonical as C, classify as CL, features as FT, joins as J, neighbours as NN, ordered as O, stateful
 from fintrail.plans import tables as T
 from fintrail.plans.registry import query
 from fintrail.plans.sql import CTES, case_map, first_match_sql, in_list, r
@@ -317,7 +317,7 @@ STATEFUL = "SELECT event_id, user_id, coalesce(flag, FALSE) AS anomaly_flag FROM
 
 @query("w3_stateful_flags", STATEFUL)
 def w3(spark, d):
-    return O.stateful_flags(T.ev(spark, d))
+    return stateful.stateful_flags(T.ev(spark, d))
 
 
 _NORM = " UNION ALL ".join(

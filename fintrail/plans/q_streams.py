@@ -90,7 +90,9 @@ def st5(spark, d):
 
 @query("st6_stateful_flags", STATEFUL)
 def st6(spark, d):
-    return collect(spark, S.anomaly_flags(ev_stream(spark, d)), "st6")
+    out = scratch(spark, "st6")
+    S.flag_stream(ev_stream(spark, d), f"{out}/t", f"{out}/s", f"{out}/c")
+    return spark.read.parquet(f"{out}/t").drop("batch_id")
 
 
 # ------------------------------------------- refresh over three deliveries
@@ -130,12 +132,23 @@ def st8(spark, d):
     return refreshed(spark, d).select("user_id", "ts", "risk_score", "version")
 
 
-@query("st9_patch", "SELECT user_id, CAST(version + 1 AS INTEGER) AS version, 20.0::DOUBLE AS cash_buffer_days, liquidity_health FROM twin_latest WHERE cash_buffer_days > 20")
+@query("st9_patch", """SELECT user_id, CAST(version + 1 AS INTEGER) AS version, 20.0::DOUBLE AS cash_buffer_days, liquidity_health, 0 AS delivery
+  FROM twin_latest WHERE cash_buffer_days > 20
+  UNION ALL SELECT user_id, CAST(version + CASE WHEN cash_buffer_days > 20 THEN 2 ELSE 1 END AS INTEGER), CASE WHEN cash_buffer_days > 20 THEN 20.0 ELSE cash_buffer_days END,
+    'LOW', 1 FROM twin_latest WHERE liquidity_health <> 'LOW'""")
 def st9(spark, d):
-    """Buffers are capped at 20 days by a patch; users below are untouched and get no version."""
+    """Two deliveries of patches: buffers are capped at 20 days, then all users are marked LOW. Users whose material fields stay get no version."""
+    out = scratch(spark, "st9")
     t = T.twin_latest(spark, d).select("user_id", "version", "cash_buffer_days", "liquidity_health")
-    p = t.select("user_id", F.least("cash_buffer_days", F.lit(20.0)).alias("cash_buffer_days"))
-    return S.patch(t, p, ["cash_buffer_days"])
+    S.seed_latest(t, f"{out}/latest")
+    nothing = F.lit(None).cast("string")
+    parts = [t.select("user_id", F.lit(0).alias("seq"), F.least("cash_buffer_days", F.lit(20.0)).alias("cash_buffer_days"), nothing.alias("liquidity_health")),
+             t.select("user_id", F.lit(1).alias("seq"), F.lit(None).cast("double").alias("cash_buffer_days"), F.lit("LOW").alias("liquidity_health"))]
+    for i, part in enumerate(parts):
+        part.write.parquet(f"{out}/src/s={i}")
+        stream = S.read_stream(spark, f"{out}/src/*", part.schema, files_per_batch=1_000_000)
+        S.patch_stream(stream, f"{out}/latest", f"{out}/v", f"{out}/c", ["cash_buffer_days", "liquidity_health"], ["seq"])
+    return spark.read.parquet(f"{out}/v").select("user_id", "version", "cash_buffer_days", "liquidity_health", c("batch_id").cast("int").alias("delivery"))
 
 
 @query("st11_notifications", "SELECT user_id, version, trigger_type, priority, relevance, channel FROM sent")

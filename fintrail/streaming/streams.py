@@ -7,17 +7,15 @@ failure replaces its output instead of repeating it.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fintrail.functions.numeric import micros, ntz, rnd
-from fintrail.operators import classify, features as FT, risk as R, twin as TW
-from fintrail.operators.ordered import AnomalyState
+from fintrail.operators import classify, features as FT, risk as R, stateful, twin as TW
+from fintrail.streaming.state import KeyedTable, replaced
 
 c = F.col
 WATERMARK = "7 days"
@@ -136,43 +134,67 @@ def trailing(buckets: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------- stateful flags
 
-def anomaly_flags(stream: DataFrame) -> DataFrame:
-    """The order-dependent anomaly check with keyed state (200 amounts, 50 times per user)."""
-    kinds = dict(stream.dtypes)
-    out = f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, anomaly_flag boolean"
+KEEP = timedelta(days=91)
 
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = AnomalyState(*state.get) if state.exists else AnomalyState()
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])       # one user's rows of one micro-batch
-        flags = [held.check(a, t, f) for a, t, f in zip(rows["amt"], rows["t"], rows["failed"])]
-        state.update(([float(x) for x in held.amounts], [int(x) for x in held.times]))
-        yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "anomaly_flag": flags})
 
-    s = stream.select("event_id", "user_id", F.abs("amount").alias("amt"), micros(c("ts")).alias("t"), (c("status") == "FAILED").alias("failed"))
-    return s.groupBy("user_id").applyInPandasWithState(step, out, "amounts array<double>, times array<bigint>", "append",
-                                                       GroupStateTimeout.NoTimeout)
+def flag_stream(stream: DataFrame, out: str, state: str, checkpoint: str, keep: timedelta = KEEP, chunk: int = stateful.CHUNK) -> None:
+    """The order-dependent anomaly check over micro-batches; a user's history (200 amounts, 50 times) lies in a keyed table.
+
+    Each batch is folded like a table, from the states that earlier batches left, so a user with most of its rows is
+    spread over tasks. A state is given up when its user has had no event in the `keep` before a batch's newest event.
+    """
+    def sink(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        rows = through(df.select("event_id", "user_id", "ts", "amount", "status"), f"{state}_rows", batch_id)
+        high = rows.agg(F.max(micros(c("ts")))).first()[0]
+        table = KeyedTable(spark, state)
+        buckets = table.touched(rows)
+        kind = dict(rows.dtypes)["user_id"]
+        known = table.read(batch_id, buckets, f"user_id {kind}, amounts array<double>, times array<double>, last double")
+        if high is not None:
+            known = known.where(c("last") >= high - keep / timedelta(microseconds=1))
+        users = rows.select(c("user_id").alias("_u")).distinct()
+        start = known.join(users, c("user_id").eqNullSafe(c("_u")), "left_semi")
+        flags, ends, _ = stateful.speculative_flags(rows, start, ends=True, chunk=chunk)
+        put(flags, out, batch_id)
+        table.write(batch_id, buckets, replaced(known, ends.select(*known.columns)))
+    run_available(stream.writeStream.foreachBatch(sink), checkpoint)
 
 
 # -------------------------------------------------------- features and twin
 
-def refresh(stream: DataFrame, history: str, features: str, twins: str, checkpoint: str,
+def through(df: DataFrame, path: str, batch_id: int) -> DataFrame:
+    """Writes a batch's rows and reads them back, so that its source is read once."""
+    put(df, path, batch_id)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch_id={batch_id}")
+
+
+def refresh(stream: DataFrame, state: str, features: str, twins: str, checkpoint: str,
             as_of: Callable[[datetime], datetime]) -> None:
-    """Per batch: append events, recompute features of the users seen, add a state version for each.
+    """Per batch: add events to their users' days, recompute features of the users seen, add a state version for each.
 
-    `as_of` maps the batch's latest event time to the reference time of its features.
+    `as_of` maps the batch's latest event time to the reference time of its features: a midnight, never before an
+    earlier one. A batch reads no event twice and no history: it reduces its events to days, adds these to the at most
+    122 days kept of each user, and takes out days that have left all windows. The number of a user's last version lies in a table of its own.
     """
     def sink(df: DataFrame, batch_id: int) -> None:
         if df.isEmpty():
             return
         spark = df.sparkSession
-        put(df, history, batch_id)
-        batch = spark.read.parquet(f"{history}/batch_id={batch_id}")
-        ref = as_of(batch.agg(F.max("ts")).first()[0])
-        users = batch.select("user_id").distinct()
-        past = stored_rows(spark, history).where(c("batch_id") <= batch_id).join(users, "user_id", "left_semi")
-        put(FT.account_features(past, ref).withColumn("ts", ntz(ref)), features, batch_id)
-        fresh = TW.derive(spark.read.parquet(f"{features}/batch_id={batch_id}"))
-        put(next_version(fresh, before(spark, twins, batch_id)), twins, batch_id)
+        fresh = through(FT.day_state(df), f"{state}/reduced", batch_id)
+        ref = as_of(fresh.agg(F.max("high")).first()[0])
+        days = KeyedTable(spark, f"{state}/days")
+        buckets = days.touched(fresh)
+        merged = FT.merged_days(days.read(batch_id, buckets, fresh.schema).unionByName(fresh)).select(*fresh.columns)
+        days.write(batch_id, buckets, merged.where(c("day") >= F.lit(FT.first_day_needed(ref).date())))
+        users = fresh.select(c("user_id").alias("_u")).distinct()
+        held = days.read(batch_id + 1, buckets, fresh.schema).join(users, c("user_id").eqNullSafe(c("_u")), "left_semi")
+        found = through(FT.account_features_of_days(held, ref).withColumn("ts", ntz(ref)), features, batch_id)
+        versions = KeyedTable(spark, f"{state}/versions")
+        kind = dict(found.dtypes)["user_id"]
+        known = versions.read(batch_id, buckets, f"user_id {kind}, version int")
+        states = through(next_version(TW.derive(found), known), twins, batch_id)
+        versions.write(batch_id, buckets, replaced(known, states.select("user_id", c("version").cast("int").alias("version"))))
     run_available(stream.writeStream.foreachBatch(sink), checkpoint)
 
 
@@ -184,30 +206,77 @@ def next_version(fresh: DataFrame, known: DataFrame | None) -> DataFrame:
     return fresh.join(last, "user_id", "left").withColumn("version", (F.coalesce("_v", F.lit(0)) + 1).cast("int")).drop("_v")
 
 
-def patch(current: DataFrame, patches: DataFrame, fields: list[str]) -> DataFrame:
-    """New versions for the users whose patch changes a material field; null means untouched."""
-    j = current.join(patches.select("user_id", *[c(f).alias(f"_p_{f}") for f in fields]), "user_id")
-    new = lambda f: F.coalesce(c(f"_p_{f}"), c(f))
+def patch(current: DataFrame, patches: DataFrame, fields: list[str], order: Sequence[str] = ()) -> DataFrame:
+    """The state after each patch of a known user, in order: its fields, version, and `material`.
+
+    A patch overwrites the fields that it names; null leaves a field as it is. It makes a new version where a material
+    field changes. The rows with `material` are the versions to append; a user's last row is its state from now on.
+    """
+    by = W.partitionBy("user_id").orderBy(*order) if order else W.partitionBy("user_id").orderBy(F.lit(0))
+    upto = by.rowsBetween(W.unboundedPreceding, 0)
+    j = patches.select("user_id", *order, *[c(f).alias(f"_p_{f}") for f in fields]).join(current, "user_id")
+    j = j.withColumns({f"_n_{f}": F.coalesce(F.last(f"_p_{f}", ignorenulls=True).over(upto), c(f)) for f in fields})
     changed = F.lit(False)
     for f in fields:
         if f in TW.MATERIAL:
-            changed = changed | ~new(f).eqNullSafe(c(f))
-    j = j.where(changed)
-    keep = [new(f).alias(f) if f in fields else (c("version") + 1).cast("int").alias(f) if f == "version" else c(f) for f in current.columns]
-    return j.select(*keep)
+            changed = changed | ~c(f"_n_{f}").eqNullSafe(F.lag(f"_n_{f}").over(by))
+    first = F.lit(False)
+    for f in fields:
+        if f in TW.MATERIAL:
+            first = first | ~c(f"_n_{f}").eqNullSafe(c(f))
+    j = j.withColumn("material", F.when(F.row_number().over(by) == 1, first).otherwise(changed))
+    j = j.withColumn("_more", F.sum(c("material").cast("int")).over(upto)).withColumn("_at", F.row_number().over(by))
+    keep = [c(f"_n_{f}").alias(f) if f in fields else (c("version") + c("_more")).cast("int").alias(f) if f == "version" else c(f)
+            for f in current.columns]
+    return j.select(*keep, "material", c("_at").alias("step"))
 
 
-def notify(stream: DataFrame, consent: DataFrame, sent: str, escalated: str, history: str, checkpoint: str, **scores) -> None:
-    """State snapshots to messages; fraud alerts go to the escalation table only."""
+def patch_stream(stream: DataFrame, latest: str, versions: str, checkpoint: str, fields: list[str], order: Sequence[str]) -> None:
+    """Compare-and-append: patches against the table of latest states (see `seed_latest`).
+
+    Only versions in which a material field differs are appended to `versions`, one folder per batch, so a batch that is
+    run again replaces them. Users without a state are passed over.
+    """
     def sink(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
-        put(df, history, batch_id)
-        batch = spark.read.parquet(f"{history}/batch_id={batch_id}")
-        past = stored_rows(spark, history).where(c("batch_id") <= batch_id).join(batch.select("user_id").distinct(), "user_id", "left_semi")
-        now = TW.previous_volatility(past).where(c("batch_id") == batch_id).drop("batch_id")
+        rows = through(df, f"{latest}_patches", batch_id)
+        table = KeyedTable(spark, latest)
+        buckets = table.touched(rows)
+        schema = spark.read.parquet(f"{latest}_schema").schema
+        known = table.read(batch_id, buckets, schema)
+        after = through(patch(known, rows, fields, order), f"{latest}_applied", batch_id)
+        put(after.where("material").drop("material", "step"), versions, batch_id)
+        top = after.groupBy("user_id").agg(F.max_by(F.struct(*[x for x in known.columns if x != "user_id"]), "step").alias("s"))
+        table.write(batch_id, buckets, replaced(known, top.select("user_id", "s.*").select(*known.columns)))
+    run_available(stream.writeStream.foreachBatch(sink), checkpoint)
+
+
+def seed_latest(states: DataFrame, latest: str) -> None:
+    """The table of latest states that `patch_stream` starts from: one row per user."""
+    states.limit(0).write.mode("overwrite").parquet(f"{latest}_schema")
+    table = KeyedTable(states.sparkSession, latest)
+    table.write(-1, table.touched(states), states)
+
+
+def notify(stream: DataFrame, consent: DataFrame, sent: str, escalated: str, state: str, checkpoint: str, **scores) -> None:
+    """State snapshots to messages; fraud alerts go to the escalation table only.
+
+    Of a user's history only the last four volatilities are kept, in a keyed table.
+    """
+    def sink(df: DataFrame, batch_id: int) -> None:
+        rows = through(df, f"{state}_rows", batch_id)
+        table = KeyedTable(df.sparkSession, state)
+        buckets = table.touched(rows)
+        kinds = dict(rows.dtypes)
+        known = table.read(batch_id, buckets, ", ".join(f"{x} {kinds[x]}" for x in ("user_id", "version", "spending_volatility")))
+        past = rows.withColumn("_new", F.lit(True)).unionByName(known.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+        now = TW.previous_volatility(past).where("_new").drop("_new")
         out, fraud = R.notifications(R.triggers(now), consent, **scores)
         put(out, sent, batch_id)
         put(fraud, escalated, batch_id)
+        newest = W.partitionBy("user_id").orderBy(F.desc("version"))
+        kept = past.select(*known.columns).withColumn("_rn", F.row_number().over(newest)).where("_rn <= 4").drop("_rn")
+        table.write(batch_id, buckets, kept)
     run_available(stream.writeStream.foreachBatch(sink), checkpoint)
 
 

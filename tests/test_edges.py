@@ -9,7 +9,7 @@ from pyspark.sql import Window as W, functions as F
 from fintrail.functions import constants as K, keyed
 from fintrail.functions.numeric import cosine, micros
 from fintrail.operators import (canonical as C, classify as CL, features as FT, graph as G, joins as J, models as M, neighbours as NN,
-                                ordered as O, paths as P, risk as R, twin as TW, vigilance as V)
+                                ordered as O, paths as P, risk as R, stateful, twin as TW, vigilance as V)
 
 c = F.col
 EV = ("event_id long, user_id long, ts timestamp_ntz, amount double, merchant_name string, status string, txn_kind string, "
@@ -307,10 +307,58 @@ def test_stateful_flags_equal_a_plain_loop(spark):
             a.append(abs(r["amount"]))
             t.append(r["t"])
         want[r["event_id"]] = bool(flag)
-    got = {r["event_id"]: r["anomaly_flag"] for r in O.stateful_flags(df).collect()}
+    got = {r["event_id"]: r["anomaly_flag"] for r in stateful.stateful_flags(df).collect()}
     assert got == want
 
 
+def test_fold_of_many_events_equals_one_by_one():
+    rng = np.random.default_rng(9)
+    for seed in range(6):
+        n = 1500
+        amounts = np.round(rng.exponential(50, n), 2)
+        amounts[rng.integers(0, n, 30)] *= 20
+        if seed == 5:
+            amounts[700] = np.nan
+        times = np.cumsum(rng.exponential([2e8, 3e9][seed % 2], n)).round()
+        failed = rng.random(n) < 0.05
+        one, many = stateful.AnomalyState(), stateful.AnomalyState()
+        want = [one.check(a, t, f) for a, t, f in zip(amounts, times, failed)]
+        got = np.concatenate([many.fold(amounts[i:j], times[i:j], failed[i:j]) for i, j in ((0, 333), (333, 334), (334, n))])
+        assert got.tolist() == want and any(want)
+        assert np.array_equal(one.amounts, many.amounts, equal_nan=True) and np.array_equal(one.times, many.times)
+
+
+def test_chunks_of_a_hot_user_equal_one_loop(spark):
+    df = hot(spark, 4500).withColumn("amount", F.when(c("event_id") % 67 == 0, 4000.0).otherwise(c("amount")))
+    df = df.withColumn("user_id", F.when(c("event_id") % 5 != 0, 1).when(c("event_id") % 7 == 0, None).otherwise(c("user_id")).cast("long"))
+    whole = {(r[0], r[1], r[2]) for r in stateful.stateful_flags(df, chunk=1 << 30).collect()}
+    assert any(f for _, _, f in whole) and len(whole) == 4500
+    rounds = []
+    for chunk, lead in ((400, 350), (1200, 0)):                  # good guesses, none
+        flags, ends, n = stateful.speculative_flags(df, ends=True, chunk=chunk, lead=lead)
+        assert {(r[0], r[1], r[2]) for r in flags.collect()} == whole
+        rounds.append(n)
+        end = {r.user_id: (list(r.amounts), list(r.times)) for r in ends.collect()}
+        assert end == last_states(df)
+    assert rounds[1] > 1
+    # no chunk holds more than its size and the rest of an hour
+    e = df.select("user_id", F.floor(micros(c("ts")) / stateful.HOUR).alias("hour"))
+    places = stateful._places(e, 400, 350).selectExpr("_user", "_hour", "explode(places) AS p").where("not p.lead")
+    sizes = (e.join(places, (c("user_id") == c("_user")) & (c("hour") == c("_hour"))).groupBy("user_id", "p.chunk").count()
+             .agg(F.max("count"), F.count(F.lit(1))).first())
+    most = e.groupBy("user_id", "hour").count().agg(F.max("count")).first()[0]
+    assert sizes[0] <= 400 + most and sizes[1] >= 8
+    empty, _, _ = stateful.speculative_flags(df.limit(0), ends=True)
+    assert empty.count() == 0
+
+
+def last_states(df):
+    out = {}
+    for r in df.withColumn("t", micros(c("ts"))).orderBy("user_id", "ts", "event_id").collect():
+        out.setdefault(r["user_id"], stateful.AnomalyState()).check(abs(r["amount"]), float(r["t"]), r["status"] == "FAILED")
+    return {k: (v.amounts.tolist(), v.times.tolist()) for k, v in out.items()}
+
+
 def test_isolation_flags_five_percent_and_the_outlier(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 3))
