@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fintrail.functions.numeric import DAY_MICROS, level, micros, rnd
-from fintrail.session import cut
+from fintrail.session import cut, written
 
 c = F.col
 SUSPICIOUS_PER_DAY = 50_000.0
@@ -74,72 +74,133 @@ def shell_hubs(ranks: DataFrame, maturity: DataFrame, rank: float = 0.15, months
 def strong_components(pairs: DataFrame, min_size: int = 3, max_rounds: int = 10_000) -> DataFrame:
     """node, component (its largest node), size - for components of at least min_size.
 
-    Rounds of trimming, forward colouring and backward reach: colours spread the
-    largest ancestor along edges; the nodes that reach a colour's root against the
-    edges, inside that colour, are one component and leave the graph. Every step
-    is an equi-join whose lineage is cut.
+    A round first makes the graph small: nodes without an edge in or out go (they lie on no cycle), and chains of nodes
+    with one edge in and one out become one edge, all at once by doubling. Then every node learns the largest node that
+    reaches it, and, against the edges among nodes that agree on it, the largest that it reaches. Nodes for which both
+    are the same make a component and leave the graph. Largest nodes spread along edges and over the shortcut to the
+    largest node found so far, whose own largest node reaches all that it reaches, so long ways take few steps. Nodes of a chain belong to
+    the component of its two ends, if that is one.
     """
-    edges = cut(pairs.select("src", "dst").where("src <> dst").distinct())
-    found: DataFrame | None = None
+    edges = written(pairs.select("src", "dst").where("src <> dst").distinct())
+    found: list[DataFrame] = []
+    drawn: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     for _ in range(max_rounds):
-        edges, live = _trim(edges)
-        if live == 0:
+        edges, some = _shrunk(edges)
+        drawn += some
+        if edges.isEmpty():
             break
-        colour = _colours(edges)
-        inside = cut(edges.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src")
-                     .join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst")
-                     .where("cs = cd").select("src", "dst", c("cs").alias("component")))
-        reached = _backward(inside, colour)
-        found = reached if found is None else found.unionByName(reached)
-        gone = reached.select("node")
-        edges = cut(edges.join(gone.withColumnRenamed("node", "src"), "src", "left_anti")
-                    .join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+        up = _greatest(edges)
+        inside = (edges.join(up.withColumnsRenamed({"node": "src", "top": "a"}), "src")
+                  .join(up.withColumnsRenamed({"node": "dst", "top": "b"}), "dst").where("a = b").select("src", "dst"))
+        inside = written(inside)
+        down = _greatest(inside.select(c("dst").alias("src"), c("src").alias("dst")))
+        same = written(up.join(down.withColumnRenamed("top", "low"), "node").where("top = low")
+                   .select("node", c("top").alias("component")))
+        # a largest node all of whose edges leave its group is alone in its component
+        alone = up.where("node = top").join(same.select("node"), "node", "left_anti").select("node", c("top").alias("component"))
+        gone = same.unionByName(alone)
+        found.append(gone)
+        left = gone.select("node")
+        edges = written(edges.join(left.withColumnRenamed("node", "src"), "src", "left_anti")
+                    .join(left.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     else:
         raise RuntimeError("strong_components did not finish; raise max_rounds")
-    if found is None:
-        kind = dict(pairs.dtypes)["src"]
-        return pairs.sparkSession.createDataFrame([], f"node {kind}, component {kind}, size bigint")
-    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(c("size") >= min_size)
-    return found.join(sizes, "component").select("node", "component", "size")
-
-
-def _trim(edges: DataFrame) -> tuple[DataFrame, int]:
-    """Drops nodes that lack an edge in or out until none does; those lie on no cycle."""
-    count = edges.count()
-    while count:
-        kept = cut(edges.join(edges.select(c("dst").alias("src")).distinct(), "src", "left_semi")
-                   .join(edges.select(c("src").alias("dst")).distinct(), "dst", "left_semi"))
-        now = kept.count()
-        edges = kept
-        if now == count:
-            break
-        count = now
-    return edges, count
-
-
-def _colours(edges: DataFrame) -> DataFrame:
-    nodes = edges.select(c("src").alias("node")).distinct()
-    colour = cut(nodes.withColumn("colour", c("node")).withColumn("fresh", F.lit(True)))
+    kind = dict(pairs.dtypes)["src"]
+    out = pairs.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    for part in found:
+        out = out.unionByName(part)
+    for chain, rings, starts in reversed(drawn):   # the ends of a chain may lie inside a later one
+        out = out.unionByName(starts.join(out.select("node"), "node", "left_anti")).unionByName(rings)
+        one = out.select(c("node").alias("first"), c("component").alias("_a"))
+        two = out.select(c("node").alias("last"), c("component").alias("_b"))
+        on = chain.join(one, "first").join(two, "last").where("_a = _b").select("node", c("_a").alias("component"))
+        out = written(out.unionByName(on))
+    # a component is named by its largest node, which may have been in a chain
+    named = out.groupBy("component").agg(F.max("node").alias("name"), F.count(F.lit(1)).alias("size")).where(c("size") >= min_size)
+    return out.join(named, "component").select("node", c("name").alias("component"), "size")
+
+
+def _shrunk(edges: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, DataFrame]]]:
+    """Edges without dead ends and with chains drawn together. For each drawing: the chains (node, first, last), whole
+    cycles of such nodes (node, component), and nodes to which a chain comes back (node, component).
+
+    Dead ends go as long as there are any. Chains are drawn together while they hold an eighth of the nodes, so that
+    happens logarithmically often; fewer such nodes are left to what follows. What hangs together like a tree is gone
+    after logarithmically many repetitions.
+    """
+    drawn = []
     while True:
-        news = (edges.join(colour.where("fresh").select(c("node").alias("src"), "colour"), "src")
-                .groupBy(c("dst").alias("node")).agg(F.max("colour").alias("up")))
-        colour = cut(colour.join(news, "node", "left").select(
-            "node", F.greatest("colour", F.coalesce("up", "colour")).alias("colour"),
-            (F.coalesce("up", "colour") > c("colour")).alias("fresh")))
-        if colour.where("fresh").isEmpty():
-            return colour.select("node", "colour")
+        ins = edges.groupBy(c("dst").alias("node")).agg(F.count(F.lit(1)).alias("i"), F.min("src").alias("before"))
+        outs = edges.groupBy(c("src").alias("node")).agg(F.count(F.lit(1)).alias("o"), F.min("dst").alias("after"))
+        deg = written(ins.join(outs, "node", "full"))
+        kinds = deg.agg(F.count_if(c("i").isNull() | c("o").isNull()).alias("dead"),
+                        F.count_if((c("i") == 1) & (c("o") == 1)).alias("thin"), F.count(F.lit(1)).alias("n")).first()
+        draw = kinds["thin"] > 0 and 8 * kinds["thin"] >= kinds["n"]
+        if not kinds["dead"] and not draw:
+            return edges, drawn
+        if kinds["dead"]:
+            live = deg.where(c("i").isNotNull() & c("o").isNotNull()).select("node")
+            kept = edges.join(live.withColumnRenamed("node", "src"), "src", "left_semi").join(
+                live.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        else:
+            kept = edges
+        thin = deg.where((c("i") == 1) & (c("o") == 1)).select("node", "before", "after")
+        if draw:
+            ends, closed = _ends(thin, kinds["thin"])
+            lone = thin.select("node")
+            links = ends.where("first_step").select(c("first").alias("src"), c("last").alias("dst"))
+            kept = (edges.join(lone.withColumnRenamed("node", "src"), "src", "left_anti")
+                    .join(lone.withColumnRenamed("node", "dst"), "dst", "left_anti").unionByName(links))
+            if kinds["dead"]:
+                # a chain from or to a dead end becomes an edge of it, which goes with it
+                dead = deg.where(c("i").isNull() | c("o").isNull()).select("node")
+                kept = (kept.join(dead.withColumnRenamed("node", "src"), "src", "left_anti")
+                        .join(dead.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+            # a chain that comes back to its start: that node is on a cycle with it, which needs no further edge
+            back = ends.where("first = last").select(c("first").alias("node"), c("first").alias("component"))
+            drawn.append((ends.select("node", "first", "last"), closed, written(back.distinct())))
+            kept = kept.where("src <> dst").distinct()
+        edges = written(kept)
+
+
+def _ends(thin: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """For nodes with one edge in and one out: the first and last node outside the chain they are in; and whole cycles.
+
+    Pointers double: after k steps a node knows the node 2^k ahead and behind, or the end of its chain, and the largest
+    node on the way. Those that have found no end after log2(n) steps go round in a cycle, whose largest node they know.
+    """
+    p = written(thin.select("node", c("before").alias("first"), c("after").alias("last"), c("node").alias("top"), c("before").alias("near")))
+    inner = written(thin.select(c("node").alias("x")))
+    for _ in range(max(1, n.bit_length())):
+        ahead = p.select(c("node").alias("last"), c("last").alias("_last"), c("top").alias("_top"))
+        behind = p.select(c("node").alias("first"), c("first").alias("_first"))
+        p = written(p.join(ahead, "last", "left").join(behind, "first", "left").select(
+            "node", F.coalesce("_first", "first").alias("first"), F.coalesce("_last", "last").alias("last"),
+            F.greatest("top", F.coalesce("_top", "top")).alias("top"), "near"))
+        open_ends = p.join(inner, c("last") == c("x"), "left_semi")
+        if open_ends.isEmpty():
+            break
+    p = p.join(inner.select(c("x").alias("last"), F.lit(True).alias("_open")), "last", "left")
+    starts = inner.select(c("x").alias("near"), F.lit(False).alias("_start"))
+    ends = (p.where("_open IS NULL").join(starts, "near", "left")
+            .select("node", "first", "last", F.coalesce("_start", F.lit(True)).alias("first_step")))
+    return written(ends), written(p.where("_open").select("node", c("top").alias("component")))
 
 
-def _backward(inside: DataFrame, colour: DataFrame) -> DataFrame:
-    reached = cut(colour.where("node = colour").select("node", c("colour").alias("component"), F.lit(True).alias("fresh")))
+def _greatest(edges: DataFrame) -> DataFrame:
+    """(node, top): the largest node that reaches each node, itself included."""
+    nodes = edges.select(c("src").alias("node")).unionByName(edges.select(c("dst").alias("node"))).distinct()
+    top = written(nodes.select("node", c("node").alias("top"), F.lit(True).alias("fresh")))
     while True:
-        back = (inside.join(reached.where("fresh").select(c("node").alias("dst"), "component"), ["dst", "component"])
-                .select(c("src").alias("node"), "component").distinct()
-                .join(reached.select("node"), "node", "left_anti"))
-        step = cut(back.withColumn("fresh", F.lit(True)))
-        if step.isEmpty():
-            return reached.select("node", "component")
-        reached = cut(reached.withColumn("fresh", F.lit(False)).unionByName(step))
+        along = (edges.join(top.where("fresh").select(c("node").alias("src"), "top"), "src")
+                 .select(c("dst").alias("node"), "top"))
+        over = (top.select("node", c("top").alias("via")).where("node <> via")
+                .join(top.where("fresh").select(c("node").alias("via"), "top"), "via").select("node", "top"))
+        news = along.unionByName(over).groupBy("node").agg(F.max("top").alias("up"))
+        higher = F.coalesce(c("up") > c("top"), F.lit(False))
+        top = written(top.join(news, "node", "left").select("node", F.when(higher, c("up")).otherwise(c("top")).alias("top"), higher.alias("fresh")))
+        if top.where("fresh").isEmpty():
+            return top.select("node", "top")
 
 
 # ------------------------------------------------------------------- cycles
@@ -147,11 +208,11 @@ def _backward(inside: DataFrame, colour: DataFrame) -> DataFrame:
 def cycles(pairs: DataFrame, lengths: Sequence[int] = (2, 3, 4, 5), members: DataFrame | None = None) -> DataFrame:
     """Every simple cycle of the given lengths, once, starting at its smallest node.
 
-    A cycle is grown from its node of lowest degree: both edges at that node first,
-    then hops in between, then the closing edge. All other nodes must rank higher,
-    which keeps hubs from being starting points and finds each cycle once.
-    Optionally restricted to members(node, component).
-    Returns nodes, hops (weight, min_ts, max_ts per hop), length.
+    A cycle is found from its node of lowest degree, in two halves: ways of up to half its length from that node along
+    the edges and against them, over nodes that rank higher, which meet in the same node and share no other. Low degrees
+    at the start keep halves few, and hubs are only ever met in the middle. Ways that no way of the other kind can
+    close, as none leads from their start to their end, are left out before they are made longer.
+    Optionally restricted to members(node, component). Returns nodes, hops (weight, min_ts, max_ts per hop), length.
     """
     e = pairs
     if members is not None:
@@ -160,30 +221,38 @@ def cycles(pairs: DataFrame, lengths: Sequence[int] = (2, 3, 4, 5), members: Dat
              .join(m.select(c("node").alias("dst"), c("component").alias("_b")), "dst").where("_a = _b").drop("_a", "_b"))
     deg = (e.select(c("src").alias("node")).unionByName(e.select(c("dst").alias("node")))
            .groupBy("node").agg(F.count(F.lit(1)).alias("deg")))
-    e = cut(e.join(deg.select(c("node").alias("src"), c("deg").alias("_sd")), "src")
+    e = written(e.join(deg.select(c("node").alias("src"), c("deg").alias("_sd")), "src")
             .join(deg.select(c("node").alias("dst"), c("deg").alias("_dd")), "dst")
             .select(F.struct(c("_sd").alias("deg"), c("src").alias("id")).alias("s"),
                     F.struct(c("_dd").alias("deg"), c("dst").alias("id")).alias("d"),
                     F.struct("weight", "min_ts", "max_ts").alias("hop")))
+    none = F.slice(F.array("s"), 1, 0)
+    forth = {1: e.where("d > s").select(c("s").alias("at"), c("d").alias("end"), none.alias("way"), F.array("hop").alias("hops"))}
+    back = {1: e.where("s > d").select(c("d").alias("at"), c("s").alias("end"), none.alias("way"), F.array("hop").alias("hops"))}
+
+    def longer(ways: DataFrame, ahead: bool) -> DataFrame:
+        on, to = ("s", "d") if ahead else ("d", "s")
+        step = e.select(c(on).alias("end"), c(to).alias("next"), "hop")
+        j = ways.join(step, "end").where((c("next") > c("at")) & (c("next") != c("end")) & ~F.array_contains("way", c("next")))
+        if ahead:
+            return j.select("at", c("next").alias("end"), F.concat("way", F.array("end")).alias("way"), F.concat("hops", F.array("hop")).alias("hops"))
+        return j.select("at", c("next").alias("end"), F.concat(F.array("end"), "way").alias("way"), F.concat(F.array("hop"), "hops").alias("hops"))
+
+    def closable(ways: DataFrame, other: DataFrame) -> DataFrame:
+        return ways.join(other.select("at").distinct(), "at", "left_semi")
+    for k in range(2, (max(lengths) + 1) // 2 + 1):
+        if any(x // 2 >= k for x in lengths):
+            back[k] = written(longer(closable(back[k - 1], forth[1]), False))
+        need = back[max(x // 2 for x in lengths if (x + 1) // 2 >= k)]
+        forth[k] = written(longer(closable(forth[k - 1], need if k > 2 else back[1]), True))
     out = None
     for length in lengths:
-        first = e.where("d > s").select(c("s").alias("n1"), c("d").alias("n2"), c("hop").alias("h1"))
-        last = e.where("s > d").select(c("d").alias("n1"), c("s").alias(f"n{length}"), c("hop").alias(f"h{length}"))
-        p = first.join(last, ["n1", "n2"] if length == 2 else "n1")
-        if length > 2:
-            p = p.where(c("n2") != c(f"n{length}"))
-        for i in range(3, length):
-            nxt = e.select(c("s").alias(f"n{i - 1}"), c("d").alias(f"n{i}"), c("hop").alias(f"h{i - 1}"))
-            p = p.join(nxt, f"n{i - 1}").where(c(f"n{i}") > c("n1"))
-            for j in [*range(2, i - 1), length]:
-                p = p.where(c(f"n{i}") != c(f"n{j}"))
-        if length > 2:
-            shut = e.select(c("s").alias(f"n{length - 1}"), c("d").alias(f"n{length}"), c("hop").alias(f"h{length - 1}"))
-            p = p.join(shut, [f"n{length - 1}", f"n{length}"])
-        ids = F.array(*[c(f"n{i}.id") for i in range(1, length + 1)])
-        hops = F.array(*[c(f"h{i}") for i in range(1, length + 1)])
-        p = p.select(ids.alias("ids"), hops.alias("hops")).withColumn("at", F.array_position("ids", F.array_min("ids")).cast("int"))
-        turn = lambda a: F.concat(F.slice(a, c("at"), length), F.slice(a, F.lit(1), c("at") - 1))
+        a, b = forth[(length + 1) // 2], back[length // 2].withColumnsRenamed({"way": "way2", "hops": "hops2"})
+        p = a.join(b, ["at", "end"]).where(~F.arrays_overlap("way", "way2"))
+        ids = F.transform(F.concat(F.array("at"), "way", F.array("end"), "way2"), lambda x: x["id"])
+        p = p.select(ids.alias("ids"), F.concat("hops", "hops2").alias("hops")).withColumn(
+            "first", F.array_position("ids", F.array_min("ids")).cast("int"))
+        turn = lambda x: F.concat(F.slice(x, c("first"), length), F.slice(x, F.lit(1), c("first") - 1))
         p = p.select(turn(c("ids")).alias("nodes"), turn(c("hops")).alias("hops"), F.lit(length).alias("length"))
         out = p if out is None else out.unionByName(p)
     return out
@@ -217,8 +286,11 @@ def recurrence(found: DataFrame) -> DataFrame:
     return found.withColumn("_k", key).join(k, "_k").drop("_k")
 
 
-def verdicts(hubs: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Ring verdict per node from the temporally ordered cycles. hubs: node, is_shell_hub, pagerank."""
+def verdicts(hubs: DataFrame, metrics: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Ring verdict per node from the temporally ordered cycles. hubs: node, is_shell_hub, pagerank.
+
+    `scc_size` is the size of the largest component of `members`; `evidence` lists what speaks against a node, as codes.
+    """
     real = metrics.where("temporal_ok")
     whole = real.agg(F.count(F.lit(1)).alias("n"), F.count_if(c("suspicious")).alias("s"))          # one row
     ring = real.select(F.explode("nodes").alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("cycles"))
@@ -227,7 +299,12 @@ def verdicts(hubs: DataFrame, metrics: DataFrame) -> DataFrame:
     conf = F.when(c("n") > 0, F.least(c("s") / c("n") + shell + F.when(c("in_ring"), 0.2).otherwise(0.0), F.lit(1.0))).otherwise(
         F.when(c("is_shell_hub"), 0.1).otherwise(0.0))
     j = j.withColumn("fraud_confidence", rnd(conf, 4))
-    return j.select("node", "in_ring", F.coalesce("cycles", F.lit(0)).alias("cycles"), "fraud_confidence",
+    largest = (members.agg(F.coalesce(F.max("size"), F.lit(0)).alias("scc_size")) if members is not None
+               else hubs.sparkSession.createDataFrame([(0,)], "scc_size long"))                    # one row
+    j = j.crossJoin(F.broadcast(largest)).withColumn("evidence", F.array_join(F.filter(F.array(
+        F.when(c("s") > 0, F.concat(F.lit("suspicious_cycles="), c("s"))), F.when(c("is_shell_hub"), F.lit("shell_hub")),
+        F.when(c("in_ring"), F.lit("in_ring"))), lambda x: x.isNotNull()), ";"))
+    return j.select("node", "in_ring", F.coalesce("cycles", F.lit(0)).alias("cycles"), "fraud_confidence", "scc_size", "evidence",
                     ((c("fraud_confidence") >= 0.5) | (c("in_ring") & (c("s") > 0))).alias("fraud_ring_flag"),
                     level(c("fraud_confidence"), (0.7, "CRITICAL"), (0.45, "HIGH"), (0.2, "MEDIUM"), default="LOW").alias("ring_risk"))
 

@@ -139,49 +139,79 @@ def _cycle_sql(src: str, n: int) -> str:
             f"{mono} AS temporal_ok, {r(flow, 2)} AS total_flow, {r(f'({flow}) / {days}', 2)} AS velocity FROM {froms} WHERE {' AND '.join(links + least + apart)}")
 
 
-RING_LENGTHS = (2, 3, 4)
-_ALL_CYCLES = " UNION ALL ".join(_cycle_sql("pairs", n) for n in RING_LENGTHS)
+# ------------------------------------------------- rings of accounts
 
+CTES["upi_moves"] = "SELECT event_id, user_id AS src, p.c_custkey AS dst, abs(amount) AS amount, ts FROM ev JOIN customer p ON event_id % 150 = p.c_custkey WHERE source_provenance = 'upi_api'"
+CTES["apairs"] = "SELECT src, dst, sum(amount) AS weight, min(ts) AS min_ts, max(ts) AS max_ts, count(*) AS transfers FROM upi_moves WHERE src <> dst GROUP BY 1, 2"
+CTES["areach"] = "/*RECURSIVE*/SELECT src, dst FROM apairs UNION SELECT r.src, e.dst FROM areach r JOIN apairs e ON r.dst = e.src"
+CTES["acomp"] = """SELECT node, component, size FROM (SELECT node, component, count(*) OVER (PARTITION BY component) AS size FROM (
+  SELECT a.src AS node, max(a.dst) AS component FROM areach a JOIN areach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src)) WHERE size >= 3"""
+CTES["rpairs"] = """SELECT src, dst, weight, min_ts, max_ts FROM apairs JOIN acomp a ON a.node = src JOIN acomp b ON b.node = dst WHERE a.component = b.component"""
+RING_LENGTHS = (2, 3, 4, 5)
+_ALL_CYCLES = " UNION ALL ".join(_cycle_sql("rpairs", n) for n in RING_LENGTHS)
+CTES["ring_n"] = _ALL_CYCLES
+CTES["ring"] = f"SELECT *, temporal_ok AND velocity > {G.SUSPICIOUS_PER_DAY} AS suspicious FROM ring_n"
 
-@query("g5_cycles", f"SELECT cycle, length FROM ({_ALL_CYCLES})")
-def g5(spark, d):
-    found = G.cycles(T.pairs(spark, d), RING_LENGTHS)
-    return found.select(F.array_join("nodes", ">").alias("cycle"), "length")
 
+def members(spark, d):
+    """Components of at least three accounts."""
+    return T.stored(spark, d, "account_components", lambda s, p: G.strong_components(T.account_pairs(s, p)))
 
-CTES["ring_n"] = _ALL_CYCLES
-CTES["ring"] = f"SELECT *, temporal_ok AND velocity > {G.SUSPICIOUS_PER_DAY} AS suspicious FROM ring_n"
+
+@query("g5_cycles", "SELECT cycle, length FROM ring_n")
+def g5(spark, d):
+    found = G.cycles(T.account_pairs(spark, d), RING_LENGTHS, members=members(spark, d))
+    return found.select(F.array_join(c("nodes").cast("array<string>"), ">").alias("cycle"), "length")
 
 
 def ring(spark, d):
-    p = T.pairs(spark, d)
-    return G.cycle_metrics(G.cycles(p, RING_LENGTHS, members=G.strong_components(p, min_size=2)))
+    m = G.cycle_metrics(G.cycles(T.account_pairs(spark, d), RING_LENGTHS, members=members(spark, d)))
+    return m.withColumn("cycle", F.array_join(c("nodes").cast("array<string>"), ">"))
 
 
 @query("g6_temporal_order", "SELECT cycle, temporal_ok FROM ring")
 def g6(spark, d):
-    return ring(spark, d).select(F.array_join("nodes", ">").alias("cycle"), "temporal_ok")
+    return ring(spark, d).select("cycle", "temporal_ok")
 
 
 @query("g7_cycle_metrics", """SELECT cycle, total_flow, velocity, suspicious, count(*) OVER (PARTITION BY members) AS recurrence FROM ring WHERE temporal_ok""")
 def g7(spark, d):
-    return G.recurrence(ring(spark, d).where("temporal_ok")).select(
-        F.array_join("nodes", ">").alias("cycle"), "total_flow", "velocity", "suspicious", "recurrence")
+    return G.recurrence(ring(spark, d).where("temporal_ok")).select("cycle", "total_flow", "velocity", "suspicious", "recurrence")
+
+
+# ranks of accounts: of 150 that are paid, each has about 1/176 on average
+ACCOUNT_HUB = 0.008
+CTES["a_step"] = "SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS p FROM apairs"
+CTES["a_node"] = "SELECT node, count(*) OVER () AS n FROM (SELECT src AS node FROM apairs UNION SELECT dst FROM apairs)"
+CTES["a_walk"] = """/*RECURSIVE*/SELECT node, 1.0::DOUBLE / n AS x, 0 AS i FROM a_node UNION ALL SELECT node, sum(x), max(i) FROM (
+  SELECT s.dst AS node, 0.85 * w.x * s.p AS x, w.i + 1 AS i FROM a_walk w JOIN a_step s ON s.src = w.node WHERE w.i < 110
+  UNION ALL SELECT a.node, 0.15 / a.n, w.i + 1 FROM a_walk w JOIN a_node a ON a.node = w.node WHERE w.i < 110) GROUP BY node"""
+CTES["aranked"] = "SELECT node, round(x / sum(x) OVER (), 6) AS pagerank FROM a_walk WHERE i = 110"
+CTES["ahubs"] = f"""SELECT r.node, r.pagerank, coalesce(p.months_active, 24) AS months_active, r.pagerank >= {ACCOUNT_HUB} AND coalesce(p.months_active, 24) <= 6 AS is_shell_hub
+  FROM aranked r LEFT JOIN profiles p ON p.user_id = r.node"""
+
+
+def account_ranks(spark, d):
+    return T.stored(spark, d, "account_ranks", lambda s, p: G.pagerank(T.account_pairs(s, p), tol=1e-8).withColumn("pagerank", F.round("pagerank", 6)))
 
 
 CTES["ring_all"] = "SELECT count(*) AS n, count(*) FILTER (suspicious) AS s FROM ring WHERE temporal_ok"
 CTES["ring_member"] = "SELECT node, count(*) AS cycles FROM (SELECT unnest(nodes) AS node FROM ring WHERE temporal_ok) GROUP BY node"
-CTES["verdict"] = f"""SELECT node, in_ring, cycles, conf AS fraud_confidence, conf >= 0.5 OR (in_ring AND s > 0) AS fraud_ring_flag,
+CTES["verdict"] = f"""SELECT node, in_ring, cycles, conf AS fraud_confidence, scc_size, conf >= 0.5 OR (in_ring AND s > 0) AS fraud_ring_flag,
+  concat_ws(';', CASE WHEN s > 0 THEN 'suspicious_cycles=' || s END, CASE WHEN is_shell_hub THEN 'shell_hub' END, CASE WHEN in_ring THEN 'in_ring' END) AS evidence,
   CASE WHEN conf >= 0.7 THEN 'CRITICAL' WHEN conf >= 0.45 THEN 'HIGH' WHEN conf >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS ring_risk FROM (
-  SELECT h.node, m.cycles IS NOT NULL AS in_ring, coalesce(m.cycles, 0) AS cycles, a.s, {r('''CASE WHEN a.n > 0 THEN least(1.0::DOUBLE, a.s / a.n + CASE WHEN is_shell_hub THEN 0.3 ELSE 0 END
-    + CASE WHEN m.cycles IS NOT NULL THEN 0.2 ELSE 0 END) ELSE CASE WHEN is_shell_hub THEN 0.1 ELSE 0.0 END END''')} AS conf
-  FROM hubs h LEFT JOIN ring_member m USING (node) CROSS JOIN ring_all a)"""
-VERDICT = ["node", "in_ring", "cycles", "fraud_confidence", "fraud_ring_flag", "ring_risk"]
+  SELECT h.node, m.cycles IS NOT NULL AS in_ring, coalesce(m.cycles, 0) AS cycles, a.s, is_shell_hub, (SELECT coalesce(max(size), 0) FROM acomp) AS scc_size,
+    {r("""CASE WHEN a.n > 0 THEN least(1.0::DOUBLE, a.s / a.n + CASE WHEN is_shell_hub THEN 0.3 ELSE 0 END
+    + CASE WHEN m.cycles IS NOT NULL THEN 0.2 ELSE 0 END) ELSE CASE WHEN is_shell_hub THEN 0.1 ELSE 0.0 END END""")} AS conf
+  FROM ahubs h LEFT JOIN ring_member m USING (node) CROSS JOIN ring_all a)"""
+VERDICT = ["node", "in_ring", "cycles", "fraud_confidence", "scc_size", "evidence", "fraud_ring_flag", "ring_risk"]
 
 
 def verdicts(spark, d):
-    hubs = G.shell_hubs(ranks(spark, d), maturity(spark, d), rank=HUB)
-    return T.stored(spark, d, "verdicts", lambda s, p: G.verdicts(hubs, ring(s, p)))
+    """Ring verdict of every account that pays or is paid."""
+    maturity_of = T.profiles(spark, d).select(c("user_id").alias("node"), "months_active")
+    hubs = G.shell_hubs(account_ranks(spark, d), maturity_of, rank=ACCOUNT_HUB)
+    return T.stored(spark, d, "verdicts", lambda s, p: G.verdicts(hubs, ring(s, p), members(s, p)))
 
 
 @query("g8_ring_verdicts", f"SELECT {', '.join(VERDICT)} FROM verdict")
@@ -189,13 +219,10 @@ def g8(spark, d):
     return verdicts(spark, d).select(*VERDICT)
 
 
-CTES["upi_moves"] = "SELECT event_id, user_id AS src, p.c_custkey AS dst, abs(amount) AS amount, ts FROM ev JOIN customer p ON event_id % 150 = p.c_custkey WHERE source_provenance = 'upi_api'"
 
 
 def moves(spark, d):
-    upi = J.counterparties(T.raw_sources(spark, d)["upi_transactions"], T.profiles(spark, d))
-    return upi.select("event_id", c("user_id").alias("src"), c("counterparty").alias("dst"), F.abs("amount").alias("amount"),
-                      c("timestamp").alias("ts"))
+    return T.transfers(spark, d)
 
 
 @query("g9_ego_network", """SELECT event_id, src, dst, amount FROM upi_moves WHERE src <> dst AND (src IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
@@ -227,7 +254,7 @@ def t8(spark, d):
 
 # ------------------------------------------------------------ mules, stress
 
-CTES["flow"] = FLOW_SQL
+CTES["aflow"] = FLOW_SQL.replace("FROM edges", "FROM (SELECT * FROM upi_moves WHERE src <> dst)")
 CTES["regular"] = f"""SELECT user_id, CASE WHEN ok THEN {r('sd / (mean + 1e-9)')} < 0.05 ELSE FALSE END AS regular_flag FROM (
   SELECT user_id, avg(g) AS mean, stddev_samp(g) AS sd, count(*) >= 5 AND max(g) > 0 AS ok FROM (
     SELECT user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts)) / 1e6 AS g FROM ev) GROUP BY user_id)"""
@@ -238,18 +265,17 @@ _HUB = r("""CASE WHEN coalesce(total_outflow, 0) = 0 THEN 0.0 ELSE CASE WHEN top
 CTES["bot"] = f"""SELECT *, CASE WHEN consistency_score >= 0.7 THEN 'CRITICAL' WHEN consistency_score >= 0.45 THEN 'HIGH' WHEN consistency_score >= 0.2 THEN 'MEDIUM' ELSE 'LOW' END AS bot_risk,
   regular_flag AND consistency_score > 0.5 AS is_bot, mule_score > 0.6 OR (hub_score > 0.5 AND mule_score > 0.35) AS is_mule FROM (
   SELECT *, {r('least(1.0::DOUBLE, CASE WHEN regular_flag THEN 0.8 ELSE 0 END * 0.35 + hub_score * 0.40 + mule_score * 0.25)')} AS consistency_score FROM (
-    SELECT f.user_id, coalesce(g.regular_flag, FALSE) AS regular_flag, {_MULE} AS mule_score, {_HUB} AS hub_score FROM fv f LEFT JOIN profiles p USING (user_id)
-    LEFT JOIN regular g USING (user_id) LEFT JOIN flow USING (node) LEFT JOIN ranked USING (node)))"""
+    SELECT f.user_id, coalesce(g.regular_flag, FALSE) AS regular_flag, {_MULE} AS mule_score, {_HUB} AS hub_score FROM fv f
+    LEFT JOIN regular g USING (user_id) LEFT JOIN aflow ON aflow.node = f.user_id LEFT JOIN aranked k ON k.node = f.user_id))"""
 BOT = ["mule_score", "hub_score", "consistency_score", "is_bot", "is_mule", "bot_risk"]
 
 
 def bots(spark, d):
-    """Users without a region, gaps or transfers score as if these were zero."""
-    p = T.profiles(spark, d).select("user_id", "node")
+    """Users without gaps or transfers score as if these were zero; the hub part is the user's own account's."""
     reg = O.interval_regularity(T.ev(spark, d)).select("user_id", "regular_flag")
-    flow = TL.flow_concentration(T.edges(spark, d))
-    j = (T.feature_table(spark, d).join(p, "user_id", "left").join(reg, "user_id", "left")
-         .join(flow, "node", "left").join(ranks(spark, d), "node", "left"))
+    flow = TL.flow_concentration(T.transfers(spark, d).where("src <> dst")).withColumnRenamed("node", "user_id")
+    j = (T.feature_table(spark, d).join(reg, "user_id", "left").join(flow, "user_id", "left")
+         .join(account_ranks(spark, d).withColumnRenamed("node", "user_id"), "user_id", "left"))
     zero = {n: 0 for n in ("total_outflow", "top_receiver_share", "inflow_sources", "pagerank")}
     return V.bot_scores(j.fillna({"regular_flag": False, **zero}))
 
@@ -330,14 +356,15 @@ _RANK = lambda n: f"CASE {n} WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MED
 CTES["vigil"] = f"""SELECT user_id, {r('least(1.0::DOUBLE, coalesce(fraud_confidence, 0) * 0.30 + coalesce(scam_probability, 0) * 0.20 + consistency_score * 0.20 + stress_score * 0.10 + underreport_score * 0.10 + identity_score * 0.10)')} AS deception_score,
   list_extract(['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], 1 + greatest({', '.join(_RANK(n) for n in ('ring_risk', 'scam_risk', 'bot_risk', 'stress_risk', 'underreport_risk', 'identity_risk'))})) AS overall_risk,
   coalesce(fraud_ring_flag, FALSE) AS fraud_ring_flag, coalesce(fraud_confidence, 0.0) AS fraud_confidence, coalesce(scam_probability, 0.0) AS scam_probability
-  FROM profiles p LEFT JOIN verdict USING (node) JOIN bot USING (user_id) JOIN stressed USING (user_id) JOIN under USING (user_id) JOIN shifted USING (user_id)
+  FROM bot LEFT JOIN verdict ON verdict.node = bot.user_id JOIN stressed USING (user_id) JOIN under USING (user_id) JOIN shifted USING (user_id)
   LEFT JOIN worst_msg w USING (user_id)"""
 
 
 def vigil(spark, d):
-    p = T.profiles(spark, d).select("user_id", "node")
+    """All users with features, whether they have a profile, transfers or messages or not."""
     j = (bots(spark, d).select("user_id", "consistency_score", "bot_risk")
-         .join(p, "user_id").join(verdicts(spark, d), "node", "left").fillna({"fraud_confidence": 0.0, "fraud_ring_flag": False})
+         .join(verdicts(spark, d).withColumnRenamed("node", "user_id"), "user_id", "left")
+         .fillna({"fraud_confidence": 0.0, "fraud_ring_flag": False})
          .join(V.stress(T.feature_table(spark, d)).select("user_id", "stress_score", "stress_risk"), "user_id")
          .join(under(spark, d).select("user_id", "underreport_score", "underreport_risk"), "user_id")
          .join(shift(spark, d).select("user_id", "identity_score", "identity_risk"), "user_id")

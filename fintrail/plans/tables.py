@@ -247,6 +247,20 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
     return G.collapse(edges(spark, d))
 
 
+def transfers(spark: SparkSession, d: str) -> DataFrame:
+    """Instant payments between accounts: event_id, src, dst, amount, ts; self-payments still in."""
+    from fintrail.operators import joins as J
+    upi = J.counterparties(raw_sources(spark, d)["upi_transactions"], profiles(spark, d))
+    return upi.select("event_id", F.col("user_id").alias("src"), F.col("counterparty").alias("dst"), F.abs("amount").alias("amount"),
+                      F.col("timestamp").alias("ts"))
+
+
+def account_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Collapsed pairs of accounts that pay each other."""
+    from fintrail.operators import graph as G
+    return stored(spark, d, "account_pairs", lambda s, p: G.collapse(transfers(s, p).where("src <> dst")))
+
+
 def account_edges(spark: SparkSession, d: str) -> DataFrame:
     """Customer to supplier payments and supplier to customer refunds."""
     lines = table(spark, d, "lineitem").select(

@@ -60,3 +60,14 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Like `cut`, by a table in the shared folder.
+
+    A checkpoint keeps what the optimizer knows about its columns; in a loop whose columns are computed from
+    themselves that grows with each round. A table starts afresh.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

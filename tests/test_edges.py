@@ -1,5 +1,6 @@
 """Small literal cases: limits, empty histories, ties, skew helpers."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -121,6 +122,62 @@ def test_components_equal_brute_force(spark):
     assert {frozenset(v) for v in got.values()} == {w for w in want if len(w) >= 2}
 
 
+@pytest.mark.parametrize("shape", ["tail", "rings", "sparse"])
+def test_components_of_thin_graphs(spark, shape):
+    """Chains, trees and rings that a layer at a time would take thousands of rounds."""
+    rng, n = random.Random(shape), 400
+    names = rng.sample(range(10_000), n)
+    edges = {"tail": [(i, (i + 1) % 50) for i in range(50)] + [(i, i + 1) for i in range(50, n - 1)] + [(3, 50), (n - 1, 7), (9, 300), (300, 9)],
+             "rings": [(i, i - i % 7 + (i + 1) % 7) for i in range(n - n % 7)] + [(i, i + 7) for i in range(0, 300, 7)] + [(301, 294), (20, 13)],
+             "sparse": [(rng.randrange(n), rng.randrange(n)) for _ in range(480)]}[shape]
+    edges = [(names[a], names[b]) for a, b in edges if a != b]
+    got = {}
+    for r in G.strong_components(spark.createDataFrame(edges, "src long, dst long"), min_size=2).collect():
+        got.setdefault(r["component"], set()).add(r["node"])
+        assert r["size"] >= 2
+    assert got == {max(w): w for w in components_of(edges) if len(w) > 1}
+
+
+def components_of(edges):
+    """Tarjan without recursion."""
+    out, index, low, stack, on = [], {}, {}, [], set()
+    follow = {}
+    for a, b in edges:
+        follow.setdefault(a, []).append(b)
+    for root in {x for e in edges for x in e}:
+        if root in index:
+            continue
+        work = [(root, iter(follow.get(root, [])))]
+        index[root] = low[root] = len(index)
+        stack.append(root)
+        on.add(root)
+        while work:
+            v, it = work[-1]
+            for w in it:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(follow.get(w, []))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    comp = set()
+                    while True:
+                        w = stack.pop()
+                        on.discard(w)
+                        comp.add(w)
+                        if w == v:
+                            break
+                    out.append(comp)
+    return out
+
+
 def test_pagerank_sums_to_one_with_dangling_nodes(spark):
     df = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 1.0), ("d", "a", 1.0)], "src string, dst string, weight double")
     got = {r["node"]: r["pagerank"] for r in G.pagerank(df, tol=1e-12).collect()}
