@@ -328,15 +328,6 @@ def invoice_features(invoices: DataFrame) -> DataFrame:
         .alias("statutory_payment_regularity_score"))
 
 
-ORIGIN = datetime(2000, 1, 1)
-
-
-def _growth(ts: Column) -> Column:
-    """exp(+lambda * days since a fixed origin); ratios of these are decay weights."""
-    days = (micros(ts) - micros(ntz(ORIGIN))) / F.lit(float(DAY_MICROS))
-    return F.exp(F.lit(LN2 / HALF_LIFE) * days)
-
-
 def _day_end(ts: Column) -> Column:
     return F.date_add(F.to_date(ts), 1).cast("timestamp_ntz")
 
@@ -455,7 +446,7 @@ def daily_features(ev: DataFrame) -> DataFrame:
     late = F.dayofmonth(ts) >= 25
     d = ev.groupBy("user_id", day.alias("day")).agg(
         *[F.sum(F.when(typ == t, amt)).alias(n) for n, t in types],
-        F.sum(F.abs(amt) * _growth(ts)).alias("grown"),
+        F.sum(F.abs(amt) * _fade(ts, _day_end(ts))).alias("faded"),
         F.count(F.lit(1)).alias("n"),
         F.count_if(amt < 0).alias("out"), F.count_if((amt < 0) & (st == "FAILED")).alias("out_failed"),
         F.count_if(st == "FAILED").alias("failed"),
@@ -476,9 +467,15 @@ def daily_features(ev: DataFrame) -> DataFrame:
         d = d.withColumns({f"late_{k}": F.when(m, F.col("late_net")), f"early_{k}": F.when(m, F.col("early_net")),
                            f"late_n_{k}": (m & F.col("late_net").isNotNull()).cast("int"),
                            f"early_n_{k}": (m & F.col("early_net").isNotNull()).cast("int")})
+    # Half-lives of days are numbered, and values grow within theirs only: no weight passes 2, whatever the date.
+    # The 30 days before a day lie in at most two neighbouring half-lives, told apart by their parity.
+    part = F.floor(F.col("dn") / int(HALF_LIFE))
+    grown = F.col("faded") * F.pow(F.lit(2.0), F.pmod(F.col("dn"), F.lit(int(HALF_LIFE))) / HALF_LIFE)
+    d = d.withColumns({"odd": F.pmod(part, F.lit(2)) == 1})
+    d = d.withColumns({"grown_odd": F.when(F.col("odd"), grown).otherwise(0.0), "grown_even": F.when(F.col("odd"), 0.0).otherwise(grown)})
     d = d.withColumns({"spend_n": F.col("spend").isNotNull().cast("int"), "spend_sq": F.col("spend") * F.col("spend")})
     months = [f"{x}_{k}" for k in range(4) for x in ("late", "early", "late_n", "early_n")]
-    need = {7: [n for n, _ in types] + ["n"], 30: [n for n, _ in types] + ["n", "grown", "subs_n"],
+    need = {7: [n for n, _ in types] + ["n"], 30: [n for n, _ in types] + ["n", "subs_n"],
             90: [n for n, _ in types] + ["n", "out", "out_failed", "failed", "cash_amt", "out_amt", "inc_n", "inc_sq", "emi_n",
                                          "spend", "spend_n", "spend_sq", *months]}
     user = W.partitionBy("user_id").orderBy("dn")
@@ -490,6 +487,7 @@ def daily_features(ev: DataFrame) -> DataFrame:
         W.partitionBy("user_id", "mi").orderBy("dn").rowsBetween(W.unboundedPreceding, 0)), F.lit(0.0))
     d = d.select("user_id", "day", "mi", *[grow(c, 0).alias(f"{c}@0") for c in every],
                  *[grow(c, -n).alias(f"{c}@{n}") for n, cs in need.items() for c in cs],
+                 *[F.sum(x).over(user.rangeBetween(-29, 0)).alias(x) for x in ("grown_odd", "grown_even")], "dn", "odd",
                  month_total(0).alias("m0"), month_total(1).alias("m1"), month_total(2).alias("m2"), running.alias("run"))
     tot = lambda c, n: F.col(f"`{c}@0`") - F.col(f"`{c}@{n}`")
     rolls = month_index(F.date_add("day", 1)) != F.col("mi")
@@ -498,7 +496,10 @@ def daily_features(ev: DataFrame) -> DataFrame:
     var = F.greatest(F.lit(0.0), (tot("spend_sq", 90) - s_sp * s_sp / n_sp) / (n_sp - 1))
     cols = [rnd(F.abs(tot(n, w)), 2).alias(f"{n}_{w}") for n, _ in types for w in (7, 30, 90)]
     cols += [tot("n", w).alias(f"n_{w}") for w in (7, 30, 90)]
-    cols += [(tot("grown", 30) / _growth(F.date_add("day", 1))).alias("decayed"), F.lit(0.0).alias("decayed_n"),
+    same = F.when(F.col("odd"), F.col("grown_odd")).otherwise(F.col("grown_even"))
+    before = F.when(F.col("odd"), F.col("grown_even")).otherwise(F.col("grown_odd"))
+    decayed = (same + before / 2.0) / F.pow(F.lit(2.0), F.pmod(F.col("dn"), F.lit(int(HALF_LIFE))) / HALF_LIFE)
+    cols += [decayed.alias("decayed"), F.lit(0.0).alias("decayed_n"),
              tot("out", 90).alias("n_out"), tot("out_failed", 90).alias("n_out_failed"), tot("failed", 90).alias("n_failed"),
              cents("cash_amt", 90).alias("cash"), cents("out_amt", 90).alias("outflow"), tot("inc_n", 90).alias("n_income"),
              tot("inc_sq", 90).alias("income_sq"), tot("subs_n", 30).alias("n_subs"), tot("emi_n", 90).alias("n_emi"),

@@ -75,6 +75,16 @@ def test_far_dates_do_not_overflow(spark):
     assert got == {1: 90.0, 2: 7.0}       # half of the 80 of 30 days before, nothing of the rest
 
 
+def test_far_dates_leave_numbers_in_the_state(spark):
+    rows = [event(1, ts=datetime(2024, 1, 1, 5)), event(2, ts=datetime(2099, 6, 1, 7)), event(3, ts=datetime(2099, 6, 20)), event(4, ts=datetime(1969, 12, 20)),
+            event(5, ts=datetime(2099, 6, 30, 23)), event(6, ts=datetime(2099, 8, 1))]
+    ev = spark.createDataFrame(rows, EV)
+    for r in FT.daily_features(ev).collect():
+        want = FT.account_features(ev, r["ts"]).first()
+        assert r["daily_avg_throughput_30d"] == pytest.approx(want["daily_avg_throughput_30d"], abs=2e-4)
+    assert TW.snapshots(ev).where("isnan(risk_score) OR risk_score IS NULL").count() == 0
+
+
 def test_last_purchase_of_equal_times_has_the_largest_id(spark):
     t = datetime(2024, 1, 30)
     ev = spark.createDataFrame([event(i, ts=t, amount=-float(i), kind="EXPENSE_DISCRETIONARY") for i in (10, 11, 12, 13)], EV)
