@@ -12,10 +12,13 @@ from pyspark.sql import DataFrame, functions as F, Window as W
 from fintrail.llm.common import fold_of, slices
 from fintrail.llm.ngrams import Chars, char_grams, chars_of, sums
 
-BITS = 15                      # 2**BITS feature buckets
+BITS = 15                      # 2**BITS feature buckets, fewer bits for very many languages:
+CELLS = 1 << 23                # buckets x languages stay within this
 ORDERS = (1, 2, 3)             # characters of an n-gram
-MAX_LANGS = 300                # languages that a model can tell apart: the most frequent ones
-ROWS_PER_LANG = 1500           # bound of the labelled sample that the regression is fitted on
+ROWS_PER_LANG = 1500           # bounds of the labelled sample that the regression is fitted on: documents of a language,
+TRAIN_ROWS = 24_000            # and of all of them, shared out evenly (but LEAST_ROWS of a language at least)
+LEAST_ROWS = 10
+HASHES = 1 << 30
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.01
 PIECE = 1 << 20
@@ -28,25 +31,26 @@ class LanguageModel:
     weights: np.ndarray        # buckets x languages, inverse document frequency included
     bias: np.ndarray
     temperature: float
+    bits: int = BITS
 
 
-def _frequencies(c: Chars):
+def _frequencies(c: Chars, bits: int):
     """Of each text: different buckets and their relative frequencies."""
-    grams = [char_grams(c, k, BITS) for k in ORDERS]
+    grams = [char_grams(c, k, bits) for k in ORDERS]
     for s, e in zip(c.starts, c.ends):
         idx, n = np.unique(np.concatenate([g[s:e] for g in grams]), return_counts=True)
         yield idx.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
-def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, bits: int = BITS) -> tuple[np.ndarray, int]:
     """In how many of the documents (column text) each bucket occurs, and their number; all whole texts count."""
-    size = 1 << BITS
+    size = 1 << bits
 
     def count(batches):
         df, n = np.zeros(size, np.int64), 0
         for b in slices(batches, limit=PIECE):
             c = chars_of(b.column("text"))
-            grams = [char_grams(c, k, BITS) for k in ORDERS]
+            grams = [char_grams(c, k, bits) for k in ORDERS]
             for s, e in zip(c.starts, c.ends):
                 seen = np.zeros(size, bool)
                 for g in grams:
@@ -111,24 +115,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           rows_per_lang: int = ROWS_PER_LANG) -> LanguageModel:
     """Fits a model on documents with text and language.
 
-    Of more than MAX_LANGS languages the most frequent are learned. Document frequencies are counted over all of their
-    documents; the regression sees at most `rows_per_lang` documents of each
-    language, chosen by a hash of id and text, of which every fifth only sets the temperature. Without any labelled
-    document the model knows no language.
+    Every language is learned. Document frequencies are counted over all labelled documents; the regression sees at most
+    `rows_per_lang` documents of each language, and fewer if there are so many languages that they would pass TRAIN_ROWS,
+    chosen by a hash of id and text, of which every fifth only sets the temperature. The hash is cut at a bound for
+    each language first, so that no task ranks more than about twice the documents that are wanted. Without any labelled document the model knows no language.
     """
     known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")) \
         .where("text is not null and lang is not null")
-    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    known = known.where(F.col("lang").isin([r["lang"] for r in most]))
-    df, total = document_frequencies(known.select("text"))
-    order = W.partitionBy("lang").orderBy("h")
-    chosen = (known.select("lang", F.xxhash64("id", "text").alias("h")).withColumn("r", F.row_number().over(order))
-              .where(F.col("r") <= rows_per_lang).select("h", "lang").distinct())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}      # the classes of the model
+    bits = min(BITS, max(8, (CELLS // max(1, len(counts))).bit_length() - 1))
+    wanted = min(rows_per_lang, max(LEAST_ROWS, TRAIN_ROWS // max(1, len(counts))))
+    df, total = document_frequencies(known.select("text"), bits)
+    bounds = [(g, min(HASHES, int(HASHES * (2 * wanted + 50) / n) + 1)) for g, n in counts.items()]
+    bound = docs.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    h = F.xxhash64("id", "text")
+    low = F.pmod(F.col("h"), F.lit(HASHES))
+    order = W.partitionBy("lang").orderBy(low, "h")
+    chosen = (known.select("lang", h.alias("h")).join(F.broadcast(bound), "lang").where(low < F.col("bound")).select("h", "lang").distinct()
+              .withColumn("r", F.row_number().over(order)).where(F.col("r") <= wanted).select("h", "lang"))
 
     def rows(batches):
         for b in slices(batches, limit=PIECE):
             idx, val = [], []
-            for i, v in _frequencies(chars_of(b.column("text"))):
+            for i, v in _frequencies(chars_of(b.column("text")), bits):
                 idx.append(i.tobytes())
                 val.append(v.tobytes())
             yield pa.RecordBatch.from_arrays([b.column("h"), b.column("lang"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())],
@@ -138,11 +147,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     got = (picked.dropDuplicates(["h", "lang"]).select("h", "lang", "text")
            .mapInArrow(rows, "h long, lang string, idx binary, val binary").toPandas().sort_values(["h", "lang"]))
     langs = sorted(set(got["lang"]))
-    size = 1 << BITS
+    size = 1 << bits
     if not langs:
-        return LanguageModel([], np.zeros((size, 0)), np.zeros(0), 1.0)
+        return LanguageModel([], np.zeros((size, 0)), np.zeros(0), 1.0, bits)
     idf = (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
-    labels = np.array([langs.index(x) for x in got["lang"]])
+    place = {g: i for i, g in enumerate(langs)}
+    labels = np.array([place[x] for x in got["lang"]])
     feats = []
     for i, v in zip(got["idx"], got["val"]):
         idx = np.frombuffer(i, np.int32)
@@ -151,7 +161,21 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     held = np.arange(len(feats)) % 5 == 4
     w = _ftrl([f for f, h in zip(feats, held) if not h], labels[~held], len(langs), size)
     logits = np.array([v @ w[i] + w[size] for (i, v), h in zip(feats, held) if h]).reshape(-1, len(langs))
-    return LanguageModel(langs, (w[:size] * idf[:, None] * 10).astype(np.float32), w[size], _temperature(logits, labels[held]))
+    return LanguageModel(langs, (w[:size] * idf[:, None] * 10).astype(np.float32), w[size], _temperature(logits, labels[held]), bits)
+
+
+def _weighed(weights: np.ndarray, grams: np.ndarray, c: Chars) -> np.ndarray:
+    """Sums of the grams' weights for each text, over parts that hold a bounded number of weights at once."""
+    step = max(1, CELLS // weights.shape[1])
+    if len(grams) <= step:
+        return sums(weights[grams], c.starts, c.ends)
+    out = np.zeros((len(c.starts), weights.shape[1]))
+    for lo in range(0, len(grams), step):
+        hi = min(len(grams), lo + step)
+        some = np.flatnonzero((c.starts < hi) & (c.ends > lo))
+        if len(some):
+            out[some] += sums(weights[grams[lo:hi]], np.clip(c.starts[some], lo, hi) - lo, np.clip(c.ends[some], lo, hi) - lo)
+    return out
 
 
 def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: str = "text") -> DataFrame:
@@ -168,7 +192,7 @@ def predict(docs: DataFrame, model: LanguageModel, carry: list[str], text_col: s
             has = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             pred, prob = np.full(b.num_rows, UNKNOWN, object), np.zeros(b.num_rows)
             if m.langs:
-                z = sum(sums(m.weights[char_grams(c, k, BITS)], c.starts, c.ends) for k in ORDERS) / n[:, None] + m.bias
+                z = sum(_weighed(m.weights, char_grams(c, k, m.bits), c) for k in ORDERS) / n[:, None] + m.bias
                 p = _softmax(z.astype(np.float64) / m.temperature)
                 pred = np.where(has, np.array(m.langs, object)[p.argmax(1)], UNKNOWN)
                 prob = np.where(has, p.max(1), 0.0)
@@ -184,7 +208,9 @@ def identify(docs: DataFrame, modulus: int = 5, id_col: str = "doc_id", text_col
     """Per document: doc_id, held_out (crc32 of the id mod `modulus` is 0), lang_pred and score (0 to 1).
 
     The model learns from the documents that are not held out. Null texts and texts without a letter are `und` with
-    score 0, as is everything if nothing is labelled. Repeated rows are predicted alike; other columns are left out.
+    score 0, as is everything if nothing is labelled. Very long texts are taken whole; their weights are added up in parts.
+    Of equal probabilities the language that comes first wins. Repeated rows are predicted alike; an empty table gives no
+    rows; other columns are left out, so none can clash.
     """
     model = train(docs.where(fold_of(id_col, modulus) != 0), id_col, text_col, lang_col)
     return predict(docs, model, [id_col], text_col).select(

@@ -55,13 +55,16 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     Only the (labels, path length) shapes that some rule has are expanded, so very long hosts and paths cost as
     little as others. The shapes are collected: there are at most as many as rules, and few in practice.
     """
-    kept = [c for c in pages.columns if c not in OUT]
-    judged = pages.select(*[F.col(f"`{c}`") for c in kept],
+    kept = [c for c in pages.columns if c.lower() not in OUT]
+    # the row travels as one column, so that none of its names meets one of ours
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.struct(F.lit(None).alias("none"))
+    own = [F.col("row").getField(c).alias(c) for c in kept]
+    judged = pages.select(row.alias("row"),
                           host_of(F.col(f"`{url}`")).alias("host"), path_of(F.col(f"`{url}`")).alias("path"))
     compiled = compile_rules(rules)
     shapes = [(r.labels, r.chars) for r in compiled.select("labels", "chars").distinct().collect()]
     if not shapes:
-        return judged.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+        return judged.select(*own, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     urls = judged.select("host", "path").where("host != ''").distinct()
     fits = lambda s: (F.size(F.split("host", "\\.")) >= s["labels"]) & (F.length("path") >= s["chars"])
     all_shapes = F.array(*[F.struct(F.lit(a).alias("labels"), F.lit(b).alias("chars")) for a, b in sorted(shapes)])
@@ -74,5 +77,5 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     best = (exprs.join(small, "short").where(F.col("full") == F.col("digest"))
             .groupBy("host", "path").agg(F.max("rank").alias("rank")))
     return (judged.join(best, ["host", "path"], "left")
-            .select(*[F.col(f"`{c}`") for c in kept], "host", "path", F.col("rank.r").alias("rule"),
+            .select(*own, "host", "path", F.col("rank.r").alias("rule"),
                     F.coalesce("rank.a", F.lit(default)).alias("verdict")))

@@ -42,6 +42,20 @@ def test_url_filters(spark):
     assert {r.verdict for r in U.filter_urls(pages, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_url_filters_with_names_of_their_own(spark):
+    names = ["rank", "short", "digest", "full", "row", "s", "labels", "chars", "action", "n", "Host", "verdict"]
+    pages = spark.createDataFrame([(i, u, *[f"{n}{i}" for n in names]) for i, u in enumerate(URLS)],
+                                  "page_id int, url string, " + ", ".join(f"{n} string" for n in names))
+    rules = spark.createDataFrame(RULES, "action string, host string, path string")
+    out = U.filter_urls(pages, rules)
+    assert out.columns == ["page_id", "url", *names[:-2], "host", "path", "rule", "verdict"]
+    for r in out.collect():
+        assert (r["host"], r["path"], r["rule"], r["verdict"]) == verdict(r["url"])
+        assert all(r[n] == f"{n}{r['page_id']}" for n in names[:-2])
+    only = U.filter_urls(pages.select(F.col("url").alias("host")), rules, url="host")
+    assert only.columns == ["host", "path", "rule", "verdict"] and only.count() == len(URLS)
+
+
 def talk_digests(rows):
     out = {}
     rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))

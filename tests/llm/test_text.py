@@ -199,6 +199,32 @@ def test_quality_on_labels(spark):
     assert len(right) > 20 and sum(right) / len(right) >= 0.95
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(LI, "TRAIN_ROWS", 300)
+    monkeypatch.setattr(LI, "CELLS", 1 << 12)             # fewer buckets, and texts weighed in parts
+    rng = random.Random(6)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnop"[k % 8:k % 8 + 6]) for _ in range(rng.randint(2, 8))) + chr(200 + k) for _ in range(30)] for k in range(25)}
+    rows = [(i, " ".join(rng.choice(words[g]) for _ in range(40)), g) for i, g in enumerate(list(words) * 30)]
+    rows += [(9000 + i, rows[0][1], "l00") for i in range(400)]          # copies with ids of their own
+    df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id int, text string, lang string, h int, bound int")
+    m = LI.train(df)
+    assert m.langs == sorted(words) and m.bits == 8 and m.weights.shape == (256, 25)
+    got = LI.predict(df, m, ["doc_id", "lang", "h"]).collect()
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.9
+    long = spark.createDataFrame([(1, " ".join(rows[3][1] for _ in range(9000)), "l03", 1, 2)], df.schema)       # over one slice
+    assert LI.predict(long, m, ["doc_id"]).first().lang_pred == "l03"
+
+
+def test_weights_in_parts_equal_the_whole(monkeypatch):
+    c = LI.chars_of(pa.array(["abc def", "", None, "é中", "x" * 300, "end"]))
+    w = np.random.default_rng(1).normal(size=(1 << 8, 3)).astype(np.float32)
+    g = LI.char_grams(c, 2, 8)
+    whole = LI.sums(w[g], c.starts, c.ends)
+    for cells in (3, 21, 300):
+        monkeypatch.setattr(LI, "CELLS", cells)
+        assert np.allclose(LI._weighed(w, g, c), whole, atol=1e-4)
+
+
 def test_language_id(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     more = spark.createDataFrame([(-1, None, "en"), (-2, "", None), (-3, "12 34 !?", "en"), (-4, "1 2", None)], "doc_id long, text string, lang string")
