@@ -72,23 +72,27 @@ def m4(spark, d):
     return M.auc(T.table(spark, d, "labels").join(docs, "doc_id"), "s", "quality")
 
 
-GST = ["gst_30d_value", "gst_filing_compliance_rate", "statutory_payment_regularity_score"]
-TARGET = ["cash_buffer_days", "savings_rate", *GST]
-CTES["holes"] = ("SELECT user_id, " + ", ".join(K.IMPUTE_REFERENCE) + ", cash_buffer_days, savings_rate, "
-                 + ", ".join(f"CASE WHEN ewb_30d_value >= 20000 THEN {n} END AS {n}" for n in GST) + " FROM fv")
-_DIST = " + ".join([f"pow(q.{n} - b.{n}, 2)" for n in K.IMPUTE_REFERENCE + TARGET[:2]])
-
-
-@query("m5_knn_impute", f"""SELECT h.user_id, {', '.join(f"{r(f'coalesce(h.{n}, i.{n})')} AS {n}" for n in GST)} FROM holes h LEFT JOIN (
-  SELECT user_id, {', '.join(f'avg({n}) AS {n}' for n in GST)} FROM (SELECT q.user_id, {', '.join(f'b.{n}' for n in GST)},
-    row_number() OVER (PARTITION BY q.user_id ORDER BY {_DIST}, b.user_id) AS rn FROM holes q JOIN holes b ON q.{GST[0]} IS NULL AND b.{GST[0]} IS NOT NULL)
-  WHERE rn <= 5 GROUP BY user_id) i USING (user_id)""")
+# which users lack which of the targets: those with little consignment traffic have no business columns, and two
+# slices of users lack their balances or their repayment record
+HOLES = [("ewb_30d_value < 20000", ["gst_30d_value", "ewb_30d_value", "gst_filing_compliance_rate", "statutory_payment_regularity_score"]),
+         ("user_id % 7 = 0", ["emi_burden_ratio", "debit_failure_rate_90d"]), ("user_id % 11 = 0", ["cash_buffer_days", "savings_rate"])]
+CTES["holes"] = "SELECT user_id, " + ", ".join([*K.IMPUTE_REFERENCE, *[f"CASE WHEN NOT ({w}) THEN {n} END AS {n}" for w, ns in HOLES for n in ns]]) + " FROM fv"
+_DIST_COLS = [*K.IMPUTE_REFERENCE, *K.IMPUTE_TARGET]
+_DIST = (f"sqrt(({' + '.join(f'coalesce(pow(q.{n} - b.{n}, 2), 0.0)' for n in _DIST_COLS)}) * {len(_DIST_COLS)}.0 / "
+         f"({' + '.join(f'(q.{n} IS NOT NULL AND b.{n} IS NOT NULL)::INT' for n in _DIST_COLS)}))")
+for _i, (_, _names) in enumerate(HOLES):
+    CTES[f"filled_{_i}"] = f"""SELECT user_id, {', '.join(f'avg({n}) AS {n}' for n in _names)} FROM (SELECT q.user_id, {', '.join(f'b.{n}' for n in _names)},
+      row_number() OVER (PARTITION BY q.user_id ORDER BY {_DIST}, b.user_id) AS rn FROM holes q JOIN holes b ON q.{_names[0]} IS NULL AND b.{_names[0]} IS NOT NULL)
+      WHERE rn <= 5 GROUP BY user_id"""
+
+
+@query("m5_knn_impute", f"""SELECT h.user_id, {', '.join(f"{r(f'coalesce(h.{n}, f{i}.{n})')} AS {n}" for i, (_, ns) in enumerate(HOLES) for n in ns)}
+  FROM holes h {' '.join(f'LEFT JOIN filled_{i} f{i} ON f{i}.user_id = h.user_id' for i in range(len(HOLES)))}""")
 def m5(spark, d):
-    """Users with little consignment traffic lack invoice features."""
+    """All eight targets have gaps, in three patterns that overlap."""
     f = T.feature_table(spark, d)
-    have = c("ewb_30d_value") >= 20_000
-    holes = f.select("user_id", *K.IMPUTE_REFERENCE, "cash_buffer_days", "savings_rate", *[F.when(have, c(n)).alias(n) for n in GST])
-    return M.knn_impute(holes, K.IMPUTE_REFERENCE, TARGET).select("user_id", *[rnd(n, 4).alias(n) for n in GST])
+    holes = f.select("user_id", *K.IMPUTE_REFERENCE, *[F.when(~F.expr(w), c(n)).alias(n) for w, ns in HOLES for n in ns])
+    return M.knn_impute(holes, K.IMPUTE_REFERENCE, K.IMPUTE_TARGET).select("user_id", *[rnd(n, 4).alias(n) for n in K.IMPUTE_TARGET])
 
 
 @query("m6_isolation_flags")
