@@ -165,5 +165,5 @@ def st11(spark, d):
 def st12(spark, d):
     out = scratch(spark, "st12")
     S.ingest(ev_stream(spark, d), f"{out}/t", f"{out}/late", f"{out}/c")
-    S.compact(spark, f"{out}/t", f"{out}/kept", timedelta(days=15))
-    return spark.read.parquet(f"{out}/kept").select("event_id", "user_id", "ts")
+    S.retain(spark, f"{out}/t", timedelta(days=15))
+    return spark.read.parquet(f"{out}/t").select("event_id", "user_id", "ts")

@@ -60,7 +60,7 @@ def before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 # ------------------------------------------------------------------ ingest
 
 def ingest(stream: DataFrame, out: str, late: str, checkpoint: str, delay: timedelta = timedelta(days=7)) -> None:
-    """Canonical ingest; rows older than the delay go to a side table.
+    """Canonical ingest into folders by batch and day; rows older than the delay go to a side table.
 
     The highest time seen is kept per batch in a small table next to the output.
     """
@@ -71,7 +71,7 @@ def ingest(stream: DataFrame, out: str, late: str, checkpoint: str, delay: timed
         seen = marks.agg(F.max("high")).first()[0] if marks is not None else None
         high = df.agg(F.max("ts")).first()[0]
         is_late = (c("ts") < ntz(seen - delay)) if seen else F.lit(False)
-        put(df.where(~is_late), out, batch_id)
+        put(df.where(~is_late).withColumn("day", F.to_date("ts")), out, batch_id, "day")
         put(df.where(is_late), late, batch_id)
         top = max(x for x in (seen, high) if x is not None) if (seen or high) else None
         put(spark.createDataFrame([(top,)], "high timestamp_ntz"), f"{out}_marks", batch_id)
@@ -280,8 +280,48 @@ def notify(stream: DataFrame, consent: DataFrame, sent: str, escalated: str, sta
     run_available(stream.writeStream.foreachBatch(sink), checkpoint)
 
 
-def compact(spark: SparkSession, path: str, out: str, keep: timedelta) -> None:
-    """Rewrites a stream's table without what is older than `keep` before its newest row."""
-    rows = spark.read.parquet(path)
-    high = rows.agg(F.max("ts")).first()[0]
-    rows.where(c("ts") >= ntz(high - keep)).drop("batch_id").write.mode("overwrite").parquet(out)
+def retain(spark: SparkSession, path: str, keep: timedelta) -> datetime | None:
+    """Takes what is older than `keep` before the newest row out of a table in folders batch_id=<n>/day=<date>.
+
+    Folders of older days are deleted, and only the day that the limit falls into is written anew, beside the table, and
+    then put in its place; files of kept days are not touched. Rows without a time stay. If a run ends early, the next
+    one finishes it: a rewritten day that has lost its place is put back first. Returns the limit.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    Path = jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(conf)
+    side = f"{path}_trimmed"
+
+    def folders(root: str) -> dict[tuple[str, str], object]:
+        if not fs.exists(Path(root)):
+            return {}
+        return {(b.getPath().getName(), x.getPath().getName()): x.getPath() for b in fs.listStatus(Path(root)) if b.getPath().getName().startswith("batch_id=")
+                for x in fs.listStatus(b.getPath()) if x.getPath().getName().startswith("day=")}
+
+    def put_back() -> None:
+        if fs.exists(Path(f"{side}/_SUCCESS")):
+            for (batch, day), place in folders(side).items():
+                target = Path(f"{path}/{batch}/{day}")
+                if not fs.exists(target):
+                    fs.mkdirs(target.getParent())
+                    fs.rename(place, target)
+        fs.delete(Path(side), True)
+    put_back()
+    days = {k: p for k, p in folders(path).items() if not k[1].endswith("__")}
+    if not days:
+        return None
+    newest = max(day for _, day in days)
+    high = spark.read.parquet(*[p.toString() for (_, day), p in days.items() if day == newest]).agg(F.max("ts")).first()[0]
+    limit = high - keep
+    edge = f"day={limit.date().isoformat()}"
+    for (_, day), place in days.items():
+        if day < edge:
+            fs.delete(place, True)
+    cut_days = [p for (_, day), p in days.items() if day == edge]
+    if cut_days and limit.time() != datetime.min.time():
+        rows = spark.read.option("basePath", path).parquet(*[p.toString() for p in cut_days])
+        rows.where(c("ts") >= ntz(limit)).write.partitionBy("batch_id", "day").parquet(side)
+        for place in cut_days:
+            fs.delete(place, True)
+        put_back()
+    return limit

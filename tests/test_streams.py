@@ -1,6 +1,7 @@
 """Streams against their batch forms, late rows, restarts."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Window as W, functions as F
@@ -164,3 +165,28 @@ def test_next_version_continues(spark):
     fresh = spark.createDataFrame([(1,), (2,), (3,)], "user_id long")
     got = {r["user_id"]: r["version"] for r in S.next_version(fresh, known).collect()}
     assert got == {1: 6, 2: 2, 3: 1}
+
+
+def test_retention_touches_only_the_day_of_the_limit(spark):
+    out = scratch(spark, "k")
+    S.ingest(sliced(spark), f"{out}/t", f"{out}/late", f"{out}/c", delay=timedelta(days=60))
+    rows = T.ev(spark, SF)
+    files = {p: p.stat().st_mtime_ns for p in Path(f"{out}/t").rglob("*.parquet")}
+    limit = S.retain(spark, f"{out}/t", timedelta(days=15))
+    high = rows.agg(F.max("ts")).first()[0]
+    assert limit == high - timedelta(days=15)
+    want = {r[0] for r in rows.where(c("ts") >= F.lit(limit)).select("event_id").collect()}
+    kept = lambda: sorted(r[0] for r in spark.read.parquet(f"{out}/t").select("event_id").collect())
+    assert kept() == sorted(want)
+    now = {p: p.stat().st_mtime_ns for p in Path(f"{out}/t").rglob("*.parquet")}
+    later = {p for p in files if p.parent.name > f"day={limit.date()}"}
+    assert later and all(now[p] == files[p] for p in later)
+    assert not [p for p in now if p.parent.name < f"day={limit.date()}"]
+    # a run that ended between taking a day out and putting it back
+    edge = next(p for p in Path(f"{out}/t").rglob(f"day={limit.date()}") if p.is_dir())
+    side = Path(f"{out}/t_trimmed") / edge.parent.name / edge.name
+    side.parent.mkdir(parents=True)
+    edge.rename(side)
+    (Path(f"{out}/t_trimmed") / "_SUCCESS").touch()
+    assert S.retain(spark, f"{out}/t", timedelta(days=15)) == limit and kept() == sorted(want)
+    assert S.retain(spark, f"{out}/none", timedelta(days=1)) is None
