@@ -46,8 +46,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes what is left: doc_id, token_ids, n_tokens."""
-    return piece_transducer.encode(docs, check=False).withColumnRenamed("id", "doc_id")
+    """Encodes what is left and decodes it again: doc_id, token_ids, n_tokens, decoded, exact (the ids give the text back)."""
+    return piece_transducer.encode(docs).withColumnRenamed("id", "doc_id")
 
 
 STAGES = [("language", known_language), ("near_duplicates", one_of_each_group), ("substrings", without_repeats),
