@@ -18,6 +18,7 @@ from fintrail.functions.keyed import quantiles, running_totals
 from fintrail.functions.numeric import rnd
 from fintrail.operators import risk as R
 from fintrail.operators.neighbours import knn_join
+from fintrail.session import written
 
 c = F.col
 
@@ -213,6 +214,20 @@ def isolation_flags(df: DataFrame, cols: list[str], contamination: float = 0.05,
     return scored.crossJoin(F.broadcast(cut)).select(key, "isolation_score", (c("isolation_score") > c("cut")).cast("int").alias("temporal_anomaly_flag"))
 
 
+def post_process(fv: DataFrame, key: str = "user_id", contamination: float = 0.05) -> DataFrame:
+    """A batch of feature vectors after all users are known: sparse columns imputed, then temporal_anomaly_flag set.
+
+    The five income columns lead the imputation of the eight sparse ones; the flag comes from the imputed cadence
+    columns, and is 0 for everyone where fewer than ten vectors exist. Columns and their order stay those of `fv`;
+    the key has to be unique. Both steps read the imputed table once stored, so nothing is imputed twice.
+    """
+    filled = written(knn_impute(fv, K.IMPUTE_REFERENCE, K.IMPUTE_TARGET, key=key), "imputed")
+    flags = isolation_flags(filled, K.CADENCE_COLUMNS, contamination, key)
+    marked = flags.select(key, c("temporal_anomaly_flag").cast("double").alias("_flag"))
+    joined = filled.join(marked, key, "left").withColumn("temporal_anomaly_flag", F.coalesce("_flag", F.lit(0.0)))
+    return joined.select(*fv.columns)
+
+
 # -------------------------------------------------------------- attribution
 
 def linear_attribution(df: DataFrame, weights: dict[str, float], key: str = "user_id") -> DataFrame:

@@ -52,17 +52,23 @@ def fan_chart(paths: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def horizon_snapshots(paths: DataFrame, days: Sequence[int], cash0: float, monthly_emi: float, threshold: float) -> DataFrame:
-    """At each horizon: share defaulted so far, mean day of first shortage, mean change."""
+    """At each horizon: share defaulted so far, mean day of first shortage, mean change.
+
+    A horizon beyond the table's last day looks at that day. The mean day is null where no path falls short, and also
+    where all of them do on day 0.
+    """
     theta = 0.5 * monthly_emi
-    per = paths.groupBy("path_id").agg(
+    last = paths.agg(F.max("day").alias("last"))                                    # one row
+    spot = lambda x: F.least(F.lit(x - 1), c("last"))
+    per = paths.crossJoin(F.broadcast(last)).groupBy("path_id").agg(
         F.min(F.when(c("balance") < threshold, c("day"))).alias("d0"), F.min(F.when(c("balance") < theta, c("day"))).alias("d1"),
-        F.map_from_entries(F.collect_list(F.when(c("day").isin([x - 1 for x in days]), F.struct("day", "balance")))).alias("at"))
+        *[F.max(F.when(c("day") == spot(x), c("balance"))).alias(f"at_{x}") for x in days])
     out = None
     for x in days:
         r = per.agg(F.lit(x).alias("horizon"),
                     rnd(F.avg(F.coalesce((c("d0") <= x - 1).cast("int"), F.lit(0))), 4).alias("default_probability"),
-                    rnd(F.avg(F.when(c("d1") <= x - 1, c("d1"))), 1).alias("shortage_day_mean"),
-                    rnd(F.avg(c("at")[F.lit(x - 1)] - cash0), 2).alias("delta_mean"))
+                    rnd(F.nullif(F.avg(F.when(c("d1") <= x - 1, c("d1"))), F.lit(0.0)), 1).alias("shortage_day_mean"),
+                    rnd(F.avg(c(f"at_{x}") - cash0), 2).alias("delta_mean"))
         out = r if out is None else out.unionByName(r)
     return out
 

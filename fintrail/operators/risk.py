@@ -197,27 +197,23 @@ def triggers(state: DataFrame) -> DataFrame:
     prev = c("previous_volatility")
     growth = (vol - prev) / F.greatest(prev, F.lit(0.01))
 
-    def alert(name, when, urgency, reason):
+    def alert(name, when, urgency, measure=None):
         priority, channels = K.TRIGGERS[name]
-        return F.when(when, F.struct(F.lit(name).alias("trigger_type"), F.lit(priority).alias("priority"),
-                                     rnd(urgency, 4).alias("urgency"), F.array(*[F.lit(x) for x in channels]).alias("channels"),
-                                     reason.alias("reason")))
-    pct = lambda x: F.round(x * 100, 0).cast("int")
+        text = K.TRIGGER_REASONS[name]
+        texts = lambda xs: F.array(*[F.lit(x) for x in xs])
+        return F.when(when, F.struct(F.lit(name).alias("trigger_type"), F.lit(priority).alias("priority"), rnd(urgency, 4).alias("urgency"),
+                                     texts(channels).alias("channels"), (F.lit(text) if measure is None else F.format_string(text, measure)).alias("reason"),
+                                     texts(K.TRIGGER_ACTIONS[name]).alias("suggested_actions")))
+    pct = lambda x: rnd(x * 100, 0).cast("int")
     alerts = F.array(
-        alert("liquidity_drop", low | (buf < 10), F.when(low, 0.9).otherwise(0.7),
-              F.format_string("cash_buffer_days=%.1f limit=10", buf)),
-        alert("prequalified_micro_loan_offer", low & (buf < 7), F.least(F.lit(0.98), 0.75 + (7.0 - buf) * 0.03),
-              F.format_string("cash_buffer_days=%.1f limit=7", buf)),
-        alert("overspend_warning", vol > 0.65, F.least(F.lit(0.9), vol),
-              F.format_string("spending_volatility=%.2f limit=0.65", vol)),
-        alert("emi_at_risk", emi > 0.35, F.least(F.lit(0.95), emi),
-              F.format_string("emi_burden_percent=%d limit=35", pct(emi))),
-        alert("lifestyle_inflation", prev.isNotNull() & (growth > 0.25), F.lit(0.5),
-              F.format_string("spending_growth_percent=%d limit=25", pct(F.coalesce(growth, F.lit(0.0))))),
-        alert("savings_opportunity", (buf > 20) & (emi < 0.25) & (c("risk_score") < 0.35), F.lit(0.2),
-              F.format_string("cash_buffer_days=%.1f emi_burden_percent=%d", buf, pct(emi))),
-        alert("fraud_anomaly", c("persona") == "shell_circular", F.lit(0.95), F.concat(F.lit("persona="), c("persona"))),
-        alert("new_to_credit_guidance", c("persona") == "new_to_credit", F.lit(0.1), F.concat(F.lit("persona="), c("persona"))),
+        alert("liquidity_drop", low | (buf < 10), F.when(low, 0.9).otherwise(0.7), rnd(buf, 1)),
+        alert("prequalified_micro_loan_offer", low & (buf < 7), F.least(F.lit(0.98), 0.75 + (7.0 - buf) * 0.03), rnd(buf, 1)),
+        alert("overspend_warning", vol > 0.65, F.least(F.lit(0.9), vol), rnd(vol, 2)),
+        alert("emi_at_risk", emi > 0.35, F.least(F.lit(0.95), emi), pct(emi)),
+        alert("lifestyle_inflation", prev.isNotNull() & (growth > 0.25), F.lit(0.5), pct(F.coalesce(growth, F.lit(0.0)))),
+        alert("savings_opportunity", (buf > 20) & (emi < 0.25) & (c("risk_score") < 0.35), F.lit(0.2)),
+        alert("fraud_anomaly", c("persona") == "shell_circular", F.lit(0.95)),
+        alert("new_to_credit_guidance", c("persona") == "new_to_credit", F.lit(0.1)),
     )
     return (state.select("user_id", "version", "ts", "persona",
                          F.explode(F.filter(alerts, lambda a: a.isNotNull())).alias("a"))

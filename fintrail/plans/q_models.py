@@ -12,7 +12,6 @@ from fintrail.plans.registry import query
 from fintrail.plans.sql import CTES, r
 
 c = F.col
-ROUNDS = 10
 
 
 def _col(n: str) -> str:
@@ -36,9 +35,9 @@ def trained(spark, d):
     """Both classifiers, fitted once per application and data folder."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _MODELS:
-        fv = T.feature_table(spark, d)
+        fv = T.processed_features(spark, d)
         labels = _labels(fv)
-        _MODELS[key] = (M.train(fv, labels, max_iter=ROUNDS), M.train(fv, labels, K.DISCRETIONARY_COLUMNS, max_iter=ROUNDS))
+        _MODELS[key] = (M.train(fv, labels), M.train(fv, labels, K.DISCRETIONARY_COLUMNS))
     return _MODELS[key]
 
 
@@ -46,7 +45,7 @@ def trained(spark, d):
 def m2(spark, d):
     """Rows and validation AUC of the two models."""
     (full, a), (income, b) = trained(spark, d)
-    fv = T.feature_table(spark, d)
+    fv = T.processed_features(spark, d)
     counts = fv.agg(F.count_if(M.in_training()).alias("train_rows"), F.count_if(~M.in_training()).alias("held_out_rows"))
     items = F.array(F.struct(F.lit("full").alias("model"), F.lit(float(a)).alias("auc")), F.struct(F.lit("income_heavy").alias("model"), F.lit(float(b)).alias("auc")))
     return counts.select("train_rows", "held_out_rows", F.explode(items).alias("m")).select("m.*", "train_rows", "held_out_rows")
@@ -56,7 +55,7 @@ def m2(spark, d):
 def m3(spark, d):
     (full, _), (income, _) = trained(spark, d)
     last = TW.latest(TW.trajectory_delta(T.twin(spark, d))).select("user_id", "trajectory_delta")
-    s = M.score(T.feature_table(spark, d), full, income, last)
+    s = M.score(T.processed_features(spark, d), full, income, last)
     return s.select("user_id", "model", "credit_score", "risk_band", rnd("probability_of_default", 4).alias("probability_of_default"),
                     "loan_amount", "tenure_months", "apr", c("rule_trace.emi_burden_check.result").alias("emi_burden_check"))
 
@@ -100,6 +99,18 @@ def m6(spark, d):
     return M.isolation_flags(T.feature_table(spark, d), K.CADENCE_COLUMNS).withColumn("isolation_score", rnd("isolation_score", 6))
 
 
+@query("m6_post_processed", f"SELECT user_id, {', '.join(f'{r(n)} AS {n}' for n in K.IMPUTE_TARGET)} FROM fv")
+def m6_post(spark, d):
+    """The eight sparse columns of the batch as models read them (nothing is missing in these vectors, so they stay)."""
+    return T.processed_features(spark, d).select("user_id", *[rnd(n, 4).alias(n) for n in K.IMPUTE_TARGET])
+
+
+@query("m6_flagged_labels")
+def m6_labels(spark, d):
+    """Per user: the batch flag and the label probability that it enters."""
+    return T.processed_features(spark, d).select("user_id", "temporal_anomaly_flag", rnd(R.proxy_label(), 4).alias("probability"))
+
+
 WEIGHTS = {"emi_burden_ratio": 0.125, "debit_failure_rate_90d": 0.20, "spending_volatility_index": 0.05, "discretionary_ratio": 0.05,
            "cash_dependency_index": 0.05, "savings_rate": -0.15, "income_stability_score": -0.05}
 CTES["contrib"] = " UNION ALL ".join(f"SELECT user_id, '{n}' AS feature, {r(f'{w} * ({n} - avg({n}) OVER ())', 6)} AS value FROM fv" for n, w in WEIGHTS.items())

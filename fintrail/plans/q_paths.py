@@ -53,11 +53,11 @@ def p3(spark, d):
 
 
 @query("p4_horizon_snapshots", " UNION ALL ".join(
-    f"""SELECT {h} AS horizon, {r(f'avg(coalesce((d0 <= {h - 1})::INT, 0))')} AS default_probability, {r(f'avg(d1) FILTER (d1 <= {h - 1})', 1)} AS shortage_day_mean, {r(f'avg(b{h})', 2)} AS delta_mean
-    FROM (SELECT path_id, min(day) FILTER (balance < 500) AS d0, min(day) FILTER (balance < 1500) AS d1, max(balance) FILTER (day = {h - 1}) - {CASH} AS b{h} FROM paths GROUP BY path_id)"""
-    for h in (10, 20, 30)))
+    f"""SELECT {h} AS horizon, {r(f'avg(coalesce((d0 <= {h - 1})::INT, 0))')} AS default_probability, {r(f'nullif(avg(d1) FILTER (d1 <= {h - 1}), 0)', 1)} AS shortage_day_mean, {r(f'avg(b{h})', 2)} AS delta_mean
+    FROM (SELECT path_id, min(day) FILTER (balance < 500) AS d0, min(day) FILTER (balance < 1500) AS d1, max(balance) FILTER (day = least({h - 1}, (SELECT max(day) FROM paths))) - {CASH} AS b{h} FROM paths GROUP BY path_id)"""
+    for h in (30, 60, 90)))
 def p4(spark, d):
-    return P.horizon_snapshots(T.paths(spark, d), (10, 20, 30), CASH, EMI, 500.0)
+    return P.horizon_snapshots(T.paths(spark, d), (30, 60, 90), CASH, EMI, 500.0)
 
 
 @query("p5_final_delta", f"SELECT {r('avg(x)', 2)} AS mean, " + ", ".join(f"{r(f'quantile_cont(x, {p})', 2)} AS {n}" for n, p in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9)))

@@ -217,6 +217,25 @@ def r17(spark, d):
     return R.triggers(snaps(spark, d)).select("user_id", "version", "trigger_type", "priority", "urgency")
 
 
+# the measure that a trigger's reason names, rounded to the digits that it shows
+_MEASURES = {"liquidity_drop": ("cash_buffer_days", 1), "prequalified_micro_loan_offer": ("cash_buffer_days", 1), "overspend_warning": ("spending_volatility", 2),
+             "emi_at_risk": ("emi_burden_ratio * 100", 0), "lifestyle_inflation": ("(spending_volatility - pvol) / greatest(pvol, 0.01::DOUBLE) * 100", 0)}
+
+
+def _reason_sql(n: str) -> str:
+    if n not in _MEASURES:
+        return f"'{K.TRIGGER_REASONS[n]}'"
+    x, places = _MEASURES[n]
+    return f"printf('{K.TRIGGER_REASONS[n]}', {r(x, places) if places else f'CAST({r(x, 0)} AS INTEGER)'})"
+
+
+@query("r17_trigger_texts", " UNION ALL ".join(
+    f"SELECT user_id, version, '{n}' AS trigger_type, {_reason_sql(n)} AS reason, '{' | '.join(K.TRIGGER_ACTIONS[n])}' AS suggested_actions FROM pv WHERE {w}" for n, w, _ in _TRIG))
+def r17_texts(spark, d):
+    """What each alert tells its user: the reason with its measure, and the suggested actions."""
+    return R.triggers(snaps(spark, d)).select("user_id", "version", "trigger_type", "reason", F.concat_ws(" | ", "suggested_actions").alias("suggested_actions"))
+
+
 CTES["sent"] = f"""SELECT user_id, version, ts, trigger_type, priority, relevance, unnest(channels) AS channel FROM (
   SELECT *, {r('0.4 * urgency + 0.3 * 0.9 + 0.2 * 0.8 + 0.1 * 1.0')} AS relevance FROM alerts WHERE NOT (trigger_type = 'fraud_anomaly' AND persona = 'shell_circular'))
   WHERE relevance >= 0.75 AND user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)"""

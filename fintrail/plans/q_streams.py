@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from fintrail.operators.trailing import KINDS, event_summaries
 from fintrail.plans import tables as T
 from fintrail.plans.q_events import STATEFUL
 from fintrail.plans.q_risk import consent
@@ -88,6 +89,46 @@ def st5(spark, d):
     return S.trailing(spark.read.parquet(f"{out}/t"))
 
 
+def _event_sql(select: str, group: str, size: int) -> str:
+    return f"""SELECT {select} FROM ev e JOIN ev g ON g.user_id = e.user_id AND g.ts <= e.ts AND g.ts > e.ts - INTERVAL {size + 1} DAY GROUP BY {group}"""
+
+
+def _summary_sql() -> str:
+    out = []
+    for n in (7, 30, 90):
+        one = lambda k, x="abs(g.amount)": f"coalesce(sum({x}) FILTER (g.transaction_type = '{k}'), 0.0)"
+        income, spent = one("INCOME", "g.amount"), {m: one(k) for m, k in KINDS.items()}
+        cols = [f"{r(income, 2)} AS income", *[f"{r(x, 2)} AS {m}" for m, x in spent.items()], f"{r(f'{income} - ' + ' - '.join(spent.values()), 2)} AS net_cashflow",
+                "count(*) AS event_count"]
+        CTES[f"sum_{n}"] = _event_sql("e.event_id, e.user_id, " + ", ".join(cols), "e.event_id, e.user_id", n)
+        out += [f"s{n}.{m} AS {m}_{n}d" for m in ("income", *KINDS, "net_cashflow", "event_count")]
+    return f"SELECT s7.event_id, s7.user_id, {', '.join(out)} FROM sum_7 s7 JOIN sum_30 s30 USING (event_id) JOIN sum_90 s90 USING (event_id)"
+
+
+@query("st5_event_summaries", _summary_sql())
+def st5_events(spark, d):
+    """The summary as of every event, from a stream of the event table."""
+    out = scratch(spark, "st5e")
+    S.summary_stream(ev_stream(spark, d), f"{out}/t", f"{out}/s", f"{out}/c")
+    rows = spark.read.parquet(f"{out}/t")
+    return rows.select("event_id", "user_id", *[f"{m}_{n}d" for n in (7, 30, 90) for m in ("income", *KINDS, "net_cashflow", "event_count")])
+
+
+def _category_sql(n: int) -> str:
+    total = r("sum(abs(g.amount))", 2)
+    return "SELECT * FROM (" + _event_sql(f"e.event_id, {n} AS days, g.merchant_category AS category, {total} AS total", "e.event_id, g.merchant_category", n) + ") WHERE total <> 0"
+
+
+@query("st5_event_categories", " UNION ALL ".join(_category_sql(n) for n in (7, 30, 90)))
+def st5_categories(spark, d):
+    """The category maps of the summaries as rows, from the stored table."""
+    rows = event_summaries(T.ev(spark, d))
+    entries = lambda n: F.transform(F.map_entries(f"categories_{n}d"), lambda x: F.struct(
+        F.lit(n).alias("days"), x["key"].alias("category"), x["value"].alias("total")))
+    each = F.explode(F.flatten(F.array(*[entries(n) for n in (7, 30, 90)])))
+    return rows.select("event_id", each.alias("x")).select("event_id", "x.*")
+
+
 @query("st6_stateful_flags", STATEFUL)
 def st6(spark, d):
     out = scratch(spark, "st6")

@@ -139,6 +139,12 @@ def feature_table(spark: SparkSession, d: str) -> DataFrame:
     return stored(spark, d, "features", fv)
 
 
+def processed_features(spark: SparkSession, d: str) -> DataFrame:
+    """The feature table after imputation and flagging: what labels and models read."""
+    from fintrail.operators import models as M
+    return stored(spark, d, "processed", lambda s, p: M.post_process(feature_table(s, p)))
+
+
 def twin(spark: SparkSession, d: str) -> DataFrame:
     """State snapshots: one version per active user-day."""
     return stored(spark, d, "twin", lambda s, p: TW.snapshots(ev(s, p)))

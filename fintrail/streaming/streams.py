@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.streaming import StreamingQuery
 
 from fintrail.functions.numeric import micros, ntz, rnd
-from fintrail.operators import classify, features as FT, risk as R, stateful, twin as TW
+from fintrail.operators import classify, features as FT, risk as R, stateful, trailing as trailing_events, twin as TW
 from fintrail.streaming.state import KeyedTable, replaced
 
 c = F.col
@@ -161,6 +161,34 @@ def flag_stream(stream: DataFrame, out: str, state: str, checkpoint: str, keep:
     run_available(stream.writeStream.foreachBatch(sink), checkpoint)
 
 
+# ------------------------------------------------------ per-event summaries
+
+def summary_stream(stream: DataFrame, out: str, state: str, checkpoint: str, keep: timedelta = KEEP) -> None:
+    """One row per event with its user's trailing 7, 30 and 90 days, see `trailing.event_summaries`.
+
+    A user's events of the last 91 days lie in a keyed table: a batch reads the buckets of its users, adds its own
+    events and drops those that are older than `keep` at its newest event, so neither what it reads nor what it keeps
+    grows with history. A late event counts what is known when it comes; rows written earlier stay as they are.
+    """
+    cols = ["event_id", "user_id", "ts", "amount", "transaction_type", "merchant_category"]
+
+    def sink(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        rows = through(df.select(*cols), f"{state}_rows", batch_id)
+        high = rows.agg(F.max("ts")).first()[0]
+        table = KeyedTable(spark, state)
+        buckets = table.touched(rows)
+        kinds = dict(rows.dtypes)
+        known = table.read(batch_id, buckets, ", ".join(f"{n} {kinds[n]}" for n in cols))
+        users = rows.select(c("user_id").alias("_u")).distinct()
+        past = known.join(users, c("user_id").eqNullSafe(c("_u")), "left_semi")
+        both = past.withColumn("_new", F.lit(False)).unionByName(rows.withColumn("_new", F.lit(True)))
+        put(trailing_events.event_summaries(both, wanted=c("_new")), out, batch_id)
+        live = known.unionByName(rows)
+        table.write(batch_id, buckets, live.where(c("ts") > ntz(high - keep)) if high is not None else live.where("ts is not null"))
+    run_available(stream.writeStream.foreachBatch(sink), checkpoint)
+
+
 # -------------------------------------------------------- features and twin
 
 def through(df: DataFrame, path: str, batch_id: int) -> DataFrame:

@@ -470,3 +470,47 @@ def test_month_end_dip_over_three_months(spark):
             event(5, ts=datetime(2024, 3, 5), amount=70.0)]                      # March has no late part
     got = FT.account_features(spark.createDataFrame(rows, EV), datetime(2024, 3, 20)).first()
     assert got["end_of_month_liquidity_dip"] == ((-40 - 100) + (-10 - 50)) / 2
+
+
+def vectors(spark, n, holes=()):
+    cols = list(dict.fromkeys([*K.IMPUTE_REFERENCE, *K.IMPUTE_TARGET, *K.CADENCE_COLUMNS]))
+    rng = np.random.default_rng(5)
+    data = [(i, *[None if (i, x) in holes else float(v) for x, v in zip(cols, rng.normal(0, 1, len(cols)) + (40 if i == 3 else 0))], 0.0, "keep") for i in range(n)]
+    return cols, data, spark.createDataFrame(data, "user_id long, " + ", ".join(f"{x} double" for x in cols) + ", temporal_anomaly_flag double, extra string")
+
+
+def test_post_processing_imputes_flags_and_keeps_the_columns(spark):
+    holes = {(5, "savings_rate"), (5, "gst_30d_value"), (11, "cash_buffer_days")}
+    cols, data, fv = vectors(spark, 60, holes)
+    out = M.post_process(fv)
+    assert out.columns == fv.columns
+    got = {r["user_id"]: r for r in out.collect()}
+    used = [1 + cols.index(x) for x in [*K.IMPUTE_REFERENCE, *K.IMPUTE_TARGET]]
+    for i, x in holes:
+        at, mine = 1 + cols.index(x), data[i]
+        def far(b):
+            both = [(mine[k], b[k]) for k in used if mine[k] is not None and b[k] is not None]
+            return sum((p - q) ** 2 for p, q in both) * len(used) / len(both)
+        near = sorted((b for b in data if b[at] is not None and b[0] != i), key=lambda b: (far(b), b[0]))[:5]
+        assert abs(got[i][x] - sum(b[at] for b in near) / 5) < 1e-9
+    assert all(got[r[0]][x] == r[1 + k] for r in data for k, x in enumerate(cols) if (r[0], x) not in holes)
+    assert got[3]["temporal_anomaly_flag"] == 1.0 and sum(r["temporal_anomaly_flag"] for r in got.values()) == 3
+    few = M.post_process(vectors(spark, 6)[2]).collect()
+    assert len(few) == 6 and all(r["temporal_anomaly_flag"] == 0.0 for r in few)
+
+
+def test_alerts_say_why_and_what_to_do(spark):
+    a = {r["trigger_type"]: r for r in R.triggers(state(spark, cash_buffer_days=4.0, liquidity_health="LOW", emi_burden_ratio=0.41)).collect()}
+    assert a["liquidity_drop"]["reason"] == "Cash buffer at 4.0 days (threshold: 10)"
+    assert a["emi_at_risk"]["reason"] == "EMI burden at 41% of income (threshold: 35%)"
+    assert a["prequalified_micro_loan_offer"]["suggested_actions"] == K.TRIGGER_ACTIONS["prequalified_micro_loan_offer"]
+
+
+def test_snapshot_beyond_the_table_looks_at_its_last_day(spark):
+    p = spark.createDataFrame([(1, d, 100.0 - d) for d in range(40)] + [(2, d, 10.0) for d in range(40)], "path_id int, day int, balance double")
+    r = {x["horizon"]: x for x in P.horizon_snapshots(p, (30, 60), 100.0, 160.0, 65.0).collect()}
+    assert r[30]["delta_mean"] == (-29.0 - 90.0) / 2 and r[60]["delta_mean"] == (-39.0 - 90.0) / 2
+    assert r[30]["default_probability"] == 0.5 and r[60]["default_probability"] == 1.0
+    assert r[60]["shortage_day_mean"] == 10.5           # days 21 and 0
+    zero = P.horizon_snapshots(p.where("path_id = 2"), (30,), 100.0, 160.0, 5.0).first()
+    assert zero["shortage_day_mean"] is None
