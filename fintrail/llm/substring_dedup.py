@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from fintrail.llm.common import BLANK, Words, row_key, slices, stored, window_hashes, words_of
 
 WINDOW = 35                    # words of a removed window
-LOW = np.uint64((1 << 24) - 1)  # words of a piece are numbered in 24 bits beside 40 bits of hash
+LOW = np.uint64((1 << 24) - 1)  # words of a block are numbered in 24 bits beside 40 bits of hash
+BLOCK = 1 << 23                 # windows whose anchors are found at once; blocks overlap by a window, so that none is changed
 
 
 def levels(window: int) -> tuple[int, int]:
@@ -18,6 +19,21 @@ def levels(window: int) -> tuple[int, int]:
     return -(-half // 2), half
 
 
+def _anchors(h: np.ndarray, n: int, width: int, block: int = BLOCK) -> np.ndarray:
+    """For each of n windows, where the least of its `width` hashes stands (the last of equals)."""
+    out = [np.empty(0, np.int64)]
+    for begin in range(0, n, block):
+        part = h[begin:min(begin + block, n) + width - 1]
+        key, have = (part & ~LOW) | (LOW - np.arange(len(part), dtype=np.uint64)), 1
+        while have * 2 <= width:
+            key = np.minimum(key[:-have], key[have:])
+            have *= 2
+        if have < width:
+            key = np.minimum(key[:len(key) - (width - have)], key[width - have:])
+        out.append((LOW - (key & LOW)).astype(np.int64) + begin)
+    return np.concatenate(out)
+
+
 class _Grid:
     """The windows of a piece and the short windows that stand for them at the lower levels.
 
@@ -28,8 +44,6 @@ class _Grid:
 
     def __init__(self, w: Words, window: int):
         first, half = levels(window)
-        if len(w.hashes) >= int(LOW):
-            raise ValueError("a single text of over 16 million words")
         self.w, self.window, self.first, self.half = w, window, first, half
         n = max(0, len(w.hashes) - window + 1)
         doc = w.docs()
@@ -37,14 +51,7 @@ class _Grid:
         self.doc = doc
         h = window_hashes(w.hashes, first)
         self.small = h
-        key = (h & ~LOW) | (LOW - np.arange(len(h), dtype=np.uint64))
-        width, have = window - first + 1, 1
-        while have * 2 <= width:
-            key = np.minimum(key[:-have], key[have:])
-            have *= 2
-        if have < width:
-            key = np.minimum(key[:len(key) - (width - have)], key[width - have:])
-        self.anchor = (LOW - (key[:n] & LOW)).astype(np.int64)[self.starts]
+        self.anchor = _anchors(h, n, window - first + 1)[self.starts]
         self.forward = self.anchor + half <= self.starts + window
 
     def doubled(self) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +163,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     A word goes if a window of `window` words that covers it has the same words as a window that starts elsewhere, in
     this or another document; windows are judged on the input. So all copies of a passage go, also those of repeated
-    rows. Null, empty and wordless texts keep nothing (empty text); texts shorter than a window stay whole. Other
-    columns are left out.
+    rows. Null, empty and wordless texts keep nothing (empty text); texts shorter than a window stay whole. Texts of any
+    length are taken whole, in memory in proportion to them. Other columns are left out.
 
     Level 1 counts one short window (the anchor) of each window; only the anchors that repeat are doubled and counted
     again, and only where that repeats are the windows themselves counted. The texts are shuffled once, by key; all

@@ -329,3 +329,30 @@ def test_unigram_paths_are_best():
 def test_normaliser_rules():
     t = P.Transducer(["<unk>", "▁", "f", "i"], [0.0, -1, -1, -1], {}, {0}, bpe=False, prefix=False, rules={"ﬁ": "fi"})
     assert t.encode("ﬁ f") == [2, 3, 1, 2]
+
+
+def test_anchors_by_blocks_equal_anchors_at_once():
+    h = np.random.default_rng(2).integers(0, 1 << 40, 5000, dtype=np.uint64) << np.uint64(24)
+    h[100:300] = h[100]                                            # ties: the last of equals
+    for width in (1, 2, 27):
+        n = len(h) - width + 1
+        want = np.array([i + width - 1 - int(np.argmin(h[i:i + width][::-1])) for i in range(n)])
+        for block in (7, 64, 10_000):
+            assert (SD._anchors(h, n, width, block) == want).all()
+    assert len(SD._anchors(h[:0], 0, 27)) == 0
+
+
+def test_parts_composed_together_equal_parts_composed_alone(spark):
+    t = P.load()
+    texts = ["", None, "a", " ", "x" * 500, "é漢字😀 ab", "word " * 50, "▁", "\n\t", "漢" * 70, "the the", "a" * 64, "a" * 65]
+    flat, at = t.encode_all(texts)
+    for i, x in enumerate(texts):
+        alone = [k for p in t.parts.findall(t.normalise(x or "")) for k in t._bpe_path(p)]
+        assert flat[at[i]:at[i + 1]].tolist() == alone
+    assert t.decode_all(flat, at).to_pylist() == [(x or "").replace("▁", " ") for x in texts]
+    assert all(len(p) <= P.LONG for p in t._known)
+    halves = np.array([t.bytes[0xC3], t.bytes[0xA9]])              # a character's bytes in two rows
+    assert t.decode_all(halves, np.array([0, 1, 2])).to_pylist() == ["�", "�"]
+    assert t.decode_all(halves, np.array([0, 2, 2])).to_pylist() == ["é", ""]
+    rows = spark.createDataFrame([(1, [t.ids["▁"]]), (2, None), (3, [])], "id long, token_ids array<int>")
+    assert {r["id"]: r["text"] for r in P.decode(rows).collect()} == {1: "", 2: None, 3: ""}
