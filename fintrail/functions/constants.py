@@ -129,6 +129,7 @@ CODE_REQUEST_PATTERNS = [
 ]
 BARE_CODE_PATTERN = r"\b\d{6}\b"
 REGISTERED_SENDER_PATTERN = r"^[A-Z]{2}-[A-Z]{4,6}$"
+MESSAGE_SIGNALS = ("URGENCY_MANIPULATION", "AUTHORITY_IMPERSONATION", "OTP_PHISHING")
 
 # ---- fixed values: credit bands -------------------------------------------
 # band: (min score, max score, max loan in lakh, tenure months, apr low, apr high, guarantee eligible)

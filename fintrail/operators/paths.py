@@ -28,6 +28,14 @@ def early_warning_per_path(paths: DataFrame, monthly_emi: float, horizons: Seque
         rnd(F.coalesce(F.avg(F.when(c("day") < h, (c("balance") < theta).cast("int"))), F.lit(0.0)), 4).alias(f"ews_{h}d") for h in horizons])
 
 
+def daily_burn(paths: DataFrame, days: int = 30) -> DataFrame:
+    """Mean fall of the balance a day over the first days of each path; 0.0 where it rises or has one day."""
+    ends = paths.where(c("day") < days).groupBy("path_id").agg(
+        F.min_by("balance", "day").alias("b0"), F.max_by("balance", "day").alias("b1"), (F.max("day") - F.min("day")).alias("n"))
+    fall = F.when(c("n") > 0, (c("b0") - c("b1")) / c("n"))
+    return ends.select("path_id", rnd(F.greatest(F.coalesce(fall, F.lit(0.0)), F.lit(0.0)), 2).alias("avg_daily_burn"))
+
+
 def value_at_risk(paths: DataFrame, cash0: float, confidence: float = 0.95) -> DataFrame:
     """Order statistic of the largest drawdown, and the mean from there on."""
     loss = paths.groupBy("path_id").agg((F.lit(cash0) - F.min("balance")).alias("loss"))

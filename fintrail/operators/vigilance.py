@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions import constants as K
-from fintrail.functions.numeric import LN2, clip, level, rnd, sigmoid
+from fintrail.functions.numeric import LN2, clip, level, micros, rnd, sigmoid
 from fintrail.functions.rules import hits, lookup
 
 c = F.col
@@ -31,6 +31,37 @@ def message_scores(messages: DataFrame) -> DataFrame:
                           "otp_score": _saturating(c("_o"), 0.8)}).drop("_u", "_a", "_o")
 
 
+def message_evidence(messages: DataFrame) -> DataFrame:
+    """What the scores of `message_scores` rest on: a row per message and pattern found.
+
+    Columns: message_id, signal, pattern (its number in the signal's list, the bare
+    six-digit number last), matched_text (its first occurrence), confidence (the
+    signal's score to three digits) and severity. Every pattern found gives a row.
+    Messages without a hit and null texts give none; repeated messages repeat their rows.
+    """
+    def found(patterns, first=1):
+        cells = [F.struct(F.lit(i).alias("pattern"), F.regexp_extract("text", "(?i)" + p, 0).alias("matched_text"))
+                 for i, p in enumerate(patterns, first)]
+        return F.filter(F.array(*cells), lambda x: x.matched_text != "")
+
+    bare = found([K.BARE_CODE_PATTERN], len(K.CODE_REQUEST_PATTERNS) + 1)
+    m = messages.select("message_id", "text", "sender_id", found(K.URGENCY_PATTERNS).alias("u"), found(K.AUTHORITY_PATTERNS).alias("a"),
+                        found(K.CODE_REQUEST_PATTERNS).alias("o"))
+    m = m.withColumn("o", F.when(F.size("u") > 0, F.concat("o", bare)).otherwise(c("o")))
+    legit = F.coalesce(F.trim("sender_id").rlike("(?i)" + K.REGISTERED_SENDER_PATTERN), F.lit(False))
+    score = {"u": 1.0 - F.exp(-0.45 * F.size("u")), "o": 1.0 - F.exp(-0.8 * F.size("o")),
+             "a": (1.0 - F.exp(-0.5 * F.size("a"))) * F.when(legit, 0.3).otherwise(1.0)}
+    severity = {"u": F.when(score["u"] > 0.6, "HIGH").otherwise("MEDIUM"), "a": F.when(score["a"] > 0.6, "CRITICAL").otherwise("HIGH"),
+                "o": F.lit("CRITICAL")}
+
+    def rows(name, signal):
+        return F.transform(name, lambda x: F.struct(F.lit(signal).alias("signal"), x.pattern.alias("pattern"), x.matched_text.alias("matched_text"),
+                                                    rnd(score[name], 3).alias("confidence"), severity[name].alias("severity")))
+
+    items = F.concat(*[rows(n, s) for n, s in zip("uao", K.MESSAGE_SIGNALS)])
+    return m.select("message_id", F.inline(items))
+
+
 def scam_probability(scores: DataFrame, prior: float = 0.05) -> DataFrame:
     """Naive-Bayes log-odds over the scores that are present; tier and alert."""
     import math
@@ -175,3 +206,42 @@ def warning_severity(share: Column) -> list[Column]:
     advice = {"GREEN": "NO_ACTION", "AMBER": "SOFT_NUDGE", "ORANGE": "EMI_AT_RISK_ALERT + MICRO_LOAN_PRE_QUALIFY",
               "RED": "IMMEDIATE_INTERVENTION + HUMAN_ESCALATION"}
     return [sev.alias("severity"), lookup(sev, advice).alias("recommendation")]
+
+
+def spend_pressure(events: DataFrame, ref) -> DataFrame:
+    """Change of spending volatility and failed debits before ref, per user.
+
+    Volatility is deviation over mean of the daily successful outflow, days without
+    any included; volatility_change sets the last 7 days against the last 30 (0.0
+    where either has no outflow). debit_failures_7d counts failed outflows. Null
+    amounts and times do not count; users without an event in 30 days have no row.
+    """
+    at = F.lit(ref).cast("timestamp_ntz")
+    e = events.where((c("ts") <= at) & (c("ts") > at - F.expr("INTERVAL 30 DAYS")) & (c("amount") < 0))
+    ok = F.coalesce(c("status") != "FAILED", F.lit(True))
+    days = e.groupBy("user_id", F.floor((micros(at) - micros(c("ts"))) / 86_400_000_000).alias("age")).agg(
+        F.round(F.coalesce(F.sum(F.when(ok, -c("amount"))), F.lit(0.0)), 2).alias("spent"), F.count_if(~ok).alias("failed"))
+
+    def volatility(n):
+        x = F.when(c("age") < n, c("spent")).otherwise(0.0)
+        mean = F.sum(x) / n
+        return F.when(mean > 0, F.sqrt(F.greatest(F.sum(x * x) / n - mean * mean, F.lit(0.0))) / mean)
+
+    u = days.groupBy("user_id").agg(volatility(7).alias("v7"), volatility(30).alias("v30"),
+                                    F.sum(F.when(c("age") < 7, c("failed")).otherwise(0)).alias("debit_failures_7d"))
+    change = F.when(c("v30") > 0, rnd(c("v7") / c("v30") - 1.0, 4))
+    return u.select("user_id", F.coalesce(change, F.lit(0.0)).alias("volatility_change"), "debit_failures_7d")
+
+
+def leading_indicators(df: DataFrame) -> DataFrame:
+    """Coded warnings beside the early-warning share, as an array `indicators`, and the change in whole percent.
+
+    Needs volatility_change, debit_failures_7d and avg_daily_burn; a null counts as 0.
+    The figures that a text would name stay in their columns.
+    """
+    z = {n: F.coalesce(c(n), F.lit(0)) for n in ("volatility_change", "debit_failures_7d", "avg_daily_burn")}
+    codes = F.array_compact(F.array(F.when(z["volatility_change"] > 0.10, "SPENDING_VOLATILITY_UP"),
+                                    F.when(z["debit_failures_7d"] > 0, "DEBIT_FAILURES"),
+                                    F.when(z["avg_daily_burn"] > 0, "CASH_BUFFER_DECLINING")))
+    return df.withColumns({"volatility_change_pct": rnd(z["volatility_change"] * 100.0, 0).cast("int"),
+                           "indicators": F.when(F.size(codes) > 0, codes).otherwise(F.array(F.lit("NONE")))})

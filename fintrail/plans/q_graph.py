@@ -42,6 +42,29 @@ def v1(spark, d):
     return V.message_scores(T.messages(spark, d)).select("message_id", "urgency_score", "authority_score", "otp_score")
 
 
+def _cells(signal: str, patterns, first: int = 1, when: str = "") -> list[str]:
+    return [f"{{'signal': '{signal}', 'pattern': {i}, 't': {when}regexp_extract(text, {quoted(['(?i)' + p])}, 0){' END' if when else ''}}}"
+            for i, p in enumerate(patterns, first)]
+
+
+_EVIDENCE = ", ".join(_cells(K.MESSAGE_SIGNALS[0], K.URGENCY_PATTERNS) + _cells(K.MESSAGE_SIGNALS[1], K.AUTHORITY_PATTERNS)
+                      + _cells(K.MESSAGE_SIGNALS[2], K.CODE_REQUEST_PATTERNS)
+                      + _cells(K.MESSAGE_SIGNALS[2], [K.BARE_CODE_PATTERN], len(K.CODE_REQUEST_PATTERNS) + 1, "CASE WHEN u > 0 THEN "))
+_LEGIT = "coalesce(regexp_matches(trim(sender_id), '(?i)" + K.REGISTERED_SENDER_PATTERN + "'), FALSE)"
+
+
+@query("v1_message_evidence", f"""SELECT message_id, signal, CAST(pattern AS INTEGER) AS pattern, t AS matched_text, {r('s', 3)} AS confidence,
+  CASE signal WHEN '{K.MESSAGE_SIGNALS[0]}' THEN CASE WHEN s > 0.6 THEN 'HIGH' ELSE 'MEDIUM' END
+    WHEN '{K.MESSAGE_SIGNALS[1]}' THEN CASE WHEN s > 0.6 THEN 'CRITICAL' ELSE 'HIGH' END ELSE 'CRITICAL' END AS severity
+  FROM (SELECT message_id, x.signal AS signal, x.pattern AS pattern, x.t AS t,
+    CASE x.signal WHEN '{K.MESSAGE_SIGNALS[0]}' THEN 1 - exp(-0.45 * u)
+      WHEN '{K.MESSAGE_SIGNALS[1]}' THEN (1 - exp(-0.5 * a)) * CASE WHEN {_LEGIT} THEN 0.3 ELSE 1.0 END
+      ELSE 1 - exp(-0.8 * (o0 + (bare AND u > 0)::INT)) END AS s
+    FROM (SELECT message_id, sender_id, u, a, o0, bare, unnest([{_EVIDENCE}]) AS x FROM msg0)) WHERE t <> ''""")
+def v1_evidence(spark, d):
+    return V.message_evidence(T.messages(spark, d))
+
+
 @query("v2_scam_probability", "SELECT message_id, scam_probability, scam_risk, scam_probability >= 0.5 AS is_scam_alert FROM scam")
 def v2(spark, d):
     return V.scam_probability(V.message_scores(T.messages(spark, d))).select("message_id", "scam_probability", "scam_risk", "is_scam_alert")

@@ -9,7 +9,7 @@ from fintrail.operators import paths as P, risk as R, twin as TW, vigilance as V
 from fintrail.plans import tables as T
 from fintrail.plans.q_twin import REGIME_SQL
 from fintrail.plans.registry import query
-from fintrail.plans.sql import CTES, in_list, r
+from fintrail.plans.sql import CTES, REF, in_list, r
 
 c = F.col
 EMI = 3000.0        # half of it is the warning floor of 1,500
@@ -38,6 +38,28 @@ def v8(spark, d):
     return e.select("path_id", "ews_14d", *V.warning_severity(c("ews_14d")))
 
 
+_AGE = f"floor((epoch_us({REF}) - epoch_us(ts)) / 86400000000)"
+_VOL = lambda n: f"CASE WHEN sum(spent) FILTER (age < {n}) > 0 THEN sqrt(greatest(coalesce(sum(spent * spent) FILTER (age < {n}), 0) / {n} - (sum(spent) FILTER (age < {n}) / {n}) ** 2, 0)) / (sum(spent) FILTER (age < {n}) / {n}) END"
+CTES["pressure"] = f"""SELECT user_id, coalesce(CASE WHEN v30 > 0 THEN {r('v7 / v30 - 1')} END, 0.0) AS volatility_change, f AS debit_failures_7d FROM (
+  SELECT user_id, {_VOL(7)} AS v7, {_VOL(30)} AS v30, CAST(coalesce(sum(failed) FILTER (age < 7), 0) AS BIGINT) AS f FROM (
+    SELECT user_id, {_AGE} AS age, round(coalesce(sum(-amount) FILTER (status <> 'FAILED'), 0.0), 2) AS spent, count(*) FILTER (status = 'FAILED') AS failed
+    FROM ev WHERE ts <= {REF} AND ts > {REF} - INTERVAL 30 DAY AND amount < 0 GROUP BY 1, 2) GROUP BY user_id)"""
+CTES["burn"] = f"""SELECT path_id AS user_id, {r('greatest(coalesce(CASE WHEN n > 0 THEN (b0 - b1) / n END, 0.0), 0.0)', 2)} AS avg_daily_burn FROM (
+  SELECT path_id, min_by(balance, day) AS b0, max_by(balance, day) AS b1, max(day) - min(day) AS n FROM paths WHERE day < 30 GROUP BY path_id)"""
+
+
+@query("v8_leading_indicators", f"""SELECT user_id, v AS volatility_change, f AS debit_failures_7d, b AS avg_daily_burn, CAST({r('v * 100', 0)} AS INTEGER) AS volatility_change_pct,
+  CASE WHEN v > 0.10 OR f > 0 OR b > 0 THEN concat_ws(',', CASE WHEN v > 0.10 THEN 'SPENDING_VOLATILITY_UP' END, CASE WHEN f > 0 THEN 'DEBIT_FAILURES' END,
+    CASE WHEN b > 0 THEN 'CASH_BUFFER_DECLINING' END) ELSE 'NONE' END AS indicators
+  FROM (SELECT user_id, coalesce(volatility_change, 0.0) AS v, CAST(coalesce(debit_failures_7d, 0) AS BIGINT) AS f, coalesce(avg_daily_burn, 0.0) AS b
+    FROM pressure FULL JOIN burn USING (user_id))""")
+def v8_indicators(spark, d):
+    burn = P.daily_burn(T.paths(spark, d)).withColumnRenamed("path_id", "user_id")
+    both = V.spend_pressure(T.ev(spark, d), T.REF).join(burn, "user_id", "full")
+    zero = {"volatility_change": 0.0, "debit_failures_7d": 0, "avg_daily_burn": 0.0}
+    return V.leading_indicators(both.fillna(zero)).withColumn("indicators", F.array_join("indicators", ","))
+
+
 @query("p2_value_at_risk", f"""SELECT {r('max(loss) FILTER (i = k)', 2)} AS var, {r('avg(loss) FILTER (i >= k)', 2)} AS cvar FROM (
   SELECT loss, row_number() OVER (ORDER BY loss) - 1 AS i, floor(0.95::DOUBLE * count(*) OVER ()) AS k FROM (SELECT {CASH} - min(balance) AS loss FROM paths GROUP BY path_id))""")
 def p2(spark, d):

@@ -514,3 +514,41 @@ def test_snapshot_beyond_the_table_looks_at_its_last_day(spark):
     assert r[60]["shortage_day_mean"] == 10.5           # days 21 and 0
     zero = P.horizon_snapshots(p.where("path_id = 2"), (30,), 100.0, 160.0, 5.0).first()
     assert zero["shortage_day_mean"] is None
+
+
+def test_message_evidence_rests_on_the_scores(spark):
+    rows = [("m1", "URGENT: call within 24 hours, code 123456", None), ("m2", "code 123456", None), ("m3", None, None), ("m4", "", "TM-HDFCBK"),
+            ("m5", "RBI official notice", " TM-HDFCBK "), ("m6", "RBI official notice", "98765"), ("m7", "x " * 50_000 + "deadline", None)]
+    m = spark.createDataFrame(rows, "message_id string, text string, sender_id string")
+    got = {}
+    for r in V.message_evidence(m).collect():
+        got.setdefault(r["message_id"], []).append((r["signal"].split("_")[0], r["matched_text"], r["confidence"], r["severity"]))
+    assert sorted(got["m1"]) == [("OTP", "123456", 0.551, "CRITICAL"), ("URGENCY", "URGENT", 0.593, "MEDIUM"), ("URGENCY", "within 24 hours", 0.593, "MEDIUM")]
+    assert sorted(got["m5"]) == [("AUTHORITY", "RBI", 0.19, "HIGH"), ("AUTHORITY", "official notice", 0.19, "HIGH")]
+    assert [x[2:] for x in got["m6"]] == [(0.632, "CRITICAL")] * 2
+    assert got["m7"] == [("URGENCY", "deadline", 0.362, "MEDIUM")]
+    assert set(got) == {"m1", "m5", "m6", "m7"}                  # digits alone, nulls and empty texts give no row
+    scores = {r["message_id"]: r for r in V.message_scores(m.where("text IS NOT NULL")).collect()}
+    for k, x in scores.items():
+        assert (k in got) == (max(x["urgency_score"], x["authority_score"], x["otp_score"]) > 0)
+    assert V.message_evidence(m.limit(0)).count() == 0
+
+
+def test_leading_indicators(spark):
+    steady = [event(i, 1, REF - timedelta(days=i, hours=1)) for i in range(30)]
+    burst = [event(100 + i, 2, REF - timedelta(days=i, hours=1), amount=-300.0 if i == 1 else -10.0) for i in range(30)]
+    other = [event(200, 3, REF - timedelta(days=2), status="FAILED"), event(201, 3, REF - timedelta(days=8), status="FAILED"),
+             event(202, 4, REF - timedelta(days=31)), event(203, 5, REF - timedelta(days=1), amount=None), event(204, 6, REF, status=None)]
+    p = {r["user_id"]: r for r in V.spend_pressure(spark.createDataFrame(steady + burst + other, EV), REF).collect()}
+    assert set(p) == {1, 2, 3, 6}
+    x7 = np.array([10.0, 300.0] + [10.0] * 5)
+    x30 = np.append(x7, [10.0] * 23)
+    assert p[1]["volatility_change"] == 0.0
+    assert p[2]["volatility_change"] == pytest.approx((x7.std() / x7.mean()) / (x30.std() / x30.mean()) - 1, abs=1e-4)
+    assert p[3]["debit_failures_7d"] == 1 and p[3]["volatility_change"] == 0.0
+    paths = spark.createDataFrame([(1, d, 100.0 - d) for d in range(40)] + [(2, 0, 5.0), (2, 1, 9.0), (3, 4, 1.0)], "path_id long, day int, balance double")
+    assert {r[0]: r[1] for r in P.daily_burn(paths).collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+    df = spark.createDataFrame([(1, 0.256, 0, 0.0), (2, 0.1, 2, 3.5), (3, None, None, None)],
+                               "user_id long, volatility_change double, debit_failures_7d long, avg_daily_burn double")
+    got = {r["user_id"]: (r["volatility_change_pct"], r["indicators"]) for r in V.leading_indicators(df).collect()}
+    assert got == {1: (26, ["SPENDING_VOLATILITY_UP"]), 2: (10, ["DEBIT_FAILURES", "CASH_BUFFER_DECLINING"]), 3: (0, ["NONE"])}
