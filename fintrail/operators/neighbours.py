@@ -43,16 +43,23 @@ def _k_best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], dist[keep]))][:k]
 
 
+def _pivot_rows(base: DataFrame, pivots: int):
+    """At most `pivots` rows, the same in every call."""
+    return base.select("v").orderBy(F.xxhash64("b"), "b").limit(pivots).collect()
+
+
 def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = euclidean_matrix,
-             exclude_self: bool = False, pivots: int | None = None) -> DataFrame:
+             exclude_self: bool = False, pivots: int | None = None, probes: int | None = None) -> DataFrame:
     """The k base rows nearest to each query: q, b, distance, rn.
 
     queries(q, v, x) and base(b, v, x): `metric` compares the full vectors x and
     may exceed the Euclidean distance of the v vectors but never fall below it.
+    With `probes` a query looks into that many nearest cells only (more where they
+    hold fewer than k rows), so its work is bounded and its rows are approximate.
     """
     if pivots is None:
         pivots = max(1, min(MAX_PIVOTS, base.count() // ROWS_PER_PIVOT))
-    rows = base.select("v").orderBy(F.xxhash64("b"), "b").limit(pivots).collect()   # bounded by `pivots`
+    rows = _pivot_rows(base, pivots)
     kinds_q, kinds_b = dict(queries.dtypes)["q"], dict(base.dtypes)["b"]
     out = f"q {kinds_q}, b {kinds_b}, distance double"
     if not rows:
@@ -76,7 +83,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
     stat = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("b_d").alias("r")).collect()   # <= pivots rows
     radius = np.full(len(piv), -np.inf)
     splits = np.ones(len(piv), dtype=np.int64)
+    size = np.zeros(len(piv), dtype=np.int64)
     for s in stat:
+        size[s["cell"]] = s["n"]
         radius[s["cell"]] = s["r"]
         splits[s["cell"]] = -(-s["n"] // BASE_BLOCK)
     seed_x = np.array([s["x"] for s in seeds], dtype=float)
@@ -88,6 +97,13 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
                 continue
             q_ids = pdf["q"].to_numpy()
             d = euclidean_matrix(np.stack(pdf["v"].to_numpy()), piv)
+            if probes is not None:
+                order = np.argsort(np.where(size[None, :] > 0, d, np.inf), axis=1, kind="stable")
+                held = size[order]
+                take = ((np.arange(len(piv))[None, :] < probes) | (held.cumsum(1) - held < need)) & (held > 0)
+                hit, at = np.nonzero(take)
+                yield pd.DataFrame({"q": q_ids[hit], "x": pdf["x"].to_numpy()[hit], "cell": order[hit, at].astype(np.int32)})
+                continue
             m = metric(np.stack(pdf["x"].to_numpy()), seed_x)
             if exclude_self:
                 m = np.where(q_ids[:, None] == seed_id[None, :], np.inf, m)
@@ -137,19 +153,21 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
     return best.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int | None = None) -> DataFrame:
+def _unit(df: DataFrame, key: str) -> DataFrame:
+    n = norm(F.col("v"))
+    v = F.transform("v", lambda x: x.cast("double") / F.when(F.col("n") < 1e-9, F.lit(1.0)).otherwise(F.col("n")))
+    return df.select(key, "v", n.alias("n")).select(key, "n", v.alias("v")).withColumn("x", F.col("v"))
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int = 5, exclude_self: bool = False, pivots: int | None = None,
+            probes: int | None = None) -> DataFrame:
     """Top-k by cosine similarity: q, b, similarity, rn. Zero vectors are similar to nothing (0.0).
 
     On unit vectors cosine order is distance order. Zero vectors tie at 0.0 with
-    everything, so the few of smallest id stand for all of them.
+    everything, so the few of smallest id stand for all of them. `probes` as in `knn_join`.
     """
-    def unit(df, key):
-        n = norm(F.col("v"))
-        v = F.transform("v", lambda x: x.cast("double") / F.when(F.col("n") < 1e-9, F.lit(1.0)).otherwise(F.col("n")))
-        return df.select(key, "v", n.alias("n")).select(key, "n", v.alias("v")).withColumn("x", F.col("v"))
-
-    b, q = unit(base, "b"), unit(queries, "q")
-    live = knn_join(q.where("n >= 1e-9"), b.where("n >= 1e-9"), k, exclude_self=exclude_self, pivots=pivots)
+    b, q = _unit(base, "b"), _unit(queries, "q")
+    live = knn_join(q.where("n >= 1e-9"), b.where("n >= 1e-9"), k, exclude_self=exclude_self, pivots=pivots, probes=probes)
     found = live.select("q", "b", (1.0 - F.col("distance") * F.col("distance") / 2.0).alias("similarity"))
     need = k + (1 if exclude_self else 0)
     ties = b.where("n < 1e-9").orderBy("b").limit(need).select("b")
@@ -161,3 +179,36 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = 5, exclude_self: bool
     both = found.unionByName(pad.withColumn("similarity", F.lit(0.0)))
     w = W.partitionBy("q").orderBy(F.desc(F.round("similarity", 12)), "b")
     return both.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
+
+
+def fit_probes(queries: DataFrame, base: DataFrame, k: int, recall: float, *, exclude_self: bool = False, pivots: int,
+               sample: int = 256) -> int:
+    """Fewest cells to look into so that `recall` of the true neighbours of at most `sample` queries is found.
+
+    The sample is the one bound: its queries run exactly against all base rows, and the
+    rank of each true neighbour's cell says how many cells would have found it.
+    """
+    b, q = _unit(base, "b").where("n >= 1e-9"), _unit(queries, "q").where("n >= 1e-9")
+    few = q.orderBy(F.xxhash64("q"), "q").limit(sample)
+    true = knn_join(few, b, k, exclude_self=exclude_self, pivots=pivots).select("q", "b")
+    pairs = true.join(few.select("q", F.col("v").alias("qv")), "q")
+    rows = b.select("b", "v").join(F.broadcast(pairs), "b").select("qv", "v").collect()      # at most sample * k rows
+    if not rows:
+        return 1
+    piv = np.array([r["v"] for r in _pivot_rows(b, pivots)], dtype=float)
+    d = euclidean_matrix(np.array([r["qv"] for r in rows], dtype=float), piv)
+    cell = euclidean_matrix(np.array([r["v"] for r in rows], dtype=float), piv).argmin(1)
+    own = d[np.arange(len(d)), cell][:, None]
+    rank = (d < own).sum(1) + ((d == own) & (np.arange(len(piv))[None, :] < cell[:, None])).sum(1)
+    return int(np.sort(rank)[int(np.ceil(recall * len(rank))) - 1]) + 1
+
+
+def nearest_probed(queries: DataFrame, base: DataFrame, k: int = 5, recall: float = 0.95, exclude_self: bool = False,
+                   pivots: int | None = None, sample: int = 256) -> DataFrame:
+    """Approximate form of `nearest`, with the same columns: every base row lies in a cell, a query looks into the
+    nearest few. How many is fitted for the wanted recall by `fit_probes`; vectors without any structure need most cells.
+    """
+    if pivots is None:
+        pivots = max(1, min(MAX_PIVOTS, int(np.sqrt(base.count()))))
+    probes = fit_probes(queries, base, k, recall, exclude_self=exclude_self, pivots=pivots, sample=sample)
+    return nearest(queries, base, k, exclude_self, pivots, probes)

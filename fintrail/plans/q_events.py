@@ -274,6 +274,13 @@ def j10(spark, d):
     return top.select("q", "b", F.round("similarity", 4).alias("similarity"), "rn")
 
 
+@query("j10_nearest_probed")
+def j10_probed(spark, d):
+    v = T.table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    top = NN.nearest_probed(v.withColumnRenamed("vec_id", "q"), v.withColumnRenamed("vec_id", "b"), 5, exclude_self=True)
+    return top.select("q", "b", F.round("similarity", 4).alias("similarity"), "rn")
+
+
 @query("r5_vector_similarity", """SELECT a.vec_id, b.vec_id AS other, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0 AS cosine,
   round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0 AS euclidean
   FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")

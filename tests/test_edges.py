@@ -359,6 +359,38 @@ def test_neighbours_equal_brute_force_with_copies(spark, pivots):
         assert [round(sim[q, b], 6) for b in order] == [got[q][k + 1][1] for k in range(4)]
 
 
+def test_probed_neighbours_reach_their_recall(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(40, 8))[rng.integers(0, 40, 1500)] + 0.15 * rng.normal(size=(1500, 8))
+    x[:500] = x[0] + 0.01 * rng.normal(size=(500, 8))          # one cell holds a third
+    x[700], x[701] = 0.0, x[702]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, v array<double>")
+    q, b = df.select(c("i").alias("q"), "v"), df.select(c("i").alias("b"), "v")
+    probes = NN.fit_probes(q, b, 5, 0.95, exclude_self=True, pivots=32)
+    assert probes < 16                                          # fitted on 256 queries, far fewer cells than all
+    got = {}
+    for r in NN.nearest(q, b, 5, True, 32, probes).collect():
+        got.setdefault(r["q"], {})[r["b"]] = r["similarity"]
+    assert len(got) == 1500 and all(len(g) == 5 and i not in g for i, g in got.items())
+    n = np.linalg.norm(x, axis=1)
+    u = x / np.where(n < 1e-9, 1, n)[:, None]
+    sim = u @ u.T
+    np.fill_diagonal(sim, -2.0)
+    true = np.sort(sim, 1)[:, -5]
+    live = [i for i in range(1500) if n[i] > 1e-9]
+    found = sum(s >= true[i] - 1e-9 for i in live for s in got[i].values())
+    assert found / (5 * len(live)) >= 0.9
+    assert all(abs(s - sim[i, j]) < 1e-9 for i in live[::50] for j, s in got[i].items())
+    assert NN.nearest_probed(q.limit(0), b, 5).count() == 0 and NN.nearest_probed(q.limit(3), b.limit(0), 5).count() == 0
+
+
+def test_probed_neighbours_fill_up_from_further_cells(spark):
+    df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(8)], "i long, v array<double>")
+    q, b = df.select(c("i").alias("q"), "v"), df.select(c("i").alias("b"), "v")
+    got = NN.nearest(q, b, 5, True, 8, 1).groupBy("q").count().collect()
+    assert len(got) == 8 and all(r["count"] == 5 for r in got)
+
+
 def test_stateful_flags_equal_a_plain_loop(spark):
     df = hot(spark, 2000).withColumn("amount", F.when(c("event_id") % 101 == 0, 900.0).otherwise(c("amount")))
     want, seen = {}, {}
