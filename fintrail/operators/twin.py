@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions import constants as K
 from fintrail.functions.keyed import carry_forward
-from fintrail.functions.numeric import clip, ntz, rnd, sigmoid
+from fintrail.functions.numeric import DAY_MICROS, clip, micros, ntz, rnd, sigmoid
 from fintrail.operators.features import daily_features
 from fintrail.session import cut
 
@@ -94,10 +94,17 @@ def carry_persona(snaps: DataFrame, candidate: str = "candidate") -> DataFrame:
 
 
 def _gated_top3(ev: DataFrame, snaps: DataFrame) -> DataFrame:
-    """Merchant concentration for the few snapshots whose persona depends on it."""
+    """Merchant concentration for the few snapshots whose persona depends on it.
+
+    Events meet only snapshots whose 90 days reach into their stretch of 90 days, so
+    about every other joined pair passes the time filter, however long the history is.
+    """
+    stretch = lambda ts: F.floor(micros(ts) / (90 * DAY_MICROS))
     gate = snaps.where((F.col("debit_failure_rate_90d") > 0.30)
                        & (F.col("daily_avg_throughput_30d") > 100_000)).select("user_id", F.col("ts").alias("ref"))
-    m = (ev.where("amount < 0").select("user_id", "ts", "merchant_name", "amount").join(gate, "user_id")
+    last = stretch(F.col("ref"))
+    gate = gate.withColumn("stretch", F.explode(F.array(last - 1, last)))
+    m = (ev.where("amount < 0").select("user_id", "ts", "merchant_name", "amount", stretch(F.col("ts")).alias("stretch")).join(gate, ["user_id", "stretch"])
          .where((F.col("ts") < F.col("ref")) & (F.col("ts") >= F.col("ref") - F.expr("INTERVAL 90 DAYS")))
          .groupBy("user_id", "ref", "merchant_name").agg(F.sum(-F.col("amount")).alias("t")))
     w = W.partitionBy("user_id", "ref").orderBy(F.desc("t"), "merchant_name")

@@ -584,3 +584,23 @@ def test_leading_indicators(spark):
                                "user_id long, volatility_change double, debit_failures_7d long, avg_daily_burn double")
     got = {r["user_id"]: (r["volatility_change_pct"], r["indicators"]) for r in V.leading_indicators(df).collect()}
     assert got == {1: (26, ["SPENDING_VOLATILITY_UP"]), 2: (10, ["DEBIT_FAILURES", "CASH_BUFFER_DECLINING"]), 3: (0, ["NONE"])}
+
+
+def test_gated_concentration_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    t0 = datetime(2023, 1, 1)
+    rows = [(i, 1 if i % 3 else 2 + i % 5, t0 + timedelta(days=int(rng.integers(0, 500)), hours=int(rng.integers(0, 24))), float(-rng.integers(1, 99)), f"M{rng.integers(0, 9)}")
+            for i in range(1200)]
+    ev = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, amount double, merchant_name string")
+    refs = [(u, t0 + timedelta(days=d), f, 200_000.0) for u in (1, 2, 4) for d in range(0, 520, 13) for f in (0.5 if d % 2 else 0.1,)]
+    snaps = spark.createDataFrame(refs, "user_id long, ts timestamp_ntz, debit_failure_rate_90d double, daily_avg_throughput_30d double")
+    got = {(r["user_id"], r["ts"]): r["top3"] for r in TW._gated_top3(ev, snaps).collect()}
+    want = {}
+    for u, ref, f, _ in refs:
+        total = {}
+        for _, user, ts, a, m in rows:
+            if f > 0.3 and user == u and ref - timedelta(days=90) <= ts < ref:
+                total[m] = total.get(m, 0.0) - a
+        if total:
+            want[u, ref] = sum((x / sum(total.values())) ** 2 for x in sorted(total.values(), reverse=True)[:3])
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
