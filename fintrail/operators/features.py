@@ -32,6 +32,20 @@ def in_window(ts: Column, ref: datetime, days: int, bounded: bool = True) -> Col
     return c & (ts <= ntz(ref)) if bounded else c
 
 
+PART_ROWS = 50_000             # events whose users one task of the per-user steps takes
+
+
+def user_parts(ev: DataFrame) -> int:
+    """Into how many parts the users of these events go, so that a task's share stays the same whatever the table's size."""
+    rows = ev.count()
+    return max(1, -(-rows // PART_ROWS), min(ev.sparkSession.sparkContext.defaultParallelism, rows // 5_000))
+
+
+def by_user(df: DataFrame, parts: int | None) -> DataFrame:
+    """Rows of a user in one of `parts` tasks; without a number, as the next step places them."""
+    return df if parts is None else df.repartition(parts, "user_id")
+
+
 # ---------------------------------------------------------------- user-days
 
 def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
@@ -130,9 +144,9 @@ def dip_value(prefix: str = "") -> Column:
     return F.when(both > 0, total / both).otherwise(0.0)
 
 
-def account_features(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
+def account_features(ev: DataFrame, ref: datetime, bounded: bool = True, parts: int | None = None) -> DataFrame:
     """All scalar features that need neither merchants nor categories."""
-    return _of_days(user_days(ev, ref, bounded))
+    return _of_days(by_user(user_days(ev, ref, bounded), parts))
 
 
 def _of_days(days: DataFrame) -> DataFrame:
@@ -276,27 +290,26 @@ def emi_burden() -> Column:
 
 # ------------------------------------------------- merchants and categories
 
-def top_merchants(ev: DataFrame, ref: datetime, n: int = 3) -> DataFrame:
+def top_merchants(ev: DataFrame, ref: datetime, n: int = 3, parts: int | None = None) -> DataFrame:
     """Sum of squared shares of the n largest merchants by outflow."""
-    m = (ev.where(in_window(F.col("ts"), ref, 90) & (F.col("amount") < 0))
-         .groupBy("user_id", "merchant_name").agg(F.sum(-F.col("amount")).alias("total")))
+    m = by_user(ev.where(in_window(F.col("ts"), ref, 90) & (F.col("amount") < 0))
+                .groupBy("user_id", "merchant_name").agg(F.sum(-F.col("amount")).alias("total")), parts)
     rank = W.partitionBy("user_id").orderBy(F.desc("total"), "merchant_name")
-    top = m.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= n)
-    whole = m.groupBy("user_id").agg(F.sum("total").alias("whole"))
+    top = m.select("user_id", "total", F.row_number().over(rank).alias("rn"), F.sum("total").over(W.partitionBy("user_id")).alias("whole"))
     share = F.col("total") / F.col("whole")
-    return (top.join(whole, "user_id").where(F.col("whole") > 0).groupBy("user_id")
+    return (top.where((F.col("rn") <= n) & (F.col("whole") > 0) & F.col("user_id").isNotNull()).groupBy("user_id")
             .agg(rnd(clip(F.sum(share * share), 0.0, 1.0), 4).alias("top3_merchant_concentration")))
 
 
-def category_shift(ev: DataFrame, ref: datetime, n: int = 5) -> DataFrame:
+def category_shift(ev: DataFrame, ref: datetime, n: int = 5, parts: int | None = None) -> DataFrame:
     """How many top-n categories changed between the two latest 30-day buckets."""
     ts = F.col("ts")
     mid, lo = ref - timedelta(days=30), ref - timedelta(days=60)
     e = (ev.where((ts >= ntz(lo)) & (ts < ntz(ref)))
          .withColumn("current", ts >= ntz(mid)))
     spent = ~F.col("transaction_type").isin("INCOME", "TRANSFER")
-    cat = (e.groupBy("user_id", "current", "merchant_category")
-           .agg(F.sum(F.when(spent, F.abs("amount"))).alias("total")))
+    cat = by_user(e.groupBy("user_id", "current", "merchant_category")
+                  .agg(F.sum(F.when(spent, F.abs("amount"))).alias("total")), parts)
     rank = W.partitionBy("user_id", "current").orderBy(F.desc_nulls_last("total"), "merchant_category")
     top = (cat.withColumn("rn", F.row_number().over(rank)).where(F.col("rn") <= n)
            .groupBy("user_id").agg(
@@ -310,7 +323,7 @@ def category_shift(ev: DataFrame, ref: datetime, n: int = 5) -> DataFrame:
 
 # ------------------------------------------------------- business features
 
-def invoice_features(invoices: DataFrame) -> DataFrame:
+def invoice_features(invoices: DataFrame, parts: int | None = None) -> DataFrame:
     """Decayed invoice value anchored at each user's latest invoice, and filing habits."""
     # values decay to the end of their day, day sums to the user's latest invoice: no weight exceeds 1
     per_day = invoices.groupBy("user_id", F.to_date("ts").alias("day")).agg(
@@ -319,7 +332,7 @@ def invoice_features(invoices: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("filing_status") == "ontime").alias("ontime"),
         F.sum("filing_delay_days").alias("delay"))
-    per_day = per_day.withColumn("last", F.max("hi").over(W.partitionBy("user_id")))
+    per_day = by_user(per_day, parts).withColumn("last", F.max("hi").over(W.partitionBy("user_id")))
     return per_day.groupBy("user_id").agg(
         rnd(F.sum(F.col("faded") * _fade(_day_end(F.col("hi")), F.col("last"))), 2).alias("gst_30d_value"),
         rnd(F.sum("ontime") / F.sum("n"), 4).alias("gst_filing_compliance_rate"),
@@ -337,18 +350,19 @@ def _fade(ts: Column, anchor: Column) -> Column:
     return F.exp(F.lit(LN2 / HALF_LIFE) * (micros(ts) - micros(anchor)) / F.lit(float(DAY_MICROS)))
 
 
-def eway_features(eway: DataFrame) -> DataFrame:
+def eway_features(eway: DataFrame, parts: int | None = None) -> DataFrame:
     """Decayed consignment value and entropy of commodity codes."""
-    by_code = eway.groupBy("user_id", "main_hsn_code").agg(F.count(F.lit(1)).alias("n"))
-    per_day = eway.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+    user = W.partitionBy("user_id")
+    per_day = eway.where("user_id is not null").groupBy("user_id", "main_hsn_code", F.to_date("ts").alias("day")).agg(
         F.max("ts").alias("hi"), F.sum(F.col("tot_inv_value") * _fade(F.col("ts"), _day_end(F.col("ts")))).alias("faded"),
-        F.count(F.lit(1)).alias("n")).withColumn("last", F.max("hi").over(W.partitionBy("user_id")))
-    whole = per_day.groupBy("user_id").agg(
-        F.sum("n").alias("rows"), F.sum(F.col("faded") * _fade(_day_end(F.col("hi")), F.col("last"))).alias("value"))
+        F.count(F.lit(1)).alias("n"))
+    per_day = by_user(per_day, parts).withColumn("last", F.max("hi").over(user))
+    by_code = per_day.groupBy("user_id", "main_hsn_code").agg(
+        F.sum("n").alias("n"), F.sum(F.col("faded") * _fade(_day_end(F.col("hi")), F.col("last"))).alias("value"))
     p = F.col("n") / F.col("rows")
-    return (by_code.join(whole, "user_id").groupBy("user_id").agg(
-        rnd(F.first("value"), 2).alias("ewb_30d_value"),
-        rnd(-F.sum(p * F.log(p + 1e-9)), 4).alias("hsn_entropy_90d")))
+    return by_code.withColumn("rows", F.sum("n").over(user)).groupBy("user_id").agg(
+        rnd(F.sum("value"), 2).alias("ewb_30d_value"),
+        rnd(-F.sum(p * F.log(p + 1e-9)), 4).alias("hsn_entropy_90d"))
 
 
 def receivables_gap(invoiced: Column, inbound: Column) -> Column:
@@ -406,16 +420,19 @@ def features(ev: DataFrame, ref: datetime, *, invoices: DataFrame | None = None,
     """One wide row per user at `ref`.
 
     Every part is keyed by user_id and one row per user, so the joins reuse the
-    aggregations' partitioning. Cohort statistics are taken from the vectors
+    aggregations' partitioning, whose number of tasks grows with the events.
+    Invoices and consignments of users without events enter no vector and are left
+    out before they are grouped. Cohort statistics are taken from the vectors
     themselves unless given.
     """
-    fv = (account_features(ev, ref)
-          .join(top_merchants(ev, ref), "user_id", "left")
-          .join(category_shift(ev, ref), "user_id", "left"))
+    parts, users = user_parts(ev), ev.select("user_id").distinct()
+    fv = (account_features(ev, ref, parts=parts)
+          .join(top_merchants(ev, ref, parts=parts), "user_id", "left")
+          .join(category_shift(ev, ref, parts=parts), "user_id", "left"))
     if invoices is not None:
-        fv = fv.join(invoice_features(invoices), "user_id", "left")
+        fv = fv.join(invoice_features(invoices.join(users, "user_id", "left_semi"), parts), "user_id", "left")
     if eway is not None:
-        fv = fv.join(eway_features(eway), "user_id", "left")
+        fv = fv.join(eway_features(eway.join(users, "user_id", "left_semi"), parts), "user_id", "left")
     filled = [(F.coalesce(F.col(n), F.lit(v)) if n in fv.columns else F.lit(v)).alias(n) for n, v in DEFAULTS.items()]
     plain = [c for c in fv.columns if c not in DEFAULTS and c != "inbound_decayed"]
     gap = (receivables_gap(F.col("gst_30d_value"), F.col("inbound_decayed")) if invoices is not None else F.lit(0.0))
