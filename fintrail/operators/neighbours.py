@@ -22,6 +22,7 @@ ROWS_PER_PIVOT = 4_096
 BASE_BLOCK = 50_000
 QUERY_BLOCK = 20_000
 STEP = 256
+PAIRS = 1 << 20                # distances that a task holds at once
 SLACK = 1e-7
 
 Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -43,6 +44,13 @@ def _k_best(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], dist[keep]))][:k]
 
 
+def _pieces(pdf: pd.DataFrame, others: int) -> Iterator[pd.DataFrame]:
+    """Rows in pieces whose distances to `others` rows stay within PAIRS."""
+    step = max(1, PAIRS // max(1, others))
+    for at in range(0, len(pdf), step):
+        yield pdf.iloc[at:at + step]
+
+
 def _pivot_rows(base: DataFrame, pivots: int):
     """At most `pivots` rows, the same in every call."""
     return base.select("v").orderBy(F.xxhash64("b"), "b").limit(pivots).collect()
@@ -69,7 +77,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
     slack = SLACK * (1.0 + float(np.abs(piv).max()))       # rounding of the expanded squares grows with the values
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in (p for batch in batches for p in _pieces(batch, len(piv))):
             d = euclidean_matrix(np.stack(pdf["v"].to_numpy()), piv)
             cell = d.argmin(1)
             yield pd.DataFrame({"b": pdf["b"], "x": pdf["x"], "cell": cell.astype(np.int32),
@@ -92,9 +100,7 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
     seed_id = np.array([s["b"] for s in seeds])
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (p for batch in batches for p in _pieces(batch, max(len(piv), len(seed_x)))):
             q_ids = pdf["q"].to_numpy()
             d = euclidean_matrix(np.stack(pdf["v"].to_numpy()), piv)
             if probes is not None:
@@ -133,8 +139,9 @@ def knn_join(queries: DataFrame, base: DataFrame, k: int, *, metric: Metric = eu
         bx, ids = np.stack(rpdf["x"].to_numpy()).astype(float), rpdf["b"].to_numpy()
         qx, qid = np.stack(lpdf["x"].to_numpy()).astype(float), lpdf["q"].to_numpy()
         qs, bs, ds = [], [], []
-        for at in range(0, len(qx), STEP):
-            m = metric(qx[at:at + STEP], bx)
+        step = max(1, min(STEP, PAIRS // len(bx)))
+        for at in range(0, len(qx), step):
+            m = metric(qx[at:at + step], bx)
             for i, row in enumerate(m):
                 q = qid[at + i]
                 if exclude_self:
