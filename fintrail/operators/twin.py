@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from fintrail.functions import constants as K
@@ -169,22 +172,33 @@ def _project(matrix: np.ndarray, pairs: list[tuple[int, int]]):
 def smooth_vectors(snaps: DataFrame, vec: str = "vector") -> DataFrame:
     """Each version's vector blended with the previous blend; faster when risk moves.
 
-    The fold runs over at most one row per user-day.
+    The fold reads each user's rows in order and keeps one blend.
     """
-    per = snaps.groupBy("user_id").agg(F.array_sort(F.collect_list(
-        F.struct("version", "risk_score", vec))).alias("s"))
-    zero = F.struct(F.lit(0.5).alias("risk"), F.expr("cast(null as array<double>)").alias("v"),
-                    F.expr("cast(array() as array<struct<version:int,vector:array<double>>>)").alias("out"))
-
-    def step(acc, s):
-        alpha = clip(0.20 + F.abs(s["risk_score"] - acc["risk"]) * 1.5, 0.15, 0.65)
-        blend = F.when(acc["v"].isNull(), s[vec]).otherwise(
-            F.zip_with(acc["v"], s[vec], lambda p, n: clip((1.0 - alpha) * p + alpha * n, 0, 1)))
-        return F.struct(s["risk_score"].alias("risk"), blend.alias("v"), F.concat(
-            acc["out"], F.array(F.struct(s["version"].alias("version"), blend.alias("vector")))).alias("out"))
-
-    return (per.withColumn("o", F.explode(F.aggregate("s", zero, step)["out"]))
-            .select("user_id", F.col("o.version").alias("version"), F.col("o.vector").alias("vector")))
+    user = dict(snaps.dtypes)["user_id"]
+    rows = snaps.select("user_id", "version", "risk_score", vec).repartition("user_id").sortWithinPartitions(
+        "user_id", "version", "risk_score", vec)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, risk, blend = object(), None, None
+        for b in batches:
+            out = []
+            for key, now, v in zip(b.column("user_id").to_pylist(), b.column("risk_score").to_pylist(), b.column(vec).to_pandas()):
+                if key != of or blend is None or v is None:
+                    blend = v
+                elif now is None or risk is None or isinstance(blend, list):
+                    blend = [None] * len(v)                                   # nothing is known from here on
+                else:
+                    # like the columns' own order, NaN is above every number
+                    move = abs(now - risk) * 1.5
+                    alpha = 0.65 if math.isnan(move) else max(0.15, min(0.20 + move, 0.65))
+                    mix = (1.0 - alpha) * blend + alpha * v
+                    blend = np.where(np.isnan(mix), 1.0, np.clip(mix, 0.0, 1.0))
+                of, risk = key, now
+                out.append(blend)
+            yield pa.RecordBatch.from_arrays([b.column("user_id"), b.column("version"), pa.array(out, pa.list_(pa.float64()))],
+                                             names=["user_id", "version", "vector"])
+
+    return rows.mapInArrow(fold, f"user_id {user}, version int, vector array<double>")
 
 
 # ------------------------------------------------------------ ordered state
