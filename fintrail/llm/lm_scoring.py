@@ -15,6 +15,7 @@ SPELLINGS = 512                # classes of all other words, by their first lett
 CLASSES = 1 + TOP_WORDS + SPELLINGS
 HEAD = 200_000                 # words whose counts every task holds; the counts of all others are joined
 DIM, STEPS, NOISE, RATE = 40, 150, 8.0, 0.05
+PIECE = 1 << 20                # bytes of text that a task looks at once: its arrays take some twenty times as much
 PENALTY = 0.7                  # of squared vectors, against the summed log loss
 END = 0                        # hash and class of the end of a text, which also stands before its first word
 
@@ -38,10 +39,10 @@ class Head:
 
 def _spelling(w: Words) -> np.ndarray:
     """Class of each word by up to four of its first bytes."""
-    padded = np.concatenate([w.data, np.zeros(4, np.uint8)]).astype(np.uint64)
+    padded = np.concatenate([w.data, np.zeros(4, np.uint8)])       # stays bytes: only the words' letters are widened
     key = np.zeros(len(w.starts), np.uint64)
     for j in range(4):
-        key = (key << np.uint64(8)) | np.where(w.starts + j < w.ends, padded[np.minimum(w.starts + j, len(padded) - 1)], np.uint64(0))
+        key = (key << np.uint64(8)) | np.where(w.starts + j < w.ends, padded[w.starts + j], np.uint8(0))
     return (1 + TOP_WORDS + (mix(key) % np.uint64(SPELLINGS))).astype(np.int64)
 
 
@@ -52,7 +53,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def word_counts(train: DataFrame) -> DataFrame:
     """Stored: hash, count and spelling class of every word of the texts, and the number of ends under hash END."""
     def count(batches):
-        for b in slices(batches, limit=8 << 20):
+        for b in slices(batches, limit=PIECE):
             w = words_of(b.column("text"), LOWER)
             h, first, n = np.unique(w.hashes, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays(
@@ -88,7 +89,7 @@ def pair_counts(train: DataFrame, head: Head) -> np.ndarray:
     shared = train.sparkSession.sparkContext.broadcast(head)
 
     def count(batches):
-        for b in slices(batches, limit=8 << 20):
+        for b in slices(batches, limit=PIECE):
             w = words_of(b.column("text"), LOWER)
             before, now, _ = _sequence(w, shared.value.look_up(w)[2])
             pair, n = np.unique(before * CLASSES + now, return_counts=True)
@@ -186,7 +187,7 @@ def score(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: s
 
     def run(batches):
         head, table, log_mass = shared.value
-        for b in slices(batches, limit=2 << 20):
+        for b in slices(batches, limit=PIECE):
             w = words_of(b.column("text"), LOWER)
             known, c, cls = head.look_up(w)
             before, now, bounds = _sequence(w, cls)
