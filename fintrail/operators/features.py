@@ -12,7 +12,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from fintrail.session import cut
+from fintrail.session import cut, written
 from fintrail.functions.numeric import (DAY_MICROS, LN2, age_days, clip, day_number, decay, micros,
                                         month_index, ntz, ratio, rnd, zsum)
 
@@ -48,7 +48,17 @@ def by_user(df: DataFrame, parts: int | None) -> DataFrame:
 
 # ---------------------------------------------------------------- user-days
 
-def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
+def by_day(ev: DataFrame, parts: int | None) -> DataFrame:
+    """Events with their `day`, those of one user and day in one of `parts` tasks.
+
+    The wide sums of a user's days are then made where the narrow events lie: hardly any two rows of a scan share a day,
+    so sums made there first would hold nearly all of a split's days at once and pass the shuffle wide.
+    """
+    e = ev.withColumn("day", F.to_date("ts"))
+    return e if parts is None else e.repartition(parts, "user_id", "day")
+
+
+def user_days(ev: DataFrame, ref: datetime, bounded: bool = True, parts: int | None = None) -> DataFrame:
     """One row per (user, day) with every additive measure the features need."""
     ts, amt, typ, st = F.col("ts"), F.col("amount"), F.col("transaction_type"), F.col("status")
     cur, prev = _months_back(ref)
@@ -66,7 +76,7 @@ def user_days(ev: DataFrame, ref: datetime, bounded: bool = True) -> DataFrame:
     late = F.dayofmonth(ts) >= 25
     kind = F.col("txn_kind") if "txn_kind" in ev.columns else F.lit(None).cast("string")
     moment = _moment()
-    return (e.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+    return (by_day(e, parts).groupBy("user_id", "day").agg(
         *sums,
         *[F.count_if(w[n]).alias(f"n_{n}") for n in (7, 30, 90)],
         F.sum(F.when(w[30], F.abs(amt) * decay(ts, ref, HALF_LIFE))).alias("decayed"),
@@ -146,7 +156,7 @@ def dip_value(prefix: str = "") -> Column:
 
 def account_features(ev: DataFrame, ref: datetime, bounded: bool = True, parts: int | None = None) -> DataFrame:
     """All scalar features that need neither merchants nor categories."""
-    return _of_days(by_user(user_days(ev, ref, bounded), parts))
+    return _of_days(by_user(user_days(ev, ref, bounded, parts), parts))
 
 
 def _of_days(days: DataFrame) -> DataFrame:
@@ -178,7 +188,7 @@ _SUMS = [*_MONEY, "faded", "faded_n", "cash", "outflow", "income_sq", "spend", "
 _COUNTS = ["n", "n_out", "n_out_failed", "n_failed", "n_income", "n_subs", "n_emi", "n_in", "n_in_p2m"]
 
 
-def day_state(ev: DataFrame) -> DataFrame:
+def day_state(ev: DataFrame, parts: int | None = None) -> DataFrame:
     """One row per (user, day) that does not depend on a reference time: what a refresh keeps instead of events.
 
     Weights fade to the end of the day, so that a later reference time only scales them.
@@ -186,7 +196,7 @@ def day_state(ev: DataFrame) -> DataFrame:
     ts, amt, typ, st = F.col("ts"), F.col("amount"), F.col("transaction_type"), F.col("status")
     kind = F.col("txn_kind") if "txn_kind" in ev.columns else F.lit(None).cast("string")
     fade, disc, inbound = _fade(ts, _day_end(ts)), typ == "EXPENSE_DISCRETIONARY", amt > 0
-    return ev.groupBy("user_id", F.to_date("ts").alias("day")).agg(
+    return by_day(ev, parts).groupBy("user_id", "day").agg(
         *[F.sum(F.when(typ == t, amt)).alias(n) for n, t in _MONEY.items()],
         F.sum(F.abs(amt) * fade).alias("faded"), F.sum(fade).alias("faded_n"),
         F.sum(F.when(F.col("merchant_category") == "CASH_ATM", F.abs(amt))).alias("cash"),
@@ -419,20 +429,22 @@ def features(ev: DataFrame, ref: datetime, *, invoices: DataFrame | None = None,
              cohorts: DataFrame | None = None) -> DataFrame:
     """One wide row per user at `ref`.
 
-    Every part is keyed by user_id and one row per user, so the joins reuse the
-    aggregations' partitioning, whose number of tasks grows with the events.
+    Every part is keyed by user_id and one row per user, and is stored before the
+    parts are joined over tasks whose number grows with the events: in one stage
+    the sorts and hash tables of all parts would hold memory at the same time.
     Invoices and consignments of users without events enter no vector and are left
     out before they are grouped. Cohort statistics are taken from the vectors
     themselves unless given.
     """
     parts, users = user_parts(ev), ev.select("user_id").distinct()
-    fv = (account_features(ev, ref, parts=parts)
-          .join(top_merchants(ev, ref, parts=parts), "user_id", "left")
-          .join(category_shift(ev, ref, parts=parts), "user_id", "left"))
+    fv = by_user(written(account_features(ev, ref, parts=parts), "part"), parts)
+    sides = [top_merchants(ev, ref, parts=parts), category_shift(ev, ref, parts=parts)]
     if invoices is not None:
-        fv = fv.join(invoice_features(invoices.join(users, "user_id", "left_semi"), parts), "user_id", "left")
+        sides.append(invoice_features(invoices.join(users, "user_id", "left_semi"), parts))
     if eway is not None:
-        fv = fv.join(eway_features(eway.join(users, "user_id", "left_semi"), parts), "user_id", "left")
+        sides.append(eway_features(eway.join(users, "user_id", "left_semi"), parts))
+    for side in sides:
+        fv = fv.join(by_user(written(side, "part"), parts), "user_id", "left")
     filled = [(F.coalesce(F.col(n), F.lit(v)) if n in fv.columns else F.lit(v)).alias(n) for n, v in DEFAULTS.items()]
     plain = [c for c in fv.columns if c not in DEFAULTS and c != "inbound_decayed"]
     gap = (receivables_gap(F.col("gst_30d_value"), F.col("inbound_decayed")) if invoices is not None else F.lit(0.0))

@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from fintrail.llm import lm_scoring
 from fintrail.llm.common import LOWER, words_of
-from fintrail.operators import features as FT, neighbours as NN, trailing as TR, twin as TW
+from fintrail.operators import features as FT, graph as G, neighbours as NN, trailing as TR, twin as TW
 
 EV = ("event_id long, user_id long, ts timestamp_ntz, amount double, merchant_name string, status string, txn_kind string, "
       "transaction_type string, merchant_category string")
@@ -31,6 +31,21 @@ def test_features_are_dealt_over_tasks_by_number_of_events(spark, monkeypatch):
     assert sorted(out.collect()) == want and len(want) == 40
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().sparkPlan().toString()
+
+
+def some_events(spark):
+    kinds = ["INCOME", "EXPENSE_ESSENTIAL", "EXPENSE_DISCRETIONARY", "EMI_PAYMENT"]
+    rows = [(i, i % 7 or None, REF - timedelta(hours=i % 700), float(100 - i % 150), f"M{i % 5}", "SUCCESS", "P2M", kinds[i % 4], "RENT") for i in range(900)]
+    return spark.createDataFrame(rows, EV)
+
+
+def test_feature_parts_are_stored_before_they_are_joined(spark):
+    out = FT.features(some_events(spark), REF)
+    assert out.count() == 7 and "Window" not in plan_of(out)
+
+
 def test_word_classes_do_not_widen_the_text():
     text = pa.array(["x" * (4 << 20)])
     words = words_of(text, LOWER)
