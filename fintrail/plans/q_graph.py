@@ -75,7 +75,7 @@ CTES["worst_msg"] = """SELECT * FROM (
 
 
 def worst(spark, d):
-    return V.worst_message(V.scam_probability(V.message_scores(T.messages(spark, d))))
+    return V.worst_message(V.scam_probability(V.message_scores(T.messages(spark, d, T.event_table(spark, d)))))
 
 
 @query("t4_worst_of_batch", "SELECT user_id, message_id, scam_probability, scam_risk FROM worst_msg")
@@ -295,7 +295,7 @@ BOT = ["mule_score", "hub_score", "consistency_score", "is_bot", "is_mule", "bot
 
 def bots(spark, d):
     """Users without gaps or transfers score as if these were zero; the hub part is the user's own account's."""
-    reg = O.interval_regularity(T.ev(spark, d)).select("user_id", "regular_flag")
+    reg = O.interval_regularity(T.event_table(spark, d)).select("user_id", "regular_flag")
     flow = TL.flow_concentration(T.transfers(spark, d).where("src <> dst")).withColumnRenamed("node", "user_id")
     j = (T.feature_table(spark, d).join(reg, "user_id", "left").join(flow, "user_id", "left")
          .join(account_ranks(spark, d).withColumnRenamed("node", "user_id"), "user_id", "left"))
@@ -365,7 +365,7 @@ SHIFT = ["js_divergence", "drift_score", "identity_score", "is_shifted", "identi
 def shift(spark, d):
     """The recent half of the month against all of it."""
     from datetime import datetime
-    e = T.ev(spark, d)
+    e = T.event_table(spark, d)
     ref = datetime(2024, 2, 15)           # 30 days back is 16 January, 90 days back is before the first event
     return V.identity_shift(T.feature_table(spark, d).join(FT.spend_mix(e, ref, K.CATEGORIES), "user_id", "left"), K.CATEGORIES)
 

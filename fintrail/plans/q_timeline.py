@@ -161,7 +161,7 @@ def a31(spark, d):
 def a32(spark, d):
     prior = T.feature_table(spark, d).select("user_id", F.col("income_30d").alias("income_mean"),
                                              F.col("income_stability_score").alias("stability"))
-    p = TL.income_posterior(T.ev(spark, d).where("transaction_type = 'INCOME'"), prior)
+    p = TL.income_posterior(T.event_table(spark, d).where("transaction_type = 'INCOME'"), prior)
     from fintrail.functions.numeric import rnd
     return p.select("user_id", rnd("mu", 4).alias("mu"), rnd("sigma", 6).alias("sigma"), rnd("mean_income", 2).alias("mean_income"))
 

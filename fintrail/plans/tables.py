@@ -111,9 +111,20 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     return raw_edges(spark, d).where(F.col("src") != F.col("dst"))
 
 
+def event_table(spark: SparkSession, d: str) -> DataFrame:
+    """The typed events, parsed once and dealt out by number for the steps that read them several times.
+
+    A given file has few splits when its row groups are large, and then few tasks do all the work on its events.
+    """
+    def build(s, p):
+        raw = table(s, p, "events")
+        return as_events(raw.repartition(FT.user_parts(raw), "user_id", "event_id"))
+    return stored(spark, d, "events", build)
+
+
 def fv(spark: SparkSession, d: str) -> DataFrame:
     """Full feature vectors at REF with profile and invoice features."""
-    return FT.features(ev(spark, d), REF, invoices=invoices(spark, d), eway=eway(spark, d),
+    return FT.features(event_table(spark, d), REF, invoices=invoices(spark, d), eway=eway(spark, d),
                        profiles=profiles(spark, d).drop("node", "upi_id", "vpa"))
 
 
@@ -147,7 +158,7 @@ def processed_features(spark: SparkSession, d: str) -> DataFrame:
 
 def twin(spark: SparkSession, d: str) -> DataFrame:
     """State snapshots: one version per active user-day."""
-    return stored(spark, d, "twin", lambda s, p: TW.snapshots(ev(s, p)))
+    return stored(spark, d, "twin", lambda s, p: TW.snapshots(event_table(s, p)))
 
 
 def twin_latest(spark: SparkSession, d: str) -> DataFrame:
@@ -168,9 +179,9 @@ MESSAGE_TEMPLATES = [
 ]
 
 
-def raw_sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def raw_sources(spark: SparkSession, d: str, events: DataFrame | None = None) -> dict[str, DataFrame]:
     """The six event sources in their raw shapes, split from `events` by provenance."""
-    e = ev(spark, d).withColumn("timestamp", F.col("ts"))
+    e = (ev(spark, d) if events is None else events).withColumn("timestamp", F.col("ts"))
     failed = F.col("status") == "FAILED"
     src = lambda p: e.where(F.col("source_provenance") == p)
     head = ["event_id", "user_id", "timestamp"]
@@ -200,13 +211,13 @@ def raw_sources(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     }
 
 
-def messages(spark: SparkSession, d: str) -> DataFrame:
+def messages(spark: SparkSession, d: str, events: DataFrame | None = None) -> DataFrame:
     """User turns of the conversations, and one templated message per event."""
     conv = table(spark, d, "conversations").where(F.col("role") == "user").select(
         F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("message_id"),
         F.col("conv_id").alias("user_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
         F.lit(None).cast("string").alias("sender_id"), "text")
-    e = ev(spark, d)
+    e = ev(spark, d) if events is None else events
     tmpl = e.select(
         F.concat(F.lit("e"), "event_id").alias("message_id"), "user_id", "ts",
         F.when(F.col("k") % 5 == 0, "TM-HDFCBK").otherwise("9876543210").alias("sender_id"),
@@ -253,7 +264,7 @@ def pairs(spark: SparkSession, d: str) -> DataFrame:
 def transfers(spark: SparkSession, d: str) -> DataFrame:
     """Instant payments between accounts: event_id, src, dst, amount, ts; self-payments still in."""
     from fintrail.operators import joins as J
-    upi = J.counterparties(raw_sources(spark, d)["upi_transactions"], profiles(spark, d))
+    upi = J.counterparties(raw_sources(spark, d, event_table(spark, d))["upi_transactions"], profiles(spark, d))
     return upi.select("event_id", F.col("user_id").alias("src"), F.col("counterparty").alias("dst"), F.abs("amount").alias("amount"),
                       F.col("timestamp").alias("ts"))
 

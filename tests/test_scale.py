@@ -9,6 +9,7 @@ import pyarrow as pa
 from fintrail.llm import lm_scoring
 from fintrail.llm.common import LOWER, words_of
 from fintrail.operators import features as FT, graph as G, neighbours as NN, trailing as TR, twin as TW
+from fintrail.plans import tables as T
 
 EV = ("event_id long, user_id long, ts timestamp_ntz, amount double, merchant_name string, status string, txn_kind string, "
       "transaction_type string, merchant_category string")
@@ -46,6 +47,16 @@ def test_feature_parts_are_stored_before_they_are_joined(spark):
     assert out.count() == 7 and "Window" not in plan_of(out)
 
 
+def test_events_of_one_split_are_dealt_out(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 9, REF - timedelta(hours=i), "click", 2.0, f'{{"k": {i % 50}}}') for i in range(600)]
+    raw = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string")
+    raw.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(FT, "PART_ROWS", 100)
+    got = T.event_table(spark, str(tmp_path))
+    assert len(got.inputFiles()) == 6
+    assert sorted(got.collect()) == sorted(T.ev(spark, str(tmp_path)).collect())
+
+
 def test_word_classes_do_not_widen_the_text():
     text = pa.array(["x" * (4 << 20)])
     words = words_of(text, LOWER)
