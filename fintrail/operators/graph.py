@@ -79,9 +79,13 @@ def strong_components(pairs: DataFrame, min_size: int = 3, max_rounds: int = 10_
     reaches it, and, against the edges among nodes that agree on it, the largest that it reaches. Nodes for which both
     are the same make a component and leave the graph. Largest nodes spread along edges and over the shortcut to the
     largest node found so far, whose own largest node reaches all that it reaches, so long ways take few steps. Nodes of a chain belong to
-    the component of its two ends, if that is one.
+    the component of its two ends, if that is one. Names are numbered first: largest of numbers are kept in hash tables
+    and take little room in each round's shuffles, largest of texts are sorted for.
     """
     edges = written(pairs.select("src", "dst").where("src <> dst").distinct())
+    names = _numbered(edges)
+    edges = written(edges.join(names.withColumnsRenamed({"name": "src", "node": "_s"}), "src")
+                    .join(names.withColumnsRenamed({"name": "dst", "node": "_d"}), "dst").select(c("_s").alias("src"), c("_d").alias("dst")))
     found: list[DataFrame] = []
     drawn: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     for _ in range(max_rounds):
@@ -105,8 +109,7 @@ def strong_components(pairs: DataFrame, min_size: int = 3, max_rounds: int = 10_
                     .join(left.withColumnRenamed("node", "dst"), "dst", "left_anti"))
     else:
         raise RuntimeError("strong_components did not finish; raise max_rounds")
-    kind = dict(pairs.dtypes)["src"]
-    out = pairs.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+    out = pairs.sparkSession.createDataFrame([], "node long, component long")
     for part in found:
         out = out.unionByName(part)
     for chain, rings, starts in reversed(drawn):   # the ends of a chain may lie inside a later one
@@ -115,9 +118,17 @@ def strong_components(pairs: DataFrame, min_size: int = 3, max_rounds: int = 10_
         two = out.select(c("node").alias("last"), c("component").alias("_b"))
         on = chain.join(one, "first").join(two, "last").where("_a = _b").select("node", c("_a").alias("component"))
         out = written(out.unionByName(on))
-    # a component is named by its largest node, which may have been in a chain
-    named = out.groupBy("component").agg(F.max("node").alias("name"), F.count(F.lit(1)).alias("size")).where(c("size") >= min_size)
-    return out.join(named, "component").select("node", c("name").alias("component"), "size")
+    sizes = out.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(c("size") >= min_size)
+    # a component is named by its largest node
+    large = written(out.join(sizes, "component").join(names, "node").select("component", "name", "size"))
+    named = large.groupBy("component").agg(F.max("name").alias("_top"))
+    return large.join(named, "component").select(c("name").alias("node"), c("_top").alias("component"), "size")
+
+
+def _numbered(edges: DataFrame) -> DataFrame:
+    """(name, node): a number of its own for every end of an edge."""
+    ends = edges.select(c("src").alias("name")).unionByName(edges.select(c("dst").alias("name"))).distinct()
+    return written(ends.withColumn("node", F.monotonically_increasing_id()))
 
 
 def _shrunk(edges: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, DataFrame, DataFrame]]]:

@@ -57,6 +57,15 @@ def test_events_of_one_split_are_dealt_out(spark, tmp_path, monkeypatch):
     assert sorted(got.collect()) == sorted(T.ev(spark, str(tmp_path)).collect())
 
 
+def test_components_spread_numbers_not_names(spark, monkeypatch):
+    kinds, greatest = set(), G._greatest
+    monkeypatch.setattr(G, "_greatest", lambda edges: (kinds.update(k for _, k in edges.dtypes), greatest(edges))[1])
+    ends = [("b", "a"), ("a", "c"), ("c", "b"), ("c", "x"), ("a", "b"), ("b", "c"), ("x", "y"), ("z", "z"), (None, "a"), ("p", "q"), ("q", "p")]
+    got = G.strong_components(spark.createDataFrame(ends, "src string, dst string"))
+    assert kinds == {"bigint"} and dict(got.dtypes) == {"node": "string", "component": "string", "size": "bigint"}
+    assert {tuple(r) for r in got.collect()} == {("a", "c", 3), ("b", "c", 3), ("c", "c", 3)}
+
+
 def test_word_classes_do_not_widen_the_text():
     text = pa.array(["x" * (4 << 20)])
     words = words_of(text, LOWER)
