@@ -250,10 +250,14 @@ def previous_volatility(snaps: DataFrame) -> DataFrame:
 
 
 def latest(snaps: DataFrame) -> DataFrame:
-    """Newest version of every user; partial aggregation keeps one row per task and user."""
+    """Newest version of every user; a task hands on one row per user.
+
+    Rows are ranked, not put into an aggregate: a struct with texts has no fixed width, so Spark would sort for it all the
+    same and then copy the whole struct for every row.
+    """
+    w = W.partitionBy("user_id").orderBy(F.desc("version"))
     cols = [c for c in snaps.columns if c != "user_id"]
-    return (snaps.groupBy("user_id").agg(F.max_by(F.struct(*cols), "version").alias("_l"))
-            .select("user_id", *[F.col(f"_l.{c}").alias(c) for c in cols]))
+    return snaps.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").select("user_id", *cols)
 
 
 # -------------------------------------------------------------- time travel

@@ -57,6 +57,15 @@ def test_events_of_one_split_are_dealt_out(spark, tmp_path, monkeypatch):
     assert sorted(got.collect()) == sorted(T.ev(spark, str(tmp_path)).collect())
 
 
+def test_latest_version_needs_no_sorted_aggregate(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(u, t + timedelta(days=v), f"state {v}", v) for u in (1, 2, None) for v in (3, 1, 2)] + [(4, t, "one", 1)]
+    got = TW.latest(spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, liquidity_health string, version int"))
+    assert "SortAggregate" not in plan_of(got)
+    assert got.columns == ["user_id", "ts", "liquidity_health", "version"]
+    assert {tuple(r) for r in got.collect()} == {(u, t + timedelta(days=3), "state 3", 3) for u in (1, 2, None)} | {(4, t, "one", 1)}
+
+
 def test_components_spread_numbers_not_names(spark, monkeypatch):
     kinds, greatest = set(), G._greatest
     monkeypatch.setattr(G, "_greatest", lambda edges: (kinds.update(k for _, k in edges.dtypes), greatest(edges))[1])
