@@ -209,7 +209,7 @@ def refresh(stream: DataFrame, state: str, features: str, twins: str, checkpoint
         if df.isEmpty():
             return
         spark = df.sparkSession
-        fresh = through(FT.day_state(df), f"{state}/reduced", batch_id)
+        fresh = through(FT.day_state(df, FT.user_parts(df)), f"{state}/reduced", batch_id)
         ref = as_of(fresh.agg(F.max("high")).first()[0])
         days = KeyedTable(spark, f"{state}/days")
         buckets = days.touched(fresh)

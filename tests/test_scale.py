@@ -47,6 +47,16 @@ def test_feature_parts_are_stored_before_they_are_joined(spark):
     assert out.count() == 7 and "Window" not in plan_of(out)
 
 
+def test_day_sums_are_made_where_the_events_of_a_day_lie(spark):
+    ev = some_events(spark)
+    for one, parts in ((lambda n: FT.user_days(ev, REF, parts=n), 5), (lambda n: FT.day_state(ev, n), 5)):
+        dealt = one(parts)
+        assert dealt.rdd.getNumPartitions() == parts
+        key = lambda r: (r["user_id"] or 0, r["day"])
+        assert [r.asDict() for r in sorted(dealt.drop("decayed", "decayed_n", "in_decayed", "faded", "faded_n", "in_faded").collect(), key=key)] == [
+            r.asDict() for r in sorted(one(None).drop("decayed", "decayed_n", "in_decayed", "faded", "faded_n", "in_faded").collect(), key=key)]
+
+
 def test_events_of_one_split_are_dealt_out(spark, tmp_path, monkeypatch):
     rows = [(i, i % 9, REF - timedelta(hours=i), "click", 2.0, f'{{"k": {i % 50}}}') for i in range(600)]
     raw = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string, value double, props string")
