@@ -112,6 +112,92 @@ def test_neighbour_tasks_hold_few_distances_at_once(spark):
     assert got == {(i, k + 1): int(order[i, k]) for i in range(300) for k in range(2)}
 
 
+def shuffled_rows(df):
+    """The result, and the rows written by the shuffles of its plan."""
+    got, todo, n = df.collect(), [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if node.metrics().contains("shuffleRecordsWritten"):
+                n += node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return got, n
+
+
+def brute_force(u, k):
+    """The k most similar other rows of each unit vector, by id among equal ones."""
+    d = np.sqrt(((u[:, None] - u[None]) ** 2).sum(2)).round(12)
+    np.fill_diagonal(d, np.inf)
+    return {(i, n + 1): int(b) for i in range(len(u)) for n, b in enumerate(np.argsort(d[i], kind="stable")[:k])}
+
+
+def as_rows(spark, x):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i long, v array<double>")
+    return df.select(df.i.alias("q"), "v"), df.select(df.i.alias("b"), "v")
+
+
+def test_queries_are_not_sent_once_per_cell(spark):
+    x = np.random.default_rng(4).normal(size=(1200, 24))             # no structure: each query looks into nearly all 40 cells
+    got, sent = shuffled_rows(NN.nearest(*as_rows(spark, x), 3, exclude_self=True, pivots=40))
+    assert {(r.q, r.rn): r.b for r in got} == brute_force(x / np.linalg.norm(x, axis=1)[:, None], 3)
+    assert sent < 10 * 1200
+
+
+def clusters(n):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(12, 16))[rng.integers(0, 12, n)] + 0.05 * rng.normal(size=(n, 16))
+    x[rng.permutation(n)[:n // 4]] = x[0]                            # copies all over the table tie: the smallest ids count
+    return x
+
+
+def test_neighbours_among_copies_and_broken_vectors(spark, monkeypatch):
+    x = clusters(600)
+    q, b = as_rows(spark, x)
+    broken = spark.createDataFrame([(2000 + i, [bad] + [1.0] * 15) for i, bad in enumerate([float("nan"), float("inf")] * 20)], "b long, v array<double>")
+    monkeypatch.setattr(NN, "HELD", 16 * 200)                        # three splits of the queries
+    got = NN.nearest(q, b.union(broken), 4, exclude_self=True, pivots=12).collect()
+    assert {(r.q, r.rn): r.b for r in got} == brute_force(x / np.linalg.norm(x, axis=1)[:, None], 4)
+
+
+def test_neighbours_of_one_task_in_small_steps(monkeypatch):
+    for name, value in (("TILE", 24), ("RUN", 8), ("PAIRS", 24 * 50), ("QUERY_STEP", 90)):
+        monkeypatch.setattr(NN, name, value)
+    lists = lambda v: pa.array(v.tolist(), pa.list_(pa.float64()))
+    for x in (clusters(300), 1e6 + clusters(300), 1e-18 * clusters(300), 1e25 * clusters(300)):
+        scale = np.abs(x).max()
+        for metric, hits in ((NN.euclidean_matrix, b"\xff\x80"), (NN.euclidean_matrix, b"\x7f\x80"), (lambda a, b: np.abs(a[:, None] - b[None]).sum(2), b"\xff\x80")):
+            block = NN._Block(pa.table({"q": np.arange(300), "x": lists(x), "bound": np.full(300, np.inf), "cells": pa.array([hits] * 300, pa.binary())}),
+                              4, 0.95, 9, metric, True)
+            assert block.wide == (hits == b"\xff\x80")
+            for i in range(0, 300, 70):
+                n = np.arange(i, min(300, i + 70))
+                block.add(pa.table({"b": n, "x": lists(x[n]), "cell": pa.array(n % 8 + 1, pa.int32())}))
+            got = pa.Table.from_batches(block.found()).to_pylist()
+            d = (np.sqrt(((x[:, None] / scale - x[None] / scale) ** 2).sum(2)) if metric is NN.euclidean_matrix else np.abs(x[:, None] - x[None]).sum(2) / scale)
+            np.fill_diagonal(d, np.inf)
+            best = np.sort(d, 1)[:, :4]
+            assert np.allclose(np.array([r["distance"] / scale for r in got]).reshape(300, 4), best, rtol=1e-9, atol=1e-15)
+            copies = [i for i in range(300) if best[i, 3] == 0]
+            assert len(copies) > 70
+            for i in copies:
+                assert [r["b"] for r in got if r["q"] == i] == [int(j) for j in np.flatnonzero(d[i] == 0)[:4]]
+
+
+def test_neighbours_of_null_and_repeated_names(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.1]), ("b", [1.0, 0.1]), (None, [1.0, 0.2]), ("c", [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "i string, v array<double>")
+    got = NN.nearest(df.select(df.i.alias("q"), "v"), df.select(df.i.alias("b"), "v"), 3, exclude_self=True).collect()
+    found = {(r.q, r.rn): r.b for r in got}
+    assert [found["a", n] for n in (1, 2, 3)] == ["b", "b", None]
+    assert [found["b", n] for n in (1, 2, 3)] == [None, None, "a"]   # two equal queries, as in the SQL
+    assert [found["c", n] for n in (1, 2, 3)] == [None, "b", "b"] and found[None, 1] is None
+
+
 def test_smoothing_keeps_one_blend_per_user(spark):
     rows = [(u, v, (v * 7 + (u or 0)) % 10 / 10, [float(((u or 0) + v + i) % 3) / 2 for i in range(4)]) for u in (1, 2, None) for v in range(1, 6)]
     rows += [(3, 1, 0.2, [0.5] * 4), (3, 2, None, [0.1] * 4), (3, 3, 0.3, [0.4] * 4)]
